@@ -1,9 +1,19 @@
-"""Registered queries over the driver's tables."""
+"""All registered queries of the library over the driver's tables, and their SQL."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
 
-def oracle_sql():
-    return {}
+from . import graph_queries
+
+MODULES = (graph_queries,)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: query for m in MODULES for name, query in m.QUERIES.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for m in MODULES for name, sql in m.SQL.items()}
