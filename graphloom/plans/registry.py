@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import dataset_queries, graph_queries
+from . import audit_queries, dataset_queries, graph_queries
 
-MODULES = (graph_queries, dataset_queries)
+MODULES = (graph_queries, dataset_queries, audit_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
