@@ -129,19 +129,19 @@ def refresh_plan(df: DataFrame, cls: str, action: str, by: Iterable[str] = ()) -
 
 
 def retype(catalog: GraphCatalog, old: str, new: str) -> GraphCatalog:
-    moved = {t: df for t, df in catalog.edges.items() if t[1] == old}
-    return catalog.changed(edges={**{t: None for t in moved}, **{(a, new, b): df for (a, _, b), df in moved.items()}})
+    moved = [t for t in catalog.edges if t[1] == old]
+    return catalog.changed(edges={**dict.fromkeys(moved), **{(a, new, b): catalog.edges[a, t, b] for a, t, b in moved}})
 
 
 def rename_property(catalog: GraphCatalog, owner: str, old: str, new: str) -> GraphCatalog:
     """Of a label's nodes, or of a type's edges."""
-    return catalog.changed({owner: catalog.nodes[owner].withColumnRenamed(old, new)} if owner in catalog.nodes else None, {t: df.withColumnRenamed(old, new) for t, df in catalog.edges.items() if t[1] == owner})
+    return catalog.changed({owner: catalog.nodes[owner].withColumnRenamed(old, new)} if owner in catalog.nodes else None, {t: catalog.edges[t].withColumnRenamed(old, new) for t in catalog.edges if t[1] == owner})
 
 
 def relabel(catalog: GraphCatalog, old: str, new: str) -> GraphCatalog:
     swap = lambda x: new if x == old else x
-    touched = {t: df for t, df in catalog.edges.items() if old in (t[0], t[2])}
-    return catalog.changed({old: None, new: catalog.nodes[old]}, {**{t: None for t in touched}, **{(swap(a), t, swap(b)): df for (a, t, b), df in touched.items()}})
+    touched = [t for t in catalog.edges if old in (t[0], t[2])]
+    return catalog.changed({old: None, new: catalog.nodes[old]}, {**dict.fromkeys(touched), **{(swap(a), t, swap(b)): catalog.edges[a, t, b] for a, t, b in touched}})
 
 
 def drop_type(catalog: GraphCatalog, name: str) -> GraphCatalog:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass, field, replace
+from functools import cache
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -13,6 +15,27 @@ Triple = tuple[str, str, str]
 KINDS = {"string": "STRING", "bigint": "INTEGER", "int": "INTEGER", "smallint": "INTEGER", "double": "FLOAT", "float": "FLOAT", "boolean": "BOOLEAN", "timestamp": "DATETIME", "timestamp_ntz": "DATETIME", "date": "DATE"}
 
 
+class Lazy(Mapping):
+    """Frames that are made on first use, so that a query opens only the files that it reads."""
+
+    def __init__(self, makers: Mapping[Any, Callable[[], DataFrame]]):
+        self.makers, self.made = dict(makers), {}
+
+    def __getitem__(self, key: Any) -> DataFrame:
+        if key not in self.made:
+            self.made[key] = self.makers[key]()
+        return self.made[key]
+
+    def __iter__(self) -> Iterator:
+        return iter(self.makers)
+
+    def __len__(self) -> int:
+        return len(self.makers)
+
+    def __contains__(self, key: Any) -> bool:
+        return key in self.makers
+
+
 def is_property(name: str) -> bool:
     return not name.startswith("_")
 
@@ -39,7 +62,15 @@ class GraphCatalog:
 
     def changed(self, nodes: Mapping[str, DataFrame | None] | None = None, edges: Mapping[Triple, DataFrame | None] | None = None) -> GraphCatalog:
         """A copy with some frames replaced, or removed where None."""
-        merge = lambda old, new: {k: v for k, v in {**old, **(new or {})}.items() if v is not None}
+
+        def merge(old: Mapping, new: Mapping | None) -> Lazy:
+            makers: dict = {k: (lambda k=k: old[k]) for k in old}
+            for k, v in (new or {}).items():
+                makers.pop(k, None)
+                if v is not None:
+                    makers[k] = lambda v=v: v
+            return Lazy(makers)
+
         return replace(self, nodes=merge(self.nodes, nodes), edges=merge(self.edges, edges))
 
     # -- introspection
@@ -83,44 +114,52 @@ def table_graph(spark: SparkSession, sf_dir: str) -> GraphCatalog:
     Columns are renamed and nothing is computed that a query doesn't use: each frame is a projection of a scan,
     so filters and needed columns reach the files. TRADES_WITH, which is an aggregate, is lazy too.
     """
-    read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    region, nation, customer, supplier, part, orders, lineitem, events = map(read, ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"))
+    read = cache(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
     long = lambda c: F.col(c).cast("long")
 
-    def nodes(df: DataFrame, key: str, **props: str) -> DataFrame:
-        return df.select(long(key).alias("_id"), *[F.col(c).alias(p) for p, c in props.items()])
+    def nodes(table: str, key: str, **props: str) -> Callable[[], DataFrame]:
+        return lambda: read(table).select(long(key).alias("_id"), *[F.col(c).alias(p) for p, c in props.items()])
+
+    def edges(table: str, src: str, dst: str, eid: str | None, **props: str) -> Callable[[], DataFrame]:
+        """Without a key the edge id is a hash of the whole row; rows are distinct."""
+
+        def make() -> DataFrame:
+            key = F.xxhash64(*read(table).columns) if eid is None else long(eid)
+            return read(table).select(long(src).alias("_src"), long(dst).alias("_dst"), key.alias("_eid"), *[F.col(c).alias(p) for p, c in props.items()])
+
+        return make
 
-    def edges(df: DataFrame, src: str, dst: str, eid, **props: str) -> DataFrame:
-        return df.select(long(src).alias("_src"), long(dst).alias("_dst"), eid.alias("_eid"), *[F.col(c).alias(p) for p, c in props.items()])
+    def following() -> DataFrame:
+        per_user = Window.partitionBy("user_id").orderBy("ts", "event_id")
+        gap = F.unix_micros(F.lead("ts").over(per_user).cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))
+        rows = read("events").select("event_id", F.lead("event_id").over(per_user).alias("next_id"), gap.alias("gap")).filter("next_id IS NOT NULL")
+        return rows.select(long("event_id").alias("_src"), long("next_id").alias("_dst"), long("event_id").alias("_eid"), "gap")
 
-    line_id = F.xxhash64(*lineitem.columns)  # the table has no key; rows are distinct
-    per_user = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    following = events.select("event_id", F.lead("event_id").over(per_user).alias("next_id"), (F.unix_micros(F.lead("ts").over(per_user).cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))).alias("gap_us")).filter("next_id IS NOT NULL")
     return GraphCatalog(
-        nodes={
-            "Region": nodes(region, "r_regionkey", regionKey="r_regionkey", name="r_name"),
-            "Nation": nodes(nation, "n_nationkey", nationKey="n_nationkey", name="n_name"),
-            "Customer": nodes(customer, "c_custkey", custKey="c_custkey", name="c_name", acctBal="c_acctbal", segment="c_mktsegment"),
-            "Supplier": nodes(supplier, "s_suppkey", suppKey="s_suppkey", name="s_name", acctBal="s_acctbal"),
-            "Part": nodes(part, "p_partkey", partKey="p_partkey", name="p_name", brand="p_brand", type="p_type", size="p_size", retailPrice="p_retailprice"),
-            "Order": nodes(orders, "o_orderkey", orderKey="o_orderkey", status="o_orderstatus", totalPrice="o_totalprice", orderDate="o_orderdate", priority="o_orderpriority"),
-            "User": events.select(long("user_id").alias("_id"), F.col("user_id").alias("userId")).distinct(),
-            "Event": nodes(events, "event_id", eventId="event_id", ts="ts", type="event_type", value="value", props="props"),
-        },
-        edges={
-            ("Nation", "IN_REGION", "Region"): edges(nation, "n_nationkey", "n_regionkey", long("n_nationkey")),
-            ("Customer", "IN_NATION", "Nation"): edges(customer, "c_custkey", "c_nationkey", long("c_custkey")),
-            ("Supplier", "IN_NATION", "Nation"): edges(supplier, "s_suppkey", "s_nationkey", long("s_suppkey")),
-            ("Customer", "PLACED", "Order"): edges(orders, "o_custkey", "o_orderkey", long("o_orderkey"), orderDate="o_orderdate"),
-            ("Order", "CONTAINS", "Part"): edges(lineitem, "l_orderkey", "l_partkey", line_id, quantity="l_quantity", price="l_extendedprice", discount="l_discount", shipDate="l_shipdate"),
-            ("Supplier", "SUPPLIES", "Part"): edges(lineitem, "l_suppkey", "l_partkey", line_id),
-            ("Order", "FULFILLED_BY", "Supplier"): edges(lineitem, "l_orderkey", "l_suppkey", line_id),
-            ("User", "DID", "Event"): edges(events, "user_id", "event_id", long("event_id")),
-            ("Event", "NEXT", "Event"): edges(following, "event_id", "next_id", long("event_id"), gap="gap_us"),
-            ("Nation", "TRADES_WITH", "Nation"): trades(customer, supplier, orders, lineitem),
-        },
+        nodes=Lazy({
+            "Region": nodes("region", "r_regionkey", regionKey="r_regionkey", name="r_name"),
+            "Nation": nodes("nation", "n_nationkey", nationKey="n_nationkey", name="n_name"),
+            "Customer": nodes("customer", "c_custkey", custKey="c_custkey", name="c_name", acctBal="c_acctbal", segment="c_mktsegment"),
+            "Supplier": nodes("supplier", "s_suppkey", suppKey="s_suppkey", name="s_name", acctBal="s_acctbal"),
+            "Part": nodes("part", "p_partkey", partKey="p_partkey", name="p_name", brand="p_brand", type="p_type", size="p_size", retailPrice="p_retailprice"),
+            "Order": nodes("orders", "o_orderkey", orderKey="o_orderkey", status="o_orderstatus", totalPrice="o_totalprice", orderDate="o_orderdate", priority="o_orderpriority"),
+            "User": lambda: read("events").select(long("user_id").alias("_id"), F.col("user_id").alias("userId")).distinct(),
+            "Event": nodes("events", "event_id", eventId="event_id", ts="ts", type="event_type", value="value", props="props"),
+        }),
+        edges=Lazy({
+            ("Nation", "IN_REGION", "Region"): edges("nation", "n_nationkey", "n_regionkey", "n_nationkey"),
+            ("Customer", "IN_NATION", "Nation"): edges("customer", "c_custkey", "c_nationkey", "c_custkey"),
+            ("Supplier", "IN_NATION", "Nation"): edges("supplier", "s_suppkey", "s_nationkey", "s_suppkey"),
+            ("Customer", "PLACED", "Order"): edges("orders", "o_custkey", "o_orderkey", "o_orderkey", orderDate="o_orderdate"),
+            ("Order", "CONTAINS", "Part"): edges("lineitem", "l_orderkey", "l_partkey", None, quantity="l_quantity", price="l_extendedprice", discount="l_discount", shipDate="l_shipdate"),
+            ("Supplier", "SUPPLIES", "Part"): edges("lineitem", "l_suppkey", "l_partkey", None),
+            ("Order", "FULFILLED_BY", "Supplier"): edges("lineitem", "l_orderkey", "l_suppkey", None),
+            ("User", "DID", "Event"): edges("events", "user_id", "event_id", "event_id"),
+            ("Event", "NEXT", "Event"): following,
+            ("Nation", "TRADES_WITH", "Nation"): lambda: trades(*map(read, ("customer", "supplier", "orders", "lineitem"))),
+        }),
         symmetric=frozenset({"TRADES_WITH"}),
-    )
+    )
 
 
 def trades(customer: DataFrame, supplier: DataFrame, orders: DataFrame, lineitem: DataFrame, pairs: int = 40) -> DataFrame:
