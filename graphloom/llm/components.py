@@ -15,7 +15,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     least is a map-side combined minimum, and no neighbour list is ever gathered, so hubs are harmless.
     """
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")).withColumnRenamed("a", "u")
+    # Written first, so that the join shuffles both sides by itself (or broadcasts this one), and can split a hub's edges.
+    least = materialise(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")).withColumnRenamed("a", "u"), "least")
     joined = both.join(least, both["a"] == least["u"])
     moved = joined.filter("b > u").select(F.col("b").alias("a"), F.col("m").alias("b")) if large else joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
     return moved.filter("a <> b").distinct()
