@@ -66,6 +66,9 @@ def field(of: Typed, name: str) -> Typed:
     return Typed(of.column.getField(name), "any")
 
 
+FAMILY = {"int": "number", "float": "number", "str": "text", "bool": "truth", "ts": "time", "date": "time"}
+
+
 def binary(op: str, a: Typed, b: Typed) -> Typed:
     x, y = a.column, b.column
     if op in ("AND", "OR", "XOR"):
@@ -73,6 +76,8 @@ def binary(op: str, a: Typed, b: Typed) -> Typed:
     if op in ("=", "<>", "<", "<=", ">", ">="):
         if {"ts", "date"} & {a.kind, b.kind} and "str" in (a.kind, b.kind):
             x, y = (x.cast("timestamp"), y) if a.kind == "str" else (x, y.cast("timestamp"))
+        elif a.kind in FAMILY and b.kind in FAMILY and FAMILY[a.kind] != FAMILY[b.kind]:  # values of different types differ and have no order
+            return Typed(F.when(x.isNotNull() & y.isNotNull(), F.lit(op == "<>")) if op in ("=", "<>") else F.lit(None).cast("boolean"), "bool")
         test = {"=": x == y, "<>": x != y, "<": x < y, "<=": x <= y, ">": x > y, ">=": x >= y}[op]
         return Typed(test, "bool")
     if op == "IN":

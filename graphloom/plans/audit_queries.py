@@ -188,3 +188,54 @@ def _(spark, d):
     g = table_graph(spark, d)
     new = read(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("_src"), F.col("n_nationkey").cast("long").alias("_dst"), (-F.col("n_nationkey") - 1).cast("long").alias("_eid"))
     return cypher(spark, refresh.insert_edges(g, ("Customer", "IN_NATION", "Nation"), new), "MATCH (c:Customer)-[r:IN_NATION]->(n:Nation) RETURN COUNT(r) AS n")
+
+
+@query("x02_external", "WITH r AS (SELECT o_orderkey AS i, CASE WHEN o_orderstatus = 'P' THEN 'other' ELSE 'tpch' END AS g, CASE WHEN o_orderkey % 50 = 0 THEN NULL ELSE 'Q' || (o_custkey % 700) || '?' END AS question, CASE WHEN o_orderkey % 40 = 1 THEN 'DROP x' ELSE 'MATCH  (c) RETURN ' || (o_orderkey % 3) END AS q FROM orders), k AS (SELECT *, CASE WHEN g <> 'tpch' THEN 'other_graph' WHEN question IS NULL THEN 'empty' WHEN q = 'DROP x' THEN 'not_read_only' END AS w FROM r), n AS (SELECT *, row_number() OVER (PARTITION BY w, g, question, q ORDER BY i) AS rn FROM k) SELECT coalesce(w, CASE WHEN rn > 1 THEN 'duplicate' ELSE 'keep' END) AS decision, count(*) AS n FROM n GROUP BY 1")
+def _(spark, d):
+    from ..operators import benchmarks
+
+    rows = read(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") == "P", "other").otherwise("tpch").alias("g"), F.when(F.col("o_orderkey") % 50 != 0, F.concat(F.lit("Q"), (F.col("o_custkey") % 700).cast("string"), F.lit("?"))).alias("question"), F.when(F.col("o_orderkey") % 40 == 1, "DROP x").otherwise(F.concat(F.lit("MATCH  (c) RETURN "), (F.col("o_orderkey") % 3).cast("string"))).alias("q"))
+    return benchmarks.convert_external(rows, "g", "question", "q", ["tpch"], ["o_orderkey"]).groupBy("decision").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("x05_diversity", "WITH t AS (SELECT lang, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS v FROM documents), a AS (SELECT lang, 'source' AS dimension, source AS v FROM documents UNION ALL SELECT lang, 'token', v FROM t), c AS (SELECT lang, dimension, v, count(*) AS n FROM a GROUP BY ALL), p AS (SELECT *, n / sum(n) OVER (PARTITION BY lang, dimension) AS p FROM c) SELECT lang, dimension, sum(n)::BIGINT AS total, count(*) AS \"unique\", round(sum(-p * log2(p)), 6) AS entropy_bits, round(1 - sum(p * p), 9) AS simpson FROM p GROUP BY lang, dimension")
+def _(spark, d):
+    from ..operators import benchmarks
+
+    out = benchmarks.diversity_report(read(spark, d, "documents"), ["source"], "text", ["lang"])
+    return out.select("lang", "dimension", "total", "unique", F.round("entropy_bits", 6).alias("entropy_bits"), F.round("simpson", 9).alias("simpson"))
+
+
+@query("t11_model_summary", "WITH e AS (SELECT event_id % 10 AS model, user_id AS c, (value > 40)::INT AS y FROM events), s AS (SELECT model, c, sum(y) AS t, count(*) AS r FROM e GROUP BY ALL) SELECT model, sum(r)::BIGINT AS n, round(sum(t) / sum(r), 9) AS micro, round(avg(t / r), 9) AS macro, count(*) AS clusters, count(*) < 30 AS few_clusters FROM s GROUP BY 1")
+def _(spark, d):
+    from ..operators import benchmarks
+    from .dataset_queries import evaluations
+
+    out = benchmarks.model_summary(evaluations(spark, d), "model", "solved", "cluster")
+    return out.select("model", "n", F.round("micro", 9).alias("micro"), F.round("macro", 9).alias("macro"), "clusters", "few_clusters")
+
+
+@query("t11_rank_agreement", "WITH e AS (SELECT event_id % 10 AS m, event_type AS s, value AS v FROM events), w AS (SELECT m, avg(v) AS w FROM e GROUP BY 1), p AS (SELECT s, m, avg(v) AS p FROM e GROUP BY ALL) SELECT a.s AS category, count(*) AS pairs, avg((sign(round(a.p - b.p, 12)) = sign(round(wa.w - wb.w, 12)))::INT) AS agree FROM p a JOIN p b ON a.s = b.s AND a.m < b.m JOIN w wa ON wa.m = a.m JOIN w wb ON wb.m = b.m GROUP BY 1")
+def _(spark, d):
+    from ..operators import benchmarks
+    from .dataset_queries import evaluations
+
+    return benchmarks.rank_agreement(evaluations(spark, d), "model", "value", "category")
+
+
+@query("q24_schema_templates")
+def _(spark, d):
+    """Every template derived from the catalog's schema, with its category as the text suggests it."""
+    from ..functions import values
+
+    g = table_graph(spark, d)
+    schema = files.schema_of(g)
+    rows = [(t["kind"], t["category"], t["cypher"], query_text.coarse_category(t["cypher"])) for t in values.schema_templates(schema.nodes, schema.patterns)]
+    return spark.createDataFrame(rows, "kind string, category string, cypher string, derived string")
+
+
+@query("q24_template_runs", "SELECT p_brand AS brand, count(DISTINCT l_orderkey) AS n FROM part JOIN lineitem ON l_partkey = p_partkey WHERE p_brand = 'Brand#11' GROUP BY 1")
+def _(spark, d):
+    """A scoped count template, bound and compiled."""
+    q = "MATCH (a:Part {brand: $value})<-[:CONTAINS]-(b:Order) RETURN a.brand AS brand, COUNT(DISTINCT b) AS n"
+    return cypher(spark, table_graph(spark, d), q, {"value": "Brand#11"})

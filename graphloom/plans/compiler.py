@@ -358,7 +358,7 @@ class Compiler:
                 if rel.name:
                     env[rel.name] = bound
                 for key, value in rel.props:
-                    step = step.filter(F.col(info["props"][key]) == self.value(value, scope).column) if key in info["props"] else step.filter(F.lit(False))
+                    step = step.filter(self.is_equal(info["props"].get(key), info["kinds"].get(key), value, scope))
             c = info["cols"]
             if df is None:
                 df = step
@@ -399,11 +399,15 @@ class Compiler:
             df = df.join(frame, on).drop(key, tag)
             bound = replace(bound, columns={**bound.columns, **cols}, kinds={**bound.kinds, **{p: all_props[p] for p in props}})
         for k, v in node.props:
-            df = df.filter(F.col(bound.columns[k]) == self.value(v, scope).column) if k in bound.columns else df.filter(F.lit(False))
+            df = df.filter(self.is_equal(bound.columns.get(k), bound.kinds.get(k), v, scope))
         if node.name:
             env[node.name] = bound
         return df
 
+    def is_equal(self, column: str | None, kind: str | None, value, scope: Scope) -> Column:
+        """An entry of a property map; a property that there isn't equals nothing."""
+        return F.lit(False) if column is None else scalars.binary("=", Typed(F.col(column), kind or "any"), self.value(value, scope)).column
+
     def node_frame(self, labels: frozenset[str], cols: Mapping[str, str], key: str, tag: str | None) -> DataFrame:
         parts = []
         for label in sorted(labels):
@@ -422,7 +426,7 @@ class Compiler:
         df = self.node_frame(labels, cols, key, tag) if labels else self.spark.createDataFrame([], f"`{key}` bigint")
         bound = Bound("node", cols, {p: all_props[p] for p in props}, key, next(iter(labels)) if len(labels) == 1 else None, tag)
         for k, v in node.props:
-            df = df.filter(F.col(cols[k]) == self.value(v, {}).column) if k in cols else df.filter(F.lit(False))
+            df = df.filter(self.is_equal(cols.get(k), bound.kinds.get(k), v, {}))
         return df, env | ({node.name: bound} if node.name else {})
 
     def many(self, rel: Relationship, left: frozenset[str], right: frozenset[str], mixed: bool, shortest: bool, nodes: bool) -> tuple[DataFrame, dict]:

@@ -88,6 +88,12 @@ def test_unknown_names_match_nothing_unless_strict(spark, graph):
             cypher(spark, graph, text, strict=True)
 
 
+def test_values_of_different_types_differ(spark, graph):
+    assert rows(spark, graph, "MATCH (p:Person {age: '20'}) RETURN COUNT(p) AS n") == [(0,)]
+    assert rows(spark, graph, "MATCH (p:Person) WHERE p.age <> 'x' RETURN COUNT(p) AS n") == [(3,)]
+    assert rows(spark, graph, "MATCH (p:Person) WHERE p.age < 'x' RETURN COUNT(p) AS n") == [(0,)]
+
+
 def test_a_dropped_variable_binds_anew(spark, graph):
     text = "MATCH (a:Person {name: 'Bob'})-[:KNOWS]->(b:Person) WITH a MATCH (b:Person)-[:MEMBER_OF]->(f:Forum) RETURN COUNT(b) AS n"
     assert rows(spark, graph, text) == [(3,)]
