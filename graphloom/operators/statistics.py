@@ -227,7 +227,7 @@ def cluster_bootstrap(df: DataFrame, cluster: str, metric: str, group: Sequence[
 
 def sign_flip(df: DataFrame, cluster: str, difference: str) -> DataFrame:
     """One row (clusters, observed, p): the exact two-sided sign-flip test over cluster sums; for at most 16 clusters."""
-    sums = df.groupBy(cluster).agg(F.sum(F.col(difference).cast("double")).alias("d")).withColumn("_i", F.row_number().over(Window.orderBy(cluster)) - 1)
+    sums = df.groupBy(cluster).agg(F.sum(F.col(difference).cast("double")).alias("d")).limit(EXACT_CLUSTERS + 1).withColumn("_i", F.row_number().over(Window.orderBy(cluster)) - 1)
     few = sums.agg(F.collect_list(F.struct("_i", "d")).alias("ds"), F.count(F.lit(1)).alias("clusters"), F.sum("d").alias("observed"))
     few = few.filter(F.col("clusters") <= EXACT_CLUSTERS)
     flips = few.withColumn("mask", F.explode(F.sequence(F.lit(0), F.shiftleft(F.lit(1), EXACT_CLUSTERS) - 1))).filter(F.expr("mask < shiftleft(1, cast(clusters as int))"))

@@ -35,11 +35,11 @@ GRAPH_QUERIES: dict[str, tuple] = {
     "g17_inequality": ("MATCH (a:Customer {segment: 'BUILDING'})-[:IN_NATION]->(n:Nation)<-[:IN_NATION]-(b:Customer {segment: 'MACHINERY'}) WHERE a <> b AND a.acctBal < b.acctBal - 9500 RETURN a.custKey AS a, b.custKey AS b", "SELECT a.c_custkey AS a, b.c_custkey AS b FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_custkey <> b.c_custkey WHERE a.c_mktsegment = 'BUILDING' AND b.c_mktsegment = 'MACHINERY' AND a.c_acctbal < b.c_acctbal - 9500"),
     "g18_temporal_chain": ("MATCH (u:User)-[:DID]->(a:Event)-[:NEXT]->(b:Event) WHERE a.type = 'click' AND b.type = 'purchase' AND b.ts > a.ts RETURN u.userId AS userId, COUNT(*) AS n", f"SELECT e.user_id AS \"userId\", count(*) AS n FROM {NEXT_SQL} e JOIN events x ON x.event_id = e.a JOIN events y ON y.event_id = e.b WHERE x.event_type = 'click' AND y.event_type = 'purchase' AND y.ts > x.ts GROUP BY 1"),
     "g19_edge_property": ("MATCH (o:Order)-[r:CONTAINS]->(p:Part) WHERE r.discount >= 0.08 RETURN p.brand AS brand, SUM(r.quantity) AS quantity, COUNT(r) AS lines", "SELECT p_brand AS brand, sum(l_quantity) AS quantity, count(*) AS lines FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_discount >= 0.08 GROUP BY 1"),
-    "g21_parameters": ("MATCH (c:Customer {segment: $segment}) WHERE c.acctBal > $least RETURN c.custKey AS custKey LIMIT $n", "SELECT c_custkey AS \"custKey\" FROM customer WHERE c_mktsegment = 'FURNITURE' AND c_acctbal > 9900", {"segment": "FURNITURE", "least": 9900, "n": 100000}),
+    "g21_parameters": ("MATCH (c:Customer {segment: $segment}) WHERE c.acctBal > $least RETURN c.custKey AS custKey", "SELECT c_custkey AS \"custKey\" FROM customer WHERE c_mktsegment = 'FURNITURE' AND c_acctbal > 9900", {"segment": "FURNITURE", "least": 9900}),
     "p01_comparisons": ("MATCH (p:Part) WHERE (p.size >= 10 AND p.size <= 20 OR p.brand IN ['Brand#11', 'Brand#12']) AND NOT p.type = 'STANDARD' XOR p.size = 1 RETURN p.partKey AS partKey", "SELECT p_partkey AS \"partKey\" FROM part WHERE ((p_size BETWEEN 10 AND 20 OR p_brand IN ('Brand#11', 'Brand#12')) AND NOT p_type = 'STANDARD') <> (p_size = 1)"),
     "p02_null_tests": ("MATCH (c:Customer) OPTIONAL MATCH (c)-[:PLACED]->(o:Order {priority: '1-URGENT'}) WITH c, o WHERE o IS NULL OR o.totalPrice IS NULL RETURN c.custKey AS custKey", "SELECT c_custkey AS \"custKey\" FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')"),
     "p03_text_predicates": ("MATCH (c:Customer) WHERE c.name CONTAINS '11' AND c.name STARTS WITH 'Customer' AND c.name ENDS WITH '1' RETURN c.name AS name", "SELECT c_name AS name FROM customer WHERE contains(c_name, '11') AND starts_with(c_name, 'Customer') AND ends_with(c_name, '1')"),
-    "p05_expressions": ("MATCH (o:Order) WHERE o.orderKey < 100 RETURN o.orderKey AS orderKey, o.orderKey / 7 AS q, o.orderKey % 7 AS r, o.totalPrice * 2 AS twice, o.status + '-' + o.priority AS tag", "SELECT o_orderkey AS \"orderKey\", o_orderkey // 7 AS q, o_orderkey % 7 AS r, o_totalprice * 2 AS twice, o_orderstatus || '-' || o_orderpriority AS tag FROM orders WHERE o_orderkey < 100"),
+    "p05_expressions": ("MATCH (o:Order) RETURN o.orderKey AS orderKey, o.orderKey / 7 AS q, o.orderKey % 7 AS r, o.totalPrice * 2 AS twice, o.status + '-' + o.priority AS tag", "SELECT o_orderkey AS \"orderKey\", o_orderkey // 7 AS q, o_orderkey % 7 AS r, o_totalprice * 2 AS twice, o_orderstatus || '-' || o_orderpriority AS tag FROM orders"),
     "p06_distinct": ("MATCH (c:Customer)-[:PLACED]->(o:Order) RETURN DISTINCT c.segment AS segment, o.priority AS priority", "SELECT DISTINCT c_mktsegment AS segment, o_orderpriority AS priority FROM customer JOIN orders ON o_custkey = c_custkey"),
     "p07_having": ("MATCH (c:Customer)-[:PLACED]->(o:Order) WITH c, COUNT(o) AS orders WHERE orders > 14 RETURN c.custKey AS custKey, orders", "SELECT o_custkey AS \"custKey\", count(*) AS orders FROM orders GROUP BY 1 HAVING count(*) > 14"),
     "p08_with_distinct": ("MATCH (c:Customer)-[:PLACED]->(o:Order {priority: '1-URGENT'}) WITH DISTINCT c MATCH (c)-[:IN_NATION]->(n:Nation) RETURN n.name AS nation, COUNT(c) AS customers", "SELECT n_name AS nation, count(*) AS customers FROM (SELECT DISTINCT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT') JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey GROUP BY n_nationkey, n_name"),
@@ -58,7 +58,7 @@ GRAPH_QUERIES: dict[str, tuple] = {
     "a06_spread": ("MATCH (e:Event) RETURN e.type AS type, round(STDEV(e.value), 6) AS sd, round(STDEVP(e.value), 6) AS sdp, round(percentileCont(e.value, 0.95), 6) AS p95, percentileDisc(e.value, 0.5) AS p50", "SELECT event_type AS type, round(stddev_samp(value), 6) AS sd, round(stddev_pop(value), 6) AS sdp, round(quantile_cont(value, 0.95), 6) AS p95, quantile_disc(value, 0.5) AS p50 FROM events GROUP BY 1"),
     "a07_group_by_node": ("MATCH (p:Part)<-[r:CONTAINS]-(o:Order) WITH p, COUNT(r) AS lines RETURN p.brand AS brand, MAX(lines) AS most, COUNT(p) AS parts", "SELECT p_brand AS brand, max(n) AS most, count(*) AS parts FROM (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1) JOIN part ON p_partkey = l_partkey GROUP BY 1"),
     "a08_staged": ("MATCH (c:Customer)-[:PLACED]->(o:Order) WITH c, COUNT(o) AS orders MATCH (c)-[:IN_NATION]->(n:Nation) RETURN n.name AS nation, round(AVG(orders), 6) AS mean_orders", "SELECT n_name AS nation, round(avg(k), 6) AS mean_orders FROM (SELECT o_custkey, count(*) AS k FROM orders GROUP BY 1) JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey GROUP BY n_nationkey, n_name"),
-    "f01_text_functions": ("MATCH (c:Customer) WHERE c.custKey < 50 RETURN trim('  ' + c.name + ' ') AS t, head(split(c.name, '#')) AS h, replace(c.name, 'Customer', 'C') AS r, toString(c.custKey) AS s, size(c.name) AS n, coalesce(c.missing, 'none') AS m", "SELECT c_name AS t, split_part(c_name, '#', 1) AS h, replace(c_name, 'Customer', 'C') AS r, c_custkey::VARCHAR AS s, length(c_name) AS n, 'none' AS m FROM customer WHERE c_custkey < 50"),
+    "f01_text_functions": ("MATCH (c:Customer) RETURN trim('  ' + c.name + ' ') AS t, head(split(c.name, '#')) AS h, replace(c.name, 'Customer', 'C') AS r, toString(c.custKey) AS s, size(c.name) AS n, coalesce(c.missing, 'none') AS m", "SELECT c_name AS t, split_part(c_name, '#', 1) AS h, replace(c_name, 'Customer', 'C') AS r, c_custkey::VARCHAR AS s, length(c_name) AS n, 'none' AS m FROM customer"),
     "f02_conversions": ("UNWIND ['1', ' 2', 'x', '3.7', 'true', 'FALSE'] AS v RETURN v, toInteger(v) AS i, toFloat(v) AS f, toBoolean(v) AS b", "SELECT * FROM (VALUES ('1', 1::BIGINT, 1.0::DOUBLE, NULL::BOOLEAN), (' 2', 2, 2.0, NULL), ('x', NULL, NULL, NULL), ('3.7', 3, 3.7, NULL), ('true', NULL, NULL, true), ('FALSE', NULL, NULL, false)) t(v, i, f, b)"),
     "f03_temporal": ("MATCH (e:Event) WHERE e.ts >= datetime('2024-01-10T00:00:00') AND e.ts < datetime('2024-01-10T00:00:00') + duration('P1DT12H') RETURN e.eventId AS eventId, e.ts.hour AS hour, e.ts.day AS day", "SELECT event_id AS \"eventId\", hour(ts) AS hour, day(ts) AS day FROM events WHERE ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-11 12:00:00'"),
     "f06_list_predicates": ("MATCH (c:Customer)-[:PLACED]->(o:Order) WITH c, COLLECT(o.status) AS statuses WHERE none(s IN statuses WHERE s = 'P') AND 'F' IN statuses RETURN c.custKey AS custKey, size([s IN statuses WHERE s = 'O']) AS open", "SELECT o_custkey AS \"custKey\", count(*) FILTER (o_orderstatus = 'O') AS open FROM orders GROUP BY 1 HAVING count(*) FILTER (o_orderstatus = 'P') = 0 AND count(*) FILTER (o_orderstatus = 'F') > 0"),
