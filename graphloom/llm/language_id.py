@@ -20,7 +20,7 @@ from .folds import fold, lot
 #: Hash buckets of the n-grams.
 DIM = 1 << 14
 #: Documents of each language from which the weights are fitted, about (drawn by id); counts of n-grams cover all.
-PER_LANGUAGE = 800
+PER_LANGUAGE = 500
 #: At most so many languages are learned; more are an error, not cut off.
 MAX_LANGUAGES = 1000
 CALIBRATION_FOLD = 1
@@ -133,16 +133,18 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[Softmax, n
         return step
 
     rows = map_rows(sample.select("lang", fold().alias("fold"), "text"), make, "lang string, fold int, at array<int>, val array<float>")
-    rows = rows.withColumn("o", F.xxhash64("at", "lang")).orderBy("o").toPandas()
-    label = {c: i for i, c in enumerate(model.classes)}
-    fit = rows[rows["fold"] != CALIBRATION_FOLD]
+    rows = rows.withColumn("o", F.xxhash64("at", "lang")).orderBy("o").toArrow()
+    at, val = (rows[c].combine_chunks() for c in ("at", "val"))
+    starts, buckets, values = at.offsets.to_numpy(), at.values.to_numpy(), val.values.to_numpy()
+    vectors = [(buckets[i:j], values[i:j]) for i, j in zip(starts, starts[1:], strict=False)]
+    labels = np.array([model.classes.index(x) for x in rows["lang"].to_pylist()], dtype=np.int64)
+    held = rows["fold"].to_numpy() == CALIBRATION_FOLD
     for _ in range(EPOCHS):
-        for at, val, lang in zip(fit["at"], fit["val"], fit["lang"], strict=True):
-            model.learn(np.asarray(at), np.asarray(val, dtype=np.float64), label[lang])
-    held = rows[rows["fold"] == CALIBRATION_FOLD]
+        for i in np.flatnonzero(~held):
+            model.learn(vectors[i][0], vectors[i][1].astype(np.float64), labels[i])
     w = model.weights()
-    logits = np.array([np.asarray(v, dtype=np.float64) @ w[np.asarray(a)] + w[DIM] for a, v in zip(held["at"], held["val"], strict=True)])
-    model.calibrate(logits, held["lang"].map(label).to_numpy())
+    logits = np.array([v.astype(np.float64) @ w[a] + w[DIM] for a, v in (vectors[i] for i in np.flatnonzero(held))])
+    model.calibrate(logits, labels[held])
     return model, idf
 
 
