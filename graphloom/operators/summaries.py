@@ -28,6 +28,9 @@ ISSUE_GATES = {
     "undirected_relationship": "direction",
     "bidirectional_relationship": "direction",
 }
+#: Words in a judge's reason that tell a schema or a meaning problem (fixed values).
+SCHEMA_WORDS = ("schema", "label", "relationship", "property", "direction", "cypher")
+MEANING_WORDS = ("answer", "intent", "semantic", "mismatch", "fails", "wrong")
 
 
 def metric_means(df: DataFrame, metrics: Sequence[str], keys: Sequence[str]) -> DataFrame:
@@ -116,7 +119,7 @@ def reason_bucket(reason: Column) -> Column:
     return ordered(
         [
             (has("duplicate", "diversity"), "diversity_control"), (has("generic node", "generic_node_scan"), "generic_node_scan"), (has("no rows"), "empty_result"), (has("ambiguous", "ambiguity"), "ambiguity"),
-            (has("schema", "label", "relationship", "property", "direction", "cypher"), "schema_mismatch"), (has("answer", "intent", "semantic", "mismatch", "fails", "wrong"), "semantic_mismatch"),
+            (has(*SCHEMA_WORDS), "schema_mismatch"), (has(*MEANING_WORDS), "semantic_mismatch"),
         ],
         "other",
     )

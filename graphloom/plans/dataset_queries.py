@@ -539,9 +539,9 @@ def _(spark, d):
     return read(spark, d, "benchmark").select("item_id", text.question_key(F.col("text")).alias("key"))
 
 
-@query("f24_content_id", "SELECT c_custkey, 'pc_' || substr(sha256(c_name || chr(31) || c_mktsegment), 1, 16) AS cid FROM customer")
+@query("f24_content_id", "SELECT c_custkey, 'item_' || substr(sha256(c_name || chr(31) || c_mktsegment), 1, 16) AS cid FROM customer")
 def _(spark, d):
-    return read(spark, d, "customer").select("c_custkey", text.content_id("pc_", F.col("c_name"), F.col("c_mktsegment")).alias("cid"))
+    return read(spark, d, "customer").select("c_custkey", text.content_id("item_", F.col("c_name"), F.col("c_mktsegment")).alias("cid"))
 
 
 @query("f27_redact", "SELECT c_custkey, replace(c_name || ' in ' || c_mktsegment, c_mktsegment, '<v_' || substr(sha256('salt' || c_mktsegment), 1, 10) || '>') AS question FROM customer")
