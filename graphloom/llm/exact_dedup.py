@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, materialise, table, text_or_empty
+from .common import broadcast_if_small, materialise, table
 
 WHITE = "\x20\x09\x0a\x0b\x0c\x0d"
 
