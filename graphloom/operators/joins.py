@@ -155,3 +155,30 @@ def disagreements(df: DataFrame, item: str, decision: str) -> DataFrame:
 def unseen(df: DataFrame, seen: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows whose keys no earlier shard has."""
     return df.join(seen.select(*keys).distinct(), list(keys), "left_anti")
+
+
+def focus_reasons(items: DataFrame, rates: DataFrame, verdicts: DataFrame, id_col: str, passed: str) -> DataFrame:
+    """``reasons``: why an item deserves a look: unsolved (no model solved it), disagreement (judges differ), unjudged. ``rates``: (id, solved)."""
+    votes = verdicts.groupBy(id_col).agg(F.count_distinct(passed).alias("_ways"))
+    joined = items.join(rates.select(id_col, F.col("solved").alias("_solved")), id_col, "left").join(votes, id_col, "left")
+    reasons = F.array_compact(F.array(F.when(F.col("_solved") == 0, "unsolved"), F.when(F.col("_ways") > 1, "disagreement"), F.when(F.col("_ways").isNull(), "unjudged")))
+    return joined.withColumn("reasons", reasons).drop("_solved", "_ways")
+
+
+def resolve(df: DataFrame, known: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """``value`` from the first of the keys that finds a row in ``known`` (one row a key), and ``resolved_by``; null and none if none does."""
+    out, found = df, []
+    for i, k in enumerate(keys):
+        side = known.filter(F.col(k).isNotNull()).groupBy(k).agg(F.min(value).alias(f"_v{i}"))
+        out = out.join(side, k, "left")
+        found.append((f"_v{i}", k))
+    by = F.lit("none")
+    for v, k in reversed(found):
+        by = F.when(F.col(v).isNotNull(), k).otherwise(by)
+    return out.withColumn(value, F.coalesce(*[F.col(v) for v, _ in found])).withColumn("resolved_by", by).drop(*[v for v, _ in found])
+
+
+def shot_metadata(df: DataFrame, id_col: str, shots: str, similarities: str, signatures: str, own: str) -> DataFrame:
+    """(id, rank, shot, similarity, signature_match) of arrays of chosen shots."""
+    rows = df.select(id_col, F.col(own).alias("_own"), F.posexplode(F.arrays_zip(F.col(shots).alias("shot"), F.col(similarities).alias("similarity"), F.col(signatures).alias("signature"))).alias("rank", "x"))
+    return rows.select(id_col, (F.col("rank") + 1).alias("rank"), "x.shot", "x.similarity", (F.col("x.signature") == F.col("_own")).alias("signature_match"))

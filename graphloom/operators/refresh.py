@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ast
 import operator
+import re
 from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame
@@ -77,7 +78,7 @@ def propose_renames(old: Schema, new: Schema, uniqueness: Mapping[str, tuple[flo
                 continue
             lost, found = set(props) - set(now[to]), set(now[to]) - set(props)
             unique = lambda p: (uniqueness or {}).get(p, (1.0, 1.0))
-            parts = lambda p: {x.lower() for x in __import__("re").findall(r"[A-Z]?[a-z0-9]+|[A-Z]+", p)}
+            parts = lambda p: {x.lower() for x in re.findall(r"[A-Z]?[a-z0-9]+|[A-Z]+", p)}
             pairs = []
             for a in lost:
                 for b in found:

@@ -282,3 +282,14 @@ def run_validity(df: DataFrame, id_col: str, failed: str, metric: str, limit: fl
 def panel_verdict(df: DataFrame, item: str, passed: str, ambiguity: str, alignment: str) -> DataFrame:
     """Unanimous pass, the worst ambiguity and the worst alignment of a panel."""
     return df.groupBy(item).agg(F.bool_and(passed).alias("passed"), F.max(ambiguity).alias("ambiguity"), F.min(alignment).alias("alignment"), F.count(F.lit(1)).alias("judges"))
+
+
+def threshold_verdict(ambiguity: Column, alignment: Column, schema_use: Column, most: float = 0.35, least: float = 0.75) -> Column:
+    """A judge's scores as a pass."""
+    return (ambiguity <= most) & (alignment >= least) & (schema_use >= least)
+
+
+def delta_bootstrap(a: DataFrame, b: DataFrame, id_col: str, cluster: str, metric: str, replicates: int = REPLICATES) -> DataFrame:
+    """mean, low, high of the paired difference b - a, clusters resampled."""
+    both = a.select(id_col, cluster, F.col(metric).cast("double").alias("_a")).join(b.select(id_col, F.col(metric).cast("double").alias("_b")), id_col)
+    return cluster_bootstrap(both.withColumn("_d", F.col("_b") - F.col("_a")), cluster, "_d", replicates=replicates)

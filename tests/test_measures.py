@@ -137,3 +137,28 @@ def test_ledger_stream(spark, tmp_path):
     q = ledger.spend_totals(ledger.read_ledger(spark, str(tmp_path / "in"))).writeStream.format("memory").queryName("totals").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
     q.awaitTermination(60)
     assert sorted((r["calls"], r["cost"], r["cached"]) for r in spark.table("totals").collect()) == [(1, 0.5, 1), (2, 1.0, 0)]
+
+
+def test_joins_with_fallbacks(spark):
+    from graphloom.operators import joins
+
+    items = spark.createDataFrame([(1,), (2,), (3,)], "id int")
+    rates = spark.createDataFrame([(1, 0), (2, 3)], "id int, solved int")
+    votes = spark.createDataFrame([(1, True), (1, False), (2, True)], "id int, passed boolean")
+    got = {r["id"]: r["reasons"] for r in joins.focus_reasons(items, rates, votes, "id", "passed").collect()}
+    assert got == {1: ["unsolved", "disagreement"], 2: [], 3: ["unjudged"]}
+    rows = spark.createDataFrame([(1, "q1", "h1"), (2, "q9", "h2"), (3, "q9", "h9"), (4, None, None)], "n int, q string, h string")
+    known = spark.createDataFrame([("q1", None, "a"), ("q2", "h2", "b")], "q string, h string, label string")
+    out = {r["n"]: (r["label"], r["resolved_by"]) for r in joins.resolve(rows, known, ["q", "h"], "label").collect()}
+    assert out == {1: ("a", "q"), 2: ("b", "h"), 3: (None, "none"), 4: (None, "none")}
+    shots = spark.createDataFrame([(1, "s", [7, 8], [0.9, 0.5], ["s", "t"])], "id int, own string, shots array<int>, sims array<double>, sigs array<string>")
+    assert [tuple(r) for r in joins.shot_metadata(shots, "id", "shots", "sims", "sigs", "own").collect()] == [(1, 1, 7, 0.9, True), (1, 2, 8, 0.5, False)]
+
+
+def test_delta_and_threshold(spark):
+    a = spark.createDataFrame([(i, i % 10, 0.0) for i in range(50)], "id int, c int, y double")
+    b = spark.createDataFrame([(i, 0, 0.5) for i in range(50)], "id int, c int, y double")
+    row = statistics.delta_bootstrap(a, b, "id", "c", "y", 50).first()
+    assert row["mean"] == row["low"] == row["high"] == 0.5
+    v = spark.range(1).select(statistics.threshold_verdict(F.lit(0.1), F.lit(0.9), F.lit(0.8)).alias("p"), statistics.threshold_verdict(F.lit(0.9), F.lit(0.9), F.lit(0.8)).alias("f")).first()
+    assert (v["p"], v["f"]) == (True, False)
