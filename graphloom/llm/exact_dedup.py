@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, materialise, table
 
+#: Rows of an owner at most, about: what one task decodes at once.
+OWNED = 500_000
 WHITE = "\x20\x09\x0a\x0b\x0c\x0d"
 
 
@@ -133,14 +135,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     empty. Of a class the row with the most code points stays, then the smallest id (a null id counts as the
     largest). Returns doc_id, keep_id, group_size, kept, text_sha256. Repeated rows count as rows; of equal
     rows with the same id every one says kept. An empty table gives an empty result; other columns are ignored.
-    ``parts``: senders and owners (default: the session's shuffle partitions).
+    ``parts``: owners, and a quarter of the senders (default: the session's shuffle partitions, or one for each OWNED rows if that is more).
     """
     spark = docs.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.translate(text, WHITE, "").alias("norm"), F.char_length(text).cast("long").alias("n_chars"))
-    rows = rows.withColumn("fp", F.xxhash64("norm")).withColumn("sender", F.pmod(F.xxhash64("doc_id", "n_chars"), F.lit(4 * parts)).cast("int"))
-    light = materialise(rows.select("doc_id", "n_chars", "fp", "sender", F.sha2("norm", 256).alias("sha")), "fingerprints")
+    rows = rows.withColumn("fp", F.xxhash64("norm"))
+    light = materialise(rows.select("doc_id", "n_chars", "fp", F.sha2("norm", 256).alias("sha")), "fingerprints")
+    parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-light.count() // OWNED))
+    sender = F.pmod(F.xxhash64("doc_id", "n_chars"), F.lit(4 * parts)).cast("int")
+    rows, light = rows.withColumn("sender", sender), light.withColumn("sender", sender)
     suspects = materialise(exchange(light.select("sender", "fp"), parts), "suspects")
     # Few suspects are broadcast, so that only their texts move; else texts meet them by (sender, fp), which no text can make hot.
     texts = rows.join(broadcast_if_small(suspects), ["sender", "fp"], "left_semi")
