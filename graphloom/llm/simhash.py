@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, map_rows, materialise, table, text_or_empty
 from .components import connected_components
+from .folds import lot
 
 SEED, BITS = 42, 64
 #: Fingerprints of one group; a group of two blocks has twice as many at most.
@@ -115,18 +116,8 @@ def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 GROUP = ["t", "key", "bi", "bj"]
 
 
-def forests(columns: list[str], pairs):
-    """Of partitions sorted by group: links (a, b) that connect what each group connects. ``pairs``: (fingerprints, groups) -> linked positions."""
-
-    def links(part: pd.DataFrame) -> pd.DataFrame:
-        group = (part[GROUP] != part[GROUP].shift()).any(axis=1).cumsum().to_numpy()
-        fps = part[columns].to_numpy().astype(np.int64).view(np.uint64)
-        i, j = pairs(fps[:, 0] if len(columns) == 1 else fps, group)
-        node = part["node"].to_numpy()
-        used, at = np.unique(np.concatenate([node[i], node[j]]), return_inverse=True)
-        root = forest(len(used), at[: len(i)], at[len(i) :])
-        moved = root != np.arange(len(used))
-        return pd.DataFrame({"a": used[moved], "b": used[root[moved]]})
+def whole_groups(links):
+    """A function over the batches of a partition sorted by group that gives ``links`` whole groups."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
@@ -143,6 +134,22 @@ def forests(columns: list[str], pairs):
     return run
 
 
+def forests(columns: list[str], pairs):
+    """Of partitions sorted by group: links (a, b) that connect what each group connects. ``pairs``: (fingerprints, groups) -> linked positions."""
+
+    def links(part: pd.DataFrame) -> pd.DataFrame:
+        group = (part[GROUP] != part[GROUP].shift()).any(axis=1).cumsum().to_numpy()
+        fps = part[columns].to_numpy().astype(np.int64).view(np.uint64)
+        i, j = pairs(fps[:, 0] if len(columns) == 1 else fps, group)
+        node = part["node"].to_numpy()
+        used, at = np.unique(np.concatenate([node[i], node[j]]), return_inverse=True)
+        root = forest(len(used), at[: len(i)], at[len(i) :])
+        moved = root != np.arange(len(used))
+        return pd.DataFrame({"a": used[moved], "b": used[root[moved]]})
+
+    return whole_groups(links)
+
+
 def dealt(keyed: DataFrame, fingerprints: DataFrame, columns: list[str]) -> DataFrame:
     """Rows that share a key (t, key) with another, in partitions sorted by group: a key of many rows becomes pairs of blocks.
 
@@ -195,10 +202,14 @@ def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = 3, id_co
     return light.join(of_fp, "fp").select("doc_id", "fp", F.nullif("component", F.lit(NO_ID)).alias("component_id"))
 
 
-#: For similar texts of any kind: 256 bits, TABLES keys of sampled bits, and links at up to WIDE_RADIUS bits. Two shingle
-#: sets of Jaccard similarity j differ in arccos(2j / (1 + j)) / pi of the bits: 39 at 0.8, 27 at 0.9 (deviation 6 and 5).
-#: A key has the bits of the number of fingerprints and SPARE_BITS more, so that chance meetings stay in proportion to the input.
-WIDE_WORDS, TABLES, SPARE_BITS, WIDE_RADIUS = 4, 96, 6, 50
+#: For similar texts of any kind: Jaccard similarity ALIKE[0] / ALIKE[1] of the shingle sets, exactly. Sets that similar share a key (``prefix``).
+ALIKE = (4, 5)
+#: 256 bits tell which pairs that share a key are worth comparing: sets of similarity j differ in arccos(2j / (1 + j)) / pi of
+#: the bits, 39 at 0.8 (deviation 6; 48 and 6 for sets of 4 and 5). Pairs over WIDE_RADIUS are let go (0.47 by the mean); those
+#: within SURE_RADIUS (0.94) are compared by a spanning forest first.
+WIDE_WORDS, WIDE_RADIUS, SURE_RADIUS = 4, 72, 20
+#: Documents from which frequent shingles are learned, how many must hold one, and the most that are kept. They only order the keys.
+ORDER_SAMPLE, FREQUENT, MOST_FREQUENT = 20_000, 4, 200_000
 
 
 def mix(h: np.ndarray, word: int) -> np.ndarray:
@@ -210,67 +221,164 @@ def mix(h: np.ndarray, word: int) -> np.ndarray:
         return z ^ (z >> np.uint64(31))
 
 
-def wide_fingerprint(text: str, k: int) -> list[int]:
-    """WIDE_WORDS signed longs of majority bits over the distinct shingles; zeros without words."""
-    hashes = np.unique(shingle_hashes(text, k))
+def wide_fingerprint(hashes: np.ndarray) -> list[int]:
+    """WIDE_WORDS signed longs of majority bits over distinct shingles; zeros without any."""
     return [signed(majority(mix(hashes, w))) for w in range(WIDE_WORDS)] if len(hashes) else [0] * WIDE_WORDS
 
 
-def key_bits(fingerprints: int) -> int:
-    return min(WIDE_WORDS * BITS, fingerprints.bit_length() + SPARE_BITS)
+def prefix(hashes: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The keys of a set of n distinct hashes: its first n - ceil(n * similarity) + 1 in an order that all sets share, rare ones first.
+
+    Of two sets at least that similar, each has ceil(n * similarity) of its elements in common with the other. So the
+    first common element in that order is among the keys of both, however large the corpus is and whatever the order.
+    """
+    n = len(hashes)
+    keep = n + (-n * ALIKE[0] // ALIKE[1]) + 1 if n else 0
+    if not len(frequent):
+        return np.sort(hashes)[:keep]
+    at = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
+    rank = np.where(frequent[at] == hashes, counts[at], 0)
+    return hashes[np.lexsort((hashes, rank))[:keep]]
+
 
+def frequent_shingles(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes in ascending order, in how many documents of a sample each is). ``texts``: (doc_id, text)."""
+    rows = texts.count()
+    drawn = texts.filter(lot("doc_id", "shingles") < min(1.0, ORDER_SAMPLE / max(rows, 1))).select("text")
 
-def table_masks(bits: int) -> list[list[int]]:
-    """For each table, masks of the bits in its key, as signed longs: the ``bits`` bits of least hash."""
-    out = []
-    for t in range(TABLES):
-        order = sorted(range(WIDE_WORDS * BITS), key=lambda i: xxhash.xxh64_intdigest(f"{t}:{i}".encode(), SEED))[:bits]
-        out.append([signed(sum(1 << (i % BITS) for i in order if i // BITS == w)) for w in range(WIDE_WORDS)])
-    return out
+    def make():
+        def step(columns):
+            return [np.concatenate([np.unique(shingle_hashes(t, shingle)) for t in columns[0]]).view(np.int64)] if columns[0] else [[]]
 
+        return step
 
-def wide_pairs(fps: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of pairs of one group within ``radius`` bits; rows are sorted by group. At this radius no pivot discards anything, so there are none."""
+    found = map_rows(drawn, make, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= FREQUENT)
+    top = found.orderBy(F.desc("n"), "h").limit(MOST_FREQUENT).toArrow()
+    h, n = top["h"].to_numpy().astype(np.int64).view(np.uint64), top["n"].to_numpy().astype(np.int64)
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def wide_pairs(rows: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of pairs of one group to compare; rows (fingerprint words, set size) are sorted by group.
+
+    Pairs within SURE_RADIUS give a spanning forest; of the others within WIDE_RADIUS, those that the forest does not connect.
+    """
+    fps, n = rows[:, :WIDE_WORDS], rows[:, WIDE_WORDS].astype(np.int64)
     ends = np.searchsorted(group, group, side="right")
-    found_i, found_j, todo, step = [np.empty(0, np.int64)], [np.empty(0, np.int64)], np.arange(len(fps)), 1
-    while len(todo := todo[todo + step < ends[todo]]):
-        near = np.bitwise_count(fps[todo] ^ fps[todo + step]).sum(axis=1, dtype=np.int64) <= radius
-        found_i.append(todo[near])
-        found_j.append(todo[near] + step)
-        step += 1
-    return np.concatenate(found_i), np.concatenate(found_j)
 
+    def scan(most: int, apart: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        found_i, found_j, todo, step = [np.empty(0, np.int64)], [np.empty(0, np.int64)], np.arange(len(fps)), 1
+        while len(todo := todo[todo + step < ends[todo]]):
+            i = todo if apart is None else todo[apart[todo] != apart[todo + step]]
+            j = i + step
+            sized = ALIKE[1] * np.minimum(n[i], n[j]) >= ALIKE[0] * np.maximum(n[i], n[j])
+            i, j = i[sized], j[sized]
+            near = np.bitwise_count(fps[i] ^ fps[j]).sum(axis=1, dtype=np.int64) <= most
+            found_i.append(i[near])
+            found_j.append(j[near])
+            step += 1
+        return np.concatenate(found_i), np.concatenate(found_j)
+
+    root = forest(len(fps), *scan(SURE_RADIUS, None))
+    i, j = scan(WIDE_RADIUS, root)
+    moved = np.flatnonzero(root != np.arange(len(fps)))
+    return np.concatenate([moved, i]), np.concatenate([root[moved], j])
+
+
+def pairs_to_compare(columns: list[str]):
+    """Of partitions sorted by group: the pairs (a, b) of nodes that ``wide_pairs`` finds in each group, a > b."""
+
+    def pairs(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values([*GROUP, "node"], ignore_index=True)  # so that the roots of many groups are the same nodes
+        group = (part[GROUP] != part[GROUP].shift()).any(axis=1).cumsum().to_numpy()
+        i, j = wide_pairs(part[columns].to_numpy().astype(np.int64).view(np.uint64), group)
+        node = part["node"].to_numpy()
+        return pd.DataFrame({"a": np.maximum(node[i], node[j]), "b": np.minimum(node[i], node[j])}).drop_duplicates()
+
+    return whole_groups(pairs)
+
+
+def packed(hashes: np.ndarray) -> bytes:
+    """A set of hashes by the first 40 bits of each; a chance agreement of two in the union of sets of thousands is 1 in 10,000."""
+    return hashes.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 5, 8), dtype=np.uint8)
+    out[:, 3:] = np.frombuffer(data, dtype=np.uint8).reshape(-1, 5)
+    return out.view(">u8").ravel().astype(np.uint64)
+
+
+def alike(a: bytes, b: bytes) -> bool:
+    """Whether two packed sets have at least the similarity."""
+    x, y = unpacked(a), unpacked(b)
+    common = len(np.intersect1d(x, y))
+    return ALIKE[1] * common >= ALIKE[0] * (len(x) + len(y) - common)
+
+
+def compared(pairs: DataFrame, distinct: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose shingle sets are similar. The sets are made again, of the texts that stand in pairs only."""
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    owners = materialise(distinct.join(nodes, "node", "left_semi").select(F.col("rep").alias("owner")).distinct(), "owners")
+    held = texts.join(broadcast_if_small(owners), F.coalesce("doc_id", F.lit(NO_ID)) == F.col("owner"), "left_semi").select("text")
 
-def similar_components(docs: DataFrame, shingle: int = 5, radius: int = WIDE_RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, component_id) for texts whose shingle sets are similar, by 256-bit fingerprints.
+    def make():
+        def step(columns):
+            hashes = [np.unique(shingle_hashes(t, shingle)) for t in columns[0]]
+            return [[set_node(h) for h in hashes], [packed(h) for h in hashes]]
+
+        return step
+
+    sets = materialise(map_rows(held, make, "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
+    of = lambda side: sets.select(F.col("node").alias(side), F.col("shingles").alias(f"of_{side}"))
+
+    def compare():
+        def step(columns):
+            links = [(a, b) for a, b, x, y in zip(*columns, strict=True) if alike(x, y)]
+            return [[p[0] for p in links], [p[1] for p in links]]
+
+        return step
+
+    return map_rows(pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "of_a", "of_b"), compare, "a long, b long")
+
+
+def set_node(hashes: np.ndarray) -> int:
+    return signed(xxhash.xxh64_intdigest(hashes.tobytes(), SEED))
 
-    Fingerprints meet where they agree on the sampled bits of a table. Over 200,000 texts (24 bits) that finds a pair
-    of Jaccard similarity 0.9 with a chance of 0.999, 0.85 with 0.97, 0.8 with 0.84 (more through a third text), and
-    links it if the bits say so, which lets in some pairs down to 0.7. Longer keys of larger corpora find fewer of
-    the pairs near 0.8 unless TABLES grows as the number of texts to the power 0.24. Nulls, empty texts and repeats are as in ``simhash_components``.
+
+def similar_components(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, component_id) for texts whose shingle sets have a Jaccard similarity of at least ALIKE.
+
+    Candidates meet under the keys of a prefix filter, which loses no pair at any size of the corpus. Those whose 256-bit
+    fingerprints are not far apart are compared by their shingle sets, and linked only if these are similar. In a group
+    whose fingerprints lie within SURE_RADIUS of each other a spanning forest is compared; a pair of it that is not
+    similar (0.94 is expected there) links nothing. Nulls, empty texts and repeats are as in ``simhash_components``.
     """
     words = [f"f{w}" for w in range(WIDE_WORDS)]
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    frequent, counts = frequent_shingles(texts, shingle)
 
     def make():
         def step(columns):
-            prints = [wide_fingerprint(t, shingle) for t in columns[1]]
-            return [columns[0], *([p[w] for p in prints] for w in range(WIDE_WORDS))]
+            hashes = [np.unique(shingle_hashes(t, shingle)) for t in columns[1]]
+            prints = [wide_fingerprint(h) for h in hashes]
+            return [columns[0], [set_node(h) for h in hashes], [len(h) for h in hashes], *([p[w] for p in prints] for w in range(WIDE_WORDS)), [prefix(h, frequent, counts).view(np.int64) for h in hashes]]
 
         return step
 
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    light = materialise(map_rows(texts, make, "doc_id long, " + ", ".join(f"{w} long" for w in words)), "wide")
-    distinct = materialise(light.groupBy(*words).agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("rep")).withColumn("node", F.xxhash64(*words)), "distinct")
-    masks = F.array(*[F.array(*[F.lit(m).cast("long") for m in row]) for row in table_masks(key_bits(distinct.count()))])
-    keys = F.transform(masks, lambda m, t: F.xxhash64(t, *[F.col(f).bitwiseAND(m[w]) for w, f in enumerate(words)]))
-    parts = dealt(distinct.select("node", F.posexplode(keys).alias("t", "key")), distinct, words)
-    links = parts.mapInPandas(forests(words, lambda fps, group: wide_pairs(fps, group, radius)), "a long, b long")
-    return light.join(components_of(distinct, links, words), words).select("doc_id", F.nullif("component", F.lit(NO_ID)).alias("component_id"))
+    light = materialise(map_rows(texts, make, "doc_id long, node long, elements long, " + ", ".join(f"{w} long" for w in words) + ", keys array<long>"), "wide")
+    columns = [*words, "elements"]
+    distinct = materialise(light.groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("rep"), *[F.first(c).alias(c) for c in (*columns, "keys")]), "distinct")
+    parts = dealt(distinct.select("node", F.lit(0).alias("t"), F.explode("keys").alias("key")), distinct.select("node", *columns), columns)
+    pairs = materialise(parts.mapInPandas(pairs_to_compare(columns), "a long, b long").distinct(), "pairs")
+    links = compared(pairs, distinct, texts, shingle)
+    return light.select("doc_id", "node").join(components_of(distinct, links, ["node"]), "node").select("doc_id", F.nullif("component", F.lit(NO_ID)).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents, all columns, with one of each group of similar texts: the smallest id. Rows that repeat a staying row's id stay with it."""
-    groups = similar_components(docs, shingle, WIDE_RADIUS, id_col, text_col)
+    groups = similar_components(docs, shingle, id_col, text_col)
     lose = materialise(groups.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__gl_id")).distinct(), "copies")
     return docs.join(broadcast_if_small(lose), F.col(id_col).cast("long").eqNullSafe(F.col("__gl_id")), "left_anti")
 
