@@ -453,3 +453,9 @@ def test_prefix_keys_of_similar_sets_meet_in_any_order():
             counts = random.integers(4, 9, len(frequent))
             assert np.intersect1d(simhash.prefix(a, frequent, counts), simhash.prefix(b, frequent, counts)).size
             assert np.intersect1d(simhash.prefix(a, frequent[:0], counts[:0]), simhash.prefix(b, frequent[:0], counts[:0])).size
+
+
+def test_keep_one_spares_pairs_below_the_threshold(spark):
+    """39 common shingles of 49 are 0.796: both texts of each pair stay."""
+    texts = [t for p in range(400) for t in words_with_a_change(p, 48, 10 + p % 28)]
+    assert simhash.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).count() == 800
