@@ -459,3 +459,12 @@ def test_keep_one_spares_pairs_below_the_threshold(spark):
     """39 common shingles of 49 are 0.796: both texts of each pair stay."""
     texts = [t for p in range(400) for t in words_with_a_change(p, 48, 10 + p % 28)]
     assert simhash.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).count() == 800
+
+
+def test_a_holder_that_is_copied_often_does_not_protect_a_passage(spark):
+    """A passage in 40 documents goes from all of them although one has 3,000 exact copies, whose own lines stay."""
+    passage = "This passage was put into many of these documents"
+    rows = [(i, f"Document {chr(97 + i // 26)}{chr(97 + i % 26)} has only this line\n{passage}") for i in range(40)]
+    rows += [(100 + i, rows[0][1]) for i in range(3000)]
+    out = line_dedup.drop_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["doc_id"]: r["text"] for r in out.collect()} == {i: t.split("\n")[0] for i, t in rows}
