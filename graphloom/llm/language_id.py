@@ -26,6 +26,9 @@ MAX_LANGUAGES = 1000
 CALIBRATION_FOLD = 1
 UNKNOWN = "und"
 EPOCHS, ALPHA, BETA, L1, L2 = 4, 0.5, 1.0, 0.02, 0.01
+#: A text is of no learned language if its best language leads the next by less than this share of the lead (in logits) that
+#: all but the least LOW_LEADS of the rightly told texts of the calibration fold have. No language leads by 0.
+LEAD_SHARE, LOW_LEADS = 0.5, 0.01
 
 
 def gram_counts(text: str) -> np.ndarray:
@@ -78,6 +81,7 @@ class Softmax:
         self.z = np.zeros((DIM + 1, len(classes)))
         self.n = np.zeros((DIM + 1, len(classes)))
         self.temperature = 1.0
+        self.least_lead = 0.0
 
     def weights(self, rows=slice(None)) -> np.ndarray:
         z, n = self.z[rows], self.n[rows]
@@ -104,6 +108,8 @@ class Softmax:
             a, b = high - ratio * (high - low), low + ratio * (high - low)
             low, high = (low, b) if loss(a) <= loss(b) else (a, high)
         self.temperature = float(np.exp((low + high) / 2))
+        told = lead(logits)[logits.argmax(axis=1) == labels]
+        self.least_lead = LEAD_SHARE * float(np.quantile(told, LOW_LEADS)) if len(self.classes) > 1 and len(told) else 0.0
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -111,6 +117,14 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
+def lead(logits: np.ndarray) -> np.ndarray:
+    """By how much the best class is ahead of the next; infinite if there is only one."""
+    if logits.shape[-1] < 2:
+        return np.full(logits.shape[:-1], np.inf)
+    top = np.sort(logits, axis=-1)
+    return top[..., -1] - top[..., -2]
+
+
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[Softmax, np.ndarray]:
     """The model and the idf. ``docs``: doc_id, text (not null), lang; only rows outside fold 0 with a lang are used."""
     known = docs.filter(F.col("lang").isNotNull() & (fold() != 0))
@@ -164,6 +178,19 @@ def predictor(model: Softmax, idf: np.ndarray):
     return predict
 
 
+def recogniser(model: Softmax, idf: np.ndarray):
+    """text (or None) -> whether it is of a learned language, by the lead of the best one."""
+    w = model.weights() if model.classes else None
+
+    def recognised(text: str | None) -> bool:
+        if not model.classes or not has_letter(text):
+            return False
+        at, values = weigh(gram_counts(text), idf)
+        return bool(lead(values @ w[at] + w[DIM]) >= model.least_lead)
+
+    return recognised
+
+
 def identify(docs: DataFrame, target: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Train on ``docs`` and predict the language of every whole text of ``target`` (default: ``docs``).
 
@@ -185,10 +212,13 @@ def identify(docs: DataFrame, target: DataFrame | None = None, id_col: str = "do
     return map_rows(rows, make, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, least: float, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of ``docs``, all columns, whose text has a language with a score of at least ``least``."""
+def keep_identified(docs: DataFrame, least: float | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of ``docs``, all columns, whose text has a language: with a score of at least ``least``, or without it, one that leads (``LEAD_SHARE``)."""
     known = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    predict = predictor(*train(known))
+    model, idf = train(known)
+    if least is None:
+        return filter_texts(docs, text_col, recogniser(model, idf))
+    predict = predictor(model, idf)
     return filter_texts(docs, text_col, lambda text: (p := predict(text))[0] != UNKNOWN and p[1] >= least)
 
 

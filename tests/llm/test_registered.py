@@ -63,3 +63,13 @@ def test_pipeline_keeps_no_near_copies(spark, sf_dir):
     assert not [(a, b) for i, a in enumerate(stay) for b in stay[:i] if like(sets[a], sets[b]) >= 0.9]
     gone = [d for d in sets if d not in kept]
     assert gone and all(max(like(sets[d], sets[o]) for o in sets if o != d) >= 0.5 for d in gone)
+
+
+def test_language_stage_rejects_languages_it_has_not_learned(spark, sf_dir):
+    larger = sf_dir.replace("sf0.001", "sf0.01")
+    docs = spark.read.parquet(f"{larger}/documents.parquet")
+    strange = ["日本語のテキストです。今日は天気がいい", "Привет, как дела сегодня? Это русский текст", "η γλώσσα είναι ελληνικά", "这是一个中文文本", "zqxj kvwp zzqx jjkx qqzv xkcd wvut"]
+    extra = spark.createDataFrame([(-1 - i, t) for i, t in enumerate(strange)], "doc_id long, text string")
+    kept = corpus_pipeline.identify_language(spark, docs.unionByName(extra, allowMissingColumns=True), larger)
+    ids = [r["doc_id"] for r in kept.select("doc_id").collect()]
+    assert min(ids) >= 0 and len(ids) >= 0.99 * docs.count()
