@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 import corpus_pipeline
-from graphloom.llm import queries, simhash
+from graphloom.llm import quality, queries, simhash
 from graphloom.llm.common import materialise
 
 
@@ -73,3 +73,10 @@ def test_language_stage_rejects_languages_it_has_not_learned(spark, sf_dir):
     kept = corpus_pipeline.identify_language(spark, docs.unionByName(extra, allowMissingColumns=True), larger)
     ids = [r["doc_id"] for r in kept.select("doc_id").collect()]
     assert min(ids) >= 0 and len(ids) >= 0.99 * docs.count()
+
+
+def test_quality_stage_decides_as_op9_does(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    kept = corpus_pipeline.classify_quality(spark, docs, sf_dir).select("doc_id").collect()
+    good = queries.QUERIES["op9_pu_quality"](spark, sf_dir).filter("predicted = 1").select("doc_id").collect()
+    assert corpus_pipeline.LEAST_QUALITY == quality.THRESHOLD and sorted(kept) == sorted(good)
