@@ -225,15 +225,28 @@ def cluster_bootstrap(df: DataFrame, cluster: str, metric: str, group: Sequence[
     return point.join(bounds, list(group)) if group else point.crossJoin(bounds)  # one row each
 
 
-def sign_flip(df: DataFrame, cluster: str, difference: str) -> DataFrame:
-    """One row (clusters, observed, p): the exact two-sided sign-flip test over cluster sums; for at most 16 clusters."""
-    sums = df.groupBy(cluster).agg(F.sum(F.col(difference).cast("double")).alias("d")).limit(EXACT_CLUSTERS + 1).withColumn("_i", F.row_number().over(Window.orderBy(cluster)) - 1)
-    few = sums.agg(F.collect_list(F.struct("_i", "d")).alias("ds"), F.count(F.lit(1)).alias("clusters"), F.sum("d").alias("observed"))
-    few = few.filter(F.col("clusters") <= EXACT_CLUSTERS)
-    flips = few.withColumn("mask", F.explode(F.sequence(F.lit(0), F.shiftleft(F.lit(1), EXACT_CLUSTERS) - 1))).filter(F.expr("mask < shiftleft(1, cast(clusters as int))"))
-    value = F.expr("aggregate(ds, cast(0 as double), (s, x) -> s + if((shiftright(mask, x._i) & 1) = 1, x.d, -x.d))")
-    extreme = F.round(F.abs(value), 9) >= F.round(F.abs(F.col("observed")), 9)
-    return flips.groupBy("clusters", "observed").agg(F.avg(extreme.cast("double")).alias("p"))
+def sign_flip(df: DataFrame, cluster: str, difference: str, draws: int = 10_000, seed: str = "flip") -> DataFrame:
+    """One row (clusters, observed, p): the two-sided sign-flip test over cluster sums.
+
+    Exact for at most 16 clusters with a sum that is not zero; above that Monte Carlo, (1 + extreme draws) / (1 + draws), with
+    signs from hashes of draw and cluster, added up in map-side combined sums.
+    """
+    sums = df.groupBy(cluster).agg(F.sum(F.col(difference).cast("double")).alias("d"))
+    point = sums.agg(F.count(F.lit(1)).alias("clusters"), F.sum("d").alias("observed"))
+    informative = sums.filter(F.abs("d") > 1e-12)
+    if informative.limit(EXACT_CLUSTERS + 1).count() <= EXACT_CLUSTERS:
+        few = informative.limit(EXACT_CLUSTERS + 1).withColumn("_i", F.row_number().over(Window.orderBy(cluster)) - 1)
+        few = few.agg(F.collect_list(F.struct("_i", "d")).alias("ds")).crossJoin(point)  # one row each
+        flips = few.withColumn("mask", F.explode(F.sequence(F.lit(0), F.shiftleft(F.lit(1), EXACT_CLUSTERS) - 1))).filter(F.expr("mask < shiftleft(1, size(ds))"))
+        flips = flips.withColumn("value", F.expr("aggregate(ds, cast(0 as double), (s, x) -> s + if((shiftright(mask, x._i) & 1) = 1, x.d, -x.d))"))
+        extra = 0
+    else:
+        drawn = informative.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+        sign = F.when(unit_interval(F.col("draw"), F.col(cluster), seed=seed) < 0.5, -1.0).otherwise(1.0)
+        flips = drawn.groupBy("draw").agg(F.sum(sign * F.col("d")).alias("value")).crossJoin(point)  # one row
+        extra = 1
+    extreme = F.round(F.abs("value"), 9) >= F.round(F.abs("observed"), 9)
+    return flips.groupBy("clusters", "observed").agg(((F.sum(extreme.cast("double")) + extra) / (F.count(extreme) + extra)).alias("p"))
 
 
 def rank_permutation(a: Sequence[float], b: Sequence[float], draws: int = 10_000, seed: int = 13) -> float:

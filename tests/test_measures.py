@@ -162,3 +162,12 @@ def test_delta_and_threshold(spark):
     assert row["mean"] == row["low"] == row["high"] == 0.5
     v = spark.range(1).select(statistics.threshold_verdict(F.lit(0.1), F.lit(0.9), F.lit(0.8)).alias("p"), statistics.threshold_verdict(F.lit(0.9), F.lit(0.9), F.lit(0.8)).alias("f")).first()
     assert (v["p"], v["f"]) == (True, False)
+
+
+def test_sign_flip_above_sixteen_clusters(spark):
+    """Twenty sums of 1 reach 8 or more in absolute value with a chance of 0.115; clusters without a difference do not count."""
+    rows = [(i, 1.0 if i < 14 else -1.0) for i in range(20)]
+    out = statistics.sign_flip(spark.createDataFrame(rows, "k int, d double"), "k", "d").collect()
+    assert [(r["clusters"], r["observed"]) for r in out] == [(20, 8.0)] and out[0]["p"] == pytest.approx(0.1153, abs=0.02)
+    rows = [(i, 1.0 if i < 3 else 0.0) for i in range(30)]
+    assert statistics.sign_flip(spark.createDataFrame(rows, "k int, d double"), "k", "d").first()["p"] == 0.25
