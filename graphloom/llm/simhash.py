@@ -25,7 +25,6 @@ from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, map_rows, materialise, table, text_or_empty
 from .components import connected_components
-from .folds import lot
 
 SEED, BITS = 42, 64
 #: Fingerprints of one group; a group of two blocks has twice as many at most.
@@ -73,25 +72,41 @@ def block_masks(radius: int, extra: int = 3) -> list[int]:
     return [sum(c) for c in combinations(blocks, extra)]
 
 
-def linked_pairs(fps: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of pairs of one group that differ in at most ``radius`` bits; rows are sorted by group."""
-    near = np.bitwise_count(fps[:, None] ^ PIVOTS[None, :]).astype(np.int16)
+def apart(fps: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Hamming distances between rows of words."""
+    return np.bitwise_count(fps ^ others).sum(axis=-1, dtype=np.int16)
+
+
+def pivot_table(fps: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Each row's distances to its group's first row and to the PIVOTS, of which every word takes another stretch."""
+    width = fps.shape[1]
+    first = fps[np.searchsorted(group, group, side="left")]
+    return np.stack([apart(fps, first), *(apart(fps, np.roll(PIVOTS, -p)[:width]) for p in range(len(PIVOTS)))], axis=1)
+
+
+def linked_pairs(fps: np.ndarray, group: np.ndarray, radius: int, may=None) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of pairs of one group that differ in at most ``radius`` bits (and that ``may(i, j)`` allows); rows (words) are sorted by group."""
+    near = pivot_table(fps, group)
     order = np.lexsort((near[:, 0], group))
     fps, group, near = fps[order], group[order], near[order]
     found_i, found_j = [], []
     # In a group sorted by the first distance, only rows within ``radius`` of it can link.
     sort_key = group.astype(np.int64) * 1024 + near[:, 0]
     reach = np.searchsorted(sort_key, sort_key + radius, side="right")
+    reach = np.minimum(reach, np.searchsorted(group, group, side="right"))
     todo = np.arange(len(fps))
     step = 1
     while len(todo := todo[todo + step < reach[todo]]):
         i, j = todo, todo + step
-        for p in range(1, len(PIVOTS)):
-            keep = np.abs(near[i, p] - near[j, p]) <= radius
+        if may is not None:
+            keep = may(order[i], order[j])
             i, j = i[keep], j[keep]
+        for p in range(1, near.shape[1]):
             if not len(i):
                 break
-        verified = np.bitwise_count(fps[i] ^ fps[j]) <= radius
+            keep = np.abs(near[i, p] - near[j, p]) <= radius
+            i, j = i[keep], j[keep]
+        verified = apart(fps[i], fps[j]) <= radius
         found_i.append(order[i[verified]])
         found_j.append(order[j[verified]])
         step += 1
@@ -140,7 +155,7 @@ def forests(columns: list[str], pairs):
     def links(part: pd.DataFrame) -> pd.DataFrame:
         group = (part[GROUP] != part[GROUP].shift()).any(axis=1).cumsum().to_numpy()
         fps = part[columns].to_numpy().astype(np.int64).view(np.uint64)
-        i, j = pairs(fps[:, 0] if len(columns) == 1 else fps, group)
+        i, j = pairs(fps, group)
         node = part["node"].to_numpy()
         used, at = np.unique(np.concatenate([node[i], node[j]]), return_inverse=True)
         root = forest(len(used), at[: len(i)], at[len(i) :])
@@ -202,14 +217,17 @@ def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = 3, id_co
     return light.join(of_fp, "fp").select("doc_id", "fp", F.nullif("component", F.lit(NO_ID)).alias("component_id"))
 
 
-#: For similar texts of any kind: Jaccard similarity ALIKE[0] / ALIKE[1] of the shingle sets, exactly. Sets that similar share a key (``prefix``).
+#: For similar texts of any kind: Jaccard similarity ALIKE[0] / ALIKE[1] of the shingle sets, exactly.
 ALIKE = (4, 5)
+#: Sets meet where all ROWS min-hashes of one of BANDS bands agree. The chance for sets of similarity j is 1 - (1 - j^ROWS)^BANDS
+#: (0.99998 at 0.8, 0.59 at 0.5, 3e-7 at 0.025), however large the corpus is.
+BANDS, ROWS = 28, 5
+FACTORS, OFFSETS = (np.array([xxhash.xxh32_intdigest(i.to_bytes(8, "little"), SEED + s) | 1 for i in range(BANDS * ROWS)], dtype=np.uint32) for s in (0, 1))
 #: 256 bits tell which pairs that share a key are worth comparing: sets of similarity j differ in arccos(2j / (1 + j)) / pi of
-#: the bits, 39 at 0.8 (deviation 6; 48 and 6 for sets of 4 and 5). Pairs over WIDE_RADIUS are let go (0.47 by the mean); those
-#: within SURE_RADIUS (0.94) are compared by a spanning forest first.
-WIDE_WORDS, WIDE_RADIUS, SURE_RADIUS = 4, 72, 20
-#: Documents from which frequent shingles are learned, how many must hold one, and the most that are kept. They only order the keys.
-ORDER_SAMPLE, FREQUENT, MOST_FREQUENT = 20_000, 4, 200_000
+#: the bits, 39 at 0.8 (deviation 6; 48 and 6 for sets of 4 and 5). Pairs over WIDE_RADIUS are let go (0.47 by the mean).
+WIDE_WORDS, WIDE_RADIUS = 4, 72
+#: Rows of a block of an open group.
+WIDE_BLOCK = 4096
 
 
 def mix(h: np.ndarray, word: int) -> np.ndarray:
@@ -226,73 +244,37 @@ def wide_fingerprint(hashes: np.ndarray) -> list[int]:
     return [signed(majority(mix(hashes, w))) for w in range(WIDE_WORDS)] if len(hashes) else [0] * WIDE_WORDS
 
 
-def prefix(hashes: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The keys of a set of n distinct hashes: its first n - ceil(n * similarity) + 1 in an order that all sets share, rare ones first.
-
-    Of two sets at least that similar, each has ceil(n * similarity) of its elements in common with the other. So the
-    first common element in that order is among the keys of both, however large the corpus is and whatever the order.
-    """
-    n = len(hashes)
-    keep = n + (-n * ALIKE[0] // ALIKE[1]) + 1 if n else 0
-    if not len(frequent):
-        return np.sort(hashes)[:keep]
-    at = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
-    rank = np.where(frequent[at] == hashes, counts[at], 0)
-    return hashes[np.lexsort((hashes, rank))[:keep]]
-
-
-def frequent_shingles(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes in ascending order, in how many documents of a sample each is). ``texts``: (doc_id, text)."""
-    rows = texts.count()
-    drawn = texts.filter(lot("doc_id", "shingles") < min(1.0, ORDER_SAMPLE / max(rows, 1))).select("text")
-
-    def make():
-        def step(columns):
-            return [np.concatenate([np.unique(shingle_hashes(t, shingle)) for t in columns[0]]).view(np.int64)] if columns[0] else [[]]
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """A key for each band of a set of hashes; the empty set has one, too."""
+    least = np.full(BANDS * ROWS, 0xFFFFFFFF, dtype=np.uint32)
+    high = (hashes >> np.uint64(32)).astype(np.uint32)
+    with np.errstate(over="ignore"):
+        for at in range(0, len(high), 2048):  # so that long texts stay in the cache
+            np.minimum(least, (high[at : at + 2048, None] * FACTORS + OFFSETS).min(axis=0), out=least)
+        key = np.arange(BANDS, dtype=np.uint64)
+        for row in least.reshape(BANDS, ROWS).T:
+            key = mix(key ^ row.astype(np.uint64), 0)
+    return key
 
-        return step
 
-    found = map_rows(drawn, make, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= FREQUENT)
-    top = found.orderBy(F.desc("n"), "h").limit(MOST_FREQUENT).toArrow()
-    h, n = top["h"].to_numpy().astype(np.int64).view(np.uint64), top["n"].to_numpy().astype(np.int64)
-    order = np.argsort(h)
-    return h[order], n[order]
+def fits_in(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Whether sets of n and m elements can be similar at all."""
+    return ALIKE[1] * np.minimum(n, m) >= ALIKE[0] * np.maximum(n, m)
 
 
-def wide_pairs(rows: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of pairs of one group to compare; rows (fingerprint words, set size) are sorted by group.
+def open_pairs(columns: list[str]):
+    """Of partitions sorted by group: the pairs (a, b) of nodes to compare in each group, a > b.
 
-    Pairs within SURE_RADIUS give a spanning forest; of the others within WIDE_RADIUS, those that the forest does not connect.
+    Their components differ, their sizes fit, and their wide fingerprints are within WIDE_RADIUS, by pivot tables
+    and then exactly. A group (bi < 0, bj) has a block of the key's largest component and one of the rest.
     """
-    fps, n = rows[:, :WIDE_WORDS], rows[:, WIDE_WORDS].astype(np.int64)
-    ends = np.searchsorted(group, group, side="right")
-
-    def scan(most: int, apart: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-        found_i, found_j, todo, step = [np.empty(0, np.int64)], [np.empty(0, np.int64)], np.arange(len(fps)), 1
-        while len(todo := todo[todo + step < ends[todo]]):
-            i = todo if apart is None else todo[apart[todo] != apart[todo + step]]
-            j = i + step
-            sized = ALIKE[1] * np.minimum(n[i], n[j]) >= ALIKE[0] * np.maximum(n[i], n[j])
-            i, j = i[sized], j[sized]
-            near = np.bitwise_count(fps[i] ^ fps[j]).sum(axis=1, dtype=np.int64) <= most
-            found_i.append(i[near])
-            found_j.append(j[near])
-            step += 1
-        return np.concatenate(found_i), np.concatenate(found_j)
-
-    root = forest(len(fps), *scan(SURE_RADIUS, None))
-    i, j = scan(WIDE_RADIUS, root)
-    moved = np.flatnonzero(root != np.arange(len(fps)))
-    return np.concatenate([moved, i]), np.concatenate([root[moved], j])
-
-
-def pairs_to_compare(columns: list[str]):
-    """Of partitions sorted by group: the pairs (a, b) of nodes that ``wide_pairs`` finds in each group, a > b."""
 
     def pairs(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values([*GROUP, "node"], ignore_index=True)  # so that the roots of many groups are the same nodes
         group = (part[GROUP] != part[GROUP].shift()).any(axis=1).cumsum().to_numpy()
-        i, j = wide_pairs(part[columns].to_numpy().astype(np.int64).view(np.uint64), group)
+        fps = part[columns].to_numpy().astype(np.int64).view(np.uint64)
+        size, component, bulk, mixed = (part[c].to_numpy() for c in ("elements", "component", "bulk", "bi"))
+        may = lambda i, j: (component[i] != component[j]) & fits_in(size[i], size[j]) & ((mixed[i] >= 0) | (bulk[i] != bulk[j]))
+        i, j = linked_pairs(fps, group, WIDE_RADIUS, may)
         node = part["node"].to_numpy()
         return pd.DataFrame({"a": np.maximum(node[i], node[j]), "b": np.minimum(node[i], node[j])}).drop_duplicates()
 
@@ -317,10 +299,8 @@ def alike(a: bytes, b: bytes) -> bool:
     return ALIKE[1] * common >= ALIKE[0] * (len(x) + len(y) - common)
 
 
-def compared(pairs: DataFrame, distinct: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose shingle sets are similar. The sets are made again, of the texts that stand in pairs only."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    owners = materialise(distinct.join(nodes, "node", "left_semi").select(F.col("rep").alias("owner")).distinct(), "owners")
+def shingle_sets(texts: DataFrame, owners: DataFrame, shingle: int) -> DataFrame:
+    """(node, shingles) of the texts of ``owners`` (owner: a doc_id); the sets are made again, so that only texts with candidates move."""
     held = texts.join(broadcast_if_small(owners), F.coalesce("doc_id", F.lit(NO_ID)) == F.col("owner"), "left_semi").select("text")
 
     def make():
@@ -330,7 +310,11 @@ def compared(pairs: DataFrame, distinct: DataFrame, texts: DataFrame, shingle: i
 
         return step
 
-    sets = materialise(map_rows(held, make, "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
+    return materialise(map_rows(held, make, "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
+
+
+def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes whose shingle sets are similar."""
     of = lambda side: sets.select(F.col("node").alias(side), F.col("shingles").alias(f"of_{side}"))
 
     def compare():
@@ -340,39 +324,74 @@ def compared(pairs: DataFrame, distinct: DataFrame, texts: DataFrame, shingle: i
 
         return step
 
-    return map_rows(pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "of_a", "of_b"), compare, "a long, b long")
+    return map_rows(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "of_a", "of_b"), compare, "a long, b long")
 
 
 def set_node(hashes: np.ndarray) -> int:
     return signed(xxhash.xxh64_intdigest(hashes.tobytes(), SEED))
 
 
+def stars(keyed: DataFrame) -> DataFrame:
+    """Pairs (a, b): every node with the least node b of each key that it shares. Their number is linear in the keys, however hot one is."""
+    heads = materialise(keyed.groupBy("key").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "b"), "heads")
+    return keyed.join(heads, "key").filter("node <> b").select(F.col("node").alias("a"), "b").distinct()
+
+
+def open_groups(keyed: DataFrame, distinct: DataFrame, roots: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows of keys whose nodes are not all of one component, in partitions sorted by group.
+
+    ``keyed``: (node, key). A key's largest component meets the rest only, never itself, so that a few rows beside one
+    very large component cost rows in proportion; where the rest has several blocks, every pair of its blocks is a group.
+    """
+    named = keyed.join(roots, "node", "left").select("node", "key", F.coalesce("root", "node").alias("component"))
+    sizes = named.groupBy("key", "component").agg(F.count(F.lit(1)).alias("m"))
+    keys = sizes.groupBy("key").agg(F.max(F.struct("m", "component")).alias("top"), F.sum("m").alias("n"), F.count(F.lit(1)).alias("parts")).filter("parts > 1 AND n > 2")
+    blocks = lambda n: F.ceil(n / F.lit(WIDE_BLOCK)).cast("int")
+    keys = materialise(keys.select("key", F.col("top.component").alias("largest"), blocks(F.col("top.m")).alias("of_bulk"), blocks(F.col("n") - F.col("top.m")).alias("of_rest")), "open")
+    met = named.join(keys, "key").join(distinct.select("node", *columns), "node")
+    bulk = F.col("component") == F.col("largest")
+    own = F.pmod(F.xxhash64("node"), F.when(bulk, F.col("of_bulk")).otherwise(F.col("of_rest"))).cast("int")
+    pair = lambda i, j: F.struct(i.alias("bi"), j.alias("bj"))
+    of_bulk = F.transform(F.sequence(F.lit(0), F.col("of_rest") - 1), lambda r: pair(-1 - F.col("own"), r))
+    of_rest = F.concat(F.transform(F.sequence(F.lit(0), F.col("of_bulk") - 1), lambda b: pair(-1 - b, F.col("own"))), F.transform(F.sequence(F.lit(0), F.col("of_rest") - 1), lambda r: pair(F.least("own", r), F.greatest("own", r))))
+    met = met.withColumn("own", own).withColumn("bulk", bulk.cast("int")).withColumn("g", F.explode(F.when(bulk, of_bulk).otherwise(of_rest)))
+    met = met.select(F.lit(0).alias("t"), "key", "g.bi", "g.bj", "node", "component", "bulk", *columns)
+    return met.repartition(*GROUP).sortWithinPartitions(*GROUP)
+
+
 def similar_components(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, component_id) for texts whose shingle sets have a Jaccard similarity of at least ALIKE.
 
-    Candidates meet under the keys of a prefix filter, which loses no pair at any size of the corpus. Those whose 256-bit
-    fingerprints are not far apart are compared by their shingle sets, and linked only if these are similar. In a group
-    whose fingerprints lie within SURE_RADIUS of each other a spanning forest is compared; a pair of it that is not
-    similar (0.94 is expected there) links nothing. Nulls, empty texts and repeats are as in ``simhash_components``.
+    Sets meet under the keys of min-hash bands (see BANDS), whose recall does not depend on the size of the corpus. First
+    each set is compared with the least of every key that it shares, which joins nearly all copies at a cost linear in the
+    keys. Then, under keys whose sets are not all of one component, all pairs of different components
+    are tried by pivot tables over 256-bit fingerprints, and the survivors are compared. Only sets that are
+    similar (by hashes of 40 bits) are linked. Nulls, empty texts and repeats are as in ``simhash_components``.
     """
     words = [f"f{w}" for w in range(WIDE_WORDS)]
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    frequent, counts = frequent_shingles(texts, shingle)
 
     def make():
         def step(columns):
             hashes = [np.unique(shingle_hashes(t, shingle)) for t in columns[1]]
             prints = [wide_fingerprint(h) for h in hashes]
-            return [columns[0], [set_node(h) for h in hashes], [len(h) for h in hashes], *([p[w] for p in prints] for w in range(WIDE_WORDS)), [prefix(h, frequent, counts).view(np.int64) for h in hashes]]
+            return [columns[0], [set_node(h) for h in hashes], [len(h) for h in hashes], *([p[w] for p in prints] for w in range(WIDE_WORDS)), [band_keys(h).view(np.int64) for h in hashes]]
 
         return step
 
     light = materialise(map_rows(texts, make, "doc_id long, node long, elements long, " + ", ".join(f"{w} long" for w in words) + ", keys array<long>"), "wide")
     columns = [*words, "elements"]
     distinct = materialise(light.groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("rep"), *[F.first(c).alias(c) for c in (*columns, "keys")]), "distinct")
-    parts = dealt(distinct.select("node", F.lit(0).alias("t"), F.explode("keys").alias("key")), distinct.select("node", *columns), columns)
-    pairs = materialise(parts.mapInPandas(pairs_to_compare(columns), "a long, b long").distinct(), "pairs")
-    links = compared(pairs, distinct, texts, shingle)
+    keyed = distinct.select("node", F.explode("keys").alias("key"))
+    tried = materialise(stars(keyed), "stars")
+    met = tried.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    owners = materialise(distinct.select("node", "rep").join(met, "node", "left_semi").select(F.col("rep").alias("owner")).distinct(), "owners")
+    sets = shingle_sets(texts, owners, shingle)
+    roots = materialise(connected_components(compared(tried, sets)), "roots")
+    parts = open_groups(keyed.join(tried.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi"), distinct, roots, columns)
+    more = parts.mapInPandas(open_pairs(words), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
+    more = materialise(compared(more, sets), "links")
+    links = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
     return light.select("doc_id", "node").join(components_of(distinct, links, ["node"]), "node").select("doc_id", F.nullif("component", F.lit(NO_ID)).alias("component_id"))
 
 
