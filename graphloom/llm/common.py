@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 #: Rows and bytes of one Arrow batch handed to Python. Texts may be long, so few rows travel at once.
 BATCH_ROWS = 512
 BATCH_BYTES = 8 << 20
+#: The most bytes of a table that is marked for broadcast.
+BROADCAST_BYTES = 32 << 20
 #: Salts of ``gapless_number``: two hex digits of an MD5, alike in every SQL dialect.
 SALTS = 256
 
@@ -49,9 +51,13 @@ def materialise(df: DataFrame, name: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
-    """``df`` (materialised, of a few numbers a row) marked for broadcast if it has at most ``rows`` rows; else the planner joins by shuffle."""
-    return F.broadcast(df) if df.count() <= rows else df
+def broadcast_if_small(df: DataFrame, row_bytes: float | None = None) -> DataFrame:
+    """``df`` (materialised) marked for broadcast if its rows take at most BROADCAST_BYTES; else the planner joins by shuffle.
+
+    ``row_bytes``: what a row takes, by default 24 and 8 for each column (of numbers).
+    """
+    width = row_bytes or 24 + 8 * len(df.columns)
+    return F.broadcast(df) if df.count() * width <= BROADCAST_BYTES else df
 
 
 def text_or_empty(name: str = "text") -> Column:

@@ -2,6 +2,7 @@
 
 import hashlib
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -397,15 +398,70 @@ def test_urls(spark):
     assert url_filter.judge_urls(pages(spark, [])).count() == 0
 
 
-def brute_lines(rows, contexts=4, share=0.5):
-    parsed = [line_dedup.parse(t) if t is not None else ([], [], []) for _, t in rows]
-    seen = {}
-    for numbers, around, keys in parsed:
-        for a, ks in zip(around, keys, strict=True):
-            for k in ks:
-                seen.setdefault(k, []).append(a)
-    hot = {k for k, v in seen.items() if len(set(v)) >= contexts and len(set(v)) >= share * len(v)}
-    return [sorted(n for n, ks in zip(p[0], p[2], strict=True) if hot & set(ks)) for p in parsed]
+def brute_templates(line):
+    """The templates of a line as plain tuples, its path first in each; from the docstring, by lists of tokens."""
+    tokens = ["<*>" if any("0" <= c <= "9" for c in t) else t for t in line.split()]
+    n = len(tokens)
+    if n == 0 or n < 3 and len(line.encode()) < 60:
+        return []
+    path, rest = (n, *tokens[:2]), tokens[2:]
+    cut = lambda parts: [rest[len(rest) * i // parts : len(rest) * (i + 1) // parts] for i in range(parts)]
+    out = [(path, "own", tuple(rest))]
+    parts, hidden = (5, [(i, j) for i in range(5) for j in range(i)]) if n >= 12 else (3, [(0,), (1,), (2,)]) if n >= 8 else (1, [])
+    return out + [(path, h, tuple(tuple(s) for i, s in enumerate(cut(parts)) if i not in h)) for h in hidden]
+
+
+def brute_lines(rows, least=4, share=0.05, own=0.15):
+    """Lines to drop of each row, with all shingles counted."""
+    texts = {t for _, t in rows if t is not None}
+    templates = {t: [brute_templates(x) for x in t.split("\n")] for t in texts}
+    count = lambda sets: Counter(k for s in sets for k in s)
+    leaf = count({ks[0][0] for ks in templates[t] if ks} for t in texts)
+    held = {t: {k for ks in templates[t] for k in ks if leaf[k[0]] >= least} for t in texts}
+    often = {k: n for k, n in count(held.values()).items() if n >= least}
+    holders = [t for t in texts if held[t] & often.keys()]
+
+    def shingles(t):
+        words = ["<*>" if any("0" <= c <= "9" for c in w) else w for w in t.split()]
+        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+    common = count(map(shingles, holders))
+    alone = {t for t in holders if sum(common[s] < least for s in shingles(t)) >= own * len(shingles(t))}
+    independent = count(held[t] & often.keys() for t in alone)
+    hot = {k for k, n in independent.items() if n >= least and n >= share * often[k]}
+    return [[i for i, ks in enumerate(templates[t]) if hot & set(ks)] if t is not None else [] for _, t in rows]
+
+
+@pytest.mark.parametrize(("shared", "own"), [(1, 1), (2, 1), (3, 1), (3, 3), (5, 5)])
+def test_lines_shared_by_all_go_whatever_stands_beside_them(spark, shared, own):
+    """100 documents of some shared lines and some of their own: no shared line stays, no own line goes."""
+    common = [f"This is the shared line number {'abcde'[k]} that stands in every one of the documents here" for k in range(shared)]
+    name = lambda i: f"{chr(97 + i // 26)}{chr(97 + i % 26)}"
+    rows = [(i, "\n".join([*common, *(" ".join(f"own{name(i)}{'abcde'[k]}{chr(97 + w)}" for w in range(15)) for k in range(own))])) for i in range(100)]
+    out = line_dedup.drop_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["doc_id"]: r["text"] for r in out.collect()} == {i: "\n".join(t.split("\n")[shared:]) for i, t in rows}
+
+
+def test_near_copies_are_no_boilerplate(spark):
+    """200 copies with a word in a hundred changed (similarity about 0.8) keep all lines, and a passage in other documents and one of the copies' originals goes from all."""
+    random = np.random.default_rng(2)
+    base = [f"w{chr(97 + i // 26 % 26)}{chr(97 + i % 26)}" for i in range(300)]
+    passage = "A passage that came into many documents from somewhere else at some time or other"
+    rows = []
+    for i in range(200):
+        words = [w + "q" * (i + 1) if random.random() < 0.01 else w for w in base]
+        rows.append((i, "\n".join(" ".join(words[k : k + 30]) for k in range(0, 300, 30)) + f"\n{passage}"))
+    rows += [(1000 + i, " ".join(f"z{chr(97 + i)}{chr(97 + k)}" for k in range(20)) + f"\n{passage}") for i in range(15)]
+    out = line_dedup.drop_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["doc_id"]: r["text"] for r in out.collect()} == {i: t.removesuffix(f"\n{passage}") for i, t in rows}
+
+
+def test_lines_meet_with_two_fields_and_without_spaces(spark):
+    """Names in two places, and a passage in a script without spaces."""
+    name = lambda i: f"{chr(97 + i)}x{chr(98 + i)}"
+    rows = [(i, f"this {' '.join(name(i) + str('abcdefgh'[k]) for k in range(8))}\nThe work of {name(i)} was in the end given to our {name(i)}y of that town\n{'長い文章です。' * 6}") for i in range(6)]
+    out = line_dedup.drop_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["doc_id"]: r["text"] for r in out.collect()} == {i: t.split("\n")[0] for i, t in rows}
 
 
 def test_lines(docs, none, spark):
