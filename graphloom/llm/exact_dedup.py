@@ -1,7 +1,7 @@
 """Exact dedup by Golomb-coded fingerprint exchange.
 
-Rows are dealt to *senders* by a hash of their id. Each sender sends, to the *owner* of each hash range, its
-distinct 64-bit fingerprints sorted, as Golomb-Rice coded gaps. An owner merges the lists of all senders and
+Rows are dealt to *senders* by a hash of their id and text. Each sender sends, to the *owner* of each hash range, its
+distinct fingerprints sorted, as Golomb-Rice coded gaps. An owner merges the lists of all senders and
 answers each with a bitmap over that list: 1 where the fingerprint occurs more than once in the corpus. Only
 the rows so marked, the suspects, have their texts grouped byte by byte.
 
@@ -12,6 +12,8 @@ verification equal texts collapse in each map task before they are shuffled.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -19,15 +21,15 @@ from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, materialise, table
 
-#: Rows of an owner at most, about: what one task decodes at once.
-OWNED = 500_000
+#: Rows of an owner at most, about: what one task decodes at once. Fingerprints of a list at least, about, in large tables.
+OWNED, LISTED = 500_000, 64
 WHITE = "\x20\x09\x0a\x0b\x0c\x0d"
 
 
 def golomb_encode(values: np.ndarray) -> tuple[bytes, int]:
-    """Sorted distinct unsigned 64-bit integers as Golomb-Rice coded gaps; returns the code and its parameter.
+    """Sorted distinct unsigned integers as Golomb-Rice coded gaps; returns the code and its parameter.
 
-    The parameter is the bit length of the mean gap. Quotients are unary (ones, then a zero).
+    The parameter is the bit length of the mean gap. The quotients come first, unary (ones, then a zero), then the remainders.
     """
     values = np.asarray(values, dtype=np.uint64)
     if not len(values):
@@ -39,14 +41,11 @@ def golomb_encode(values: np.ndarray) -> tuple[bytes, int]:
     while quotient.max() > 4096:  # one huge gap must not make a huge unary run
         k += 1
         quotient = (gaps >> np.uint64(k)).astype(np.int64)
-    width = quotient + 1 + k
-    ends = np.cumsum(width)
-    bits = np.ones(int(ends[-1]), dtype=np.uint8)
-    stops = ends - k - 1
-    bits[stops] = 0
-    for j in range(k):
-        bits[stops + 1 + j] = ((gaps >> np.uint64(k - 1 - j)) & np.uint64(1)).astype(np.uint8)
-    return np.packbits(bits).tobytes(), k
+    stops = (quotient + 1).cumsum() - 1
+    unary = np.ones(int(stops[-1]) + 1, dtype=np.uint8)
+    unary[stops] = 0
+    rest = (gaps[:, None] >> np.arange(k - 1, -1, -1, dtype=np.uint64)) & np.uint64(1)
+    return np.packbits(np.concatenate([unary, rest.ravel().astype(np.uint8)])).tobytes(), k
 
 
 def golomb_decode(code: bytes, k: int, n: int) -> np.ndarray:
@@ -54,15 +53,12 @@ def golomb_decode(code: bytes, k: int, n: int) -> np.ndarray:
     if not n:
         return np.empty(0, dtype=np.uint64)
     bits = np.unpackbits(np.frombuffer(code, dtype=np.uint8))
-    raw, at = bits.tobytes(), 0
-    stops = np.empty(n, dtype=np.int64)
-    for i in range(n):
-        stops[i] = raw.find(0, at)
-        at = int(stops[i]) + 1 + k
-    quotients = np.diff(stops, prepend=-1 - k) - 1 - k
+    stops = np.flatnonzero(bits == 0)[:n]  # the quotients' zeros come before all remainders
+    quotients = np.diff(stops, prepend=-1) - 1
+    first = int(stops[-1]) + 1
     rest = np.zeros(n, dtype=np.uint64)
-    for j in range(k):
-        rest = (rest << np.uint64(1)) | bits[stops + 1 + j].astype(np.uint64)
+    for column in bits[first : first + n * k].reshape(n, k).T:
+        rest = (rest << np.uint64(1)) | column
     with np.errstate(over="ignore"):
         return np.cumsum((quotients.astype(np.uint64) << np.uint64(k)) | rest, dtype=np.uint64)
 
@@ -70,30 +66,43 @@ def golomb_decode(code: bytes, k: int, n: int) -> np.ndarray:
 LIST = "owner int, sender int, n int, k int, code binary, again binary"
 
 
-def send(owners: int):
-    """A sender's lists, one for each owner that has any of its fingerprints."""
+class Ranges:
+    """The owners' ranges of fingerprints of ``bits`` bits (32 to 63): equal ones, by the upper 32 bits."""
 
-    def lists(part: pd.DataFrame) -> pd.DataFrame:
-        values, counts = np.unique(part["fp"].to_numpy().astype(np.int64).view(np.uint64), return_counts=True)
-        owner = owner_of(values, owners)
-        out = []
-        for o in np.unique(owner):
-            mine = owner == o
-            code, k = golomb_encode(values[mine] - first_of(o, owners))
-            out.append((int(o), int(part["sender"].iloc[0]), int(mine.sum()), k, code, np.packbits(counts[mine] > 1).tobytes()))
-        return pd.DataFrame(out, columns=["owner", "sender", "n", "k", "code", "again"])
+    def __init__(self, owners: int, bits: int):
+        self.owners, self.low = owners, np.uint64(bits - 32)
 
-    return lists
+    def owner(self, values: np.ndarray) -> np.ndarray:
+        return (((values >> self.low) * np.uint64(self.owners)) >> np.uint64(32)).astype(np.int64)
 
+    def floor(self, owner: int) -> np.uint64:
+        """A floor of an owner's range, from which its lists count."""
+        return np.uint64((owner << 32) // self.owners) << self.low
 
-def owner_of(values: np.ndarray, owners: int) -> np.ndarray:
-    """Equal ranges of the unsigned 64-bit space, by the upper 32 bits."""
-    return ((values >> np.uint64(32)) * np.uint64(owners)) >> np.uint64(32)
+    def runs(self, values: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(owner, start, end) of each owner's run in sorted values."""
+        owner = self.owner(values)
+        edges = [0, *(np.flatnonzero(np.diff(owner)) + 1).tolist(), len(values)] if len(values) else [0]
+        return zip(owner[edges[:-1]].tolist(), edges, edges[1:], strict=False)
 
 
-def first_of(owner: int, owners: int) -> np.uint64:
-    """A floor of an owner's range, from which its lists count."""
-    return np.uint64(((int(owner) << 32) // owners) << 32)
+def unsigned(column: pd.Series) -> np.ndarray:
+    return column.to_numpy().astype(np.int64).view(np.uint64)
+
+
+def send(ranges: Ranges):
+    """A sender's lists, one for each owner that has any of its fingerprints (distinct, with their number of rows)."""
+
+    def lists(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("fp")
+        values, again, sender = unsigned(part["fp"]), part["n"].to_numpy() > 1, int(part["sender"].iloc[0])
+        out = []
+        for o, i, j in ranges.runs(values):
+            code, k = golomb_encode(values[i:j] - ranges.floor(o))
+            out.append((o, sender, j - i, k, code, np.packbits(again[i:j]).tobytes()))
+        return pd.DataFrame(out, columns=["owner", "sender", "n", "k", "code", "again"])
+
+    return lists
 
 
 def answer(lists: pd.DataFrame) -> pd.DataFrame:
@@ -106,26 +115,40 @@ def answer(lists: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"owner": lists["owner"], "sender": lists["sender"], "bitmap": [np.packbits(m).tobytes() for m in marks]})
 
 
-def receive(owners: int):
+def receive(ranges: Ranges):
     """A sender's suspects: the fingerprints that its bitmaps mark."""
 
     def suspects(key, part: pd.DataFrame, bitmaps: pd.DataFrame) -> pd.DataFrame:
-        values = np.unique(part["fp"].to_numpy().astype(np.int64).view(np.uint64))
-        owner, found = owner_of(values, owners), []
-        for r in bitmaps.itertuples():
-            mine = values[owner == r.owner]
-            found.append(mine[np.unpackbits(np.frombuffer(r.bitmap, dtype=np.uint8), count=len(mine)) == 1])
+        values = unsigned(part["fp"].sort_values())
+        of = dict(zip(bitmaps["owner"], bitmaps["bitmap"], strict=True))
+        found = [values[i:j][np.unpackbits(np.frombuffer(of[o], dtype=np.uint8), count=j - i) == 1] for o, i, j in ranges.runs(values)]
         fps = np.concatenate(found) if found else np.empty(0, dtype=np.uint64)
         return pd.DataFrame({"sender": np.full(len(fps), key[0], dtype=np.int32), "fp": fps.view(np.int64)})
 
     return suspects
 
 
-def exchange(fingerprints: DataFrame, owners: int) -> DataFrame:
-    """(sender, fp) of every fingerprint that more than one row has; ``fingerprints`` has sender int, fp long."""
-    lists = fingerprints.groupBy("sender").applyInPandas(send(owners), LIST)
-    bitmaps = lists.groupBy("owner").applyInPandas(answer, "owner int, sender int, bitmap binary")
-    return fingerprints.groupBy("sender").cogroup(bitmaps.groupBy("sender")).applyInPandas(receive(owners), "sender int, fp long")
+def exchange(fingerprints: DataFrame, owners: int, bits: int) -> DataFrame:
+    """(sender, fp) of every fingerprint that more than one row has; ``fingerprints`` has sender int, fp long (of ``bits`` bits).
+
+    A sender's equal fingerprints collapse in the map tasks, so that however many rows share one, it comes once.
+    """
+    ranges = Ranges(owners, bits)
+    own = fingerprints.groupBy("sender", "fp").agg(F.count(F.lit(1)).alias("n"))
+    bitmaps = own.groupBy("sender").applyInPandas(send(ranges), LIST).groupBy("owner").applyInPandas(answer, "owner int, sender int, bitmap binary")
+    return own.select("sender", "fp").groupBy("sender").cogroup(bitmaps.groupBy("sender")).applyInPandas(receive(ranges), "sender int, fp long")
+
+
+def layout(rows: int, parts: int) -> tuple[int, int, int]:
+    """(owners, senders, bits) for a number of rows.
+
+    An owner has about OWNED rows. Senders are four times as many, but so few that a list has LISTED fingerprints in the mean, so
+    that the lists grow with the rows and not with their square: at 20 billion rows 40,000 owners and 7,812 senders
+    of 2.6 million rows. The bits make one in 4,000 fingerprints a false suspect at most; the bytes decide in the end.
+    """
+    owners = max(parts, -(-rows // OWNED))
+    senders = max(parts, min(4 * owners, OWNED // LISTED))
+    return owners, senders, min(max(rows.bit_length() + 12, 32), 63)
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> DataFrame:
@@ -135,17 +158,18 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     empty. Of a class the row with the most code points stays, then the smallest id (a null id counts as the
     largest). Returns doc_id, keep_id, group_size, kept, text_sha256. Repeated rows count as rows; of equal
     rows with the same id every one says kept. An empty table gives an empty result; other columns are ignored.
-    ``parts``: owners, and a quarter of the senders (default: the session's shuffle partitions, or one for each OWNED rows if that is more).
+    ``parts``: the least number of owners and senders (default: the session's shuffle partitions); see ``layout``.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.translate(text, WHITE, "").alias("norm"), F.char_length(text).cast("long").alias("n_chars"))
     rows = rows.withColumn("fp", F.xxhash64("norm"))
     light = materialise(rows.select("doc_id", "n_chars", "fp", F.sha2("norm", 256).alias("sha")), "fingerprints")
-    parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-light.count() // OWNED))
-    sender = F.pmod(F.xxhash64("doc_id", "n_chars"), F.lit(4 * parts)).cast("int")
-    rows, light = rows.withColumn("sender", sender), light.withColumn("sender", sender)
-    suspects = materialise(exchange(light.select("sender", "fp"), parts), "suspects")
+    owners, senders, bits = layout(light.count(), parts or int(spark.conf.get("spark.sql.shuffle.partitions")))
+    sender = F.pmod(F.xxhash64("doc_id", "n_chars", "fp"), F.lit(senders)).cast("int")
+    short = F.shiftrightunsigned("fp", 64 - bits)
+    rows, light = (d.withColumn("sender", sender).withColumn("fp", short) for d in (rows, light))
+    suspects = materialise(exchange(light.select("sender", "fp"), owners, bits), "suspects")
     # Few suspects are broadcast, so that only their texts move; else texts meet them by (sender, fp), which no text can make hot.
     texts = rows.join(broadcast_if_small(suspects), ["sender", "fp"], "left_semi")
     best = F.max(F.struct(F.col("n_chars").alias("n"), (-F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1))).alias("neg"), F.col("doc_id").alias("id"))).alias("best")

@@ -300,6 +300,20 @@ def test_exact_dedup(docs, none):
     assert exact_dedup.exact_dedup(none).count() == 0
 
 
+def test_exact_dedup_with_many_owners_and_repeats(spark):
+    """5,000 owners with few fingerprints each, and 40,000 rows of one null id and text."""
+    rows = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), (F.col("id") % 2500).cast("string")).alias("text"))
+    rows = rows.unionByName(spark.range(40_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("").alias("text")))
+    got = exact_dedup.exact_dedup(rows, parts=5000).groupBy("group_size", "kept").count().collect()
+    assert sorted(map(tuple, got)) == [(1, True, 2000), (2, False, 500), (2, True, 500), (40_000, True, 40_000)]
+
+
+def test_exchange_layout_grows_in_proportion():
+    for rows in (10**3, 10**6, 10**9, 2 * 10**10, 10**11):
+        owners, senders, bits = exact_dedup.layout(rows, 200)
+        assert rows / owners <= exact_dedup.OWNED and rows / senders <= 2e7 and owners * senders <= max(1e6, rows / 30) and bits <= 63 and 2.0**bits >= 4000 * rows
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 1000])
 def test_golomb_round_trip(n):
     random = np.random.default_rng(n)
