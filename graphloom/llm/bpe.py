@@ -1,7 +1,7 @@
 """Byte-level BPE by a pair occurrence index.
 
-The distinct pre-tokens of a block of texts lie end to end in one symbol array. An index maps each mergeable
-pair to all its positions in the block. Active ranks (pairs that have positions) are applied in ascending
+The distinct pre-tokens of a partition's texts lie end to end in one symbol array. An index maps each mergeable
+pair to all its positions in it. Active ranks (pairs that have positions) are applied in ascending
 order: a rank's pair is merged at all its positions at once, and the pairs that this makes with the left and
 right neighbours are added to their lists. A merged symbol's pairs always have later ranks than its own, so
 one ascending sweep gives what merging word by word gives.
@@ -12,20 +12,22 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BATCH_BYTES, map_rows, table, text_or_empty
+from .common import small_batches, table, text_or_empty, to_arrow
 
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Words whose ids a task remembers; beyond that it forgets all and starts anew.
-MEMORY = 300_000
-#: Characters of a longest word that is remembered.
-LONGEST = 64
+#: Bytes of a partition's texts whose words share an index; of a larger partition one portion follows the other.
+PARTITION_BYTES = 64 << 20
+#: Words, and bytes of their ids, that a task remembers from one portion to the next; beyond that it forgets all and starts anew.
+MEMORY, MEMORY_BYTES = 300_000, 64 << 20
 
 
 def byte_letters() -> dict[str, int]:
@@ -159,73 +161,98 @@ def leftmost(at: np.ndarray, after: np.ndarray) -> np.ndarray:
     return at[offset % 2 == 0]
 
 
+class Numbers(dict):
+    """Word -> its number, in the order of meeting."""
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        return n
+
+
 class Encoder:
-    """Encodes texts; remembers the ids of words it has met."""
+    """Encodes texts: reads them into word numbers, puts the new words through one index, and joins the words' ids."""
 
-    def __init__(self, path: str):
-        self.vocabulary = Vocabulary(path)
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary = vocabulary
         self.words = regex.compile(PATTERN).findall
-        self.memory: dict[str, bytes] = {}
-
-    def pieces(self, text: str) -> list[tuple[str | None, list[str]]]:
-        """(added token, []) or (None, words), in order."""
-        if self.vocabulary.splitter is None or not any(t in text for t in self.vocabulary.added):
-            return [(None, self.words(text))]
-        return [(p, []) if p in self.vocabulary.added else (None, self.words(p)) for p in self.vocabulary.splitter.split(text) if p]
+        self.number = Numbers()
+        self.codes: list[bytes] = []
+
+    def read(self, text: str) -> list[int | np.ndarray]:
+        """A text's pieces: ids of added tokens, and numbers of words."""
+        v, number = self.vocabulary, self.number.__getitem__
+        numbers = lambda words: np.fromiter(map(number, words), dtype=np.int32, count=len(words))
+        if v.splitter is None or not any(t in text for t in v.added):
+            return [numbers(self.words(text))]
+        return [v.added[p] if p in v.added else numbers(self.words(p)) for p in v.splitter.split(text) if p]
+
+    def learn(self) -> None:
+        """Encode the words that were met since the last time, all by one index."""
+        fresh = list(islice(self.number, len(self.codes), None))
+        self.codes += encode_words((w.encode() for w in fresh), self.vocabulary)
+
+    def forget(self) -> None:
+        """Start anew if too many words, or bytes of words, are remembered."""
+        if len(self.codes) > MEMORY or sum(map(len, self.codes)) > MEMORY_BYTES:
+            self.number, self.codes = Numbers(), []
+
+    def ids(self, pieces: list[int | np.ndarray]) -> np.ndarray:
+        """The ids, unsigned 32-bit, of what ``read`` gave, after ``learn``."""
+        code = self.codes.__getitem__
+        parts = [p.to_bytes(4, "little") if isinstance(p, int) else b"".join(map(code, p.tolist())) for p in pieces]
+        return np.frombuffer(b"".join(parts), dtype="<u4")
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text, unsigned 32-bit."""
-        split = [self.pieces(t) for t in texts]
-        if len(self.memory) > MEMORY:
-            self.memory = {}
-        known = self.memory
-        fresh = list(set().union(*(words for pieces in split for _, words in pieces)) - known.keys())
-        codes = dict(zip(fresh, encode_words((w.encode() for w in fresh), self.vocabulary), strict=True))
-        long = {w: codes.pop(w) for w in fresh if len(w) > LONGEST}
-        known.update(codes)
-        look = known.__getitem__ if not long else lambda w: long[w] if w in long else known[w]
-        out = []
-        for pieces in split:
-            parts = [b"".join(map(look, words)) if added is None else self.vocabulary.added[added].to_bytes(4, "little") for added, words in pieces]
-            out.append(np.frombuffer(b"".join(parts), dtype="<u4"))
-        return out
+        read = [self.read(t) for t in texts]
+        self.learn()
+        return [self.ids(p) for p in read]
 
     def decode(self, ids: np.ndarray) -> str:
         return self.vocabulary.decode(ids.astype(np.int64)).decode("utf-8", errors="replace")
 
 
+def portions(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """A partition's batches, all at once or, of a larger partition, in portions of about PARTITION_BYTES."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= PARTITION_BYTES:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def bpe_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = False) -> DataFrame:
     """Every whole text encoded, and decoded again from its ids.
 
     Returns doc_id, n_tokens, ids_sha256 (ids as little-endian unsigned 32-bit), decoded_sha256 (UTF-8), and on
     request ``ids`` array<bigint>. A null text is empty and has no ids; added tokens in a text become their own
-    ids; repeated rows repeat. No shuffle: one task's texts go through the index block by block. ``path`` is the
-    vocabulary file; the driver reads it and sends the tables along. Other columns are ignored.
+    ids; repeated rows repeat. No shuffle: the distinct words of a partition (of PARTITION_BYTES of it at a time, as texts wait in
+    memory for their words) go through one index. ``path`` is the vocabulary file; the driver reads it, and its
+    tables reach the tasks as one broadcast, so executors need not have the file. Other columns are ignored.
     """
-    columns = 4 + ids
-
-    def make():
-        encoder = Encoder(path)
-
-        def step(batch):
-            doc_ids, texts = batch
-            out: list[list] = []
-            at = 0
-            while at < len(texts):
-                end, size = at, 0
-                while end < len(texts) and (end == at or size + len(texts[end]) <= BATCH_BYTES):
-                    size += len(texts[end])
-                    end += 1
-                for doc_id, found in zip(doc_ids[at:end], encoder.encode(texts[at:end]), strict=True):
-                    row = [doc_id, len(found), hashlib.sha256(found.tobytes()).hexdigest(), hashlib.sha256(encoder.decode(found).encode()).hexdigest()]
-                    out.append(row + [found.astype(np.int64)] * ids)
-                at = end
-            return list(zip(*out, strict=True)) if out else [[]] * columns
-
-        return step
+    small_batches(docs.sparkSession)
+    schema = docs.sparkSession.createDataFrame([], "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<bigint>" * ids).schema
+    arrow = to_arrow(schema)
+    shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(path))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(shared.value)
+        for held in portions(batches):
+            encoder.forget()
+            read = [[encoder.read(text) for text in batch.column(1).to_pylist()] for batch in held]
+            encoder.learn()
+            for batch, texts in zip(held, read, strict=True):
+                found = [encoder.ids(pieces) for pieces in texts]
+                columns = [batch.column(0), pa.array([len(f) for f in found], pa.int64()), pa.array([hashlib.sha256(f.tobytes()).hexdigest() for f in found], pa.string())]
+                columns.append(pa.array([hashlib.sha256(encoder.decode(f).encode()).hexdigest() for f in found], pa.string()))
+                columns += [pa.array([f.astype(np.int64) for f in found], pa.list_(pa.int64()))] * ids
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    return map_rows(rows, make, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<bigint>" * ids, batch_rows=4096)
+    return rows.mapInArrow(run, schema)
 
 
 def op4_pair_index_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -15,6 +15,8 @@ BATCH_ROWS = 512
 BATCH_BYTES = 8 << 20
 #: The most bytes of a table that is marked for broadcast.
 BROADCAST_BYTES = 32 << 20
+#: Written steps of this session, by path.
+STEPS: dict[str, DataFrame] = {}
 #: Salts of ``gapless_number``: two hex digits of an MD5, alike in every SQL dialect.
 SALTS = 256
 
@@ -23,9 +25,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound the Arrow batches of this session, as whole texts pass through them."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of this session, as whole texts pass through them; the same bounds for every operator."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
@@ -44,11 +46,32 @@ def materialise(df: DataFrame, name: str = "step") -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     This cuts the lineage (a lost executor never recomputes what lies before), computes Python steps
-    once, and gives the planner the true size, by which it chooses between broadcast and shuffle.
+    once, and gives the planner the true size, by which it chooses between broadcast and shuffle. What is
+    returned lazily reads these tables; ``forget`` deletes them when they are no longer needed.
     """
     path = f"{shared_dir(df.sparkSession)}/graphloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    STEPS[path] = found
+    return found
+
+
+def steps() -> set[str]:
+    """The written steps that are not deleted yet."""
+    return set(STEPS)
+
+
+def forget(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Delete written steps that nothing reads any more."""
+    for path in list(paths):
+        if STEPS.pop(path, None) is not None:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def path_of(df: DataFrame) -> str:
+    """Where ``materialise`` wrote ``df``."""
+    return next(p for p, d in STEPS.items() if d is df)
 
 
 def broadcast_if_small(df: DataFrame, row_bytes: float | None = None) -> DataFrame:
@@ -69,8 +92,9 @@ def id_text(name: str = "doc_id") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
-def md5_salt(key: Column) -> Column:
-    return F.substring(F.md5(key), 1, 2)
+def md5_salt(*parts: Column) -> Column:
+    """A salt of a row, from enough of its columns that equal ids alone do not meet."""
+    return F.substring(F.md5(F.concat_ws("/", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts])), 1, 2)
 
 
 def gapless_number(df: DataFrame, group: str, salt: str, order: Sequence[Column | str], to: str) -> DataFrame:
@@ -87,12 +111,12 @@ def gapless_number(df: DataFrame, group: str, salt: str, order: Sequence[Column
     return joined.withColumn(to, (F.col("_first") + F.col("_rank") - 1).cast("long")).drop("_first", "_rank")
 
 
-def map_rows(df: DataFrame, make: Callable[[], Callable[[list[list]], list[list]]], schema: str, batch_rows: int = BATCH_ROWS) -> DataFrame:
+def map_rows(df: DataFrame, make: Callable[[], Callable[[list[list]], list[list]]], schema: str) -> DataFrame:
     """Arrow map over whole rows: ``make()`` runs once a task and returns a function from columns to columns.
 
     Each result must have one value for each row it returns; results may have more or fewer rows.
     """
-    small_batches(df.sparkSession, batch_rows)
+    small_batches(df.sparkSession)
     spark_schema = df.sparkSession.createDataFrame([], schema).schema
     arrow = to_arrow(spark_schema)
 

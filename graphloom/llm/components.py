@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import forget, materialise, path_of, steps
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -32,7 +32,10 @@ def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     now = materialise(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     state = None
     for _ in range(rounds):
+        before = steps()
+        old = path_of(now)
         now = materialise(_star(_star(now, large=True), large=False), "edges")
+        forget(edges.sparkSession, {old, *steps() - before} - {path_of(now)})
         seen = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if seen == state:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select("b", "b").toDF("node", "root").distinct())

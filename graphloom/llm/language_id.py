@@ -14,13 +14,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows, small_batches, table, text_or_empty
+from .common import id_text, map_rows, materialise, small_batches, table, text_or_empty
 from .folds import fold, lot
 
 #: Hash buckets of the n-grams.
 DIM = 1 << 14
-#: Documents of each language from which the weights are fitted, about (drawn by id); counts of n-grams cover all.
-PER_LANGUAGE = 500
+#: Documents of each language from which the weights are fitted, about (drawn by id), and the most values of all their vectors
+#: (12 bytes each); the order of drawing decides which stay. Counts of n-grams cover all documents.
+PER_LANGUAGE, MOST_VALUES = 500, 20_000_000
 #: At most so many languages are learned; more are an error, not cut off.
 MAX_LANGUAGES = 1000
 CALIBRATION_FOLD = 1
@@ -142,12 +143,20 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[Softmax, n
     def make():
         def step(columns):
             vectors = [weigh(gram_counts(t), idf) for t in columns[2]]
-            return [columns[0], columns[1], [v[0].astype(np.int32) for v in vectors], [v[1].astype(np.float32) for v in vectors]]
+            return [columns[0], columns[1], [v[0].astype(np.int32) for v in vectors], [v[1].astype(np.float32) for v in vectors], columns[3]]
 
         return step
 
-    rows = map_rows(sample.select("lang", fold().alias("fold"), "text"), make, "lang string, fold int, at array<int>, val array<float>")
-    rows = rows.withColumn("o", F.xxhash64("at", "lang")).orderBy("o").toArrow()
+    drawn = sample.select(F.xxhash64(id_text(), "text").alias("o"), "lang", fold().alias("fold"), "text")
+    vectors = materialise(map_rows(drawn.select("lang", "fold", "text", "o"), make, "lang string, fold int, at array<int>, val array<float>, o long"), "vectors")
+    # The driver orders the sample itself, so that equal texts or ids are no hot range of a sort.
+    sizes = vectors.select("o", F.size("at").alias("n")).toArrow()
+    order = np.argsort(sizes["o"].to_numpy(), kind="stable")
+    fits = sizes["n"].to_numpy()[order].cumsum() <= MOST_VALUES
+    if not fits.all():
+        vectors = vectors.filter(F.col("o") < int(sizes["o"].to_numpy()[order][fits.argmin()]))
+    rows = vectors.toArrow()
+    rows = rows.take(np.lexsort((rows["lang"].to_numpy(zero_copy_only=False).astype(str), rows["o"].to_numpy())))
     at, val = (rows[c].combine_chunks() for c in ("at", "val"))
     starts, buckets, values = at.offsets.to_numpy(), at.values.to_numpy(), val.values.to_numpy()
     vectors = [(buckets[i:j], values[i:j]) for i, j in zip(starts, starts[1:], strict=False)]
@@ -162,33 +171,25 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[Softmax, n
     return model, idf
 
 
-def predictor(model: Softmax, idf: np.ndarray):
-    """text (or None) -> (language, score)."""
-    classes, t = model.classes, model.temperature
-    w = model.weights() if classes else None
-
-    def predict(text: str | None) -> tuple[str, float]:
-        if not classes or not has_letter(text):
-            return UNKNOWN, 0.0
-        at, values = weigh(gram_counts(text), idf)
-        p = softmax((values @ w[at] + w[DIM]) / t)
-        best = int(p.argmax())
-        return classes[best], float(p[best])
-
-    return predict
+def predictor(spark: SparkSession, model: Softmax, idf: np.ndarray):
+    """A function that makes, in a task, text (or None) -> (language, score, lead). The weights travel as one broadcast (16,385 x languages)."""
+    shared = spark.sparkContext.broadcast((model.classes, model.temperature, idf, model.weights().astype(np.float32)))
 
+    def make():
+        classes, t, idf, w = shared.value
 
-def recogniser(model: Softmax, idf: np.ndarray):
-    """text (or None) -> whether it is of a learned language, by the lead of the best one."""
-    w = model.weights() if model.classes else None
+        def predict(text: str | None) -> tuple[str, float, float]:
+            if not classes or not has_letter(text):
+                return UNKNOWN, 0.0, -1.0
+            at, values = weigh(gram_counts(text), idf)
+            logits = values @ w[at] + w[DIM]
+            p = softmax(logits / t)
+            best = int(p.argmax())
+            return classes[best], float(p[best]), float(lead(logits))
 
-    def recognised(text: str | None) -> bool:
-        if not model.classes or not has_letter(text):
-            return False
-        at, values = weigh(gram_counts(text), idf)
-        return bool(lead(values @ w[at] + w[DIM]) >= model.least_lead)
+        return predict
 
-    return recognised
+    return make
 
 
 def identify(docs: DataFrame, target: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -199,9 +200,11 @@ def identify(docs: DataFrame, target: DataFrame | None = None, id_col: str = "do
     predictions, of equally likely languages the first by name. Other columns are ignored.
     """
     known = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    predict = predictor(*train(known))
+    predictions = predictor(docs.sparkSession, *train(known))
 
     def make():
+        predict = predictions()
+
         def step(columns):
             out = [predict(t) for t in columns[2]]
             return [columns[0], columns[1], [p[0] for p in out], [p[1] for p in out]]
@@ -213,23 +216,37 @@ def identify(docs: DataFrame, target: DataFrame | None = None, id_col: str = "do
 
 
 def keep_identified(docs: DataFrame, least: float | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of ``docs``, all columns, whose text has a language: with a score of at least ``least``, or without it, one that leads (``LEAD_SHARE``)."""
+    """The rows of ``docs``, all columns, whose text has a language: with a score of at least ``least``, or without it, one that leads (``LEAD_SHARE``).
+
+    A null or empty text and one without a letter go, and so does every row if no language could be learned (an empty table, or
+    no labels). Equal texts stay or go together, repeated rows repeat, texts of any length are read whole, and
+    columns pass through unchanged, whatever their names.
+    """
     known = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"), F.col(lang_col).alias("lang"))
     model, idf = train(known)
-    if least is None:
-        return filter_texts(docs, text_col, recogniser(model, idf))
-    predict = predictor(model, idf)
-    return filter_texts(docs, text_col, lambda text: (p := predict(text))[0] != UNKNOWN and p[1] >= least)
+    predictions, least_lead = predictor(docs.sparkSession, model, idf), model.least_lead
+
+    def make():
+        predict = predictions()
+
+        def keep(texts: list[str | None]) -> list[bool]:
+            found = [predict(t) for t in texts]
+            return [p[0] != UNKNOWN and (p[2] >= least_lead if least is None else p[1] >= least) for p in found]
+
+        return keep
+
+    return filter_texts(docs, text_col, make)
 
 
-def filter_texts(docs: DataFrame, text_col: str, keep) -> DataFrame:
-    """The rows whose text ``keep`` accepts, in one Arrow pass over the columns as they are."""
+def filter_texts(docs: DataFrame, text_col: str, make) -> DataFrame:
+    """The rows that a filter accepts, in one Arrow pass over the columns as they are; ``make()`` gives, in a task, texts -> booleans."""
     small_batches(docs.sparkSession)
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = make()
         for batch in batches:
-            yield batch.filter(pa.array([bool(keep(t)) for t in batch.column(place).to_pylist()], type=pa.bool_()))
+            yield batch.filter(pa.array([bool(k) for k in keep(batch.column(place).to_pylist())], type=pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -113,7 +113,7 @@ def media_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def op1_wav_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_features(table(spark, sf_dir, "documents"))
+    return media_features(table(spark, sf_dir, "documents"), media=True, pairs=True)
 
 
 QUERIES = {"op1_wav_peaks": op1_wav_peaks}

@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import gapless_number, id_text, materialise, md5_salt, table, text_or_empty
+from .common import gapless_number, materialise, md5_salt, table, text_or_empty
 
 #: Longest sequence (longer documents become several), buckets, and padded tokens a batch.
 MAX_TOKENS, BUCKETS, BUDGET = 2048, 16, 65536
@@ -82,7 +82,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokens
     bounds = optimal_boundaries(histogram, buckets) or [max_tokens]
     array = F.array(*[F.lit(b).cast("long") for b in bounds])
     bucket = F.size(F.filter(array, lambda b: b < F.col("n_tokens")))
-    rows = rows.withColumn("bucket", bucket).withColumn("_salt", md5_salt(id_text("doc_id")))
+    rows = rows.withColumn("bucket", bucket).withColumn("_salt", md5_salt(F.col("doc_id"), F.col("chunk"), F.col("n_tokens")))
     rows = gapless_number(rows, "bucket", "_salt", ["doc_id", "chunk", "n_tokens"], "slot")
     bound = F.element_at(array, F.col("bucket") + 1)
     each = F.greatest(F.floor(F.lit(budget) / F.greatest(bound, F.lit(1))), F.lit(1)).cast("long")
@@ -116,7 +116,7 @@ h0 AS (SELECT n_tokens AS l, count(*) AS c FROM q GROUP BY 1),
 h AS (SELECT l, c, row_number() OVER (ORDER BY l) - 1 AS j, sum(c) OVER (ORDER BY l) AS r, sum(c * l) OVER (ORDER BY l) AS t FROM h0),
 cost AS (SELECT a.j AS i, b.j AS j, (b.l * (b.r - a.r + a.c) - (b.t - a.t + a.c * a.l))::BIGINT AS c FROM h a JOIN h b ON a.j <= b.j),
 {_dp_sql(BUCKETS)},
-p AS (SELECT q.*, (SELECT count(*) FROM bounds WHERE bound < q.n_tokens) AS bucket, substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 2) AS salt FROM q),
+p AS (SELECT q.*, (SELECT count(*) FROM bounds WHERE bound < q.n_tokens) AS bucket, substr(md5(coalesce(doc_id::VARCHAR, '') || '/' || chunk || '/' || n_tokens), 1, 2) AS salt FROM q),
 z AS (SELECT p.*, bounds.bound, row_number() OVER (PARTITION BY p.bucket ORDER BY salt, doc_id, chunk, n_tokens) - 1 AS slot FROM p JOIN bounds USING (bucket))
 SELECT doc_id, chunk, start::BIGINT AS start, n_tokens::BIGINT AS n_tokens, bucket::INT AS bucket, bound::BIGINT AS bound, slot::BIGINT AS slot,
   (slot // greatest({BUDGET} // greatest(bound, 1), 1))::BIGINT AS batch

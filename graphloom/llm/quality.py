@@ -1,7 +1,7 @@
 """Quality classifier by positive-unlabelled learning.
 
 Trusted positives (labelled good) and unlabelled web text train a small network on statistics of the
-whole text. The class prior is estimated from the two samples alone, by the best bin of a
+whole text and on its content, hashed words and word pairs. The class prior is estimated from the two samples alone, by the best bin of a
 positive-against-unlabelled score; the network then minimises the non-negative unbiased risk: the positive
 part is pi times the positives' loss, the negative part is the unlabelled loss less pi times the positives', and where
 that falls below zero the step goes the other way.
@@ -13,17 +13,20 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_text, map_rows, table, text_or_empty
+from .common import id_text, map_rows, materialise, table, text_or_empty
 from .folds import fold, lot
 from .language_id import filter_texts
 
-#: Documents from which the network is fitted, about (drawn by id).
-SAMPLE = 12_000
+#: The network is fitted on at most so many unlabelled documents and so many positives, each drawn by id among all there are.
+SAMPLE, POSITIVES = 12_000, 6_000
 THRESHOLD = 0.3
 HIDDEN, STEPS, RATE, DECAY = 12, 300, 0.02, 1e-3
+#: Buckets of hashed words and word pairs.
+CONTENT = 64
 GROUPS = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", ".", ",", "!?", "#$%&*@^~+=<>\\/", "|", "-_", "\"'()[]{}:;`", "\n")
 
 
@@ -56,7 +59,33 @@ def statistics(text: str) -> list[float]:
     ]
 
 
-WIDTH = len(GROUPS) + 11
+class Words(dict):
+    """Word -> 64-bit hash, for the words that a task has met."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        h = self[word] = xxhash.xxh64_intdigest(word)
+        return h
+
+
+def content(words: list[bytes], hashes: Words) -> np.ndarray:
+    """Words and word pairs in hashed buckets, each sign from the hash: log counts, to unit length."""
+    h = np.array([hashes[w] for w in words], dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        both = np.concatenate([h, (h[:-1] * np.uint64(0x9E3779B97F4A7C15) ^ h[1:]) * np.uint64(0xBF58476D1CE4E5B9)])
+    signs = 1.0 - 2.0 * (both >> np.uint64(63)).astype(np.float64)
+    sums = np.bincount((both >> np.uint64(32)).astype(np.int64) % CONTENT, weights=signs, minlength=CONTENT)
+    out = np.sign(sums) * np.log1p(np.abs(sums))
+    norm = np.sqrt(out @ out)
+    return out / norm if norm else out
+
+
+def features(text: str, hashes: Words) -> list[float]:
+    return [*statistics(text), *content(text.encode().split(), hashes)]
+
+
+WIDTH = len(GROUPS) + 11 + CONTENT
 
 
 class Network:
@@ -118,6 +147,15 @@ def separate(positive: np.ndarray, unlabelled: np.ndarray, mean: np.ndarray, sca
     return model
 
 
+def risk_gradient(f: np.ndarray, n: int, prior: float) -> np.ndarray:
+    """Of the non-negative unbiased risk by the outputs, of which the first ``n`` are the positives'."""
+    s, m = sigmoid(f), len(f) - n
+    negative = np.logaddexp(0, f[n:]).mean() - prior * np.logaddexp(0, f[:n]).mean()
+    down = np.concatenate([-prior * s[:n] / n, s[n:] / m])  # gradient of the negative part
+    up = np.concatenate([prior * (s[:n] - 1) / n, np.zeros(m)])
+    return up + down if negative >= 0 else -down
+
+
 def fit(positive: np.ndarray, unlabelled: np.ndarray) -> tuple[Network, float]:
     """The network and the estimated prior. The prior is the mean over two halves, each scored by a network that has seen the other only."""
     both = np.concatenate([positive, unlabelled])
@@ -129,50 +167,57 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray) -> tuple[Network, float]:
         seen = separate(positive[half::2], unlabelled[half::2], mean, scale)
         priors.append(estimate_prior(seen.score(positive[1 - half :: 2]), seen.score(unlabelled[1 - half :: 2])))
     prior = float(np.mean(priors)) if priors else 0.5
-    model, m = Network(mean, scale), len(unlabelled)
+    model = Network(mean, scale)
+    model.descend(lambda f: risk_gradient(f, n, prior), x)
+    return model, prior
 
-    def risk_gradient(f: np.ndarray) -> np.ndarray:
-        s = sigmoid(f)
-        negative = np.logaddexp(0, f[n:]).mean() - prior * np.logaddexp(0, f[:n]).mean()
-        down = np.concatenate([-prior * s[:n] / n, s[n:] / m])  # gradient of the negative part
-        up = np.concatenate([prior * (s[:n] - 1) / n, np.zeros(m)])
-        return up + down if negative >= 0 else -down
 
-    model.descend(risk_gradient, x)
-    return model, prior
+def draw(ids: DataFrame, label: str, most: int) -> DataFrame:
+    """At most ``most`` of the ids, the first by a hash of the id; so few are always broadcast."""
+    return F.broadcast(ids.withColumn("_lot", lot("id", label)).orderBy("_lot", "id").limit(most).select("id"))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network | None:
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, positives: int = POSITIVES) -> Network | None:
     """``docs``: doc_id, text (not null); ``labels``: doc_id, quality. Rows of fold 0 are never used. None if there are no positives.
 
-    The sample of documents is drawn by id before their texts are looked at; label rows of one document count once, positive if any is.
+    Both samples are drawn of ids, before any text is read: the unlabelled one of all documents, the trusted one of all documents that
+    are labelled good, so that it does not shrink where labels are rare. Label rows of one document count once,
+    positive if any is; rows that repeat an id are drawn together.
     """
-    open_ = docs.filter(fold() != 0)
-    rows = open_.count()
-    if not rows:
-        return None
-    drawn = open_.filter(lot("doc_id", "quality") < min(1.0, sample / rows)).select(id_text().alias("id"), "text")
+    open_ = docs.filter(fold() != 0).select(id_text().alias("id"), "text")
+    ids = open_.select("id").distinct()
+    good = labels.filter(F.col("quality") == 1).select(id_text().alias("id")).distinct()
+    trusted = materialise(draw(ids.join(good, "id", "left_semi"), "trusted", positives).withColumn("good", F.lit(1)), "trusted")
+    drawn = materialise(draw(ids, "quality", sample).withColumn("drawn", F.lit(1)), "drawn")
+    rows = open_.join(F.broadcast(trusted), "id", "left").join(F.broadcast(drawn), "id", "left").filter("good = 1 OR drawn = 1")
 
     def make():
-        return lambda columns: [columns[0], [statistics(t) for t in columns[1]]]
+        hashes = Words()
+        return lambda columns: [columns[0], columns[1], columns[2], [features(t, hashes) for t in columns[3]]]
 
-    features = map_rows(drawn, make, "id string, x array<double>")
-    good = labels.filter(F.col("quality") == 1).select(id_text().alias("id"), F.lit(1).alias("good")).distinct()
-    found = features.join(good, "id", "left").orderBy("id").toPandas()
+    found = map_rows(rows.select("id", "good", "drawn", "text"), make, "id string, good int, drawn int, x array<double>").toPandas()
     x = np.array(found["x"].tolist()).reshape(-1, WIDTH)
-    positive = x[found["good"].notna().to_numpy()] if len(found) else x
-    return fit(positive, x)[0] if len(positive) else None
+    order = np.lexsort((x[:, 0], found["id"].to_numpy().astype(str))) if len(found) else []
+    found, x = found.iloc[order], x[order]
+    positive, unlabelled = x[found["good"].notna().to_numpy()], x[found["drawn"].notna().to_numpy()]
+    return fit(positive, unlabelled)[0] if len(positive) else None
+
 
+def scorer(spark: SparkSession, model: Network | None):
+    """A function that makes, in a task, texts -> scores from 0 to 1; without a model every score is 0.5. The model travels as one broadcast."""
+    shared = spark.sparkContext.broadcast(model)
 
-def scorer(model: Network | None):
-    """texts -> scores from 0 to 1; without a model every score is 0.5."""
+    def make():
+        model, hashes = shared.value, Words()
 
-    def score(texts: list[str]) -> list[float]:
-        if model is None or not texts:
-            return [0.5] * len(texts)
-        return model.score(np.array([statistics(t) for t in texts])).tolist()
+        def score(texts: list[str]) -> list[float]:
+            if model is None or not texts:
+                return [0.5] * len(texts)
+            return model.score(np.array([features(t, hashes) for t in texts])).tolist()
 
-    return score
+        return score
+
+    return make
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -182,9 +227,11 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     An empty table gives an empty result; without any positive label every score is 0.5. Other columns are ignored.
     """
     known = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
-    score = scorer(train(known, labels))
+    scores_of = scorer(docs.sparkSession, train(known, labels))
 
     def make():
+        score = scores_of()
+
         def step(columns):
             scores = score(columns[2])
             return [columns[0], columns[1], scores, [int(s >= threshold) for s in scores]]
@@ -196,10 +243,20 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, whose text scores at least ``least``."""
+    """The rows of ``docs``, all columns, whose text scores at least ``least``.
+
+    Nulls, empty and long texts, ties and repeats are as in ``score_quality``: a null text is scored as an empty one, equal texts
+    stay or go together, and without any positive label (scores 0.5) all rows stay or go. An empty table gives
+    an empty result; columns pass through unchanged, whatever their names.
+    """
     known = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
-    score = scorer(train(known, labels))
-    return filter_texts(docs, text_col, lambda text: score([text or ""])[0] >= least)
+    scores_of = scorer(docs.sparkSession, train(known, labels))
+
+    def make():
+        score = scores_of()
+        return lambda texts: [s >= least for s in score([t or "" for t in texts])]
+
+    return filter_texts(docs, text_col, make)
 
 
 def op9_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -186,7 +186,7 @@ def test_bpe(docs, none, vocabulary):
 
 def test_bpe_odd_texts(vocabulary):
     path, reference = vocabulary
-    encoder = bpe.Encoder(path)
+    encoder = bpe.Encoder(bpe.Vocabulary(path))
     random = np.random.default_rng(3)
     texts = ["".join(random.choice(list("aab \n'std1é日<|>"), size=random.integers(0, 80))) for _ in range(400)]
     texts += ["<|endoftext|><|endoftext|>", "aaa" * 333, " " * 77 + "x", "I'm DON'T 's", "\x85\u2003\u200b", "x<|endoftext|> y"]
@@ -556,3 +556,138 @@ def test_a_holder_that_is_copied_often_does_not_protect_a_passage(spark):
     rows += [(100 + i, rows[0][1]) for i in range(3000)]
     out = line_dedup.drop_lines(spark.createDataFrame(rows, "doc_id long, text string"))
     assert {r["doc_id"]: r["text"] for r in out.collect()} == {i: t.split("\n")[0] for i, t in rows}
+
+
+def test_bpe_portions_of_a_partition(vocabulary, spark, monkeypatch):
+    """More than one portion, and a memory that is forgotten between them, change nothing."""
+    path, reference = vocabulary
+    encoder = bpe.Encoder(bpe.Vocabulary(path))
+    texts = [f"some text {i} and morewords{i * 7919} é" for i in range(50)]
+    monkeypatch.setattr(bpe, "MEMORY", 10)
+    for i in range(0, 50, 10):
+        encoder.forget()
+        for text, ids in zip(texts[i : i + 10], encoder.encode(texts[i : i + 10]), strict=True):
+            assert ids.tolist() == reference.encode(text, add_special_tokens=False).ids
+    batches = [bpe.pa.record_batch({"x": ["a" * 100]})] * 5
+    monkeypatch.setattr(bpe, "PARTITION_BYTES", 250)
+    assert [len(p) for p in bpe.portions(iter(batches))] == [3, 2]
+
+
+def test_language_features_and_updates_equal_brute_force():
+    """n-gram buckets by plain integers, TF-IDF by a dictionary, and one FTRL step a coordinate at a time."""
+    mask = (1 << 32) - 1
+
+    def bucket(gram):
+        x = ord(gram[0]) * 0x9E3779B1 & mask
+        if len(gram) > 1:
+            x = (x ^ (ord(gram[1]) * 0x85EBCA77 & mask)) * 0x9E3779B1 & mask
+        if len(gram) > 2:
+            x = (x ^ (ord(gram[2]) * 0xC2B2AE3D & mask)) * 0x9E3779B1 & mask
+        return x >> 18
+
+    for text in ("", "a", "ab", "Straße 日本 café", "the dog " * 40):
+        low = text.lower()
+        expected = Counter(bucket(low[i : i + n]) for n in (1, 2, 3) for i in range(len(low) - n + 1))
+        counts = language_id.gram_counts(text)
+        assert {i: int(counts[i]) for i in np.flatnonzero(counts)} == dict(expected)
+        idf = np.linspace(1, 3, language_id.DIM)
+        raw = {i: (1 + np.log(c)) * idf[i] for i, c in expected.items()}
+        norm = sum(v * v for v in raw.values()) ** 0.5
+        at, values = language_id.weigh(counts, idf)
+        assert np.allclose(values, [raw[i] / norm for i in at])
+    model = language_id.Softmax(["a", "b", "c"])
+    z, n = {}, {}
+    random = np.random.default_rng(0)
+    for _ in range(30):
+        at = np.sort(random.choice(50, 5, replace=False))
+        values, label = random.random(5), int(random.integers(3))
+        rows = [*zip(at.tolist(), values.tolist()), (language_id.DIM, 1.0)]
+
+        def weight(i, c):
+            zz, nn = z.get((i, c), 0.0), n.get((i, c), 0.0)
+            return 0.0 if abs(zz) <= language_id.L1 else -np.sign(zz) * (abs(zz) - language_id.L1) / ((language_id.BETA + nn**0.5) / language_id.ALPHA + language_id.L2)
+
+        scores = [sum(x * weight(i, c) for i, x in rows) for c in range(3)]
+        total = sum(np.exp(s) for s in scores)
+        slopes = {(i, c): x * (np.exp(scores[c]) / total - (c == label)) for i, x in rows for c in range(3)}
+        old = {k: weight(*k) for k in slopes}
+        for k, g in slopes.items():
+            sigma = ((n.get(k, 0.0) + g * g) ** 0.5 - n.get(k, 0.0) ** 0.5) / language_id.ALPHA
+            z[k], n[k] = z.get(k, 0.0) + g - sigma * old[k], n.get(k, 0.0) + g * g
+        model.learn(at, values, label)
+    assert all(np.isclose(model.z[k], v) for k, v in z.items()) and all(np.isclose(model.n[k], v) for k, v in n.items())
+
+
+def test_language_ties_go_to_the_first_by_name(spark):
+    """One text under two languages equally often: the prediction is the same for all of its rows."""
+    rows = [(i, "the same old words", "de" if i % 2 else "en") for i in range(200)]
+    found = {(r["lang_pred"], r["score"]) for r in language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert len(found) == 1
+    model = language_id.Softmax(["de", "en"])
+    make = language_id.predictor(spark, model, np.ones(language_id.DIM))
+    assert make()("words")[:2] == ("de", 0.5)
+
+
+def test_language_sample_is_bounded_in_values(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "MOST_VALUES", 300)
+    rows = [(i, f"{'der Hund' if i % 2 else 'the dog'} {i}", "de" if i % 2 else "en") for i in range(200)]
+    out = language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert out.count() == 200 and {r["lang_pred"] for r in out.collect()} <= {"de", "en"}
+
+
+def test_stage_filters_on_messy_documents(docs, none, spark):
+    """Nulls, empty, long and repeated texts, clashing columns and empty tables in the filters of languages and quality."""
+    labels = spark.createDataFrame([(1, 1), (3, 1), (3, 1), (8, 0), (10, 1), (None, 1)], "doc_id long, quality int")
+    for keep in (language_id.keep_identified, lambda d: quality.keep_good(d, labels), lambda d: quality.keep_good(d, labels.limit(0))):
+        kept = keep(docs)
+        assert kept.columns == docs.columns and keep(none).count() == 0
+        rows = Counter(map(tuple, kept.collect()))
+        assert not rows - Counter(map(tuple, docs.collect()))  # rows as they were
+        texts = {r[1] for r in rows}
+        assert all(rows[r] == n for r, n in Counter(map(tuple, docs.collect())).items() if r[1] in texts)  # equal texts stay together
+    kept = language_id.keep_identified(docs)
+    assert kept.filter("text is null or trim(text) = '' or doc_id = 9").count() == 0
+    assert language_id.keep_identified(docs.withColumn("lang", F.lit(None).cast("string"))).count() == 0
+    assert quality.keep_good(docs, labels.limit(0), 0.5).count() == len(MESSY) and quality.keep_good(docs, labels.limit(0), 0.6).count() == 0
+
+
+def test_risk_gradient_and_features_equal_brute_force():
+    """The non-negative risk's gradient by differences, in both of its cases, and content features by a dictionary."""
+    for text in ("", "one", "one two one two one", "x " * 50):
+        words = text.encode().split()
+        sums = [0.0] * quality.CONTENT
+        h = [xxhash.xxh64_intdigest(w) for w in words]
+        both = h + [((a * 0x9E3779B97F4A7C15 & (1 << 64) - 1) ^ b) * 0xBF58476D1CE4E5B9 & (1 << 64) - 1 for a, b in zip(h, h[1:])]
+        for x in both:
+            sums[(x >> 32) % quality.CONTENT] += -1.0 if x >> 63 else 1.0
+        raw = [np.sign(v) * np.log1p(abs(v)) for v in sums]
+        norm = sum(v * v for v in raw) ** 0.5 or 1.0
+        assert np.allclose(quality.content(words, quality.Words()), np.array(raw) / norm)
+    random = np.random.default_rng(4)
+    for shift in (0.0, -6.0):  # the second makes the negative part negative
+        f, n, prior = random.normal(0, 1, 30) + shift, 12, 0.6
+        f[:n] -= shift * 2
+        loss = lambda x: np.log1p(np.exp(-x))
+
+        def negative(f):
+            return np.log1p(np.exp(f[n:])).mean() - prior * np.log1p(np.exp(f[:n])).mean()
+
+        def risk(f):
+            return prior * loss(f[:n]).mean() + negative(f) if negative(f) >= 0 else -negative(f)
+
+        by_hand = np.array([(risk(f + e) - risk(f - e)) / 2e-5 for e in np.eye(len(f)) * 1e-5])
+        assert np.allclose(quality.risk_gradient(f, n, prior), by_hand, atol=1e-6)
+
+
+def test_quality_learns_from_rare_labels(spark):
+    """60 positives among 40,000 documents, a sample of 500: the positives are drawn among the labelled ones, not by the lottery over all."""
+    good = F.concat_ws(" ", *[F.element_at(F.array(*[F.lit(w) for w in ("River", "stone", "walked", "slowly", "evening.", "Garden", "light", "over", "fields,", "morning")]), (F.xxhash64("id", F.lit(k)) % 10 + 10).cast("int") % 10 + 1) for k in range(30)])
+    bad = F.repeat(F.concat(F.lit("BUY $$$ 999 !!! "), (F.col("id") % 7).cast("string"), F.lit(" ### ")), 12)
+    docs = spark.range(40_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, good).otherwise(bad).alias("text")).repartition(4)
+    labels = spark.range(0, 40_000, 640).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    known = docs.select("doc_id", "text")
+    model = quality.train(known, labels, sample=500)
+    score = quality.scorer(spark, model)()
+    texts = {r["doc_id"]: r["text"] for r in docs.filter("doc_id < 40").collect()}
+    found = dict(zip(texts, score(list(texts.values())), strict=True))
+    assert min(s for i, s in found.items() if i % 2 == 0) > max(s for i, s in found.items() if i % 2)
