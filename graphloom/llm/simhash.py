@@ -131,8 +131,8 @@ def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 GROUP = ["t", "key", "bi", "bj"]
 
 
-def whole_groups(links):
-    """A function over the batches of a partition sorted by group that gives ``links`` whole groups."""
+def whole_groups(links, rows: int = 4 * BLOCK):
+    """A function over the batches of a partition sorted by group that gives ``links`` whole groups, from so many rows on."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
@@ -140,7 +140,7 @@ def whole_groups(links):
             rest = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
             last = rest[GROUP].iloc[-1]
             whole = (rest[GROUP] != last).any(axis=1)
-            if whole.any() and len(rest) >= 4 * BLOCK:
+            if whole.any() and len(rest) >= rows:
                 yield links(rest[whole].reset_index(drop=True))
                 rest = rest[~whole].reset_index(drop=True)
         if rest is not None and len(rest):
@@ -220,14 +220,15 @@ def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = 3, id_co
 #: For similar texts of any kind: Jaccard similarity ALIKE[0] / ALIKE[1] of the shingle sets, exactly.
 ALIKE = (4, 5)
 #: Sets meet where all ROWS min-hashes of one of BANDS bands agree. The chance for sets of similarity j is 1 - (1 - j^ROWS)^BANDS
-#: (0.99998 at 0.8, 0.59 at 0.5, 3e-7 at 0.025), however large the corpus is.
-BANDS, ROWS = 28, 5
+#: (0.99998 at 0.8, 0.59 at 0.5, 3e-7 at 0.025), however large the corpus is. Those whose keys stay open meet again where one of
+#: SINGLES min-hashes agrees, 1 - (1 - j)^SINGLES (0.999997 at 0.8).
+BANDS, ROWS, SINGLES = 28, 5, 8
 FACTORS, OFFSETS = (np.array([xxhash.xxh32_intdigest(i.to_bytes(8, "little"), SEED + s) | 1 for i in range(BANDS * ROWS)], dtype=np.uint32) for s in (0, 1))
-#: 256 bits tell which pairs that share a key are worth comparing: sets of similarity j differ in arccos(2j / (1 + j)) / pi of
+#: 256 bits tell which sets of a group are worth comparing: sets of similarity j differ in arccos(2j / (1 + j)) / pi of
 #: the bits, 39 at 0.8 (deviation 6; 48 and 6 for sets of 4 and 5). Pairs over WIDE_RADIUS are let go (0.47 by the mean).
 WIDE_WORDS, WIDE_RADIUS = 4, 72
-#: Rows of a block of an open group.
-WIDE_BLOCK = 4096
+#: Rows and elements of a block of an open group, about, and columns of a piece of its membership matrix.
+WIDE_BLOCK, BLOCK_ELEMENTS, PIECE = 1024, 1_000_000, 4096
 
 
 def mix(h: np.ndarray, word: int) -> np.ndarray:
@@ -244,8 +245,8 @@ def wide_fingerprint(hashes: np.ndarray) -> list[int]:
     return [signed(majority(mix(hashes, w))) for w in range(WIDE_WORDS)] if len(hashes) else [0] * WIDE_WORDS
 
 
-def band_keys(hashes: np.ndarray) -> np.ndarray:
-    """A key for each band of a set of hashes; the empty set has one, too."""
+def minimum_keys(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a key for each band, one for each single min-hash) of a set of hashes; the empty set has them, too."""
     least = np.full(BANDS * ROWS, 0xFFFFFFFF, dtype=np.uint32)
     high = (hashes >> np.uint64(32)).astype(np.uint32)
     with np.errstate(over="ignore"):
@@ -254,7 +255,11 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
         key = np.arange(BANDS, dtype=np.uint64)
         for row in least.reshape(BANDS, ROWS).T:
             key = mix(key ^ row.astype(np.uint64), 0)
-    return key
+        return key, mix(mix(np.arange(SINGLES, dtype=np.uint64), 1) ^ least[: SINGLES * ROWS : ROWS].astype(np.uint64), 2)
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    return minimum_keys(hashes)[0]
 
 
 def fits_in(n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -262,23 +267,54 @@ def fits_in(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     return ALIKE[1] * np.minimum(n, m) >= ALIKE[0] * np.maximum(n, m)
 
 
-def open_pairs(columns: list[str]):
-    """Of partitions sorted by group: the pairs (a, b) of nodes to compare in each group, a > b.
-
-    Their components differ, their sizes fit, and their wide fingerprints are within WIDE_RADIUS, by pivot tables
-    and then exactly. A group (bi < 0, bj) has a block of the key's largest component and one of the rest.
+def common_elements(sets: list[np.ndarray]) -> np.ndarray:
+    """How many elements each two of the sets have in common, by products of pieces of their membership matrix."""
+    rows = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, column, holders = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = holders[column] > 1  # the others are in one set only
+    _, column = np.unique(column[shared], return_inverse=True)
+    rows = rows[shared]
+    order = np.argsort(column, kind="stable")
+    rows, column = rows[order], column[order]
+    out = np.zeros((len(sets), len(sets)), dtype=np.float32)
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, PIECE):
+        i, j = np.searchsorted(column, [start, start + PIECE])
+        piece = np.zeros((len(sets), PIECE), dtype=np.float32)
+        piece[rows[i:j], column[i:j] - start] = 1.0
+        out += piece @ piece.T
+    return out.astype(np.int64)
+
+
+def open_links(columns: list[str]):
+    """Of partitions sorted by group: links (a, b) that connect what each group connects.
+
+    Pivot tables over the wide fingerprints, then the fingerprints themselves, leave the pairs of different components and fitting
+    sizes within WIDE_RADIUS; the sets of their rows are compared exactly. A group (bi < 0, bj) has a block of the
+    key's largest component and one of the rest.
     """
 
-    def pairs(part: pd.DataFrame) -> pd.DataFrame:
+    def links(part: pd.DataFrame) -> pd.DataFrame:
         group = (part[GROUP] != part[GROUP].shift()).any(axis=1).cumsum().to_numpy()
         fps = part[columns].to_numpy().astype(np.int64).view(np.uint64)
         size, component, bulk, mixed = (part[c].to_numpy() for c in ("elements", "component", "bulk", "bi"))
         may = lambda i, j: (component[i] != component[j]) & fits_in(size[i], size[j]) & ((mixed[i] >= 0) | (bulk[i] != bulk[j]))
         i, j = linked_pairs(fps, group, WIDE_RADIUS, may)
-        node = part["node"].to_numpy()
-        return pd.DataFrame({"a": np.maximum(node[i], node[j]), "b": np.minimum(node[i], node[j])}).drop_duplicates()
-
-    return whole_groups(pairs)
+        node, shingles = part["node"].to_numpy(), part["shingles"].to_numpy()
+        order = np.argsort(group[i], kind="stable")
+        i, j = i[order], j[order]
+        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for of in np.split(np.arange(len(i)), np.flatnonzero(np.diff(group[i])) + 1) if len(i) else []:
+            used, at = np.unique(np.concatenate([i[of], j[of]]), return_inverse=True)
+            x, y = at[: len(of)], at[len(of) :]
+            common = common_elements([unpacked(shingles[u]) for u in used])[x, y]
+            alike = ALIKE[1] * common >= ALIKE[0] * (size[used][x] + size[used][y] - common)
+            root = forest(len(used), x[alike], y[alike])
+            moved = np.flatnonzero(root != np.arange(len(used)))
+            a.append(node[used[moved]])
+            b.append(node[used[root[moved]]])
+        return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+    return whole_groups(links, 1)  # sets may be long
 
 
 def packed(hashes: np.ndarray) -> bytes:
@@ -337,25 +373,33 @@ def stars(keyed: DataFrame) -> DataFrame:
     return keyed.join(heads, "key").filter("node <> b").select(F.col("node").alias("a"), "b").distinct()
 
 
-def open_groups(keyed: DataFrame, distinct: DataFrame, roots: DataFrame, columns: list[str]) -> DataFrame:
-    """The rows of keys whose nodes are not all of one component, in partitions sorted by group.
+def open_nodes(keyed: DataFrame, named: DataFrame) -> DataFrame:
+    """(node, component) of the nodes under keys of more than two nodes that are not all of one component. ``named``: (node, component) of all nodes that share keys."""
+    here = keyed.join(named, "node")
+    keys = here.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high AND n > 2")
+    return here.join(materialise(keys.select("key"), "open"), "key", "left_semi").select("node", "component").distinct()
+
+
+def open_groups(nodes: DataFrame, distinct: DataFrame, sets: DataFrame, columns: list[str]) -> DataFrame:
+    """The open nodes with their sets, in partitions sorted by the groups in which they meet again.
 
-    ``keyed``: (node, key). A key's largest component meets the rest only, never itself, so that a few rows beside one
-    very large component cost rows in proportion; where the rest has several blocks, every pair of its blocks is a group.
+    ``nodes``: (node, component). They meet under single min-hashes, few keys as sets travel along. A key's largest component meets the
+    rest only, never itself, so that a few rows beside one very large component cost rows in proportion; where the rest
+    has several blocks, every pair of its blocks is a group.
     """
-    named = keyed.join(roots, "node", "left").select("node", "key", F.coalesce("root", "node").alias("component"))
-    sizes = named.groupBy("key", "component").agg(F.count(F.lit(1)).alias("m"))
-    keys = sizes.groupBy("key").agg(F.max(F.struct("m", "component")).alias("top"), F.sum("m").alias("n"), F.count(F.lit(1)).alias("parts")).filter("parts > 1 AND n > 2")
-    blocks = lambda n: F.ceil(n / F.lit(WIDE_BLOCK)).cast("int")
-    keys = materialise(keys.select("key", F.col("top.component").alias("largest"), blocks(F.col("top.m")).alias("of_bulk"), blocks(F.col("n") - F.col("top.m")).alias("of_rest")), "open")
-    met = named.join(keys, "key").join(distinct.select("node", *columns), "node")
+    keyed = nodes.join(distinct.select("node", "elements", F.explode("singles").alias("key")), "node")
+    sizes = keyed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("m"), F.sum("elements").alias("e"))
+    keys = sizes.groupBy("key").agg(F.max(F.struct("m", "component", "e")).alias("top"), F.sum("m").alias("n"), F.sum("e").alias("e"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+    blocks = lambda n, e: F.ceil(F.greatest(n / F.lit(WIDE_BLOCK), e / F.lit(BLOCK_ELEMENTS))).cast("int")
+    keys = materialise(keys.select("key", F.col("top.component").alias("largest"), blocks(F.col("top.m"), F.col("top.e")).alias("of_bulk"), blocks(F.col("n") - F.col("top.m"), F.col("e") - F.col("top.e")).alias("of_rest")), "open")
+    met = keyed.drop("elements").join(keys, "key").join(distinct.select("node", *columns), "node").join(sets, "node")
     bulk = F.col("component") == F.col("largest")
     own = F.pmod(F.xxhash64("node"), F.when(bulk, F.col("of_bulk")).otherwise(F.col("of_rest"))).cast("int")
     pair = lambda i, j: F.struct(i.alias("bi"), j.alias("bj"))
     of_bulk = F.transform(F.sequence(F.lit(0), F.col("of_rest") - 1), lambda r: pair(-1 - F.col("own"), r))
     of_rest = F.concat(F.transform(F.sequence(F.lit(0), F.col("of_bulk") - 1), lambda b: pair(-1 - b, F.col("own"))), F.transform(F.sequence(F.lit(0), F.col("of_rest") - 1), lambda r: pair(F.least("own", r), F.greatest("own", r))))
     met = met.withColumn("own", own).withColumn("bulk", bulk.cast("int")).withColumn("g", F.explode(F.when(bulk, of_bulk).otherwise(of_rest)))
-    met = met.select(F.lit(0).alias("t"), "key", "g.bi", "g.bj", "node", "component", "bulk", *columns)
+    met = met.select(F.lit(0).alias("t"), "key", "g.bi", "g.bj", "node", "component", "bulk", *columns, "shingles")
     return met.repartition(*GROUP).sortWithinPartitions(*GROUP)
 
 
@@ -364,9 +408,9 @@ def similar_components(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id"
 
     Sets meet under the keys of min-hash bands (see BANDS), whose recall does not depend on the size of the corpus. First
     each set is compared with the least of every key that it shares, which joins nearly all copies at a cost linear in the
-    keys. Then, under keys whose sets are not all of one component, all pairs of different components
-    are tried by pivot tables over 256-bit fingerprints, and the survivors are compared. Only sets that are
-    similar (by hashes of 40 bits) are linked. Nulls, empty texts and repeats are as in ``simhash_components``.
+    keys. Then the sets under keys that are not all of one component meet again; in each group pivot tables over
+    256-bit fingerprints discard, the rest are compared, and a spanning forest of links is returned, not all pairs. Only sets
+    that are similar (by hashes of 40 bits) are linked. Nulls, empty texts and repeats are as in ``simhash_components``.
     """
     words = [f"f{w}" for w in range(WIDE_WORDS)]
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
@@ -374,23 +418,23 @@ def similar_components(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id"
     def make():
         def step(columns):
             hashes = [np.unique(shingle_hashes(t, shingle)) for t in columns[1]]
-            prints = [wide_fingerprint(h) for h in hashes]
-            return [columns[0], [set_node(h) for h in hashes], [len(h) for h in hashes], *([p[w] for p in prints] for w in range(WIDE_WORDS)), [band_keys(h).view(np.int64) for h in hashes]]
+            prints, keys = [wide_fingerprint(h) for h in hashes], [minimum_keys(h) for h in hashes]
+            return [columns[0], [set_node(h) for h in hashes], [len(h) for h in hashes], *([p[w] for p in prints] for w in range(WIDE_WORDS)), *([k[i].view(np.int64) for k in keys] for i in (0, 1))]
 
         return step
 
-    light = materialise(map_rows(texts, make, "doc_id long, node long, elements long, " + ", ".join(f"{w} long" for w in words) + ", keys array<long>"), "wide")
+    light = materialise(map_rows(texts, make, "doc_id long, node long, elements long, " + ", ".join(f"{w} long" for w in words) + ", keys array<long>, singles array<long>"), "wide")
     columns = [*words, "elements"]
-    distinct = materialise(light.groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("rep"), *[F.first(c).alias(c) for c in (*columns, "keys")]), "distinct")
+    distinct = materialise(light.groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("rep"), *[F.first(c).alias(c) for c in (*columns, "keys", "singles")]), "distinct")
     keyed = distinct.select("node", F.explode("keys").alias("key"))
     tried = materialise(stars(keyed), "stars")
-    met = tried.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    met = materialise(tried.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "met")
     owners = materialise(distinct.select("node", "rep").join(met, "node", "left_semi").select(F.col("rep").alias("owner")).distinct(), "owners")
     sets = shingle_sets(texts, owners, shingle)
     roots = materialise(connected_components(compared(tried, sets)), "roots")
-    parts = open_groups(keyed.join(tried.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi"), distinct, roots, columns)
-    more = parts.mapInPandas(open_pairs(words), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
-    more = materialise(compared(more, sets), "links")
+    named = met.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("component"))
+    parts = open_groups(materialise(open_nodes(keyed, named), "open-nodes"), distinct, sets, columns)
+    more = materialise(parts.mapInPandas(open_links(words), "a long, b long").distinct(), "links")
     links = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
     return light.select("doc_id", "node").join(components_of(distinct, links, ["node"]), "node").select("doc_id", F.nullif("component", F.lit(NO_ID)).alias("component_id"))
 

@@ -691,3 +691,12 @@ def test_quality_learns_from_rare_labels(spark):
     texts = {r["doc_id"]: r["text"] for r in docs.filter("doc_id < 40").collect()}
     found = dict(zip(texts, score(list(texts.values())), strict=True))
     assert min(s for i, s in found.items() if i % 2 == 0) > max(s for i, s in found.items() if i % 2)
+
+
+def test_common_elements_equal_intersections(monkeypatch):
+    monkeypatch.setattr(simhash, "PIECE", 16)
+    random = np.random.default_rng(8)
+    sets = [np.unique(random.integers(0, 90, n).astype(np.uint64)) for n in (0, 1, 30, 60, 80, 80)]
+    common = simhash.common_elements(sets)
+    assert all(common[i, j] == len(np.intersect1d(a, b)) for i, a in enumerate(sets) for j, b in enumerate(sets) if i != j)
+    assert (simhash.common_elements([sets[0], sets[0]]) == 0).all()
