@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import query_text
+from ..functions import literals, query_text
 from ..operators import refresh
 from ..sources import files
 from .catalog import table_graph
@@ -110,7 +110,7 @@ def _(spark, d):
 @query("q10_literal_problems", "SELECT p_partkey AS id, CASE WHEN p_size >= 2 AND abs(p_size - substr(p_brand, 7)::INT) > 1 THEN 1 ELSE 0 END AS problems FROM part")
 def _(spark, d):
     rows = cypher_texts(spark, d).join(read(spark, d, "part").select(F.col("p_partkey").alias("id"), "p_brand"), "id").withColumn("question", F.concat(F.lit("Which parts of brand "), "p_brand", F.lit(" are large?")))
-    return rows.select("id", query_text.frame(lambda q, c: len(query_text.literal_problems(q, c)), "int", "question", "cypher").alias("problems"))
+    return rows.select("id", query_text.frame(lambda q, c: len(literals.literal_problems(q, c)), "int", "question", "cypher").alias("problems"))
 
 
 @query("q14_empty_diagnosis", "SELECT '1:match' AS stage, count(*) AS n FROM part UNION ALL SELECT '2:where', 0")

@@ -2,6 +2,7 @@
 
 import pytest
 
+from graphloom.functions import literals
 from graphloom.functions import query_text as q
 
 SCHEMA = q.Schema({"A": {"x": "INTEGER", "kind": "STRING"}, "B": {"y": "STRING"}}, {"R": {"w": "FLOAT"}}, {("A", "R", "B"): 3}, {"B.y": ("u", "v")})
@@ -79,11 +80,25 @@ def test_atoms_and_rename():
         ("More than 3 of them?", "MATCH (a:A) WITH a, count(*) AS c WHERE c >= 4 RETURN a.x", [], None),
         ("Within two hops of 7?", "MATCH (a:A {x: 7})-[:R*1..2]->(b:B) RETURN b.y", [7], None),
         ("Within 7 days?", "MATCH (a:A) WHERE a.t <= a.s + duration('P7D') RETURN a.x", [], None),
+        ("The top twenty?", "MATCH (a:A) RETURN a.x ORDER BY a.x LIMIT 20", [], None),
+        ("The first of them?", "MATCH (a:A) RETURN a.x ORDER BY a.x LIMIT 2", [], "LIMIT 2"),
+        ("In thirteen of a dozen?", "MATCH (a:A) WHERE a.x > 14 AND a.z = 12 RETURN a", [], None),
+        ("Twenty-five or fifty?", "MATCH (a:A) WHERE a.x IN [25, 50] RETURN a", [], None),
+        ("In the last month or year?", "MATCH (a:A) WHERE a.x > 30 AND a.z < 365 RETURN a", [], None),
+        ("What happened in Mar 2012?", "MATCH (a:A) WHERE a.t >= date('2012-03-01') AND a.t < date('2012-04-01') RETURN a", [], None),
+        ("What happened in 2012-03?", "MATCH (a:A) WHERE a.t >= date('2012-03-01') RETURN a", [], None),
+        ("What happened in March 2012?", "MATCH (a:A) WHERE a.t >= date('2012-05-01') AND a.z = 7 RETURN a", [], "number 7"),
+        ("On the 3rd of May, 2020?", "MATCH (a:A) WHERE a.t = date('2020-05-03') RETURN a", [], None),
+        ("On the 3rd of May, 2020?", "MATCH (a:A) WHERE a.t = date('2020-05-04') RETURN a", [], "2020-05-04"),
+        ("In 2019?", "MATCH (a:A) WHERE a.t <= date('2019-12-31') AND a.t >= date('2019-01-01') AND a.s < date('2020-01-01') RETURN a", [], None),
+        ("Within a week?", "MATCH (a:A) WHERE a.t <= a.s + duration('P1W') AND a.z < a.s + duration('PT36H') RETURN a", [], "PT36H"),
+        ("Which have “tag x”?", "MATCH (a:A) WHERE a.t = 'tag y' RETURN a", [], "quoted value 'tag x'"),
+        ("Which of kind red-ish blue?", "MATCH (a:A {kind: 'red_ish'}) RETURN a", [], None),
         ("Half of it?", "MATCH (a:A) WHERE a.x > a.z / 20 RETURN collect({type: 'Thing'}) AS c", [], None),
     ],
 )
 def test_literals(question, text, bound, problem):
-    found = q.literal_problems(question, text, bound)
+    found = literals.literal_problems(question, text, bound)
     assert found == [] if problem is None else any(problem in f for f in found)
 
 
