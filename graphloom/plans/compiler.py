@@ -4,13 +4,13 @@ Every variable becomes a few flat columns: a node its id and the properties that
 relationship its edge id and properties. A pattern is a chain of equi-joins of edge frames; node frames are
 joined only where a property is needed. EXISTS and pattern predicates become semi and anti joins, OPTIONAL
 MATCH a left join of the whole pattern with its WHERE as join condition, variable lengths unions of
-bounded self-joins that keep edge ids. All else is left to Catalyst.
+self-joins that keep edge ids and grow from the starts that the pattern leaves. All else is left to Catalyst.
 """
 
 from __future__ import annotations
 
 import itertools
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field, replace
 from functools import reduce
 from typing import Any
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..functions.scalars import Typed
+from ..steps import written
 from .catalog import GraphCatalog, Triple
 from .lexer import CypherError
 from .parser import parse
@@ -30,8 +31,8 @@ from .syntax import (
 
 AGGREGATES = {"count", "sum", "avg", "min", "max", "collect", "stdev", "stdevp", "percentilecont", "percentiledisc"}
 IDENTITY_ONLY = {"count", "id", "elementid", "labels", "type", "length", "startnode", "endnode", "nodes", "relationships"}
-#: Hops of a variable length without an upper bound.
-MAX_HOPS = 3
+#: Rounds of an unbounded variable length; trails end by themselves, so this only stops what would never be done.
+MAX_ROUNDS = 1000
 KIND = {"string": "str", "bigint": "int", "int": "int", "smallint": "int", "double": "float", "float": "float", "boolean": "bool", "timestamp": "ts", "timestamp_ntz": "ts", "date": "date"}
 
 
@@ -114,10 +115,11 @@ def uses(tree) -> dict[str, set[str]]:
 class Compiler:
     """Compiles queries over one catalog. ``strict``: unknown labels, types and properties are errors; else they match nothing and are null."""
 
-    def __init__(self, spark: SparkSession, catalog: GraphCatalog, params: Mapping[str, Any] | None = None, strict: bool = False, max_hops: int = MAX_HOPS):
+    def __init__(self, spark: SparkSession, catalog: GraphCatalog, params: Mapping[str, Any] | None = None, strict: bool = False, max_hops: int | None = None):
         self.spark, self.catalog, self.params, self.strict, self.max_hops = spark, catalog, params or {}, strict, max_hops
         self.numbers = itertools.count()
         self.used: dict[str, set[str]] = {}
+        self.hints: tuple = ()
 
     def run(self, query: str | Query) -> DataFrame:
         tree = parse(query) if isinstance(query, str) else query
@@ -185,7 +187,7 @@ class Compiler:
     # -- patterns
 
     def match(self, clause: Match, df: DataFrame | None, scope: Scope) -> tuple[DataFrame, Scope]:
-        pattern, inner, shared = self.pattern(clause.paths, scope, joined=df is not None)
+        pattern, inner, shared = self.pattern(clause.paths, scope, joined=df is not None, hints=conjuncts(clause.where))
         if df is None:
             if clause.optional:
                 kept = self.where(pattern, inner, clause.where)
@@ -205,19 +207,25 @@ class Compiler:
     def equal(shared: list[tuple[str, str]]) -> Column | None:
         return reduce(lambda a, b: a & b, [F.col(a) == F.col(b) for a, b in shared]) if shared else None
 
-    def pattern(self, paths: tuple, scope: Scope, joined: bool = True) -> tuple[DataFrame, Scope, list[tuple[str, str]]]:
-        """The paths of one MATCH as one frame: its bindings of new variables, and (outer, inner) columns of shared ones."""
+    def pattern(self, paths: tuple, scope: Scope, joined: bool = True, hints: Iterable = ()) -> tuple[DataFrame, Scope, list[tuple[str, str]]]:
+        """The paths of one MATCH as one frame: its bindings of new variables, and (outer, inner) columns of shared ones.
+
+        A path that starts or ends at a bound variable grows from there, edge by edge; another is built alone and joined.
+        ``hints``: conditions of the MATCH, from which variable lengths take the starts they need.
+        """
         allowed = self.labels(paths, scope)
-        frames: list[tuple[DataFrame, Scope]] = []
         edges: list[tuple[frozenset[Triple], str, bool]] = []  # what may repeat an edge: triples, column, whether an array
         mixed = len({t for p in paths for r in p.rels for t in self.triples(r)}) > 1
-        for path in paths:
-            frames.append(self.path(path, scope, allowed, edges, mixed))
-        df, env = frames[0]
-        rest = frames[1:]
+        rest = list(paths)
+        self.hints = tuple(hints)
+        df, env = self.path(rest.pop(0), scope, allowed, edges, mixed)
         while rest:  # paths that share a variable first
-            at = next((i for i, (_, e) in enumerate(rest) if set(e) & set(env)), 0)
-            other, e = rest.pop(at)
+            at = next((i for i, p in enumerate(rest) if any(n.name in env for n in p.nodes)), 0)
+            path = rest.pop(at)
+            if (anchored := self.anchored(path, env, allowed)) is not None:
+                df, env = self.path(anchored, scope, allowed, edges, mixed, df, env)
+                continue
+            other, e = self.path(path, scope, allowed, edges, mixed)
             common = self.shared(env, e)
             on = self.equal(common)
             df = df.crossJoin(other) if on is None else df.join(other, on).drop(*[b for _, b in common])
@@ -229,6 +237,20 @@ class Compiler:
         shared = self.shared(scope, env) if joined else []
         return df, {k: v for k, v in env.items() if k not in scope or not joined}, shared
 
+    @staticmethod
+    def anchored(path: Path, env: Scope, allowed: dict) -> Path | None:
+        """The path so turned that its first node is bound, or None."""
+        bound = lambda n: n.name in env and env[n.name].kind == "node"
+        if not path.rels or bound(path.nodes[0]):
+            return path if path.rels else None
+        if not bound(path.nodes[-1]) or path.name or path.shortest or any(r.many for r in path.rels):
+            return None
+        turned = {"out": "in", "in": "out", "both": "both"}
+        new = replace(path, nodes=path.nodes[::-1], rels=tuple(replace(r, direction=turned[r.direction]) for r in path.rels[::-1]))
+        allowed |= {(id(new), j): allowed[id(path), len(path.rels) - j] for j in range(len(path.nodes))}
+        allowed["kept"] = (*allowed.get("kept", ()), new)  # so that its identity stays its own
+        return new
+
     def shared(self, outer: Scope, inner: Scope) -> list[tuple[str, str]]:
         found = []
         for name in inner:
@@ -332,20 +354,41 @@ class Compiler:
         shown = self.used.get(name, set()) if name else set()
         return set(shown) | {k for k, _ in props} | ({"*"} if name and "*" in self.used.get("*", ()) else set())
 
-    def path(self, path: Path, scope: Scope, allowed: dict, edges: list, mixed: bool) -> tuple[DataFrame, Scope]:
-        """One path as a frame with its bindings."""
+    def starts(self, node: Node, labels: frozenset[str]) -> DataFrame | None:
+        """(id, label) of the nodes that the node's properties and the hints on it alone leave; None if they say nothing."""
+        alone = [c for c in self.hints if node.name and {x.name for x in walk(c) if isinstance(x, Variable)} == {node.name} and not any(isinstance(x, Exists) for x in walk(c))]
+        if not labels or not (alone or node.props):
+            return None
+        found = [self.scan(node, frozenset({label}), {}) for label in sorted(labels)]
+        parts = []
+        for label, (df, env) in zip(sorted(labels), found, strict=True):
+            for c in alone:
+                df = df.filter(self.value(c, env).column)
+            key = env[node.name].id if node.name else df.columns[0]
+            parts.append(df.select(F.col(key).alias("#id"), F.lit(label).alias("#label")))
+        return reduce(lambda a, b: a.unionByName(b), parts)
+
+    def path(self, path: Path, scope: Scope, allowed: dict, edges: list, mixed: bool, df: DataFrame | None = None, env: Scope | None = None) -> tuple[DataFrame, Scope]:
+        """One path as a frame with its bindings; from ``df`` on if its first node is bound in ``env``."""
         own = lambda j: allowed[id(path), j]
-        env: Scope = {}
+        env = dict(env or {})
         if not path.rels:
             return self.scan(path.nodes[0], own(0), env)
-        df: DataFrame | None = None
         places: list[tuple[str, str | None]] = []  # (id column, label column) of each node
+        if df is not None:
+            first = env[path.nodes[0].name]
+            places = [(first.id, first.label_column)]
         arrays: list[str] = []
         fixed = 0
         for j, rel in enumerate(path.rels):
             left, right = own(j), own(j + 1)
             if rel.many or path.shortest:
-                step, info = self.many(rel, left, right, mixed, path.shortest, bool(path.name))
+                if df is None:
+                    starts = self.starts(path.nodes[0], left)
+                else:
+                    tag = F.col(places[-1][1]) if places[-1][1] else F.lit(next(iter(left))) if len(left) == 1 else None
+                    starts = df.select(F.col(places[-1][0]).alias("#id"), *([] if tag is None else [tag.alias("#label")])).distinct()
+                step, info = self.many(rel, left, right, mixed, path.shortest, starts)
                 arrays.append(info["cols"]["eids"])
                 edges.append((info["triples"], info["cols"]["eids"], True)) if not path.shortest else None
                 if rel.name:
@@ -379,8 +422,9 @@ class Compiler:
         """Bind a node to its place in a path, and join its frame if properties are needed."""
         id_column, label_column = place
         if node.name in env:
-            df = df.filter(F.col(env[node.name].id) == F.col(id_column))
-            if label_column and env[node.name].label_column:
+            if env[node.name].id != id_column:
+                df = df.filter(F.col(env[node.name].id) == F.col(id_column))
+            if label_column and env[node.name].label_column not in (None, label_column):
                 df = df.filter(F.col(env[node.name].label_column) == F.col(label_column))
             bound = env[node.name]
         else:
@@ -429,8 +473,12 @@ class Compiler:
             df = df.filter(self.is_equal(cols.get(k), bound.kinds.get(k), v, {}))
         return df, env | ({node.name: bound} if node.name else {})
 
-    def many(self, rel: Relationship, left: frozenset[str], right: frozenset[str], mixed: bool, shortest: bool, nodes: bool) -> tuple[DataFrame, dict]:
-        """Variable length: columns s, d, eids (trails: no edge repeats). ``shortest``: one row for each pair at its least length."""
+    def many(self, rel: Relationship, left: frozenset[str], right: frozenset[str], mixed: bool, shortest: bool, starts: DataFrame | None) -> tuple[DataFrame, dict]:
+        """Variable length: columns s, d, eids (trails: no edge repeats). ``shortest``: one row for each pair at its least length.
+
+        Trails grow from ``starts`` (all nodes if None). Without an upper bound, or a ``max_hops`` of the compiler, they grow until none
+        can, each round written to the shared folder; as no edge repeats, that comes to an end.
+        """
         low, high = (1, None) if rel.low is None else (rel.low, rel.high)
         high = self.max_hops if high is None else high
         touched = frozenset(x for t in self.triples(rel) for x in (t[0], t[2]))
@@ -445,11 +493,16 @@ class Compiler:
             labels = sorted(left & right)
             selves = [self.catalog.nodes[x].select(F.col("_id").alias(s), F.col("_id").alias(d), F.array().cast("array<bigint>").alias(eids), *([F.lit(x).alias(sl), F.lit(x).alias(dl)] if tagged else [])) for x in labels]
             levels += [reduce(lambda a, b: a.unionByName(b), selves)] if selves else []
+        if starts is not None:
+            on = F.col(s) == F.col("#id")
+            if tagged and "#label" in starts.columns:
+                on &= F.col(sl) == F.col("#label")
+            frontier = frontier.join(starts, on, "left_semi")
         keys = [s, d] + ([sl, dl] if tagged else [])
         if shortest:
             frontier = frontier.filter(F.col(s) != F.col(d)).dropDuplicates(keys)
         visited = frontier
-        for n in range(1, high + 1):
+        for n in range(1, (high or MAX_ROUNDS) + 1):
             if n > 1:
                 on = F.col(d) == F.col(c["s"])
                 if tagged:
@@ -458,10 +511,20 @@ class Compiler:
                 grown = grown.select(F.col(s), F.col(c["d"]).alias(d), F.concat(F.col(eids), F.array(c["eid"])).alias(eids), *([F.col(sl), F.col(c["dl"]).alias(dl)] if tagged else []))
                 if shortest:
                     grown = grown.filter(F.col(s) != F.col(d)).dropDuplicates(keys).join(visited.select(*keys), keys, "left_anti")
-                    visited = visited.unionByName(grown)
                 frontier = grown
+            if high is None:
+                frontier = written(frontier, "trails")
+                if frontier.isEmpty():
+                    break
+            if n > 1:
+                visited = visited.unionByName(frontier)
             if n >= low and not shortest:
                 levels.append(frontier)
+        else:
+            if high is None:
+                raise CypherError(f"trails of more than {MAX_ROUNDS} hops")
+        if not levels and not shortest:
+            levels.append(frontier.filter(F.lit(False)))
         df = visited if shortest else reduce(lambda a, b: a.unionByName(b), levels)
         if tagged:
             df = df.filter(F.col(sl).isin(*left) & F.col(dl).isin(*right))

@@ -1,6 +1,7 @@
 """The compiler on a small graph: traps of Cypher semantics, with hand-computed results."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from graphloom.plans.catalog import GraphCatalog
 from graphloom.plans.compiler import cypher
@@ -113,3 +114,34 @@ def test_properties_not_used_are_not_read(spark, graph):
 def test_what_is_not_in_the_subset_is_rejected(text):
     with pytest.raises(CypherError):
         parse(text)
+
+
+def chain(spark, hops, extra=()):
+    """A chain 0 -> 1 -> ... of nodes A, and more edges."""
+    nodes = spark.range(hops + 3).select(F.col("id").alias("_id"), F.col("id").alias("k"))
+    pairs = [(i, i + 1) for i in range(hops)] + list(extra)
+    edges = spark.createDataFrame([(a, b, i) for i, (a, b) in enumerate(pairs)], "_src long, _dst long, _eid long")
+    return GraphCatalog(nodes={"A": nodes}, edges={("A", "R", "A"): edges})
+
+
+def test_unbounded_lengths_go_on_until_nothing_grows(spark):
+    """Five hops and more, cycles included: each edge once a trail."""
+    told = lambda g, q: rows(spark, g, q)
+    g = chain(spark, 6)
+    assert told(g, "MATCH (a:A {k: 0})-[:R*]->(b:A) RETURN b.k AS k") == [(i,) for i in range(1, 7)]
+    assert told(g, "MATCH (a:A)-[:R*5..]->(b:A) WHERE a.k < 3 RETURN a.k AS a, b.k AS b") == [(0, 5), (0, 6), (1, 6)]
+    assert told(g, "MATCH p = shortestPath((a:A {k: 1})-[:R*]-(b:A)) RETURN b.k AS k, length(p) AS n") == [(0, 1), (2, 1), (3, 2), (4, 3), (5, 4), (6, 5)]
+    assert told(g, "MATCH (a:A {k: 8})-[:R*]->(b:A) RETURN b.k AS k") == []
+    ring = chain(spark, 3, [(3, 0)])
+    assert told(ring, "MATCH (a:A {k: 2})-[:R*]->(b:A) RETURN b.k AS k") == [(0,), (1,), (2,), (3,)]
+    assert told(ring, "MATCH (a:A {k: 2})-[:R*0..]->(b:A) RETURN b.k AS k") == [(0,), (1,), (2,), (2,), (3,)]
+
+
+def test_paths_grow_from_bound_variables(spark):
+    """Comma patterns that begin, end or pass at a bound variable, and a variable length after a fixed hop."""
+    told = lambda g, q: rows(spark, g, q)
+    g = chain(spark, 4, [(0, 2), (2, 0)])
+    edges = {(0, 1), (1, 2), (2, 3), (3, 4), (0, 2), (2, 0)}
+    assert told(g, "MATCH (a:A)-[:R]->(b:A), (b)-[:R]->(c:A), (a)-[:R]->(c) RETURN a.k AS a, b.k AS b, c.k AS c") == sorted((a, b, c) for a, b in edges for x, c in edges if b == x and (a, c) in edges)
+    assert told(g, "MATCH (a:A)-[:R]->(b:A), (c:A)-[:R]->(a) RETURN a.k AS a, b.k AS b, c.k AS c") == sorted((a, b, c) for a, b in edges for c, y in edges if y == a and (c, y) != (a, b))
+    assert told(g, "MATCH (a:A {k: 1})-[:R]->(b:A)-[:R*1..2]->(c:A) RETURN c.k AS c") == [(0,), (1,), (2,), (3,), (4,)]
