@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Mapping
 from functools import reduce
 
 import pandas as pd
@@ -121,9 +122,32 @@ def question_key(text: Column) -> Column:
     return F.regexp_replace(squeeze(F.lower(text)), r"[?.!\s]+$", "")
 
 
-def content_id(prefix: str, *parts: Column) -> Column:
-    """The prefix and 16 hex digits of the parts' sha256."""
-    return F.concat(F.lit(prefix), F.substring(F.sha2(F.concat_ws("\u001f", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), 256), 1, 16))
+def json_text(value: Column) -> Column:
+    """A text as a JSON string in ASCII, other characters as lower-case escapes (surrogate pairs beyond the plane); null is the empty text."""
+    value = F.coalesce(value.cast("string"), F.lit(""))
+    escape = lambda code: F.concat(F.lit("\\u"), F.lower(F.lpad(F.hex(code.cast("long")), 4, "0")))
+
+    def letter(c: Column) -> Column:
+        code = F.ascii(c)
+        wide = code - 0x10000
+        short = F.when(c == '"', F.lit('\\"')).when(c == "\\", F.lit("\\\\"))
+        for raw, name in (("\n", "n"), ("\r", "r"), ("\t", "t"), ("\b", "b"), ("\f", "f")):
+            short = short.when(c == raw, F.lit("\\" + name))
+        pair = F.concat(escape(F.lit(0xD800) + F.shiftright(wide, 10)), escape(F.lit(0xDC00) + wide.bitwiseAND(0x3FF)))
+        return short.when(code > 0xFFFF, pair).when((code > 126) | (code < 32), escape(code)).otherwise(c)
+
+    letters = F.filter(F.split(value, ""), lambda c: c != "")
+    return F.concat(F.lit('"'), F.when(value.rlike(r"^[ !#-\[\]-~]*$"), value).otherwise(F.array_join(F.transform(letters, letter), "")), F.lit('"'))
+
+
+#: Fixed value: what ids of exported items begin with.
+ID_PREFIX = "pc_"
+
+
+def content_id(fields: Mapping[str, Column], prefix: str = ID_PREFIX) -> Column:
+    """The prefix and 16 digits of the sha256 of the fields as JSON with sorted keys."""
+    parts = [F.concat(F.lit(f'"{k}": '), json_text(v)) for k, v in sorted(fields.items())]
+    return F.concat(F.lit(prefix), F.substring(F.sha2(F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}")), 256), 1, 16))
 
 
 def clean_query(text: Column) -> Column:
@@ -205,8 +229,9 @@ def expected_distinct(distinct: Column, total: Column, vocabulary: Column) -> Co
     return distinct / (vocabulary * (1 - F.pow((vocabulary - 1) / vocabulary, total)))
 
 
-def self_bleu(texts: list[list[str]], order: int = 4) -> float:
-    """Mean BLEU of each text against all others (at most 200 texts, as sorted by the caller)."""
+def self_bleu(texts: list[list[str]], order: int = 2, most: int = 200) -> float:
+    """Mean BLEU of each text against all others, over the first ``most`` texts in order of their words."""
+    texts = sorted((t for t in texts if t), key=" ".join)[:most]
     if len(texts) < 2:
         return 0.0
     counts = [[Counter(tuple(t[i : i + n]) for i in range(len(t) - n + 1)) for n in range(1, order + 1)] for t in texts]

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..steps import written
+
 SEED = "graphloom"
 
 
@@ -179,19 +181,33 @@ def entity_cap(df: DataFrame, group: Sequence[str], value: str, order: Sequence[
     return df.withColumn("over_cap", F.row_number().over(w) > limit)
 
 
-def ordered_quota(df: DataFrame, duplicates: Sequence[str], quotas: Mapping[str, int], order: Sequence[str]) -> DataFrame:
-    """``decision`` in acceptance order: duplicate if the key was seen, else the first column whose value has its quota, else accept.
+def ordered_quota(df: DataFrame, duplicates: Sequence[str], quotas: Mapping[str, tuple[Sequence[str], int]], order: Sequence[str], most_rounds: int = 200) -> DataFrame:
+    """``decision`` in acceptance order: duplicate if an accepted row has the key, else the first quota that accepted rows have filled, else accept.
 
-    Feedback (a rejected row doesn't count) makes it sequential in each duplicate-free stream; here quotas count all rows that are no duplicates.
+    ``quotas``: name -> (columns, most accepted rows of each of their values); the key is a quota of 1. Only accepted rows count, so a
+    decision depends on those before it. Two bounds close in on them: a row is surely accepted if even all rows that may still be
+    accepted leave it room, and surely rejected if the surely accepted ones fill a quota before it. The first open row of
+    the order is settled in each round, and in practice nearly all are in a few; each round is written.
+    ``order`` must tell rows apart.
     """
-    w = Window.partitionBy(*duplicates).orderBy(*order)
-    out = df.withColumn("_dup", F.row_number().over(w) > 1)
-    decision = F.when(F.col("_dup"), "duplicate")
-    for column, quota in quotas.items():
-        rank = F.sum(F.when(F.col("_dup"), 0).otherwise(1)).over(Window.partitionBy(column).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-        out = out.withColumn(f"_r_{column}", rank)
-        decision = decision.when(F.col(f"_r_{column}") > quota, f"quota:{column}")
-    return out.withColumn("decision", decision.otherwise("accept")).drop("_dup", *[f"_r_{c}" for c in quotas])
+    limits = {"duplicate": (tuple(duplicates), 1)} | {f"quota:{n}": (tuple(c), q) for n, (c, q) in quotas.items()}
+    before = {n: Window.partitionBy(*c).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1) for n, (c, _) in limits.items()}
+    # "sure": surely accepted; "gone": surely rejected, for the reason that comes first.
+    state = df.withColumn("sure", F.lit(False)).withColumn("gone", F.lit(False))
+    for _ in range(most_rounds):
+        taken = {n: F.coalesce(F.sum(F.col("sure").cast("int")).over(w), F.lit(0)) for n, w in before.items()}
+        possible = {n: F.coalesce(F.sum((~F.col("gone")).cast("int")).over(w), F.lit(0)) for n, w in before.items()}
+        full = reduce(lambda a, b: a | b, [taken[n] >= q for n, (_, q) in limits.items()])
+        room = reduce(lambda a, b: a & b, [possible[n] < q for n, (_, q) in limits.items()])
+        state = written(state.withColumns({"sure": F.col("sure") | (~F.col("gone") & room), "gone": F.col("gone") | (~F.col("sure") & full)}), "quota")
+        if state.filter("NOT sure AND NOT gone").isEmpty():
+            break
+    else:
+        raise RuntimeError("quotas did not settle")
+    decision = F.lit("accept")
+    for n, (_, q) in reversed(limits.items()):
+        decision = F.when(~F.col("sure") & (F.coalesce(F.sum(F.col("sure").cast("int")).over(before[n]), F.lit(0)) >= q), n).otherwise(decision)
+    return state.withColumn("decision", decision).drop("sure", "gone")
 
 
 def largest_remainder(df: DataFrame, share: str, total: int, key: str, group: Sequence[str] = ()) -> DataFrame:

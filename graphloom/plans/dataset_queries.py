@@ -6,6 +6,8 @@ evaluation rows, labels for two binary raters, documents and benchmark for quest
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -131,7 +133,7 @@ def _(spark, d):
     return selection.random_splits(items(spark, d), ["graph", "category"]).select("id", "split")
 
 
-@query("w04_repaired_splits")
+@query("w04_repaired_splits", f"WITH {ITEMS} SELECT id, CASE row_number() OVER (ORDER BY id DESC) WHEN 1 THEN 'dev' WHEN 2 THEN 'test' ELSE 'train' END AS split FROM items")
 def _(spark, d):
     return selection.repair_splits(items(spark, d).withColumn("split", F.lit("train"))).select("id", "split")
 
@@ -150,12 +152,22 @@ def _(spark, d):
     return selection.split_leakage(selection.random_splits(items(spark, d), ["graph", "category"]), "signature")
 
 
-@query("w07_block_splits")
+@query("w07_block_splits", f"""WITH RECURSIVE {ITEMS}, b AS (SELECT signature, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, signature) AS i, sum(count(*)) OVER () AS total FROM items GROUP BY 1),
+s(i, a, d, t, split) AS (SELECT 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, '' UNION ALL
+  SELECT bi, a + CASE WHEN c = 'train' THEN n ELSE 0 END, d + CASE WHEN c = 'dev' THEN n ELSE 0 END, t + CASE WHEN c = 'test' THEN n ELSE 0 END, c
+  FROM (SELECT s.*, b.i AS bi, b.n, CASE WHEN 0.8::DOUBLE * total - a >= 0.1::DOUBLE * total - d AND 0.8::DOUBLE * total - a >= 0.1::DOUBLE * total - t THEN 'train' WHEN 0.1::DOUBLE * total - d >= 0.1::DOUBLE * total - t THEN 'dev' ELSE 'test' END AS c FROM s JOIN b ON b.i = s.i + 1) x)
+SELECT signature, split, n FROM s JOIN b USING (i)""")
 def _(spark, d):
     return selection.block_splits(items(spark, d), "signature", {"train": 0.8, "dev": 0.1, "test": 0.1}).groupBy("signature", "split").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("w08_diverse_selection")
+@query("w08_diverse_selection", """WITH RECURSIVE s(p_brand, pick, ids, kinds, sizes, id) AS (
+  SELECT DISTINCT p_brand, 0, []::BIGINT[], []::VARCHAR[], []::VARCHAR[], NULL::BIGINT FROM part UNION ALL
+  SELECT p_brand, pick + 1, list_append(ids, best.id), list_append(kinds, best.kind), list_append(sizes, best.size), best.id FROM (
+    SELECT p_brand, pick, ids, kinds, sizes, arg_min({'id': k, 'kind': kind, 'size': size}, (-gain, k)) AS best FROM (
+      SELECT s.*, p.k, p.kind, p.size, 0.5::DOUBLE * (NOT list_contains(kinds, p.kind))::INT + 0.3::DOUBLE * (NOT list_contains(sizes, p.size))::INT - CASE WHEN len(list_filter(kinds, lambda x: x = p.kind)) >= 2 THEN 0.35::DOUBLE ELSE 0 END AS gain
+      FROM s JOIN (SELECT p_brand AS b, p_partkey::BIGINT AS k, p_type AS kind, p_size::VARCHAR AS size FROM part) p ON p.b = s.p_brand WHERE pick < 8 AND NOT list_contains(ids, p.k)) GROUP BY ALL))
+SELECT p_brand, id, pick FROM s WHERE pick > 0""")
 def _(spark, d):
     few = read(spark, d, "part").select("p_brand", F.col("p_partkey").alias("id"), F.array("p_type").alias("kinds"), F.array(F.col("p_size").cast("string")).alias("sizes"))
     return selection.diverse_selection(few, "p_brand", "id", {"kinds": ("kinds", 0.5), "sizes": ("sizes", 0.3)}, 8, cap=("kinds", 0.25, 0.35))
@@ -166,9 +178,13 @@ def _(spark, d):
     return selection.entity_cap(items(spark, d), ["category"], "signature", ["id"], 12).select("id", "over_cap")
 
 
-@query("w10_ordered_quota")
+@query("w10_ordered_quota", f"""WITH RECURSIVE {ITEMS}, o AS (SELECT id, signature || '|' || graph AS dup, category, graph, row_number() OVER (ORDER BY id) AS i FROM items),
+s(i, seen, cats, graphs, decision) AS (SELECT 0::BIGINT, []::VARCHAR[], []::VARCHAR[], []::VARCHAR[], '' UNION ALL
+  SELECT i, CASE WHEN c = 'accept' THEN list_append(seen, dup) ELSE seen END, CASE WHEN c = 'accept' THEN list_append(cats, category) ELSE cats END, CASE WHEN c = 'accept' THEN list_append(graphs, graph) ELSE graphs END, c
+  FROM (SELECT o.*, seen, cats, graphs, CASE WHEN list_contains(seen, dup) THEN 'duplicate' WHEN len(list_filter(cats, lambda x: x = o.category)) >= 20 THEN 'quota:tier' WHEN len(list_filter(graphs, lambda x: x = o.graph)) >= 30 THEN 'quota:graph' ELSE 'accept' END AS c FROM s JOIN o ON o.i = s.i + 1))
+SELECT id, decision FROM s JOIN o USING (i)""")
 def _(spark, d):
-    return selection.ordered_quota(items(spark, d), ["signature", "graph"], {"category": 20}, ["id"]).groupBy("decision").agg(F.count(F.lit(1)).alias("n"))
+    return selection.ordered_quota(items(spark, d), ["signature", "graph"], {"tier": (["category"], 20), "graph": (["graph"], 30)}, ["id"]).select("id", "decision")
 
 
 @query("w11_largest_remainder", f"WITH {ITEMS}, c AS (SELECT category, count(*) AS n FROM items GROUP BY 1), e AS (SELECT *, round(n / sum(n) OVER () * 101, 9) AS x FROM c), f AS (SELECT *, floor(x) AS f, row_number() OVER (ORDER BY round(floor(x) - x, 9), category) AS r, 101 - sum(floor(x)) OVER () AS rest FROM e) SELECT category, (f + (r <= rest)::INT)::BIGINT AS quota FROM f")
@@ -181,7 +197,7 @@ def _(spark, d):
     return selection.stratified_sample(items(spark, d), ["graph", "category"], 20).select("id", "weight")
 
 
-@query("w16_annotators")
+@query("w16_annotators", f"WITH {ITEMS}, p AS (SELECT id, row_number() OVER (PARTITION BY graph ORDER BY {HASH}, id) AS r FROM items), q AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS n FROM p WHERE r <= 20) SELECT id, n % 5 = 0 AS shared, unnest(CASE WHEN n % 5 = 0 THEN ['a', 'b', 'c'] ELSE [['a', 'b', 'c'][(n % 3 + 1)::INT]] END) AS annotator FROM q")
 def _(spark, d):
     packet = selection.stratified_sample(items(spark, d), ["graph"], 20)
     return selection.assign_annotators(packet, ["a", "b", "c"], 5, ["id"]).select("id", "shared", "annotator")
@@ -539,9 +555,9 @@ def _(spark, d):
     return read(spark, d, "benchmark").select("item_id", text.question_key(F.col("text")).alias("key"))
 
 
-@query("f24_content_id", "SELECT c_custkey, 'item_' || substr(sha256(c_name || chr(31) || c_mktsegment), 1, 16) AS cid FROM customer")
+@query("f24_content_id", """SELECT c_custkey, 'pc_' || substr(sha256('{"category": "' || c_mktsegment || '", "cypher": "", "graph_profile": "g \\u00e9", "question": "' || c_name || '"}'), 1, 16) AS cid FROM customer""")
 def _(spark, d):
-    return read(spark, d, "customer").select("c_custkey", text.content_id("item_", F.col("c_name"), F.col("c_mktsegment")).alias("cid"))
+    return read(spark, d, "customer").select("c_custkey", text.content_id({"question": F.col("c_name"), "category": F.col("c_mktsegment"), "graph_profile": F.lit("g é"), "cypher": F.lit(None).cast("string")}).alias("cid"))
 
 
 @query("f27_redact", "SELECT c_custkey, replace(c_name || ' in ' || c_mktsegment, c_mktsegment, '<v_' || substr(sha256('salt' || c_mktsegment), 1, 10) || '>') AS question FROM customer")
@@ -591,15 +607,23 @@ def _(spark, d):
     return statistics.compare_answers(o.filter("o_orderstatus = 'P'").select("o_custkey"), o.filter("o_orderpriority = '5-LOW'").select("o_custkey"))
 
 
-@query("t05_row_bootstrap")
+def boot_sql(sums: str) -> str:
+    """Common table expressions of the cluster bootstrap over ``sums`` (g, key, total, n): p has the means, b the bounds."""
+    steps = " + ".join(f"(u >= {sum(math.exp(-1) / math.factorial(i) for i in range(k + 1))!r}::DOUBLE)::INT" for k in range(8))
+    return f"""k AS MATERIALIZED ({sums}), r AS (SELECT unnest(range(1, 2001)) AS rep), u AS (SELECT k.*, rep, ('0x' || substr(sha256('boot:' || rep::VARCHAR || ':' || key::VARCHAR), 1, 13))::BIGINT / 4503599627370496.0 AS u FROM k, r),
+w AS (SELECT g, rep, total, n, {steps} AS w FROM u), m AS (SELECT g, rep, sum(w * total) / sum(w * n) AS m FROM w GROUP BY ALL),
+b AS (SELECT g, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM m GROUP BY 1), p AS (SELECT g, sum(total) / sum(n) AS mean, count(*) AS clusters FROM k GROUP BY 1)"""
+
+
+@query("t05_row_bootstrap", f"WITH {EVALS}, {boot_sql('SELECT category AS g, id AS key, solved::INT::DOUBLE AS total, 1 AS n FROM ev')} SELECT g AS category, clusters, round(mean, 9) AS mean, round(low, 9) AS low, round(high, 9) AS high FROM p JOIN b USING (g)")
 def _(spark, d):
-    out = statistics.cluster_bootstrap(evaluations(spark, d), "id", "solved", ["category"], replicates=50)
+    out = statistics.cluster_bootstrap(evaluations(spark, d), "id", "solved", ["category"])
     return out.select("category", "clusters", *[F.round(c, 9).alias(c) for c in ("mean", "low", "high")])
 
 
-@query("t06_cluster_bootstrap")
+@query("t06_cluster_bootstrap", f"WITH {EVALS}, {boot_sql('SELECT 0 AS g, cluster AS key, sum(solved::INT)::DOUBLE AS total, count(*) AS n FROM ev GROUP BY ALL')} SELECT clusters, round(mean, 9) AS mean, round(low, 9) AS low, round(high, 9) AS high FROM p JOIN b USING (g)")
 def _(spark, d):
-    out = statistics.cluster_bootstrap(evaluations(spark, d), "cluster", "solved", replicates=500)
+    out = statistics.cluster_bootstrap(evaluations(spark, d), "cluster", "solved")
     return out.select("clusters", *[F.round(c, 9).alias(c) for c in ("mean", "low", "high")])
 
 
