@@ -55,7 +55,7 @@ def _(spark, d):
     return table_graph(spark, d).pattern_counts()
 
 
-@query("s09_properties")
+@query("s09_properties", "SELECT * FROM (VALUES ('Customer', 'custKey', 'INTEGER'), ('Customer', 'name', 'STRING'), ('Customer', 'acctBal', 'FLOAT'), ('Customer', 'segment', 'STRING'), ('Event', 'eventId', 'INTEGER'), ('Event', 'ts', 'DATETIME'), ('Event', 'type', 'STRING'), ('Event', 'value', 'FLOAT'), ('Event', 'props', 'STRING'), ('Nation', 'nationKey', 'INTEGER'), ('Nation', 'name', 'STRING'), ('Order', 'orderKey', 'INTEGER'), ('Order', 'status', 'STRING'), ('Order', 'totalPrice', 'FLOAT'), ('Order', 'orderDate', 'DATETIME'), ('Order', 'priority', 'STRING'), ('Part', 'partKey', 'INTEGER'), ('Part', 'name', 'STRING'), ('Part', 'brand', 'STRING'), ('Part', 'type', 'STRING'), ('Part', 'size', 'INTEGER'), ('Part', 'retailPrice', 'FLOAT'), ('Region', 'regionKey', 'INTEGER'), ('Region', 'name', 'STRING'), ('Supplier', 'suppKey', 'INTEGER'), ('Supplier', 'name', 'STRING'), ('Supplier', 'acctBal', 'FLOAT'), ('User', 'userId', 'INTEGER')) t(label, property, type)")
 def _(spark, d):
     return table_graph(spark, d).schema_nodes(spark)
 
@@ -65,7 +65,7 @@ def _(spark, d):
     return table_graph(spark, d).categorical_domain("Part", "type", 20)
 
 
-@query("s11_content_digest")
+@query("s11_content_digest", "WITH r AS (SELECT sha256('{\"n_name\":\"' || n_name || '\",\"n_nationkey\":' || n_nationkey || ',\"n_regionkey\":' || n_regionkey || '}') AS h, substr(sha256('graphloom:' || n_nationkey), 1, 2) AS b FROM nation), s AS (SELECT b, count(*) AS n, sum(('0x' || substr(h, 1, 12))::BIGINT) AS s, bit_xor(('0x' || substr(h, 13, 12))::BIGINT) AS x FROM r GROUP BY 1) SELECT sha256(string_agg(b || ':' || n || ':' || s || ':' || x, chr(10) ORDER BY b || ':' || n || ':' || s || ':' || x)) AS digest FROM s")
 def _(spark, d):
     return spark.createDataFrame([(files.content_digest(read(spark, d, "nation"), "n_nationkey"),)], "digest string")
 

@@ -494,7 +494,12 @@ def _(spark, d):
     return one(1).unionByName(one(2))
 
 
-@query("f12_rouge_l")
+#: The longest common subsequence by rows of its table: tokens as numbers in lists of one, so that one fold carries the row.
+LCS = """list_reduce(list_prepend(list_transform(range(0, len(r) + 1), lambda i: 0::BIGINT), list_transform(p, lambda x: [list_position(u, x)::BIGINT])),
+  lambda row, x: list_reduce(list_prepend([0::BIGINT], list_transform(range(1, len(r) + 1), lambda j: [j])), lambda acc, j: list_append(acc, CASE WHEN list_position(u, r[j[1]]) = x[1] THEN row[j[1]] + 1 ELSE greatest(row[j[1] + 1], acc[j[1]]) END)))[len(r) + 1]"""
+
+
+@query("f12_rouge_l", f"WITH {PAIRS}, v AS (SELECT *, list_distinct(list_concat(p, r)) AS u FROM pr) SELECT id, round(CASE WHEN len(p) = 0 OR len(r) = 0 THEN (len(p) = len(r))::INT ELSE 2.0 * {LCS} / (len(p) + len(r)) END, 9)::DOUBLE AS rouge_l FROM v")
 def _(spark, d):
     return pairs(spark, d).select("id", F.round(text.arrow(text.rouge_l_f1)("p", "r"), 9).alias("rouge_l"))
 
@@ -504,7 +509,8 @@ def _(spark, d):
     return pairs(spark, d).select("id", F.round(text.bleu(F.col("p"), F.col("r")), 9).alias("bleu"))
 
 
-@query("f14_meteor")
+#: The k-th use of a word meets its k-th use in the other text; a chunk ends where either text's next place isn't the following.
+@query("f14_meteor", f"WITH {PAIRS}, a AS (SELECT id, i, w, row_number() OVER (PARTITION BY id, w ORDER BY i) AS k FROM (SELECT id, unnest(p) AS w, generate_subscripts(p, 1) AS i FROM pr)), b AS (SELECT id, i, w, row_number() OVER (PARTITION BY id, w ORDER BY i) AS k FROM (SELECT id, unnest(r) AS w, generate_subscripts(r, 1) AS i FROM pr)), m AS (SELECT a.id, a.i, b.i AS j FROM a JOIN b USING (id, w, k)), c AS (SELECT id, count(*) AS m, count(*) FILTER (pi IS NULL OR i <> pi + 1 OR j <> pj + 1) AS chunks FROM (SELECT *, lag(i) OVER w AS pi, lag(j) OVER w AS pj FROM m WINDOW w AS (PARTITION BY id ORDER BY i)) GROUP BY 1) SELECT id, round(CASE WHEN len(p) = 0 OR len(r) = 0 THEN (len(p) = len(r))::INT WHEN m IS NULL THEN 0 ELSE (1 - 0.5 * pow(chunks / m, 3)) * 10 * (m / len(p)) * (m / len(r)) / (m / len(r) + 9 * (m / len(p))) END, 9)::DOUBLE AS meteor FROM pr LEFT JOIN c USING (id)")
 def _(spark, d):
     return pairs(spark, d).select("id", F.round(text.arrow(text.meteor)("p", "r"), 9).alias("meteor"))
 

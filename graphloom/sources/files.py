@@ -84,6 +84,11 @@ def write_package(df: DataFrame, path: str, id_col: str = "id", split: str = "sp
     return manifest
 
 
+def read_package(spark: SparkSession, path: str, schema: StructType | str, part: str | None = None, split: str = "split") -> DataFrame:
+    """A package's rows: all of them, or the slice of one split, of which only its folder is read."""
+    return read_lines(spark, f"{path}/all" if part is None else f"{path}/splits/{split}={part}", schema)
+
+
 def content_digest(df: DataFrame, id_col: str) -> str:
     """A digest of the rows that depends on neither their order nor their partitioning: rows fall in 256 hash buckets, each digested in id order."""
     line = F.to_json(F.struct(*[F.col(f"`{c}`") for c in sorted(df.columns)]))
