@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..steps import written
+from .ranks import hash_places, hash_top
 
 SEED = "graphloom"
 
@@ -50,6 +51,7 @@ def cap_per_group(df: DataFrame, group: Sequence[str], limit: int, id_col: str =
 def cap_round_robin(df: DataFrame, cell: Sequence[str], signature: str, limit: int, id_col: str = "id", seed: str = SEED) -> DataFrame:
     """At most ``limit`` rows of each cell, taken in rounds: one row of each signature (sorted), in hash order."""
     rounds = df.withColumn("_round", F.row_number().over(Window.partitionBy(*cell, signature).orderBy(hash_key(id_col, seed), id_col)))
+    rounds = rounds.filter(F.col("_round") <= limit)  # no later round is reached, so a cell holds limit rows a signature at most
     return rounds.withColumn("_rn", F.row_number().over(Window.partitionBy(*cell).orderBy("_round", signature))).filter(F.col("_rn") <= limit).drop("_rn", "_round")
 
 
@@ -63,10 +65,10 @@ def split_counts(n: Column, test: float = 0.1, dev: float = 0.1) -> tuple[Column
 
 def random_splits(df: DataFrame, group: Sequence[str], id_col: str = "id", test: float = 0.1, dev: float = 0.1, seed: str = SEED) -> DataFrame:
     """``split``: train, then dev, then test in each group's hash order."""
-    rn = F.row_number().over(Window.partitionBy(*group).orderBy(hash_key(id_col, seed), id_col))
-    n = F.count(F.lit(1)).over(Window.partitionBy(*group))
-    t, d = split_counts(n, test, dev)
-    return df.withColumn("split", F.when(rn <= n - t - d, "train").when(rn <= n - t, "dev").otherwise("test"))
+    placed = hash_places(df, group, hash_key(id_col, seed), [id_col])
+    t, d = split_counts(F.col("_n"), test, dev)
+    rn, n = F.col("_rn"), F.col("_n")
+    return placed.withColumn("split", F.when(rn <= n - t - d, "train").when(rn <= n - t, "dev").otherwise("test")).drop("_rn", "_n")
 
 
 def repair_splits(df: DataFrame, id_col: str = "id", split: str = "split") -> DataFrame:
@@ -245,8 +247,7 @@ def allocate(counts: Mapping[str, int], total: int, floor: int = 0, boost: Mappi
 
 def stratified_sample(df: DataFrame, strata: Sequence[str], per_stratum: int, id_col: str = "id", seed: str = SEED) -> DataFrame:
     """The first rows of each stratum in hash order, with ``weight`` = stratum rows / sampled rows."""
-    w = Window.partitionBy(*strata)
-    out = df.withColumn("_rn", F.row_number().over(w.orderBy(hash_key(id_col, seed), id_col))).withColumn("_n", F.count(F.lit(1)).over(w)).filter(F.col("_rn") <= per_stratum)
+    out = hash_top(df, strata, hash_key(id_col, seed), per_stratum, [id_col])
     return out.withColumn("weight", F.col("_n") / F.least(F.col("_n"), F.lit(per_stratum))).drop("_rn", "_n")
 
 
@@ -277,9 +278,8 @@ def fill_deficits(df: DataFrame, needs: DataFrame, group: Sequence[str], order:
 
 def carve_dev(df: DataFrame, group: Sequence[str], fraction: float, id_col: str = "id", seed: str = SEED) -> DataFrame:
     """``split``: dev for the first bround(n * fraction) rows of each group in hash order, else train."""
-    w = Window.partitionBy(*group)
-    rn = F.row_number().over(w.orderBy(hash_key(id_col, seed), id_col))
-    return df.withColumn("split", F.when(rn <= F.bround(F.count(F.lit(1)).over(w) * F.lit(fraction)), "dev").otherwise("train"))
+    placed = hash_places(df, group, hash_key(id_col, seed), [id_col])
+    return placed.withColumn("split", F.when(F.col("_rn") <= F.bround(F.col("_n") * F.lit(fraction)), "dev").otherwise("train")).drop("_rn", "_n")
 
 
 def tie_at_limit(df: DataFrame, keys: Sequence[str], k: int) -> DataFrame:

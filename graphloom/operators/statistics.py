@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import join_groups, left_groups, quantiles, value_places
 from .selection import unit_interval
 
 EXACT_CLUSTERS, REPLICATES = 16, 2000
@@ -90,10 +91,11 @@ def same_multiset(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def average_ranks(df: DataFrame, value: str, group: Sequence[str] = (), to: str = "rank", tolerance: int = 12) -> DataFrame:
-    """Ranks from 1, ties (within 10^-tolerance) share the mean."""
-    v = F.round(F.col(value), tolerance)
-    w = Window.partitionBy(*group)
-    return df.withColumn(to, F.rank().over(w.orderBy(v)) + (F.count(F.lit(1)).over(Window.partitionBy(*group, v)) - 1) / 2)
+    """Ranks from 1, ties (within 10^-tolerance) share the mean; null values come first, as one value."""
+    rows = df.withColumn("_v", F.round(F.col(value), tolerance))
+    counts = rows.groupBy(*group, "_v").agg(F.count(F.lit(1)).alias("n"))
+    places = value_places(counts, group, "_v").select(*group, "_v", (F.col("before") + (F.col("n") + 1) / 2).alias(to))
+    return join_groups(rows, places, [*group, "_v"]).drop("_v")
 
 
 def spearman(df: DataFrame, a: str, b: str, group: Sequence[str] = ()) -> DataFrame:
@@ -153,11 +155,12 @@ def fleiss_kappa(df: DataFrame, item: str, label: str) -> DataFrame:
     return out.crossJoin(shares).select("items", "raters", F.when(pe < 1, (F.col("p") - pe) / (1 - pe)).alias("kappa"))  # one row each
 
 
-def auc(df: DataFrame, score: str, label: str, group: Sequence[str] = ()) -> DataFrame:
-    """Rank-sum AUC with averaged ties; null without both classes."""
-    ranked = average_ranks(df, score, group, "_r")
+def auc(df: DataFrame, score: str, label: str, group: Sequence[str] = (), tolerance: int = 12) -> DataFrame:
+    """Rank-sum AUC with averaged ties; null without both classes. Only counts of scores are ranked, rows are never joined."""
     y = F.col(label).cast("boolean")
-    out = ranked.groupBy(*group).agg(F.count_if(y).alias("positives"), F.count_if(~y).alias("negatives"), F.sum(F.when(y, F.col("_r"))).alias("_s"))
+    counts = df.withColumn("_v", F.round(F.col(score), tolerance)).groupBy(*group, "_v").agg(F.count(F.lit(1)).alias("n"), F.count_if(y).alias("up"), F.count_if(~y).alias("down"))
+    places = value_places(counts, group, "_v")
+    out = places.groupBy(*group).agg(F.sum("up").alias("positives"), F.sum("down").alias("negatives"), F.sum(F.col("up") * (F.col("before") + (F.col("n") + 1) / 2)).alias("_s"))
     value = (F.col("_s") - F.col("positives") * (F.col("positives") + 1) / 2) / (F.col("positives") * F.col("negatives"))
     return out.select(*group, "positives", "negatives", F.when((F.col("positives") > 0) & (F.col("negatives") > 0), value).alias("auc"))
 
@@ -263,8 +266,8 @@ def rank_permutation(a: Sequence[float], b: Sequence[float], draws: int = 10_000
 
 
 def quartiles(df: DataFrame, value: str, group: Sequence[str] = ()) -> DataFrame:
-    p = lambda q: F.percentile(F.col(value).cast("double"), q)
-    return df.groupBy(*group).agg(p(0.5).alias("median"), p(0.25).alias("q1"), p(0.75).alias("q3"), F.min(value).alias("low"), F.max(value).alias("high"))
+    ends = df.groupBy(*group).agg(F.min(value).alias("low"), F.max(value).alias("high"))
+    return left_groups(ends, quantiles(df, F.col(value), {"median": 0.5, "q1": 0.25, "q3": 0.75}, group), group).select(*group, "median", "q1", "q3", "low", "high")
 
 
 def non_negative_ridge(df: DataFrame, features: Sequence[str], target: str, penalty: float = 1.0, rounds: int = 500) -> dict[str, float]:

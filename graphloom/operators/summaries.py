@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import left_groups, quantiles
+
 #: First gate that blocks a record, in this order; issue codes by gate (fixed values).
 GATE_ORDER = ("read_only", "syntax", "schema", "direction", "value", "validation")
 ISSUE_GATES = {
@@ -64,8 +66,9 @@ def export_counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 def distribution(df: DataFrame, key: str, group: Sequence[str] = ()) -> DataFrame:
     """total, unique, entropy_bits, normalized_entropy (1 for one value), effective_count, simpson and top_share of a column."""
     counts = df.filter(F.col(key).isNotNull()).groupBy(*group, key).agg(F.count(F.lit(1)).alias("n"))
-    out = counts.withColumn("_t", F.sum("n").over(Window.partitionBy(*group))).withColumn("_p", F.col("n") / F.col("_t"))
-    out = out.groupBy(*group).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("unique"), F.sum(-F.col("_p") * F.log2("_p")).alias("entropy_bits"), (1 - F.sum(F.col("_p") * F.col("_p"))).alias("simpson"), F.max("_p").alias("top_share"))
+    n, total = F.col("n").cast("double"), F.sum("n").cast("double")  # sums of n log n and n n need no total beside each count
+    entropy = F.log2(total) - F.sum(n * F.log2(n)) / total
+    out = counts.groupBy(*group).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("unique"), F.greatest(entropy, F.lit(0.0)).alias("entropy_bits"), (1 - F.sum(n * n) / (total * total)).alias("simpson"), (F.max("n") / total).alias("top_share"))
     widest = F.log2("unique")
     return out.withColumn("normalized_entropy", F.when(F.col("unique") > 1, F.col("entropy_bits") / widest).otherwise(1.0)).withColumn("effective_count", F.pow(F.lit(2.0), F.col("entropy_bits")))
 
@@ -79,7 +82,8 @@ def coverage(df: DataFrame, used: str, inventory: Sequence[str]) -> DataFrame:
 def latency_summary(df: DataFrame, value: str, group: Sequence[str] = ()) -> DataFrame:
     """n, mean, median, p95 (linear interpolation), max."""
     v = F.col(value).cast("double")
-    return df.groupBy(*group).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.percentile(v, 0.5).alias("median"), F.percentile(v, 0.95).alias("p95"), F.max(v).alias("max"))
+    plain = df.groupBy(*group).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.max(v).alias("max"))
+    return left_groups(plain, quantiles(df, v, {"median": 0.5, "p95": 0.95}, group), group).select(*group, "n", "mean", "median", "p95", "max")
 
 
 def ordered(pairs: Sequence[tuple[Column, str]], otherwise: str | None) -> Column:
