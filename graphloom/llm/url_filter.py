@@ -14,13 +14,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import forget, materialise, path_of, table
 
 #: (verdict, host, path); at most MAX_RULES, as they become one expression.
 Rules = Sequence[tuple[str, str, str]]
 MAX_RULES = 1000
 RULES: Rules = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
-DAMPING, ROUNDS, THRESHOLD = 0.85, 10, 0.5
+#: Rounds end when less than TOLERANCE of the seeds' sum is still to come; after ROUNDS, 0.06 % of it at most is.
+DAMPING, ROUNDS, TOLERANCE, THRESHOLD = 0.85, 45, 1e-6, 0.5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?(?:https?:)?//([^/?#"'\s>]+)"""
 
@@ -54,20 +55,28 @@ def host_edges(pages: DataFrame, html_col: str = "html", url_col: str = "url") -
     return rows.filter((F.col("src") != "") & (F.col("dst") != "") & (F.col("src") != F.col("dst"))).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
     """Scores (kind, host, score): score = (1 - d) seed + d * sum over in-links of score(src) * share.
 
-    ``edges``: (kind, src, dst, share), the shares of a source sum to 1; ``seeds``: (kind, host, seed). Both kinds
-    go in one plan. Sums combine map-side, so a host that everything links to is no hot task. What flows
-    into hosts without out-links stays there. Each few rounds the scores are written, which cuts the lineage.
+    ``edges``: (kind, src, dst, share), the shares of a source sum to 1; ``seeds``: (kind, host, seed). Scores are PageRank with the
+    seeds as they are in place of a distribution over them, that is times their sum. Each round passes on what came in the round before,
+    so hosts that nothing reaches drop out, and the rest that is not passed on yet is known: rounds end when it is below ``tolerance``
+    of the seeds' sum, or when there are no more. Both kinds go in one plan. Sums combine map-side, so a host that everything
+    links to is no hot task. What flows into hosts without out-links stays there. Each round is written, which cuts the lineage.
     """
-    scores = seeds.select("kind", "host", (F.col("seed") * (1 - damping)).alias("score"))
-    base = scores
-    for i in range(rounds):
-        flow = edges.join(scores.withColumnRenamed("host", "src"), ["kind", "src"]).select("kind", F.col("dst").alias("host"), (F.col("score") * F.col("share") * damping).alias("score"))
-        scores = flow.unionByName(base).groupBy("kind", "host").agg(F.sum("score").alias("score"))
-        if i % 5 == 4 or i == rounds - 1:
-            scores = materialise(scores, "scores")
+    spark = seeds.sparkSession
+    flow = seeds.select("kind", "host", (F.col("seed") * (1 - damping)).alias("score"))
+    flows, total = [flow], flow.agg(F.coalesce(F.sum("score"), F.lit(0.0))).first()[0]
+    for _ in range(rounds):
+        came = edges.join(flow.withColumnRenamed("host", "src"), ["kind", "src"])
+        flow = materialise(came.groupBy("kind", F.col("dst").alias("host")).agg(F.sum(F.col("score") * F.col("share") * damping).alias("score")), "flow")
+        # What is still to come is at most this times d / (1 - d).
+        left = flow.agg(F.coalesce(F.sum("score"), F.lit(0.0))).first()[0]
+        flows.append(flow)
+        if left * damping / (1 - damping) <= tolerance * total:
+            break
+    scores = materialise(reduce(lambda a, b: a.unionByName(b), flows).groupBy("kind", "host").agg(F.sum("score").alias("score")), "scores")
+    forget(spark, [path_of(f) for f in flows[1:]])
     return scores
 
 
@@ -109,14 +118,13 @@ def _rules_sql() -> str:
 
 
 def _rounds_sql() -> str:
-    out = [f"s0 AS (SELECT kind, host, seed * {1 - DAMPING} AS score FROM seeds WHERE seed > 0)"]
-    for i in range(1, ROUNDS + 1):
-        out.append(f"s{i} AS (SELECT kind, host, sum(score) AS score FROM (SELECT e.kind, e.dst AS host, s.score * e.share * {DAMPING} AS score FROM e JOIN s{i - 1} s ON s.kind = e.kind AND s.host = e.src UNION ALL SELECT * FROM s0) GROUP BY ALL)")
-    return ",\n".join(out)
+    """The flows of all rounds, by recursion, and their sums."""
+    return f"""w(i, kind, host, score) AS (SELECT 0, kind, host, seed * {1 - DAMPING} FROM seeds WHERE seed > 0
+  UNION ALL SELECT w.i + 1, e.kind, e.dst, sum(w.score * e.share * {DAMPING}) FROM w JOIN e ON w.kind = e.kind AND w.host = e.src WHERE w.i < {ROUNDS} GROUP BY ALL)"""
 
 
 OP8_SQL = rf"""
-WITH u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '{UPPER}', '{LOWER}') AS host,
+WITH RECURSIVE u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '{UPPER}', '{LOWER}') AS host,
   regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path, html FROM pages),
 r AS (SELECT *, {_rules_sql()} FROM u),
 h AS (SELECT host, avg((coalesce(v, '') = 'allow')::INT) AS t, avg((coalesce(v, '') = 'block')::INT) AS d FROM r WHERE host <> '' GROUP BY host),
@@ -126,7 +134,7 @@ l AS (SELECT src, dst, count(*) AS n FROM l0 WHERE src <> '' AND dst <> '' AND s
 b AS (SELECT 'trust' AS kind, src, dst, n FROM l UNION ALL SELECT 'distrust', dst, src, n FROM l),
 e AS (SELECT kind, src, dst, n / sum(n) OVER (PARTITION BY kind, src) AS share FROM b),
 {_rounds_sql()},
-f AS (SELECT host, coalesce(max(score) FILTER (kind = 'trust'), 0) AS t, coalesce(max(score) FILTER (kind = 'distrust'), 0) AS d FROM s{ROUNDS} GROUP BY host)
+f AS (SELECT host, coalesce(max(score) FILTER (kind = 'trust'), 0) AS t, coalesce(max(score) FILTER (kind = 'distrust'), 0) AS d FROM (SELECT kind, host, sum(score) AS score FROM w GROUP BY ALL) GROUP BY host)
 SELECT page_id, r.host, path, rule, coalesce(v, CASE WHEN f.d >= {THRESHOLD * (1 - DAMPING)} AND f.d > f.t THEN 'block' END, 'allow') AS verdict
 FROM r LEFT JOIN f ON f.host = r.host
 """

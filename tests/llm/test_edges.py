@@ -700,3 +700,32 @@ def test_common_elements_equal_intersections(monkeypatch):
     common = simhash.common_elements(sets)
     assert all(common[i, j] == len(np.intersect1d(a, b)) for i, a in enumerate(sets) for j, b in enumerate(sets) if i != j)
     assert (simhash.common_elements([sets[0], sets[0]]) == 0).all()
+
+
+def test_propagation_equals_power_iteration(spark):
+    """Scores on a random graph with dangling hosts against the fixed point by plain loops, and long html with many links."""
+    random = np.random.default_rng(6)
+    pairs = {(int(a), int(b)) for a, b in random.integers(0, 30, (80, 2)) if a != b and a < 25}
+    out = Counter(a for a, _ in pairs)
+    edges = spark.createDataFrame([("trust", f"h{a}", f"h{b}", 1.0 / out[a]) for a, b in pairs], "kind string, src string, dst string, share double")
+    seeds = spark.createDataFrame([("trust", f"h{i}", 0.5 + i / 10) for i in range(4)], "kind string, host string, seed double")
+    expected = dict.fromkeys(range(30), 0.0)
+    for _ in range(300):
+        expected = {h: 0.15 * (0.5 + h / 10 if h < 4 else 0.0) + 0.85 * sum(expected[a] / out[a] for a, b in pairs if b == h) for h in expected}
+    got = {r["host"]: r["score"] for r in url_filter.propagate(edges, seeds).collect()}
+    assert all(abs(got.get(f"h{h}", 0.0) - v) < 1e-5 for h, v in expected.items()) and len(got) > 10
+    html = "".join(f'<a href="http://target{i % 50}.org/{i}">x</a>' for i in range(20_000))
+    links = url_filter.host_edges(pages(spark, [(1, "http://start.org/", html), (2, "http://start.org/b", html)])).collect()
+    assert len(links) == 50 and {r["n"] for r in links} == {2}
+
+
+def test_steps_are_deleted_when_nothing_reads_them(spark):
+    from graphloom.llm.common import forget, materialise, path_of, steps
+
+    before = steps()
+    df = materialise(spark.range(3), "gone")
+    path = path_of(df)
+    assert path in steps() and df.count() == 3
+    forget(spark, steps() - before)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    assert path not in steps() and not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
