@@ -141,8 +141,9 @@ def diverse_selection(df: DataFrame, group: str, id_col: str, features: Mapping[
 
     ``features``: name -> (array<string> column, weight): a row gains the weight times the share of its values that
     no chosen row has. ``quality``: (column) adds 0.04 of its value. ``cap``: (array column, share of k, penalty) takes the
-    penalty once a value has its share (2 at least). Ties go to the lesser id. Each group's candidates are one task, by
-    the nature of the greedy order; pre-cap groups that are too large.
+    penalty once a value has its share (2 at least). Ties go to the lesser id. Of candidates that are alike in all features only the ``k``
+    best can be chosen, so only they come into the group's task, which the greedy order needs: it holds k rows for each
+    combination of features.
     """
     columns = [id_col, *[c for c, _ in features.values()], *([quality] if quality else []), *([cap[0]] if cap else [])]
 
@@ -173,6 +174,8 @@ def diverse_selection(df: DataFrame, group: str, id_col: str, features: Mapping[
         out["pick"] = range(1, len(chosen) + 1)
         return out
 
+    alike = Window.partitionBy(group, *[F.array_sort(F.array_distinct(c)) for c, _ in features.values()], *([F.array_sort(F.array_distinct(cap[0]))] if cap else [])).orderBy(*([F.col(quality).desc()] if quality else []), id_col)
+    df = df.withColumn("_rn", F.row_number().over(alike)).filter(F.col("_rn") <= k).drop("_rn")
     kinds = dict(df.dtypes)
     return df.select(group, *dict.fromkeys(columns)).groupBy(group).applyInPandas(choose, f"`{group}` {kinds[group]}, `{id_col}` {kinds[id_col]}, pick int")
 
