@@ -53,16 +53,16 @@ def quantiles(df: DataFrame, value: Column, wanted: dict[str, float], group: Seq
     return placed.groupBy(*group).agg(*out.values())
 
 
-def hash_places(df: DataFrame, group: Sequence[str], key: Column, ties: Sequence[Column | str] = ()) -> DataFrame:
-    """``_rn`` (from 1, in the order of ``key``, a hash in hex, then ``ties``) and ``_n``, the group's rows.
+def hash_places(df: DataFrame, group: Sequence[str], key: Column, ties: Sequence[Column | str] = (), to: tuple[str, str] = ("_rn", "_n")) -> DataFrame:
+    """``to``: a place (from 1, in the order of ``key``, a hash in hex, then ``ties``), and the group's rows.
 
     The first two digits of the hash keep its order and deal each group over 256 windows; their sizes give where each begins.
     """
     rows = df.withColumn("_h", key).withColumn("_p", F.substring("_h", 1, 2))
     sizes = rows.groupBy(*group, "_p").agg(F.count(F.lit(1)).alias("_c"))
-    starts = sizes.withColumn("_start", F.coalesce(F.sum("_c").over(Window.partitionBy(*group).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("_n", F.sum("_c").over(Window.partitionBy(*group))).drop("_c")
+    starts = sizes.withColumn("_start", F.coalesce(F.sum("_c").over(Window.partitionBy(*group).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn(to[1], F.sum("_c").over(Window.partitionBy(*group))).drop("_c")
     ranked = rows.withColumn("_r", F.row_number().over(Window.partitionBy(*group, "_p").orderBy("_h", *ties)))
-    return join_groups(ranked, starts, [*group, "_p"]).withColumn("_rn", F.col("_start") + F.col("_r")).drop("_h", "_p", "_r", "_start")
+    return join_groups(ranked, starts, [*group, "_p"]).withColumn(to[0], F.col("_start") + F.col("_r")).drop("_h", "_p", "_r", "_start")
 
 
 def hash_top(df: DataFrame, group: Sequence[str], key: Column, k: int, ties: Sequence[Column | str] = ()) -> DataFrame:

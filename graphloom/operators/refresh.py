@@ -187,3 +187,25 @@ def migration_check(rule: str, value: float, counts: Mapping[str, float]) -> boo
     if rule.startswith("=="):
         return value == evaluate(rule[2:].strip(), counts)
     return {"positive": value > 0, "zero": value == 0, "nonnegative": value >= 0}[rule]
+
+
+def expected_diff_problems(changes: Iterable[tuple[str, str]], expected: Mapping, renames: Iterable[tuple[str, str]] = (), deltas: Mapping[str, int] | None = None) -> list[str]:
+    """Where a schema difference falls short of what a migration announces; what it has beyond that is no problem.
+
+    ``changes``: (atom, removed or added), as ``atom_diff`` gives; ``renames``: (atom before, atom after) that were proposed;
+    ``deltas``: type -> change of its count. ``expected`` may have removed and added (atoms), retained (atoms), renames
+    ([before, after]), counts (type -> decrease, increase or any) and unchanged (true: no change at all).
+    """
+    known = {"removed", "added", "retained", "renames", "counts", "unchanged"}
+    found: dict[str, set[str]] = {"removed": set(), "added": set()}
+    for atom, change in changes:
+        found[change].add(atom)
+    signs = {"decrease": lambda n: n < 0, "increase": lambda n: n > 0, "any": lambda n: n != 0}
+    out = [f"unknown key {k}" for k in sorted(set(expected) - known)]
+    out += [f"{change} {atom} is missing" for change in ("removed", "added") for atom in expected.get(change, ()) if atom not in found[change]]
+    out += [f"{atom} should have stayed" for atom in expected.get("retained", ()) if atom in found["removed"] | found["added"]]
+    out += [f"rename {a} to {b} was not found" for a, b in expected.get("renames", ()) if (a, b) not in set(renames)]
+    out += [f"{way} of {t} was not seen" for t, way in expected.get("counts", {}).items() if not signs[way]((deltas or {}).get(t, 0))]
+    if expected.get("unchanged") and (found["removed"] or found["added"]):
+        out.append("no change was expected")
+    return out

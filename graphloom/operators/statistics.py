@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranks import join_groups, left_groups, quantiles, value_places
+from .ranks import hash_places, join_groups, left_groups, quantiles, value_places
 from .selection import unit_interval
 
 EXACT_CLUSTERS, REPLICATES = 16, 2000
@@ -208,20 +208,26 @@ def cluster_sums(df: DataFrame, cluster: str, metric: str, group: Sequence[str]
     return df.groupBy(*group, cluster).agg(F.sum(F.col(metric).cast("double")).alias("total"), F.count(metric).alias("rows"))
 
 
-def cluster_bootstrap(df: DataFrame, cluster: str, metric: str, group: Sequence[str] = (), replicates: int = REPLICATES, level: float = 0.95, seed: str = "boot") -> DataFrame:
+def cluster_bootstrap(df: DataFrame, cluster: str, metric: str, group: Sequence[str] = (), replicates: int = REPLICATES, level: float = 0.95, seed: str = "boot", strata: Sequence[str] = ()) -> DataFrame:
     """mean, low, high of the metric's mean when clusters are resampled (Poisson weights from hashes of replicate and cluster).
 
     Each cluster adds to all replicates in a map-side combined sum, so no task holds all clusters and the result doesn't
-    depend on partitioning. A cluster of one row each is the row bootstrap.
+    depend on partitioning. A cluster of one row each is the row bootstrap. With ``strata`` clusters are resampled inside each
+    stratum, whose share of the rows stays what it is; a stratum of which a replicate draws nothing has its own mean there.
     """
-    sums = cluster_sums(df, cluster, metric, group)
+    sums = cluster_sums(df, cluster, metric, [*group, *strata])
     u = unit_interval(F.col("rep"), F.col(cluster), seed=seed)
     steps = [sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(8)]
     weight = F.lit(0)
     for s in steps:
         weight = weight + (u >= s).cast("int")
     drawn = sums.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("w", weight)
-    means = drawn.groupBy(*group, "rep").agg((F.sum(F.col("w") * F.col("total")) / F.sum(F.col("w") * F.col("rows"))).alias("m"))
+    parts = drawn.groupBy(*group, *strata, "rep").agg(F.sum(F.col("w") * F.col("total")).alias("t"), F.sum(F.col("w") * F.col("rows")).alias("r"), F.sum("total").alias("all_t"), F.sum("rows").alias("all_r"))
+    if strata:
+        mean = F.when(F.col("r") > 0, F.col("t") / F.col("r")).otherwise(F.col("all_t") / F.col("all_r"))
+        means = parts.groupBy(*group, "rep").agg((F.sum(mean * F.col("all_r")) / F.sum("all_r")).alias("m"))
+    else:
+        means = parts.select(*group, "rep", (F.col("t") / F.col("r")).alias("m"))
     tail = (1 - level) / 2
     bounds = means.groupBy(*group).agg(F.percentile("m", tail).alias("low"), F.percentile("m", 1 - tail).alias("high"))
     point = sums.groupBy(*group).agg((F.sum("total") / F.sum("rows")).alias("mean"), F.count(F.lit(1)).alias("clusters"))
@@ -289,6 +295,46 @@ def non_negative_ridge(df: DataFrame, features: Sequence[str], target: str, pena
     return dict(zip(features, w.tolist(), strict=True))
 
 
+def group_folds(df: DataFrame, group: str, folds: int = 5) -> DataFrame:
+    """``fold``: whole groups, the largest first, each to the fold with the fewest rows; equally large ones in hash order.
+
+    Groups of one size are dealt in turn, so that only the sizes' counts decide: a table of as many rows as there are sizes reaches
+    the driver. Folds differ by one group at most from those of a group by group deal.
+    """
+    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
+    counts = sorted(sizes.groupBy("_n").count().collect(), reverse=True)
+    load, start = [0] * folds, {}
+    for n, many in counts:
+        order = sorted(range(folds), key=lambda f: (load[f], f))
+        start[n] = order
+        for i, f in enumerate(order):
+            load[f] += n * (many // folds + (i < many % folds))
+    turn = F.create_map(*[x for n, order in start.items() for x in (F.lit(n), F.array(*map(F.lit, order)))])
+    placed = hash_places(sizes, ["_n"], F.sha2(F.col(group).cast("string"), 256), [group], to=("_at", "_of"))
+    fold = F.element_at(F.element_at(turn, F.col("_n").cast("int")), ((F.col("_at") - 1) % folds + 1).cast("int"))
+    return join_groups(df, placed.select(group, fold.alias("fold")), [group])
+
+
+def integer_weights(weights: Mapping[str, float], scale: float) -> dict[str, int]:
+    """Weights as whole numbers of at least 1; those that round to less are left out."""
+    return {k: n for k, w in weights.items() if (n := round(w * scale)) > 0}
+
+
+def tier_thresholds(df: DataFrame, score: str, shares: Sequence[float] = (0.35, 0.35, 0.30)) -> tuple[float, float]:
+    """The two scores that cut the rows into three tiers whose shares are nearest to ``shares``; of equally near ones the lowest.
+
+    Counts of scores reach the driver, so scores should be whole numbers of a small range.
+    """
+    counts = sorted(df.groupBy(F.col(score).cast("double").alias("s")).count().collect())
+    at = np.array([c["s"] for c in counts] + [counts[-1]["s"] + 1])
+    below = np.concatenate([[0], np.cumsum([c["count"] for c in counts])]) / sum(c["count"] for c in counts)
+    easy, rest = below[:, None], below[None, :]
+    error = np.abs(easy - shares[0]) + np.abs(rest - easy - shares[1]) + np.abs(1 - rest - shares[2])
+    error[np.tril_indices(len(at))] = np.inf
+    i, j = np.unravel_index(np.round(error, 12).argmin(), error.shape)
+    return float(at[i]), float(at[j])
+
+
 def run_validity(df: DataFrame, id_col: str, failed: str, metric: str, limit: float = 0.01) -> DataFrame:
     """One row: rows, duplicate_ids, failure_rate, missing_metric and valid."""
     out = df.agg(F.count(F.lit(1)).alias("rows"), (F.count(F.lit(1)) - F.count_distinct(id_col)).alias("duplicate_ids"), F.avg(F.col(failed).cast("double")).alias("failure_rate"), F.count_if(F.col(metric).isNull()).alias("missing_metric"))

@@ -256,3 +256,42 @@ cases("t04_order_cases", "boolean", order_case, [
     ("MATCH (a:A) RETURN a.x AS x, a.y AS y ORDER BY a.x DESC", '[{"x": 1, "y": 0}, {"x": 3, "y": 2}, {"x": 3, "y": 1}]', False),
     ("MATCH (a:A) RETURN a.x AS x, a.y AS y ORDER BY x DESC, y", '[{"x": 3, "y": 2}, {"x": 3, "y": 1}, {"x": 1, "y": 0}]', False),
 ])
+
+
+def slice_case(text: str) -> list[str]:
+    from ..operators.refresh import schema_atoms
+
+    wide = query_text.Schema(SCHEMA.nodes | {"C": {"name": "STRING", "z": "STRING"}}, SCHEMA.rels | {"S": {}}, dict(SCHEMA.patterns) | {("B", "S", "C"): 1}, SCHEMA.domains)
+    return sorted(schema_atoms(query_text.schema_slice(wide, text)))
+
+
+cases("q24_slice_cases", "array<string>", slice_case, [
+    ("MATCH (a:A)-[:R]->(b:B) RETURN a.x", ["cat:B.y=u", "cat:B.y=v", "label:A", "label:B", "pattern:(:A)-[:R]->(:B)", "prop:A.x", "prop:B.y", "rel:R", "relprop:R.w"]),
+    ("MATCH (c:C) WHERE c.z = 'q' RETURN c.z", ["cat:B.y=u", "cat:B.y=v", "label:B", "label:C", "pattern:(:B)-[:S]->(:C)", "prop:B.y", "prop:C.name", "prop:C.z", "rel:S"]),
+    ("MATCH (q:Q) RETURN q", ["cat:B.y=u", "cat:B.y=v", "label:A", "label:B", "label:C", "pattern:(:A)-[:R]->(:B)", "pattern:(:B)-[:S]->(:C)", "prop:A.kind", "prop:A.x", "prop:B.y", "prop:C.name", "prop:C.z", "rel:R", "rel:S", "relprop:R.w"]),
+])
+
+cases("q06_context_cases", "array<string>", lambda text: [f"{label}.{p}: {', '.join(m)}" for label, p, m in query_text.missing_context(text, {"Account": {"accountId": ("kind", "nick")}})], [
+    ("MATCH (a:Account) RETURN a.accountId", ["Account.accountId: kind, nick"]),
+    ("MATCH (a:Account) RETURN a.accountId AS id, a.kind", ["Account.accountId: nick"]),
+    ("MATCH (a:Account) RETURN a.accountId, a.kind, a.nick", []),
+    ("MATCH (a:Account) RETURN a, a.accountId", []),
+    ("MATCH (a:Account) RETURN a.kind", []),
+    ("MATCH (p:Person) RETURN p.accountId", []),
+])
+
+
+def expected_case(expected: str) -> list[str]:
+    from ..operators.refresh import expected_diff_problems
+
+    changes = [("rel:R", "removed"), ("rel:T", "added"), ("prop:A.x", "removed")]
+    return expected_diff_problems(changes, json.loads(expected), [("rel:R", "rel:T")], {"S": -4})
+
+
+cases("q18_expected_cases", "array<string>", expected_case, [
+    ('{"removed": ["rel:R"], "added": ["rel:T"], "renames": [], "retained": ["rel:S"], "counts": {"S": "decrease"}}', []),
+    ('{"removed": ["rel:Q"], "retained": ["prop:A.x"]}', ["removed rel:Q is missing", "prop:A.x should have stayed"]),
+    ('{"counts": {"S": "increase", "U": "any"}, "more": 1}', ["unknown key more", "increase of S was not seen", "any of U was not seen"]),
+    ('{"renames": [["rel:R", "rel:Z"]], "unchanged": true}', ["rename rel:R to rel:Z was not found", "no change was expected"]),
+    ("{}", []),
+])

@@ -613,9 +613,14 @@ def _(spark, d):
     return statistics.compare_answers(o.filter("o_orderstatus = 'P'").select("o_custkey"), o.filter("o_orderpriority = '5-LOW'").select("o_custkey"))
 
 
+def poisson_sql() -> str:
+    """A Poisson weight of mean 1 from u in [0, 1)."""
+    return " + ".join(f"(u >= {sum(math.exp(-1) / math.factorial(i) for i in range(k + 1))!r}::DOUBLE)::INT" for k in range(8))
+
+
 def boot_sql(sums: str) -> str:
     """Common table expressions of the cluster bootstrap over ``sums`` (g, key, total, n): p has the means, b the bounds."""
-    steps = " + ".join(f"(u >= {sum(math.exp(-1) / math.factorial(i) for i in range(k + 1))!r}::DOUBLE)::INT" for k in range(8))
+    steps = poisson_sql()
     return f"""k AS MATERIALIZED ({sums}), r AS (SELECT unnest(range(1, 2001)) AS rep), u AS (SELECT k.*, rep, ('0x' || substr(sha256('boot:' || rep::VARCHAR || ':' || key::VARCHAR), 1, 13))::BIGINT / 4503599627370496.0 AS u FROM k, r),
 w AS (SELECT g, rep, total, n, {steps} AS w FROM u), m AS (SELECT g, rep, sum(w * total) / sum(w * n) AS m FROM w GROUP BY ALL),
 b AS (SELECT g, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM m GROUP BY 1), p AS (SELECT g, sum(total) / sum(n) AS mean, count(*) AS clusters FROM k GROUP BY 1)"""

@@ -14,7 +14,7 @@ from ..sources import files
 from ..steps import shared_dir
 from .catalog import table_graph
 from .compiler import cypher
-from .dataset_queries import CYPHERS, EVALS, ITEMS, PAIRS, boot_sql, cypher_texts, evaluations, items, pairs, read
+from .dataset_queries import CYPHERS, EVALS, ITEMS, PAIRS, boot_sql, cypher_texts, evaluations, items, pairs, poisson_sql, read
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -294,3 +294,22 @@ def _(spark, d):
     e = evaluations(spark, d)
     out = statistics.delta_bootstrap(e.filter("model = 1"), e.filter("model = 2"), "item", "cluster", "solved")
     return out.select("clusters", *[F.round(c, 9).alias(c) for c in ("mean", "low", "high")])
+
+
+@query("t06_stratified_bootstrap", f"WITH {EVALS}, k AS MATERIALIZED (SELECT category AS g, cluster AS key, sum(solved::INT)::DOUBLE AS total, count(*) AS n FROM ev GROUP BY ALL), r AS (SELECT unnest(range(1, 501)) AS rep), u AS (SELECT k.*, rep, ('0x' || substr(sha256('boot:' || rep::VARCHAR || ':' || key::VARCHAR), 1, 13))::BIGINT / 4503599627370496.0 AS u FROM k, r), w AS (SELECT g, rep, total, n, {poisson_sql()} AS w FROM u), s AS (SELECT g, rep, sum(w * total) AS t, sum(w * n) AS r, sum(total) AS all_t, sum(n) AS all_r FROM w GROUP BY ALL), m AS (SELECT rep, sum(CASE WHEN r > 0 THEN t / r ELSE all_t / all_r END * all_r) / sum(all_r) AS m FROM s GROUP BY 1) SELECT (SELECT count(*) FROM k) AS clusters, round((SELECT sum(total) / sum(n) FROM k), 9) AS mean, round(quantile_cont(m, 0.025), 9) AS low, round(quantile_cont(m, 0.975), 9) AS high FROM m")
+def _(spark, d):
+    """Clusters resampled inside each category."""
+    out = statistics.cluster_bootstrap(evaluations(spark, d), "cluster", "solved", strata=["category"], replicates=500)
+    return out.select("clusters", *[F.round(c, 9).alias(c) for c in ("mean", "low", "high")])
+
+
+@query("t18_tier_thresholds", "WITH s AS (SELECT (p_size % 12)::DOUBLE AS s FROM part), c AS (SELECT DISTINCT s FROM s UNION ALL SELECT max(s) + 1 FROM s), p AS (SELECT a.s AS low, b.s AS high, (SELECT avg((s < a.s)::INT) FROM s) AS e, (SELECT avg((s < b.s)::INT) FROM s) AS m FROM c a JOIN c b ON a.s < b.s) SELECT low, high FROM p ORDER BY round(abs(e - 0.35) + abs(m - e - 0.35) + abs(1 - m - 0.3), 12), low, high LIMIT 1")
+def _(spark, d):
+    low, high = statistics.tier_thresholds(read(spark, d, "part").withColumn("s", F.col("p_size") % 12), "s")
+    return spark.createDataFrame([(low, high)], "low double, high double")
+
+
+@query("t18_integer_weights", "SELECT * FROM (VALUES ('hops', 2::BIGINT), ('arity', 4::BIGINT)) t(feature, weight)")
+def _(spark, d):
+    found = statistics.integer_weights({"hops": 0.5, "arity": 1.04, "order": 0.1, "labels": 0.0}, 4.0)
+    return spark.createDataFrame(list(found.items()), "feature string, weight long")

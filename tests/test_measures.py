@@ -171,3 +171,31 @@ def test_sign_flip_above_sixteen_clusters(spark):
     assert [(r["clusters"], r["observed"]) for r in out] == [(20, 8.0)] and out[0]["p"] == pytest.approx(0.1153, abs=0.02)
     rows = [(i, 1.0 if i < 3 else 0.0) for i in range(30)]
     assert statistics.sign_flip(spark.createDataFrame(rows, "k int, d double"), "k", "d").first()["p"] == 0.25
+
+
+def test_group_folds_balance(spark):
+    """Whole groups in one fold, and folds whose rows differ by no more than the largest group."""
+    rows = [(f"g{i}",) for i in range(60) for _ in range(1 + i % 7 * (i % 3))]
+    out = statistics.group_folds(spark.createDataFrame(rows, "g string"), "g", 5)
+    folds = out.groupBy("g").agg(F.count_distinct("fold").alias("n"), F.min("fold").alias("fold")).collect()
+    assert len(folds) == 60 and all(r["n"] == 1 for r in folds)
+    load = [r["count"] for r in out.groupBy("fold").count().collect()]
+    assert len(load) == 5 and max(load) - min(load) <= 13 and sum(load) == len(rows)
+
+
+def test_quantiles_and_ranks_of_hot_values(spark):
+    """A value that most rows have, null groups, and quantiles between neighbours, against pandas."""
+    import pandas as pd
+
+    from graphloom.operators import ranks
+
+    rows = [(None if i % 5 == 0 else f"g{i % 5}", float(i % 13 if i % 3 else 7)) for i in range(500)] + [("one", 3.0), ("nulls", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    frame = pd.DataFrame(rows, columns=["g", "v"])
+    got = {r["g"]: (r["m"], r["q"]) for r in ranks.quantiles(df, F.col("v"), {"m": 0.5, "q": 0.9}, ["g"]).collect()}
+    for g, part in frame.dropna(subset=["v"]).groupby("g", dropna=False)["v"]:
+        assert got[None if g != g else g] == (pytest.approx(part.quantile(0.5)), pytest.approx(part.quantile(0.9)))
+    ranked = statistics.average_ranks(df.filter("v IS NOT NULL"), "v", ["g"]).collect()
+    frame = frame.dropna(subset=["v"])
+    frame["rank"] = frame.groupby("g", dropna=False)["v"].rank()
+    assert sorted((str(r["g"]), r["v"], r["rank"]) for r in ranked) == sorted((str(None if g != g else g), v, k) for g, v, k in frame[["g", "v", "rank"]].itertuples(index=False))
