@@ -9,12 +9,13 @@ inequality), and the survivors are verified.
 
 Only distinct fingerprints are joined, so exact copies cost nothing. Where more than ``BLOCK`` meet under one key,
 they are split into blocks and every pair of blocks is a group of its own, so that no task holds
-an unbounded group. A group returns a spanning forest of its links, not all pairs.
+an unbounded group; under a key of more than ``HOT`` they meet again under longer keys instead. A group
+returns a spanning forest of its links, not all pairs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -29,6 +30,8 @@ from .components import connected_components
 SEED, BITS = 42, 64
 #: Fingerprints of one group; a group of two blocks has twice as many at most.
 BLOCK = 1024
+#: Fingerprints of a key from which on it is made longer.
+HOT = 20 * BLOCK
 NO_ID = (1 << 63) - 1
 #: Reference fingerprints of the pivot tables, by a rule: hashes of 0, 1, 2, ...
 PIVOTS = np.array([xxhash.xxh64_intdigest(i.to_bytes(8, "little"), SEED) for i in range(16)], dtype=np.uint64)
@@ -65,10 +68,10 @@ def signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def block_masks(radius: int, extra: int = 3) -> list[int]:
-    """Masks of the keys: all choices of ``extra`` of radius + extra bit blocks."""
-    edges = [round(i * BITS / (radius + extra)) for i in range(radius + extra + 1)]
-    blocks = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges, edges[1:], strict=False)]
+def block_masks(radius: int, extra: int = 3, bits: Sequence[int] = range(BITS)) -> list[int]:
+    """Masks of the keys: all choices of ``extra`` of radius + extra blocks of the ``bits``."""
+    edges = [round(i * len(bits) / (radius + extra)) for i in range(radius + extra + 1)]
+    blocks = [sum(1 << b for b in bits[i:j]) for i, j in zip(edges, edges[1:], strict=False)]
     return [sum(c) for c in combinations(blocks, extra)]
 
 
@@ -165,12 +168,11 @@ def forests(columns: list[str], pairs):
     return whole_groups(links)
 
 
-def dealt(keyed: DataFrame, fingerprints: DataFrame, columns: list[str]) -> DataFrame:
+def dealt(keyed: DataFrame, shared: DataFrame, fingerprints: DataFrame, columns: list[str]) -> DataFrame:
     """Rows that share a key (t, key) with another, in partitions sorted by group: a key of many rows becomes pairs of blocks.
 
-    ``keyed``: (node, t, key). Fingerprints join only the rows that share a key.
+    ``keyed``: (node, t, key); ``shared``: (t, key, n) of the keys of more than one row. Fingerprints join only the rows that share a key.
     """
-    shared = keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     met = keyed.join(shared, ["t", "key"]).join(fingerprints, "node")
     blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
     met = met.withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int"))
@@ -179,6 +181,24 @@ def dealt(keyed: DataFrame, fingerprints: DataFrame, columns: list[str]) -> Data
     return met.repartition(*GROUP).sortWithinPartitions(*GROUP)
 
 
+def sizes_of(keyed: DataFrame) -> DataFrame:
+    """(t, key, n) of the keys of more than one row, written."""
+    return materialise(keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "keys")
+
+
+def refined(keyed: DataFrame, hot: DataFrame, fingerprints: DataFrame, radius: int) -> DataFrame:
+    """The rows of hot keys under longer keys: the bits outside a key are cut into blocks anew, and fingerprints within ``radius`` bits agree there on all but ``radius`` of them, too.
+
+    So each row of a hot key gets as many keys as there are choices of blocks, instead of a copy for every block of its rows.
+    """
+    masks = block_masks(radius)
+    finer = [[signed(m | inner) for inner in block_masks(radius, bits=[b for b in range(BITS) if not m >> b & 1])] for m in masks]
+    of_key = F.element_at(F.array(*[F.array(*map(F.lit, f)) for f in finer]), F.col("t") + 1)
+    rows = keyed.join(broadcast_if_small(hot.select("t", "key")), ["t", "key"], "left_semi").join(fingerprints.select("node", "fp"), "node")
+    rows = rows.select("node", "t", "fp", F.posexplode(of_key).alias("u", "mask"))
+    return rows.select("node", (F.lit(len(masks)) + F.col("t") * len(finer[0]) + F.col("u")).alias("t"), F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
+
+
 def components_of(distinct: DataFrame, links: DataFrame, columns: list[str]) -> DataFrame:
     """(columns, component): the least rep of each node's component. ``distinct``: (columns, rep, node); nodes are unique, reps need not be."""
     roots = connected_components(links)
@@ -192,7 +212,15 @@ def near_links(fingerprints: DataFrame, radius: int) -> DataFrame:
     """Links (a, b) between nodes that connect all fingerprints within ``radius`` bits. ``fingerprints``: one row (fp, node) for each."""
     keys = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("key")) for t, m in enumerate(block_masks(radius))])
     keyed = fingerprints.select("node", F.explode(keys).alias("k")).select("node", "k.t", "k.key")
-    return dealt(keyed, fingerprints, ["fp"]).mapInPandas(forests(["fp"], lambda fps, group: linked_pairs(fps, group, radius)), "a long, b long")
+    shared = sizes_of(keyed)
+    hot = shared.filter(F.col("n") > HOT)
+    parts = dealt(keyed, shared.filter(F.col("n") <= HOT), fingerprints, ["fp"])
+    links = parts.mapInPandas(forests(["fp"], lambda fps, group: linked_pairs(fps, group, radius)), "a long, b long")
+    if hot.isEmpty():
+        return links
+    longer = materialise(refined(keyed, hot, fingerprints, radius), "longer")
+    more = dealt(longer, sizes_of(longer), fingerprints, ["fp"])
+    return links.unionByName(more.mapInPandas(forests(["fp"], lambda fps, group: linked_pairs(fps, group, radius)), "a long, b long"))
 
 
 def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

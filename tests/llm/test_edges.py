@@ -230,8 +230,10 @@ def test_simhash_components(docs, none):
     assert simhash.simhash_components(none).count() == 0
 
 
-def test_simhash_links_are_complete(spark):
-    """Clusters of fingerprints a few bits apart, more under one key than a block holds."""
+@pytest.mark.parametrize("hot", [simhash.HOT, 300])
+def test_simhash_links_are_complete(spark, monkeypatch, hot):
+    """Clusters of fingerprints a few bits apart, more under one key than a block holds, or than is hot."""
+    monkeypatch.setattr(simhash, "HOT", hot)
     random = np.random.default_rng(5)
     base = random.integers(0, 1 << 63, 40, dtype=np.int64)
     fps = set(base.tolist())
