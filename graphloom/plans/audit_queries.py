@@ -223,7 +223,20 @@ def _(spark, d):
     return benchmarks.rank_agreement(evaluations(spark, d), "model", "value", "category")
 
 
-@query("q24_schema_templates")
+TEMPLATES = """WITH p(a, t, b) AS (VALUES ('Nation', 'IN_REGION', 'Region'), ('Customer', 'IN_NATION', 'Nation'), ('Supplier', 'IN_NATION', 'Nation'), ('Customer', 'PLACED', 'Order'), ('Order', 'CONTAINS', 'Part'), ('Supplier', 'SUPPLIES', 'Part'), ('Order', 'FULFILLED_BY', 'Supplier'), ('User', 'DID', 'Event'), ('Event', 'NEXT', 'Event'), ('Nation', 'TRADES_WITH', 'Nation')),
+f(l, s) AS (VALUES ('Customer', 'acctBal'), ('Event', 'eventId'), ('Nation', 'name'), ('Order', 'orderDate'), ('Part', 'brand'), ('Region', 'name'), ('Supplier', 'acctBal'), ('User', 'userId')),
+d AS (SELECT 'outgoing' AS side, a AS anchor, b AS other, '-[:' || t || ']->' AS pat FROM p UNION ALL SELECT 'incoming', b, a, '<-[:' || t || ']-' FROM p),
+e AS (SELECT d.*, s, CASE WHEN scoped THEN '(a:' || anchor || ' {' || s || ': $value})' ELSE '(a:' || anchor || ')' END AS n, side || CASE WHEN scoped THEN '_scoped' ELSE '' END AS name FROM d JOIN f ON l = anchor, (VALUES (false), (true)) x(scoped)),
+c AS (SELECT x.*, y.a AS ya, y.t AS yt, y.b AS yb, g.s AS sa, h.s AS sb FROM p x JOIN p y ON y.a = x.b OR y.b = x.b JOIN f g ON g.l = x.a JOIN f h ON h.l = x.b),
+r AS (SELECT 'count_' || name AS kind, 'simple_aggregation' AS category, 'MATCH ' || n || pat || '(b:' || other || ') RETURN COUNT(DISTINCT b) AS n' AS cypher FROM e
+UNION ALL SELECT 'topk_' || name, 'ranking_topk', 'MATCH ' || n || pat || '(b:' || other || ') WITH a, COUNT(DISTINCT b) AS n RETURN DISTINCT a.' || s || ' AS ' || s || ', n ORDER BY n DESC LIMIT 10' FROM e
+UNION ALL SELECT 'negation_' || name, 'negation_difference', 'MATCH ' || n || ' WHERE NOT (a)' || pat || '(:' || other || ') RETURN DISTINCT a.' || s || ' AS ' || s || ' LIMIT 50' FROM e
+UNION ALL SELECT 'negation_context_outgoing_scoped', 'negation_difference', 'MATCH (a:' || a || ' {' || sa || ': $value})-[:' || t || ']->(b:' || b || ') WHERE NOT (b)-[:' || yt || ']->(:' || yb || ') RETURN DISTINCT b.' || sb || ' AS ' || sb || ' LIMIT 50' FROM c WHERE ya = b
+UNION ALL SELECT 'negation_context_incoming_scoped', 'negation_difference', 'MATCH (a:' || a || ' {' || sa || ': $value})-[:' || t || ']->(b:' || b || ') WHERE NOT (:' || ya || ')-[:' || yt || ']->(b) RETURN DISTINCT b.' || sb || ' AS ' || sb || ' LIMIT 50' FROM c WHERE yb = b AND (ya, yt) <> (a, t))
+SELECT *, category AS derived FROM r"""
+
+
+@query("q24_schema_templates", TEMPLATES)
 def _(spark, d):
     """Every template derived from the catalog's schema, with its category as the text suggests it."""
     from ..functions import values
