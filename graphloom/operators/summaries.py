@@ -103,6 +103,12 @@ def blocking_gate(issues: Column, read_only: Column, syntax: Column, schema: Col
     return F.coalesce(ordered([*by_issue, *checks], None), F.when(~passed, judged), F.when(accepted, "accepted"), F.lit("other_reject"))
 
 
+def failure_reason(reason: Column, issues: Column, error: Column) -> Column:
+    """Why a record failed, in words: the judge's reason, else its first issue, else the execution's error, else unknown."""
+    said = lambda c: F.nullif(F.trim(c), F.lit(""))
+    return F.coalesce(said(reason), F.get(issues, F.lit(0)), said(error), F.lit("unknown"))
+
+
 def failure_bucket(accepted: Column, reason: Column, read_only: Column, syntax: Column, schema: Column, success: Column, rows: Column, passed: Column) -> Column:
     """The failure taxonomy's bucket of a record."""
     why = F.lower(F.coalesce(reason, F.lit("")))

@@ -295,3 +295,18 @@ cases("q18_expected_cases", "array<string>", expected_case, [
     ('{"renames": [["rel:R", "rel:Z"]], "unchanged": true}', ["rename rel:R to rel:Z was not found", "no change was expected"]),
     ("{}", []),
 ])
+
+
+def verdict_case(reply: str) -> list[str]:
+    passed, failing, missing = query_text.checklist_verdict(json.loads(reply))
+    return [str(passed), *(f"failing {c}" for c in failing), *(f"missing {c}" for c in missing)]
+
+
+cases("x19_verdict_cases", "array<string>", verdict_case, [
+    (json.dumps({"criteria": {c: {"answer": "Yes", "evidence": "e"} for c in query_text.CHECKLIST}}), ["True"]),
+    (json.dumps({"checklist": dict.fromkeys(query_text.CHECKLIST, True) | {"ranking": "N/A", "columns": {"verdict": "not_applicable"}}}), ["True"]),
+    (json.dumps(GOOD | {"unambiguous": "n.a."}), ["False", "failing unambiguous"]),
+    (json.dumps(GOOD | {"values": False, "grouping": "perhaps"}), ["False", "failing values", "failing grouping"]),
+    (json.dumps({k: v for k, v in GOOD.items() if k not in ("values", "columns")}), ["False", "missing values", "missing columns"]),
+    ("{}", ["False", *(f"missing {c}" for c in query_text.CHECKLIST)]),
+])

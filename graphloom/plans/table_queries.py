@@ -9,12 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import privacy, query_text, text, values
-from ..operators import joins, selection, statistics
+from ..operators import joins, selection, statistics, summaries
 from ..sources import files
 from ..steps import shared_dir
 from .catalog import table_graph
 from .compiler import cypher
-from .dataset_queries import CYPHERS, EVALS, ITEMS, PAIRS, boot_sql, cypher_texts, evaluations, items, pairs, poisson_sql, read
+from .dataset_queries import CYPHERS, EVALS, GATES, ITEMS, PAIRS, boot_sql, cypher_texts, evaluations, gate_rows, items, pairs, poisson_sql, read
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -313,3 +313,11 @@ def _(spark, d):
 def _(spark, d):
     found = statistics.integer_weights({"hops": 0.5, "arity": 1.04, "order": 0.1, "labels": 0.0}, 4.0)
     return spark.createDataFrame(list(found.items()), "feature string, weight long")
+
+
+@query("x21_failure_reasons", f"WITH {GATES} SELECT flag, coalesce(nullif(reason, ''), CASE WHEN has THEN code END, CASE WHEN NOT success THEN 'timeout' END, 'unknown') AS why, count(*) AS n FROM g WHERE NOT accepted GROUP BY ALL")
+def _(spark, d):
+    """Reasons of the records that were not accepted, by cell."""
+    rows = gate_rows(spark, d).filter("NOT accepted")
+    why = summaries.failure_reason(F.col("reason"), F.col("issues"), F.when(~F.col("success"), " timeout "))
+    return rows.groupBy("flag", why.alias("why")).agg(F.count(F.lit(1)).alias("n"))
