@@ -28,6 +28,18 @@ def redact_numbers(text: Column) -> Column:
     return F.regexp_replace(text, r"(?<![\w.<])\d+(?:\.\d+)?(?![\w.])", "<num>")
 
 
+#: What stands for a log line that quotes a query, for a quoted query and for a literal.
+QUERY_LINE = 'Received notification from DBMS server: [REDACTED_NOTIFICATION] for query: "[REDACTED_CYPHER]"'
+QUERY_MARK, LITERAL_MARK = "[REDACTED_CYPHER]", "'[REDACTED_LITERAL]'"
+
+
+def redact_log(line: Column) -> Column:
+    """A line of a runtime log without the queries and values that it quotes."""
+    quoted = r"""(?i)(query|cypher)=('(?:\\.|[^'\\])*'|"(?:\\.|[^"\\])*")"""
+    plain = F.regexp_replace(F.regexp_replace(line, quoted, "$1=" + QUERY_MARK), r"'[^']{1,200}'", LITERAL_MARK)
+    return F.when(F.contains(line, F.lit("for query:")), F.lit(QUERY_LINE)).otherwise(plain)
+
+
 def residual_values(text: Column, values: Column) -> Column:
     """The values that still occur in the text."""
     return F.filter(F.array_distinct(values), lambda v: v.isNotNull() & (v != "") & F.contains(text, v))

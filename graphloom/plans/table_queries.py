@@ -321,3 +321,12 @@ def _(spark, d):
     rows = gate_rows(spark, d).filter("NOT accepted")
     why = summaries.failure_reason(F.col("reason"), F.col("issues"), F.when(~F.col("success"), " timeout "))
     return rows.groupBy("flag", why.alias("why")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("x21_redacted_log", "SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'Received notification from DBMS server: [REDACTED_NOTIFICATION] for query: \"[REDACTED_CYPHER]\"' WHEN 1 THEN 'run Cypher=[REDACTED_CYPHER] took ' || c_custkey ELSE 'value ''[REDACTED_LITERAL]'' of ''[REDACTED_LITERAL]'' kept' END AS line FROM customer")
+def _(spark, d):
+    k = F.col("c_custkey")
+    noted = F.concat(F.lit("WARN notice for query: MATCH (c {name: '"), "c_name", F.lit("'})"))
+    run = F.concat(F.lit('run Cypher="MATCH (c {name: \\"'), "c_name", F.lit('\\"})" took '), k.cast("string"))
+    value = F.concat(F.lit("value '"), "c_name", F.lit("' of '"), "c_mktsegment", F.lit("' kept"))
+    return read(spark, d, "customer").select("c_custkey", privacy.redact_log(F.when(k % 3 == 0, noted).when(k % 3 == 1, run).otherwise(value)).alias("line"))
