@@ -10,7 +10,6 @@ that falls below zero the step goes the other way.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 
 import numpy as np
 import xxhash
@@ -40,22 +39,20 @@ def group_table() -> np.ndarray:
 TABLE = group_table()
 
 
-def statistics(text: str) -> list[float]:
-    """Shares of character groups, word and line statistics, repetition and compressibility of the whole text."""
-    raw = text.encode()
+def statistics(raw: bytes, words: list[bytes], h: np.ndarray) -> list[float]:
+    """Shares of character groups, word and line statistics, repetition and compressibility of the whole text; ``h``: the words' hashes."""
     counts = np.bincount(np.frombuffer(raw, dtype=np.uint8), minlength=256)
     n = max(len(raw), 1)
     groups = counts @ TABLE
-    words = raw.split()
     m = max(len(words), 1)
-    seen = Counter(words)
+    often = np.unique(h, return_counts=True)[1]
     lines = raw.split(b"\n")
     ascii_letters = groups[0] + groups[1]
-    beside = sum(map(bytes.__eq__, words, words[1:]))
+    beside = int((h[1:] == h[:-1]).sum())
     squeezed = len(zlib.compress(raw, 1)) / n
     return [
         *(np.log1p(100 * groups / n)), float(counts[128:].sum()) / n, groups[1] / max(ascii_letters, 1.0), float(np.log1p(len(raw))), float(np.log1p(len(words))),
-        min(len(raw) / m, 50.0), len(seen) / m, (max(seen.values()) if seen else 0) / m, beside / m, len(set(lines)) / len(lines), float(np.log1p(m / len(lines))), min(squeezed, 2.0),
+        min(len(raw) / m, 50.0), len(often) / m, int(often.max(initial=0)) / m, beside / m, len(set(lines)) / len(lines), float(np.log1p(m / len(lines))), min(squeezed, 2.0),
     ]
 
 
@@ -69,9 +66,8 @@ class Words(dict):
         return h
 
 
-def content(words: list[bytes], hashes: Words) -> np.ndarray:
-    """Words and word pairs in hashed buckets, each sign from the hash: log counts, to unit length."""
-    h = np.array([hashes[w] for w in words], dtype=np.uint64)
+def content(h: np.ndarray) -> np.ndarray:
+    """Words and word pairs in hashed buckets, each sign from the hash: log counts, to unit length; ``h``: the words' hashes."""
     with np.errstate(over="ignore"):
         both = np.concatenate([h, (h[:-1] * np.uint64(0x9E3779B97F4A7C15) ^ h[1:]) * np.uint64(0xBF58476D1CE4E5B9)])
     signs = 1.0 - 2.0 * (both >> np.uint64(63)).astype(np.float64)
@@ -82,7 +78,10 @@ def content(words: list[bytes], hashes: Words) -> np.ndarray:
 
 
 def features(text: str, hashes: Words) -> list[float]:
-    return [*statistics(text), *content(text.encode().split(), hashes)]
+    raw = text.encode()
+    words = raw.split()
+    h = np.array([hashes[w] for w in words], dtype=np.uint64)
+    return [*statistics(raw, words, h), *content(h)]
 
 
 WIDTH = len(GROUPS) + 11 + CONTENT
@@ -94,10 +93,10 @@ class Network:
     def __init__(self, mean: np.ndarray, scale: np.ndarray):
         random = np.random.default_rng(7)
         self.mean, self.scale = mean, scale
-        self.parts = [random.normal(0, 0.3, (WIDTH, HIDDEN)), np.zeros(HIDDEN), random.normal(0, 0.3, HIDDEN), np.zeros(1)]
+        self.parts = [p.astype(np.float32) for p in (random.normal(0, 0.3, (WIDTH, HIDDEN)), np.zeros(HIDDEN), random.normal(0, 0.3, HIDDEN), np.zeros(1))]
 
     def standard(self, x: np.ndarray) -> np.ndarray:
-        return np.clip((x - self.mean) / self.scale, -8, 8)
+        return np.clip((x - self.mean) / self.scale, -8, 8).astype(np.float32)
 
     def forward(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         hidden = np.tanh(x @ self.parts[0] + self.parts[1])
@@ -113,14 +112,14 @@ class Network:
         first, second = [np.zeros_like(p) for p in self.parts], [np.zeros_like(p) for p in self.parts]
         for t in range(1, STEPS + 1):
             hidden, f = self.forward(x)
-            for i, g in enumerate(self.gradient(x, hidden, of_outputs(f))):
+            for i, g in enumerate(self.gradient(x, hidden, of_outputs(f.astype(np.float64)).astype(np.float32))):
                 g = g + DECAY * self.parts[i]
                 first[i] = 0.9 * first[i] + 0.1 * g
                 second[i] = 0.999 * second[i] + 0.001 * g * g
                 self.parts[i] = self.parts[i] - RATE * (first[i] / (1 - 0.9**t)) / (np.sqrt(second[i] / (1 - 0.999**t)) + 1e-8)
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        return sigmoid(self.forward(self.standard(x))[1])
+        return sigmoid(self.forward(self.standard(x))[1].astype(np.float64))
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

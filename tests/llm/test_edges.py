@@ -664,7 +664,7 @@ def test_risk_gradient_and_features_equal_brute_force():
             sums[(x >> 32) % quality.CONTENT] += -1.0 if x >> 63 else 1.0
         raw = [np.sign(v) * np.log1p(abs(v)) for v in sums]
         norm = sum(v * v for v in raw) ** 0.5 or 1.0
-        assert np.allclose(quality.content(words, quality.Words()), np.array(raw) / norm)
+        assert np.allclose(quality.content(np.array(h, dtype=np.uint64)), np.array(raw) / norm)
     random = np.random.default_rng(4)
     for shift in (0.0, -6.0):  # the second makes the negative part negative
         f, n, prior = random.normal(0, 1, 30) + shift, 12, 0.6
