@@ -53,6 +53,15 @@ def test_quality_stage_on_labels_it_has_not_seen(spark, sf_dir):
     assert kept[1] >= 0.97 * there[1] and kept.get(0, 0) <= 0.35 * there[0]
 
 
+def test_quality_of_labels_it_has_not_seen_at_the_larger_scale(spark, sf_dir):
+    """sf0.1, held out: nearly no bad document is kept and nearly no good one lost (an overestimated prior once kept 43 of 122)."""
+    folder = sf_dir.replace("sf0.001", "sf0.1")
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    scored = queries.QUERIES["op9_pu_quality"](spark, folder).filter("held_out").join(labels, "doc_id")
+    found = {(r["quality"], r["predicted"]): r["count"] for r in scored.groupBy("quality", "predicted").count().collect()}
+    assert found.get((0, 1), 0) <= 0.1 * (found[0, 0] + found.get((0, 1), 0)) and found.get((1, 0), 0) <= 0.02 * found[1, 1]
+
+
 def test_pipeline_keeps_no_near_copies(spark, sf_dir):
     """Brute force over all pairs of a small corpus: what stays has no pair of similarity 0.9, and what went was like something that stayed."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
