@@ -24,6 +24,8 @@ from .language_id import filter_texts
 SAMPLE, POSITIVES = 12_000, 6_000
 THRESHOLD = 0.3
 HIDDEN, STEPS, RATE, DECAY = 12, 300, 0.02, 1e-3
+#: Words whose hashes a task remembers.
+MEMORY = 150_000
 #: Buckets of hashed words and word pairs.
 CONTENT = 64
 GROUPS = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", ".", ",", "!?", "#$%&*@^~+=<>\\/", "|", "-_", "\"'()[]{}:;`", "\n")
@@ -60,7 +62,7 @@ class Words(dict):
     """Word -> 64-bit hash, for the words that a task has met."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > MEMORY:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h
