@@ -316,8 +316,8 @@ def common_elements(sets: list[np.ndarray]) -> np.ndarray:
 def open_links(columns: list[str]):
     """Of partitions sorted by group: links (a, b) that connect what each group connects.
 
-    Pivot tables over the wide fingerprints, then the fingerprints themselves, leave the pairs of different components and fitting
-    sizes within WIDE_RADIUS; the sets of their rows are compared exactly. A group (bi < 0, bj) has a block of the
+    The wide fingerprints' distances leave the pairs of different components and fitting sizes within WIDE_RADIUS (the pivot tables
+    before them, which ``linked_pairs`` asks first, discard next to nothing at so wide a radius); the sets of their rows are compared exactly. A group (bi < 0, bj) has a block of the
     key's largest component and one of the rest.
     """
 
@@ -364,8 +364,8 @@ def alike(a: bytes, b: bytes) -> bool:
 
 
 def shingle_sets(texts: DataFrame, owners: DataFrame, shingle: int) -> DataFrame:
-    """(node, shingles) of the texts of ``owners`` (owner: a doc_id); the sets are made again, so that only texts with candidates move."""
-    held = texts.join(broadcast_if_small(owners), F.coalesce("doc_id", F.lit(NO_ID)) == F.col("owner"), "left_semi").select("text")
+    """(node, shingles) of the texts of ``owners`` (owner, own_th: a row's id and hash of its text); the sets are made again, so that only texts with candidates move."""
+    held = texts.join(broadcast_if_small(owners), (F.coalesce("doc_id", F.lit(NO_ID)) == F.col("owner")) & (F.col("th") == F.col("own_th")), "left_semi").select("text")
 
     def make():
         def step(columns):
@@ -431,47 +431,62 @@ def open_groups(nodes: DataFrame, distinct: DataFrame, sets: DataFrame, columns:
     return met.repartition(*GROUP).sortWithinPartitions(*GROUP)
 
 
-def similar_components(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, component_id) for texts whose shingle sets have a Jaccard similarity of at least ALIKE.
-
-    Sets meet under the keys of min-hash bands (see BANDS), whose recall does not depend on the size of the corpus. First
-    each set is compared with the least of every key that it shares, which joins nearly all copies at a cost linear in the
-    keys. Then the sets under keys that are not all of one component meet again; in each group pivot tables over
-    256-bit fingerprints discard, the rest are compared, and a spanning forest of links is returned, not all pairs. Only sets
-    that are similar (by hashes of 40 bits) are linked. Nulls, empty texts and repeats are as in ``simhash_components``.
-    """
+def similar_rows(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, th, least) for each row: a hash of its text, and (id, th) of the least row of its component (a null id as NO_ID). See ``similar_components``."""
     words = [f"f{w}" for w in range(WIDE_WORDS)]
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    text = text_or_empty(text_col)
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
 
     def make():
         def step(columns):
-            hashes = [np.unique(shingle_hashes(t, shingle)) for t in columns[1]]
+            hashes = [np.unique(shingle_hashes(t, shingle)) for t in columns[2]]
             prints, keys = [wide_fingerprint(h) for h in hashes], [minimum_keys(h) for h in hashes]
-            return [columns[0], [set_node(h) for h in hashes], [len(h) for h in hashes], *([p[w] for p in prints] for w in range(WIDE_WORDS)), *([k[i].view(np.int64) for k in keys] for i in (0, 1))]
+            return [columns[0], columns[1], [set_node(h) for h in hashes], [len(h) for h in hashes], *([p[w] for p in prints] for w in range(WIDE_WORDS)), *([k[i].view(np.int64) for k in keys] for i in (0, 1))]
 
         return step
 
-    light = materialise(map_rows(texts, make, "doc_id long, node long, elements long, " + ", ".join(f"{w} long" for w in words) + ", keys array<long>, singles array<long>"), "wide")
+    light = materialise(map_rows(texts, make, "doc_id long, th long, node long, elements long, " + ", ".join(f"{w} long" for w in words) + ", keys array<long>, singles array<long>"), "wide")
     columns = [*words, "elements"]
-    distinct = materialise(light.groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("rep"), *[F.first(c).alias(c) for c in (*columns, "keys", "singles")]), "distinct")
+    row = F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "th")
+    distinct = materialise(light.groupBy("node").agg(F.min(row).alias("rep"), *[F.first(c).alias(c) for c in (*columns, "keys", "singles")]), "distinct")
     keyed = distinct.select("node", F.explode("keys").alias("key"))
     tried = materialise(stars(keyed), "stars")
     met = materialise(tried.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "met")
-    owners = materialise(distinct.select("node", "rep").join(met, "node", "left_semi").select(F.col("rep").alias("owner")).distinct(), "owners")
+    owners = materialise(distinct.select("node", "rep").join(met, "node", "left_semi").select(F.col("rep.id").alias("owner"), F.col("rep.th").alias("own_th")).distinct(), "owners")
     sets = shingle_sets(texts, owners, shingle)
     roots = materialise(connected_components(compared(tried, sets)), "roots")
     named = met.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("component"))
     parts = open_groups(materialise(open_nodes(keyed, named), "open-nodes"), distinct, sets, columns)
     more = materialise(parts.mapInPandas(open_links(words), "a long, b long").distinct(), "links")
     links = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
-    return light.select("doc_id", "node").join(components_of(distinct, links, ["node"]), "node").select("doc_id", F.nullif("component", F.lit(NO_ID)).alias("component_id"))
+    return light.select("doc_id", "th", "node").join(components_of(distinct, links, ["node"]), "node").select("doc_id", "th", F.col("component").alias("least"))
+
+
+def similar_components(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, component_id) for texts whose shingle sets have a Jaccard similarity of at least ALIKE.
+
+    Sets meet under the keys of min-hash bands (see BANDS), whose recall does not depend on the size of the corpus. First
+    each set is compared with the least of every key that it shares, which joins nearly all copies at a cost linear in the
+    keys. Then the sets under keys that are not all of one component meet again; in each group the fingerprints' own
+    distances discard, the rest are compared, and a spanning forest of links is returned, not all pairs. Only sets
+    that are similar (by hashes of 40 bits) are linked. Nulls, empty texts and repeats are as in ``simhash_components``.
+    """
+    return similar_rows(docs, shingle, id_col, text_col).select("doc_id", F.nullif("least.id", F.lit(NO_ID)).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents, all columns, with one of each group of similar texts: the smallest id. Rows that repeat a staying row's id stay with it."""
-    groups = similar_components(docs, shingle, id_col, text_col)
-    lose = materialise(groups.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__gl_id")).distinct(), "copies")
-    return docs.join(broadcast_if_small(lose), F.col(id_col).cast("long").eqNullSafe(F.col("__gl_id")), "left_anti")
+    """The documents, all columns, with one of each group of similar texts: that of the smallest id (null ids are the largest).
+
+    Rows are told apart by id and text, so rows that share an id or have none are judged each by its own text; of several of one id in
+    a group the one whose text has the least hash stays. Only rows alike in both, which nothing tells apart, stay together. Null and
+    empty texts are alike. Very long texts are compared whole. An empty table gives an empty result; other columns pass
+    through, whatever their names.
+    """
+    here = F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "th")
+    rows = similar_rows(docs, shingle, id_col, text_col)
+    lose = materialise(rows.filter(here != F.col("least")).select(F.col("doc_id").alias("__gl_id"), F.col("th").alias("__gl_th")).distinct(), "copies")
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("__gl_id")) & (F.xxhash64(text_or_empty(text_col)) == F.col("__gl_th"))
+    return docs.join(broadcast_if_small(lose), same, "left_anti")
 
 
 def hex_of(fp: Column) -> Column:
