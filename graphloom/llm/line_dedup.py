@@ -34,8 +34,8 @@ THIRDS, FIFTHS = 3, 5
 MIN_TOKENS, MIN_BYTES = 3, 60
 #: A template recurs in at least so many independent texts, and at least this share of the texts that hold it.
 MIN_TEXTS, MIN_SHARE = 4, 0.05
-#: Share of its own in a text that is no near copy of others; words of a shingle; shingles drawn of a longer text (up to twice as many).
-OWN_SHARE, SHINGLE, DRAWN = 0.15, 5, 32
+#: Share of its own in a text that is no near copy of others; words of a shingle.
+OWN_SHARE, SHINGLE = 0.15, 5
 FIELD = b"<*>"
 DIGIT = re.compile(rb"[0-9]")
 #: Words whose hashes a task remembers.
@@ -60,8 +60,8 @@ def stretch_sums(total: np.ndarray, starts: np.ndarray, counts: np.ndarray, part
     return at[:, 1:] - at[:, :-1]
 
 
-def parse(texts: list[str], words: Words) -> list[tuple[list[int], list[int], list[np.ndarray], np.ndarray]]:
-    """Of each text: (line numbers, leaves, template keys of each line, drawn shingles) of the lines that have templates."""
+def parse(texts: list[str], words: Words) -> list[tuple[list[int], list[int], list[np.ndarray]]]:
+    """Of each text: (line numbers, leaves, template keys of each line) of the lines that have templates."""
     lines = [text.encode().split(b"\n") for text in texts]
     tokens = [line.split() for ls in lines for line in ls]
     counts = np.array([len(t) for t in tokens], dtype=np.int64)
@@ -71,10 +71,8 @@ def parse(texts: list[str], words: Words) -> list[tuple[list[int], list[int], li
     ends = height.cumsum()
     has = np.flatnonzero((counts >= MIN_TOKENS) | (size >= MIN_BYTES) & (counts > 0))
     first = counts.cumsum() - counts
-    word_ends = np.concatenate([[0], counts.cumsum()])[ends]
-    drawn = shingle_samples(h, word_ends)
     if not len(has):
-        return [([], [], [], d) for d in drawn]
+        return [([], [], [])] * len(texts)
     place = np.arange(len(h)) - np.repeat(first, counts)
     with np.errstate(over="ignore"):
         weighed = h * (mix(place.astype(np.uint64), 1) | np.uint64(1))
@@ -95,23 +93,23 @@ def parse(texts: list[str], words: Words) -> list[tuple[list[int], list[int], li
     owner = np.searchsorted(ends, has, side="right")
     number, leaf = (has - (ends - height)[owner]).tolist(), path.view(np.int64).tolist()
     edges = np.searchsorted(owner, np.arange(len(texts) + 1)).tolist()
-    return [(number[i:j], leaf[i:j], keys[i:j], d) for i, j, d in zip(edges, edges[1:], drawn, strict=False)]
+    return [(number[i:j], leaf[i:j], keys[i:j]) for i, j in zip(edges, edges[1:], strict=False)]
 
 
-def shingle_samples(h: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
-    """Of each text, whose words end at ``ends``: the distinct shingle hashes, all, or of a longer text those below a bound that only their number decides."""
-    ahead = [h]
-    found = h
+def shingle_sets(texts: list[str], words: Words) -> list[np.ndarray]:
+    """Of each text: the hashes of its distinct shingles (of fewer words: of all together; of none: nothing)."""
+    tokens = [text.encode().split() for text in texts]
+    h = np.array([words[w] for t in tokens for w in t], dtype=np.uint64)
+    ahead, found = [h], h
     with np.errstate(over="ignore"):
         for i in range(1, SHINGLE):
             found = mix(found[:-1] * ODD + h[i:], 0) if len(found) else found
             ahead.append(found)  # hashes of i + 1 words
-    out = []
-    for start, end in zip([0, *ends.tolist()], ends.tolist(), strict=False):
-        k = min(SHINGLE, end - start)
-        mine = np.unique(ahead[k - 1][start : end - k + 1]) if k else h[:0]
-        level = max((len(mine) // DRAWN).bit_length() - 1, 0)
-        out.append((mine[mine < np.uint64(1 << (64 - level))] if level else mine).view(np.int64))
+    out, start = [], 0
+    for t in tokens:
+        end, k = start + len(t), min(SHINGLE, len(t))
+        out.append(np.unique(ahead[k - 1][start : end - k + 1] if k else h[:0]).view(np.int64))
+        start = end
     return out
 
 
@@ -128,15 +126,28 @@ def in_portions(texts: list[str], size: int = 200_000) -> Iterator[list[str]]:
         yield portion
 
 
-PARSED = "id long, th long, line array<int>, leaf array<long>, keys array<array<long>>, drawn array<long>"
+PARSED = "id long, th long, line array<int>, leaf array<long>, keys array<array<long>>"
+
+
+def independent_texts(rows: DataFrame, holders: DataFrame, min_texts: int, own_share: float) -> DataFrame:
+    """(th) of the ``holders`` (th, owner: one id that has the text) of which at least ``own_share`` is their own. All their shingles are
+    counted, made anew from one row of each text, so that other texts' shingles never exist."""
+    owned = rows.join(broadcast_if_small(holders.select(F.col("th").alias("own_th"), "owner")), (F.col("th") == F.col("own_th")) & F.col("id").eqNullSafe(F.col("owner")), "left_semi")
 
+    def make():
+        words = Words()
+
+        def step(columns):
+            return [columns[0], [x for texts in in_portions(columns[1]) for x in shingle_sets(texts, words)]]
+
+        return step
 
-def independent_texts(lines: DataFrame, holders: DataFrame, min_texts: int, own_share: float) -> DataFrame:
-    """(th) of the ``holders`` of which at least ``own_share`` is their own."""
-    drawn = lines.join(broadcast_if_small(holders), "th", "left_semi").select("th", F.explode("drawn").alias("h")).distinct()
-    drawn = materialise(drawn, "drawn")
-    common = drawn.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_texts).select("h", F.lit(1).alias("common"))
-    share = drawn.join(broadcast_if_small(materialise(common, "common")), "h", "left").groupBy("th").agg(F.count(F.lit(1)).alias("n"), F.count("common").alias("c"))
+    sets = map_rows(owned.select("th", "text"), make, "th long, shingles array<long>")
+    sets = materialise(sets.groupBy("th").agg(F.first("shingles").alias("shingles")), "shingles")  # rows alike in id and text count once
+    each = sets.select("th", F.explode("shingles").alias("h"))
+    common = each.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_texts).select("h", F.lit(1).alias("common"))
+    shared = each.join(broadcast_if_small(materialise(common, "common")), "h", "left_semi").groupBy("th").agg(F.count(F.lit(1)).alias("c"))
+    share = sets.select("th", F.size("shingles").alias("n")).join(shared, "th", "left").select("th", "n", F.coalesce("c", F.lit(0)).alias("c"))
     return share.filter(F.col("n") - F.col("c") >= own_share * F.col("n")).select("th")
 
 
@@ -153,7 +164,7 @@ def recurring_lines(docs: DataFrame, id_col: str, text_col: str, min_texts: int
 
         def step(columns):
             parsed = [p for texts in in_portions(columns[2]) for p in parse(texts, words)]
-            return [columns[0], columns[1], *([p[i] for p in parsed] for i in range(4))]
+            return [columns[0], columns[1], *([p[i] for p in parsed] for i in range(3))]
 
         return step
 
@@ -168,7 +179,8 @@ def recurring_lines(docs: DataFrame, id_col: str, text_col: str, min_texts: int
     each = kept.select("id", "th", "line", F.explode("keys").alias("key"))
     candidates = often(each, "key")
     held = materialise(each.join(broadcast_if_small(candidates.select("key")), "key", "left_semi").groupBy("key", "th").agg(F.lit(1)).select("key", "th"), "held")
-    alone = materialise(independent_texts(lines, materialise(held.select("th").distinct(), "holders"), min_texts, own_share), "independent")
+    holders = lines.join(broadcast_if_small(materialise(held.select("th").distinct(), "held-texts")), "th", "left_semi").groupBy("th").agg(F.min("id").alias("owner"))
+    alone = materialise(independent_texts(rows, materialise(holders, "holders"), min_texts, own_share), "independent")
     counted = held.join(broadcast_if_small(alone), "th", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("alone"))
     counted = counted.join(candidates, "key").filter((F.col("alone") >= min_texts) & (F.col("alone") >= min_share * F.col("texts")))
     recurring = materialise(counted.select("key"), "templates")
@@ -179,7 +191,7 @@ def recurring_lines(docs: DataFrame, id_col: str, text_col: str, min_texts: int
 def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dropped_col: str | None = None, **limits) -> DataFrame:
     """The documents, all rows and columns, without the lines of recurring templates.
 
-    Null texts stay null; a text all of whose lines go is empty. Blank and short lines stay. A column n_chars
+    Null texts stay null; a text all of whose lines go is empty; very long texts are parsed whole. Blank and short lines stay. A column n_chars
     is set to the new length where lines went. ``dropped_col`` adds the numbers (from 0) of the dropped lines. Repeated
     rows are treated alike. An empty table gives an empty result. Other columns pass through, whatever their names.
     """

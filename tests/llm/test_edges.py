@@ -414,6 +414,20 @@ def test_urls(spark):
     assert url_filter.judge_urls(pages(spark, [])).count() == 0
 
 
+def test_keep_one_judges_rows_not_ids(spark):
+    """Repeated and null ids: a row goes for its own text only."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "pqr")
+    rows = [(1, a), (7, a), (7, b), (2, ""), (None, None), (None, c)]
+    df = spark.createDataFrame([(*r, "x", 0) for r in rows], "doc_id long, text string, owner string, least int")
+    kept = sorted(((r["doc_id"] or 0, r["text"]) for r in simhash.keep_one(df).collect()), key=repr)
+    assert kept == sorted([(1, a), (7, b), (2, ""), (0, c)], key=repr)
+    # Two near copies with one id, and rows alike in id and text.
+    near = a.replace("p3 ", "zz ")
+    df = spark.createDataFrame([(5, a), (5, near), (6, b), (6, b), (9, near)], "doc_id long, text string")
+    kept = [(r["doc_id"], r["text"]) for r in simhash.keep_one(df).collect()]
+    assert len(kept) == 3 and kept.count((6, b)) == 2 and len({(5, a), (5, near)} & set(kept)) == 1
+
+
 def brute_templates(line):
     """The templates of a line as plain tuples, its path first in each; from the docstring, by lists of tokens."""
     tokens = ["<*>" if any("0" <= c <= "9" for c in t) else t for t in line.split()]
@@ -458,6 +472,37 @@ def test_lines_shared_by_all_go_whatever_stands_beside_them(spark, shared, own):
     assert {r["doc_id"]: r["text"] for r in out.collect()} == {i: "\n".join(t.split("\n")[shared:]) for i, t in rows}
 
 
+def test_notes_that_long_pages_quote_keep_their_lines(spark):
+    """Short texts and long ones that contain them (30 to 3,000 words): what counts as a text's own is counted over all shingles, whatever the lengths."""
+    random = np.random.default_rng(5)
+    word = lambda: "".join(map(chr, random.integers(97, 123, 7)))
+    shared = "the one and same closing line that every note of ours has had at its very end"
+    notes = ["\n".join([*(" ".join(word() for _ in range(12)) for _ in range(4)), shared]) for _ in range(4)]
+    pages = ["\n".join([*(" ".join(word() for _ in range(30)) for _ in range(size)), note]) for note in notes for size in (8, 30, 100)]
+    rows = list(enumerate(notes + pages))
+    out = line_dedup.drop_lines(spark.createDataFrame(rows, "doc_id long, text string"), dropped_col="gone")
+    found = {r["doc_id"]: list(r["gone"]) for r in out.collect()}
+    assert [found[i] for i, _ in rows] == brute_lines(rows)
+    assert all(set(found[i]) <= {4} for i in range(4)), "three pages and a note that holds nothing else do not make a note's own lines boilerplate"
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_lines_of_mixed_lengths_equal_brute_force(spark, seed):
+    """Texts of 30 to 3,000 words of shared and own lines, copies and quotes."""
+    random = np.random.default_rng(seed)
+    word = lambda: "".join(map(chr, random.integers(97, 123, 6)))
+    pool = [" ".join(word() for _ in range(int(random.integers(4, 25)))) for _ in range(12)]
+    texts = []
+    for _ in range(40):
+        own = [" ".join(word() for _ in range(int(random.integers(5, 30)))) for _ in range(int(random.choice([1, 3, 20, 100])))]
+        texts.append("\n".join(map(str, random.permutation([*own, *random.choice(pool, int(random.integers(0, 6)))]))))
+    texts += [t for t in texts[:5] for _ in range(3)] + [texts[6] + "\n" + texts[7], "\n".join(pool)]
+    rows = list(enumerate(texts)) + [(0, texts[0]), (3, texts[3])]
+    out = line_dedup.drop_lines(spark.createDataFrame(rows, "doc_id long, text string"), dropped_col="gone")
+    want = {i: g for (i, _), g in zip(rows, brute_lines(rows), strict=True)}
+    assert {r["doc_id"]: list(r["gone"]) for r in out.collect()} == want
+
+
 def test_near_copies_are_no_boilerplate(spark):
     """200 copies with a word in a hundred changed (similarity about 0.8) keep all lines, and a passage in other documents and one of the copies' originals goes from all."""
     random = np.random.default_rng(2)
