@@ -7,11 +7,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .retrieval import retrieve
 from .selection import SEED, hash_key, unit_interval
 
-#: Rows of a word's examples beside which it gets another salt, and the most salts.
-HOT_ROWS, MOST_SALTS = 10_000, 64
-
 
 def join_predictions(predictions: DataFrame, items: DataFrame, id_col: str = "id") -> tuple[DataFrame, DataFrame]:
     """(joined, unknown): predictions with their items, and predictions of ids that no item has."""
@@ -37,25 +35,8 @@ def flagged(df: DataFrame, other: DataFrame, key: str, flag: str) -> DataFrame:
 
 
 def cosine_neighbours(df: DataFrame, tokens: str, k: int, id_col: str = "id", group: str | None = None, leakage: float = 0.995) -> DataFrame:
-    """(id, other, similarity, rank): each row's ``k`` most similar rows by bag-of-words cosine, below the leakage cut-off.
-
-    An inverted index: rows meet in a join on tokens, norms come along, and only pairs that share a token exist. Tokens of many rows
-    are dealt over salts.
-    """
-    keys = [id_col, *([group] if group else [])]
-    bags = df.select(*keys, F.explode(tokens).alias("t")).groupBy(*keys, "t").agg(F.count(F.lit(1)).alias("n"))
-    norms = bags.groupBy(id_col).agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
-    left = bags.select(F.col(id_col).alias("id"), "t", F.col("n").alias("na"), *([F.col(group).alias("g")] if group else []))
-    right = bags.select(F.col(id_col).alias("other"), "t", F.col("n").alias("nb"), *([F.col(group).alias("g")] if group else []))
-    on = ["t", *(["g"] if group else [])]
-    salts = right.groupBy(*on).agg(F.least(F.ceil(F.count(F.lit(1)) / HOT_ROWS), F.lit(MOST_SALTS)).cast("int").alias("_salts"))
-    left = left.join(salts, on).withColumn("_s", F.pmod(F.xxhash64("id"), F.col("_salts")).cast("int")).drop("_salts")
-    right = right.join(salts, on).withColumn("_s", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts")
-    dots = left.join(right, [*on, "_s"]).filter("id <> other").groupBy("id", "other").agg(F.sum(F.col("na") * F.col("nb")).alias("dot"))
-    a, b = norms.toDF("id", "norm_a"), norms.toDF("other", "norm_b")
-    scored = dots.join(a, "id").join(b, "other").select("id", "other", F.round(F.col("dot") / (F.col("norm_a") * F.col("norm_b")), 9).alias("similarity")).filter(F.col("similarity") < leakage)
-    w = Window.partitionBy("id").orderBy(F.desc("similarity"), "other")
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    """(id, other, similarity, rank): each row's ``k`` most similar rows by bag-of-words cosine, below the leakage cut-off; see ``retrieval.retrieve``."""
+    return retrieve(df, df, tokens, k, leakage, group, id_col=id_col)
 
 
 def few_shot(df: DataFrame, pool: DataFrame, group: str, category: str, k: int, mode: str = "ordered", id_col: str = "id", seed: str = SEED) -> DataFrame:
@@ -92,22 +73,11 @@ def few_shot(df: DataFrame, pool: DataFrame, group: str, category: str, k: int,
 def scored_shots(df: DataFrame, pool: DataFrame, group: str, tokens: str, signature: str, k: int, most: float = 0.9, exclude_match: bool = False, id_col: str = "id") -> DataFrame:
     """(id, shot, similarity, signature_match, rank): the ``k`` examples of the same group whose questions are most similar by cosine, below ``most``.
 
-    Examples without a common word are not given. Similarities come from an inverted index over the words; the rows of words that
-    many examples have are dealt over salts, so that no word is one task.
+    Examples without a common word (similarity 0) follow by id where fewer are similar. See ``retrieval.retrieve``.
     """
-    bags = lambda d, name, n: d.select(F.col(id_col).alias(name), F.col(group).alias("_g"), F.explode(tokens).alias("t")).groupBy(name, "_g", "t").agg(F.count(F.lit(1)).alias(n))
-    mine, theirs = bags(df, "id", "na"), bags(pool, "shot", "nb")
-    norm = lambda b, name, n: b.groupBy(name).agg(F.sqrt(F.sum(F.col(n) * F.col(n))).alias(f"norm_{n}"))
-    salts = theirs.groupBy("_g", "t").agg(F.least(F.ceil(F.count(F.lit(1)) / HOT_ROWS), F.lit(MOST_SALTS)).cast("int").alias("_salts"))
-    left = mine.join(salts, ["_g", "t"]).withColumn("_s", F.pmod(F.xxhash64("id"), F.col("_salts")).cast("int")).drop("_salts")
-    right = theirs.join(salts, ["_g", "t"]).withColumn("_s", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts")
-    dots = left.join(right, ["_g", "t", "_s"]).filter("id <> shot").groupBy("id", "shot").agg(F.sum(F.col("na") * F.col("nb")).alias("dot"))
-    scored = dots.join(norm(mine, "id", "na"), "id").join(norm(theirs, "shot", "nb"), "shot").select("id", "shot", F.round(F.col("dot") / (F.col("norm_na") * F.col("norm_nb")), 9).alias("similarity")).filter(F.col("similarity") < most)
+    rows = retrieve(df, pool, tokens, k, most, group, signature, exclude_match, id_col=id_col).withColumnRenamed("other", "shot")
     own, other = df.select(F.col(id_col).alias("id"), F.col(signature).alias("_own")), pool.select(F.col(id_col).alias("shot"), F.col(signature).alias("_other"))
-    rows = scored.join(own, "id").join(other, "shot").withColumn("signature_match", F.col("_own") == F.col("_other"))
-    rows = rows.filter(~F.col("signature_match")) if exclude_match else rows
-    w = Window.partitionBy("id").orderBy(F.desc("similarity"), "shot")
-    return rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("id", "shot", "similarity", "signature_match", "rank")
+    return rows.join(own, "id").join(other, "shot").select("id", "shot", "similarity", (F.col("_own") == F.col("_other")).alias("signature_match"), "rank")
 
 
 def judge_pairs(df: DataFrame, judge: str, item: str, decision: str) -> DataFrame:

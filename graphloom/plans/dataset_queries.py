@@ -397,7 +397,10 @@ def _(spark, d):
     return joins.few_shot(n, n, "g", "c", 2)
 
 
-@query("j06_cosine_neighbours", "WITH t AS (SELECT item_id AS id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS t FROM benchmark), b AS (SELECT id, t, count(*) AS n FROM t GROUP BY ALL), m AS (SELECT id, sqrt(sum(n * n)) AS norm FROM b GROUP BY 1), s AS (SELECT x.id, y.id AS other, round(sum(x.n * y.n) / (any_value(mx.norm) * any_value(my.norm)), 9) AS similarity FROM b x JOIN b y ON x.t = y.t AND x.id <> y.id JOIN m mx ON mx.id = x.id JOIN m my ON my.id = y.id GROUP BY ALL) SELECT id, other, similarity, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, other) AS rank FROM s WHERE similarity < 0.995) WHERE rank <= 3")
+@query("j06_cosine_neighbours", """WITH r AS (SELECT item_id AS id, regexp_extract_all(lower(text), '[a-z0-9_]+') AS w FROM benchmark), t AS (SELECT id, unnest(w) AS t FROM r), b AS (SELECT id, t, count(*) AS n FROM t GROUP BY ALL), m AS (SELECT id, sqrt(sum(n * n)) AS norm FROM b GROUP BY 1),
+s AS (SELECT x.id, y.id AS other, round(sum(x.n * y.n) / (any_value(mx.norm) * any_value(my.norm)), 9) AS similarity FROM b x JOIN b y ON x.t = y.t AND x.id <> y.id JOIN m mx ON mx.id = x.id JOIN m my ON my.id = y.id GROUP BY ALL),
+a AS (SELECT x.id, y.id AS other, coalesce(s.similarity, 0)::DOUBLE AS similarity FROM r x JOIN r y ON x.id <> y.id LEFT JOIN s ON s.id = x.id AND s.other = y.id)
+SELECT id, other, similarity, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, other) AS rank FROM a WHERE similarity < 0.995) WHERE rank <= 3""")
 def _(spark, d):
     b = read(spark, d, "benchmark").select(F.col("item_id").alias("id"), text.tokenize(F.col("text")).alias("t"))
     return joins.cosine_neighbours(b, "t", 3).select("id", "other", "similarity", "rank")

@@ -153,7 +153,10 @@ def _(spark, d):
     return joins.few_shot(n, n, "g", "c", 2, mode="random")
 
 
-@query("j05_few_shot_scored", f"WITH {PAIRS}, t AS (SELECT id, id % 3 AS g, p AS t, (id % 2)::VARCHAR AS sig FROM pr), b AS (SELECT id, g, w, count(*) AS n FROM (SELECT id, g, unnest(t) AS w FROM t) GROUP BY ALL), m AS (SELECT id, sqrt(sum(n * n)) AS norm FROM b GROUP BY 1), s AS (SELECT x.id, y.id AS shot, round(sum(x.n * y.n) / (any_value(mx.norm) * any_value(my.norm)), 9)::DOUBLE AS similarity FROM b x JOIN b y ON x.g = y.g AND x.w = y.w AND x.id <> y.id JOIN m mx ON mx.id = x.id JOIN m my ON my.id = y.id GROUP BY ALL), f AS (SELECT s.*, a.sig = c.sig AS signature_match FROM s JOIN t a ON a.id = s.id JOIN t c ON c.id = s.shot WHERE similarity < 0.9 AND a.sig <> c.sig) SELECT id, shot, similarity, signature_match, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, shot) AS rank FROM f) WHERE rank <= 2")
+@query("j05_few_shot_scored", f"""WITH {PAIRS}, t AS (SELECT id, id % 3 AS g, p AS t, (id % 2)::VARCHAR AS sig FROM pr), b AS (SELECT id, g, w, count(*) AS n FROM (SELECT id, g, unnest(t) AS w FROM t) GROUP BY ALL), m AS (SELECT id, sqrt(sum(n * n)) AS norm FROM b GROUP BY 1),
+s AS (SELECT x.id, y.id AS shot, round(sum(x.n * y.n) / (any_value(mx.norm) * any_value(my.norm)), 9)::DOUBLE AS similarity FROM b x JOIN b y ON x.g = y.g AND x.w = y.w AND x.id <> y.id JOIN m mx ON mx.id = x.id JOIN m my ON my.id = y.id GROUP BY ALL),
+f AS (SELECT a.id, c.id AS shot, coalesce(similarity, 0)::DOUBLE AS similarity, a.sig = c.sig AS signature_match FROM t a JOIN t c ON a.g = c.g AND a.id <> c.id LEFT JOIN s ON s.id = a.id AND s.shot = c.id WHERE coalesce(similarity, 0) < 0.9 AND a.sig <> c.sig)
+SELECT id, shot, similarity, signature_match, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, shot) AS rank FROM f) WHERE rank <= 2""")
 def _(spark, d):
     rows = pairs(spark, d).select("id", (F.col("id") % 3).alias("g"), F.col("p").alias("t"), (F.col("id") % 2).cast("string").alias("sig"))
     return joins.scored_shots(rows, rows, "g", "t", "sig", 2, exclude_match=True)
