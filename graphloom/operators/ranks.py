@@ -39,6 +39,29 @@ def value_places(counts: DataFrame, group: Sequence[str], value: str, n: str = "
     return join_groups(placed, starts, [*group, "_part"]).withColumn("before", F.col("_start") + F.col("_inside")).drop("_part", "_start", "_inside")
 
 
+def dealt(df: DataFrame, group: Sequence[str], order: Sequence[str], to: str) -> DataFrame:
+    """``to``: the range of (group, order) that a row lies in; written. Ranges stay about equal however few groups there are."""
+    return written(df.repartitionByRange(*group, *order).withColumn(to, F.spark_partition_id()), "ranges")
+
+
+def running_sums(df: DataFrame, group: Sequence[str], order: Sequence[str], sums: dict[str, Column], part: str | None = None, totals: bool = False) -> DataFrame:
+    """A segmented prefix scan: for each name the sum over the rows of the group before this one; with ``totals`` also name_all, that of the whole group.
+
+    ``order`` must tell the group's rows apart. Rows are dealt by ranges (or have been, see ``dealt``: ``part`` is the column), each range adds up
+    its rows, and the ranges' sums before it are carried into it; so no group is one task.
+    """
+    ranged = df if part else dealt(df, group, order, "_part")
+    key = part or "_part"
+    held = ranged.withColumns({f"_v_{n}": c for n, c in sums.items()})
+    parts = held.groupBy(*group, key).agg(*[F.sum(f"_v_{n}").alias(f"_s_{n}") for n in sums])  # as many rows as ranges, and one more for each group
+    before = Window.partitionBy(*group).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.select(*group, key, *[F.coalesce(F.sum(f"_s_{n}").over(before), F.lit(0)).alias(f"_b_{n}") for n in sums], *[F.sum(f"_s_{n}").over(Window.partitionBy(*group)).alias(f"{n}_all") for n in sums if totals])
+    inside = Window.partitionBy(*group, key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = join_groups(held.withColumns({n: F.coalesce(F.sum(f"_v_{n}").over(inside), F.lit(0)) for n in sums}), starts, [*group, key])
+    out = out.withColumns({n: F.col(n) + F.col(f"_b_{n}") for n in sums}).drop(*[f"_b_{n}" for n in sums], *[f"_v_{n}" for n in sums])
+    return out if part else out.drop("_part")
+
+
 def quantiles(df: DataFrame, value: Column, wanted: dict[str, float], group: Sequence[str] = ()) -> DataFrame:
     """(group, one column for each wanted share): exact, with linear interpolation between neighbours; nulls don't count."""
     counts = df.select(*group, value.cast("double").alias("_v")).filter("_v IS NOT NULL").groupBy(*group, "_v").agg(F.count(F.lit(1)).alias("n"))

@@ -10,9 +10,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..steps import written
-from .ranks import hash_places, hash_top
+from .ranks import dealt, hash_places, hash_top, join_groups, left_groups, running_sums
 
 SEED = "graphloom"
+#: Rows of ``ordered_quota`` that are settled one after the other in a round.
+AT_ONCE = 20_000
 
 
 def hash_key(id_: Column | str, seed: str = SEED) -> Column:
@@ -98,19 +100,20 @@ def signature_splits(df: DataFrame, group: Sequence[str], signature: str, test:
 
     Signatures in hash order fill test up to its share, then dev, the rest is train; a group of fewer than three
     signatures is train. One running sum over the signatures decides: filling stops at the first prefix
-    that reaches the target, and the last signature always stays for train.
+    that reaches the target, and the last signature always stays for train. The sum is a prefix scan over ranges, so a group of many
+    signatures is not one task.
     """
     key = F.sha2(F.concat_ws(":", F.lit(seed), *[F.col(g).cast("string") for g in group], F.col(signature).cast("string")), 256)
     sizes = df.groupBy(*group, signature).agg(F.count(F.lit(1)).alias("_n")).withColumn("_k", key)
-    w, before = Window.partitionBy(*group), Window.partitionBy(*group).orderBy("_k", signature).rowsBetween(Window.unboundedPreceding, -1)
-    total = F.sum("_n").over(w)
-    target = lambda share: F.greatest(F.bround(total * F.lit(share)), F.lit(1))
-    sizes = sizes.withColumn("_sigs", F.count(F.lit(1)).over(w)).withColumn("_at", F.row_number().over(w.orderBy("_k", signature))).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).withColumn("_t", target(test)).withColumn("_d", target(dev))
-    in_test = (F.col("_before") < F.col("_t")) & (F.col("_at") < F.col("_sigs"))
-    sizes = sizes.withColumn("_test", in_test).withColumn("_filled", F.sum(F.when(in_test, F.col("_n")).otherwise(0)).over(w))
-    in_dev = ~F.col("_test") & (F.col("_before") - F.col("_filled") < F.col("_d")) & (F.col("_at") < F.col("_sigs"))
-    split = F.when(F.col("_sigs") < 3, "train").when(F.col("_test"), "test").when(in_dev, "dev").otherwise("train")
-    return df.join(sizes.select(*group, signature, split.alias("split")), [*group, signature])
+    placed = running_sums(sizes, group, ["_k", signature], {"_before": F.col("_n"), "_at": F.lit(1)}, totals=True)
+    target = lambda share: F.greatest(F.bround(F.col("_before_all") * F.lit(share)), F.lit(1))
+    last = F.col("_at") + 1 == F.col("_at_all")
+    placed = placed.withColumn("_test", (F.col("_before") < target(test)) & ~last)
+    filled = placed.groupBy(*group).agg(F.sum(F.when(F.col("_test"), F.col("_n")).otherwise(0)).alias("_filled"))
+    placed = join_groups(placed, filled, group)
+    in_dev = ~F.col("_test") & (F.col("_before") - F.col("_filled") < target(dev)) & ~last
+    split = F.when(F.col("_at_all") < 3, "train").when(F.col("_test"), "test").when(in_dev, "dev").otherwise("train")
+    return df.join(placed.select(*group, signature, split.alias("split")), [*group, signature])
 
 
 def split_leakage(df: DataFrame, block: str, split: str = "split") -> DataFrame:
@@ -186,33 +189,69 @@ def entity_cap(df: DataFrame, group: Sequence[str], value: str, order: Sequence[
     return df.withColumn("over_cap", F.row_number().over(w) > limit)
 
 
-def ordered_quota(df: DataFrame, duplicates: Sequence[str], quotas: Mapping[str, tuple[Sequence[str], int]], order: Sequence[str], most_rounds: int = 200) -> DataFrame:
+def ordered_quota(df: DataFrame, duplicates: Sequence[str], quotas: Mapping[str, tuple[Sequence[str], int]], order: Sequence[str], at_once: int = AT_ONCE) -> DataFrame:
     """``decision`` in acceptance order: duplicate if an accepted row has the key, else the first quota that accepted rows have filled, else accept.
 
     ``quotas``: name -> (columns, most accepted rows of each of their values); the key is a quota of 1. Only accepted rows count, so a
     decision depends on those before it. Two bounds close in on them: a row is surely accepted if even all rows that may still be
-    accepted leave it room, and surely rejected if the surely accepted ones fill a quota before it. The first open row of
-    the order is settled in each round, and in practice nearly all are in a few; each round is written.
-    ``order`` must tell rows apart.
+    accepted leave it room, and surely rejected if the surely accepted ones fill a quota before it. Rows that depend on each
+    other in a long chain would settle one a round; so each round also settles the first ``at_once`` open rows of
+    the order one after the other, in one task. There is no limit of rounds: each ends at least so many rows. Counts are
+    prefix scans over ranges, so no value of a quota is one task; each round is written. ``order`` must tell rows apart.
     """
     limits = {"duplicate": (tuple(duplicates), 1)} | {f"quota:{n}": (tuple(c), q) for n, (c, q) in quotas.items()}
-    before = {n: Window.partitionBy(*c).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1) for n, (c, _) in limits.items()}
-    # "sure": surely accepted; "gone": surely rejected, for the reason that comes first.
+    part = {n: f"_part{i}" for i, n in enumerate(limits)}
     state = df.withColumn("sure", F.lit(False)).withColumn("gone", F.lit(False))
-    for _ in range(most_rounds):
-        taken = {n: F.coalesce(F.sum(F.col("sure").cast("int")).over(w), F.lit(0)) for n, w in before.items()}
-        possible = {n: F.coalesce(F.sum((~F.col("gone")).cast("int")).over(w), F.lit(0)) for n, w in before.items()}
-        full = reduce(lambda a, b: a | b, [taken[n] >= q for n, (_, q) in limits.items()])
-        room = reduce(lambda a, b: a & b, [possible[n] < q for n, (_, q) in limits.items()])
-        state = written(state.withColumns({"sure": F.col("sure") | (~F.col("gone") & room), "gone": F.col("gone") | (~F.col("sure") & full)}), "quota")
-        if state.filter("NOT sure AND NOT gone").isEmpty():
+    for n, (columns, _) in limits.items():
+        state = dealt(state, columns, order, part[n])
+
+    def counted(rows: DataFrame) -> DataFrame:
+        """How many rows before each are surely accepted (_t) and may be accepted (_p), for each limit."""
+        for i, (n, (columns, _)) in enumerate(limits.items()):
+            rows = running_sums(rows, columns, order, {f"_t{i}": F.col("sure").cast("int"), f"_p{i}": (~F.col("gone")).cast("int")}, part[n])
+        return rows
+
+    most = [q for _, q in limits.values()]
+    full = reduce(lambda a, b: a | b, [F.col(f"_t{i}") >= q for i, q in enumerate(most)])
+    room = reduce(lambda a, b: a & b, [F.col(f"_p{i}") < q for i, q in enumerate(most)])
+    names = [*df.columns, *part.values()]
+    while True:
+        sure, gone = F.col("sure") | (~F.col("gone") & room), F.col("gone") | (~F.col("sure") & full)
+        state = written(counted(state).select(*names, sure.alias("sure"), gone.alias("gone"), *[f"_t{i}" for i in range(len(most))]), "quota")
+        still = state.filter("NOT sure AND NOT gone")
+        if still.isEmpty():
             break
-    else:
-        raise RuntimeError("quotas did not settle")
+        # What is surely accepted before a row of the head may have grown in this round, so it is counted anew.
+        head = counted(state.drop(*[f"_t{i}" for i in range(len(most))])).filter("NOT sure AND NOT gone").orderBy(*order).limit(at_once)
+        keys = head.select(*order, *[F.to_json(F.struct(*c), {"ignoreNullFields": "false"}).alias(f"_k{i}") for i, (c, _) in enumerate(limits.values())], *[f"_t{i}" for i in range(len(most))], F.lit(0).alias("_head"))
+        kinds = dict(df.dtypes)
+        settled = keys.groupBy("_head").applyInPandas(in_turn(order, most), ", ".join(f"`{c}` {kinds[c]}" for c in order) + ", _yes boolean")
+        settled = written(settled, "head")
+        state = join_groups(state.drop(*[f"_t{i}" for i in range(len(most))]), settled, order, "left")
+        state = state.withColumn("sure", F.col("sure") | F.coalesce("_yes", F.lit(False))).withColumn("gone", F.col("gone") | ~F.coalesce("_yes", F.lit(True))).drop("_yes")
     decision = F.lit("accept")
-    for n, (_, q) in reversed(limits.items()):
-        decision = F.when(~F.col("sure") & (F.coalesce(F.sum(F.col("sure").cast("int")).over(before[n]), F.lit(0)) >= q), n).otherwise(decision)
-    return state.withColumn("decision", decision).drop("sure", "gone")
+    final = counted(state.drop(*[f"_t{i}" for i in range(len(most))]))
+    for i, (n, (_, q)) in reversed(list(enumerate(limits.items()))):
+        decision = F.when(~F.col("sure") & (F.col(f"_t{i}") >= q), n).otherwise(decision)
+    return final.withColumn("decision", decision).select(*df.columns, "decision")
+
+
+def in_turn(order: Sequence[str], most: Sequence[int]):
+    """Settles rows one after the other; they have the accepted rows before them that are known, without those among themselves."""
+
+    def settle(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(list(order))
+        taken: list[dict[str, int]] = [{} for _ in most]
+        columns = [(rows[f"_k{i}"].tolist(), rows[f"_t{i}"].tolist()) for i in range(len(most))]
+        yes = []
+        for at in range(len(rows)):
+            fits = all(known[at] + taken[i].get(keys[at], 0) < most[i] for i, (keys, known) in enumerate(columns))
+            yes.append(fits)
+            for i, (keys, _) in enumerate(columns):
+                taken[i][keys[at]] = taken[i].get(keys[at], 0) + fits
+        return rows[list(order)].assign(_yes=yes)
+
+    return settle
 
 
 def largest_remainder(df: DataFrame, share: str, total: int, key: str, group: Sequence[str] = ()) -> DataFrame:
@@ -268,15 +307,17 @@ def hash_fraction(df: DataFrame, keys: Sequence[str], fraction: float, seed: str
 
 
 def rotate(df: DataFrame, group: Sequence[str], order: Sequence[str], offset: int) -> DataFrame:
-    """``turn``: the rows' order in each group, begun at ``offset``."""
-    w = Window.partitionBy(*group)
-    return df.withColumn("turn", F.pmod(F.row_number().over(w.orderBy(*order)) - 1 - F.lit(offset), F.count(F.lit(1)).over(w)).cast("long"))
+    """``turn``: the rows' order in each group, begun at ``offset``; places come from a prefix scan over ranges. ``order`` must tell a group's rows apart."""
+    placed = running_sums(df, group, order, {"_at": F.lit(1)}, totals=True)
+    return placed.withColumn("turn", F.pmod(F.col("_at") - F.lit(offset), F.col("_at_all")).cast("long")).drop("_at", "_at_all")
 
 
 def fill_deficits(df: DataFrame, needs: DataFrame, group: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
-    """``used``: whether a candidate fills its group's ``need`` (a column of ``needs``); the rest is surplus."""
-    rn = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
-    return df.join(needs, list(group), "left").withColumn("used", rn <= F.coalesce("need", F.lit(0)))
+    """``used``: whether a candidate fills its group's ``need`` (a column of ``needs``); the rest is surplus. Places come from a prefix scan over ranges."""
+    keyed = df.withColumns({f"_o{i}": F.col(c) if isinstance(c, str) else c for i, c in enumerate(order)})
+    placed = running_sums(keyed, group, [f"_o{i}" for i in range(len(order))], {"_at": F.lit(1)})
+    out = left_groups(placed, needs, group)
+    return out.withColumn("used", F.col("_at") < F.coalesce("need", F.lit(0))).drop("_at", *[f"_o{i}" for i in range(len(order))])
 
 
 def carve_dev(df: DataFrame, group: Sequence[str], fraction: float, id_col: str = "id", seed: str = SEED) -> DataFrame:

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranks import hash_places, join_groups, left_groups, quantiles, value_places
+from .ranks import dealt, hash_places, join_groups, left_groups, quantiles, running_sums, value_places
 from .selection import unit_interval
 
 EXACT_CLUSTERS, REPLICATES = 16, 2000
@@ -84,6 +84,21 @@ def compare_answers(a: DataFrame, b: DataFrame) -> DataFrame:
     return out.select(((F.col("a_only") == 0) & (F.col("b_only") == 0)).alias("equal"), F.when(union > 0, F.col("both") / union).otherwise(1.0).alias("jaccard"), "a_only", "b_only")
 
 
+def ordered_equal(a: DataFrame, b: DataFrame, order: Sequence[str]) -> DataFrame:
+    """One row (ordered_equal, equal_prefix): whether two answers have the same rows in the same places, and how many of the first rows agree.
+
+    ``order`` are columns of both that tell an answer's rows apart and sort them (a position, if it comes from a file); the other columns are
+    compared, null equal to null. Places are running positions over ranges, so answers of any size are compared by a join on the place.
+    Answers that are both empty are equal.
+    """
+    values = [c for c in a.columns if c not in order]
+    place = lambda df, to: running_sums(df, [], order, {"_at": F.lit(1)}).select("_at", F.struct(*values).alias(to))
+    met = place(a, "_a").join(place(b, "_b"), "_at", "full_outer")
+    differs = ~F.coalesce(F.col("_a").eqNullSafe(F.col("_b")) & F.col("_a").isNotNull() & F.col("_b").isNotNull(), F.lit(False))
+    out = met.agg(F.count(F.lit(1)).alias("n"), F.min(F.when(differs, F.col("_at"))).alias("first"))
+    return out.select(F.col("first").isNull().alias("ordered_equal"), F.coalesce("first", "n").cast("long").alias("equal_prefix"))
+
+
 def same_multiset(a: DataFrame, b: DataFrame) -> DataFrame:
     """One row (equal): whether both answers have the same rows equally often."""
     counts = a.withColumn("_n", F.lit(1)).unionByName(b.withColumn("_n", F.lit(-1))).groupBy(*a.columns).agg(F.sum("_n").alias("n"))
@@ -103,12 +118,68 @@ def spearman(df: DataFrame, a: str, b: str, group: Sequence[str] = ()) -> DataFr
     return ranked.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.corr("_ra", "_rb").alias("rho"))
 
 
+def inversions(values: np.ndarray, weights: np.ndarray) -> int:
+    """Sum of weight * weight over the pairs i < j with values[i] > values[j], in n log n: bit by bit of the values' ranks, a greater one before a lesser one is counted where their ranks first differ."""
+    _, rank = np.unique(values, return_inverse=True)
+    wide = float(weights.sum()) ** 2 > 2.0**62
+    weights, total = weights.astype(object if wide else np.int64), 0
+    for level in range(int(rank.max(initial=0)).bit_length() - 1, -1, -1):
+        order = np.argsort(rank >> (level + 1), kind="stable")
+        rank, weights = rank[order], weights[order]
+        group, bit = rank >> (level + 1), (rank >> level) & 1
+        ones = np.cumsum(weights * bit)
+        start = np.searchsorted(group, group, side="left")
+        before = ones - np.where(start > 0, ones[np.maximum(start, 1) - 1], 0)
+        total += int((weights * (1 - bit) * before).sum())
+    return total
+
+
+def local_inversions(rows: DataFrame, part: str, order: Sequence[str], value: str) -> DataFrame:
+    """(part, s): inversions of ``value`` along ``order`` inside each part, weighted by n."""
+
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(list(order))
+        return pd.DataFrame({"part": pdf[part].iloc[:1], "s": [str(inversions(pdf[value].to_numpy(), pdf["n"].to_numpy()))]})
+
+    return rows.groupBy(part).applyInPandas(count, "part long, s string").select("part", F.col("s").cast("decimal(38,0)").alias("s"))
+
+
 def kendall_tau_b(df: DataFrame, id_col: str, a: str, b: str) -> DataFrame:
-    """One row (n, concordant, discordant, tau_b), over pairs of rows; meant for tables of models or strata."""
-    x, y = df.select(F.col(id_col).alias("i"), F.col(a).alias("xa"), F.col(b).alias("xb")), df.select(F.col(id_col).alias("j"), F.col(a).alias("ya"), F.col(b).alias("yb"))
-    pairs = x.join(y, F.col("i") < F.col("j")).select(F.signum(F.col("xa") - F.col("ya")).alias("sa"), F.signum(F.col("xb") - F.col("yb")).alias("sb"))
-    out = pairs.agg(F.count(F.lit(1)).alias("pairs"), F.count_if(F.col("sa") * F.col("sb") > 0).alias("concordant"), F.count_if(F.col("sa") * F.col("sb") < 0).alias("discordant"), F.count_if(F.col("sa") != 0).alias("ua"), F.count_if(F.col("sb") != 0).alias("ub"))
-    return out.select("pairs", "concordant", "discordant", F.when(F.col("ua") * F.col("ub") > 0, (F.col("concordant") - F.col("discordant")) / F.sqrt(F.col("ua") * F.col("ub"))).alias("tau_b"))
+    """One row (pairs, concordant, discordant, tau_b), over all pairs of rows with both values, in n log n.
+
+    Rows are counted by (a, b). Discordant pairs are inversions of b along the order of (a, b). That order is cut into ranges, and that of (b, a)
+    into others: pairs in different ranges of both are counted from the ranges' common sizes alone, pairs inside a range of either by a merge
+    in its task, and those inside both are taken off once. So neither a value that most rows have nor their number makes a task
+    large. Counts beyond 64 bits are null, tau_b is not.
+    """
+    both = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    rows = dealt(dealt(both, [], ["a", "b"], "p"), [], ["b", "a"], "q")
+    inside = [local_inversions(rows, "p", ["a", "b"], "b"), local_inversions(rows, "q", ["a", "b"], "b")]
+    corner = rows.withColumn("pq", F.col("p").cast("long") * (1 << 31) + F.col("q"))
+    twice = local_inversions(corner, "pq", ["a", "b"], "b")
+    cells = rows.groupBy("p", "q").agg(F.sum("n").cast("decimal(38,0)").alias("n"))  # ranges x ranges at most
+    x, y = cells.toDF("p", "q", "n"), cells.toDF("p2", "q2", "n2")
+    # A running sum over ranges of q for each p, and over p: how many rows lie before in p and behind in q.
+    later = Window.partitionBy("p").orderBy(F.desc("q")).rowsBetween(Window.unboundedPreceding, -1)
+    grid = x.select("p").distinct().crossJoin(F.broadcast(y.select(F.col("q2").alias("q")).distinct())).join(x, ["p", "q"], "left").fillna(0, ["n"])  # ranges x ranges
+    behind = grid.withColumn("above", F.coalesce(F.sum("n").over(later), F.lit(0)))
+    earlier = Window.partitionBy("q").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    across = behind.withColumn("before", F.coalesce(F.sum("above").over(earlier), F.lit(0))).agg(F.sum((F.col("n") * F.col("before")).cast("decimal(38,0)")).alias("s"))
+    big = lambda c: F.coalesce(F.sum(c.cast("decimal(38,0)")), F.lit(0)).cast("decimal(38,0)")
+    choose = lambda n: n.cast("decimal(19,0)") * (n.cast("decimal(19,0)") - 1) / 2
+    ties = lambda by: rows.groupBy(*by).agg(F.sum("n").alias("n")).agg(big(choose(F.col("n"))).alias("t_" + "".join(by)))
+    out = across.select(F.coalesce("s", F.lit(0)).cast("decimal(38,0)").alias("across"))
+    for name, part in (("in_p", inside[0]), ("in_q", inside[1]), ("in_both", twice)):
+        out = out.crossJoin(part.agg(big(F.col("s")).alias(name)))  # one row each
+    for by in (["a"], ["b"], ["a", "b"]):
+        out = out.crossJoin(ties(by))
+    out = out.crossJoin(rows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).select(choose(F.col("n")).cast("decimal(38,0)").alias("pairs")))
+    out = out.withColumn("discordant", F.col("across") + F.col("in_p") + F.col("in_q") - F.col("in_both"))
+    out = out.withColumn("ua", F.col("pairs") - F.col("t_a")).withColumn("ub", F.col("pairs") - F.col("t_b"))
+    out = out.withColumn("concordant", F.col("pairs") - F.col("t_a") - F.col("t_b") + F.col("t_ab") - F.col("discordant"))
+    wide = F.sqrt(F.col("ua").cast("double")) * F.sqrt(F.col("ub").cast("double"))
+    tau = F.when(wide > 0, (F.col("concordant") - F.col("discordant")).cast("double") / wide)
+    return out.select(*[F.col(c).try_cast("long").alias(c) for c in ("pairs", "concordant", "discordant")], tau.alias("tau_b"))
 
 
 def mcnemar(df: DataFrame, a: str, b: str) -> dict:

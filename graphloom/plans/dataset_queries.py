@@ -629,6 +629,17 @@ w AS (SELECT g, rep, total, n, {steps} AS w FROM u), m AS (SELECT g, rep, sum(w
 b AS (SELECT g, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM m GROUP BY 1), p AS (SELECT g, sum(total) / sum(n) AS mean, count(*) AS clusters FROM k GROUP BY 1)"""
 
 
+@query("t03_ordered_equal", "WITH o AS (SELECT row_number() OVER (ORDER BY o_orderkey) AS i, o_custkey AS c FROM orders WHERE o_orderstatus <> 'P'), s AS (SELECT row_number() OVER (ORDER BY o_orderkey) AS i, CASE WHEN o_orderkey % 997 = 996 THEN o_custkey + 1 ELSE o_custkey END AS c FROM orders WHERE o_orderstatus <> 'P'), t AS (SELECT * FROM o WHERE i <= (SELECT count(*) FROM o) - 3), x AS (SELECT 'same' AS answer, a.i, a.c IS NOT DISTINCT FROM b.c AND a.i = b.i AS eq FROM o a FULL JOIN o b USING (i) UNION ALL SELECT 'changed', coalesce(a.i, b.i), a.c IS NOT DISTINCT FROM b.c AND a.i IS NOT NULL AND b.i IS NOT NULL FROM o a FULL JOIN s b USING (i) UNION ALL SELECT 'truncated', coalesce(a.i, b.i), a.c IS NOT DISTINCT FROM b.c AND a.i IS NOT NULL AND b.i IS NOT NULL FROM o a FULL JOIN t b ON a.i = b.i) SELECT answer, bool_and(eq) AS ordered_equal, coalesce(min(i) FILTER (NOT eq) - 1, count(*))::BIGINT AS equal_prefix FROM x GROUP BY 1")
+def _(spark, d):
+    """An answer against itself, against one with other values in some places, and against its own beginning."""
+    o = read(spark, d, "orders").filter("o_orderstatus <> 'P'").select("o_orderkey", "o_custkey")
+    changed = o.withColumn("o_custkey", F.when(F.col("o_orderkey") % 997 == 996, F.col("o_custkey") + 1).otherwise(F.col("o_custkey")))
+    last = [r[0] for r in o.orderBy(F.desc("o_orderkey")).limit(3).select("o_orderkey").collect()]
+    answers = {"same": o, "changed": changed, "truncated": o.filter(F.col("o_orderkey") < min(last))}
+    parts = [statistics.ordered_equal(o, other, ["o_orderkey"]).select(F.lit(name).alias("answer"), "*") for name, other in answers.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query("t05_row_bootstrap", f"WITH {EVALS}, {boot_sql('SELECT category AS g, id AS key, solved::INT::DOUBLE AS total, 1 AS n FROM ev')} SELECT g AS category, clusters, round(mean, 9) AS mean, round(low, 9) AS low, round(high, 9) AS high FROM p JOIN b USING (g)")
 def _(spark, d):
     out = statistics.cluster_bootstrap(evaluations(spark, d), "id", "solved", ["category"])
@@ -661,6 +672,20 @@ def _(spark, d):
     return statistics.kendall_tau_b(n, "c_nationkey", "x", "y").withColumn("tau_b", F.round("tau_b", 9))
 
 
+@query("t09_kendall_rows", "WITH c AS (SELECT l_quantity AS x, l_discount AS y, count(*)::HUGEINT AS n FROM lineitem GROUP BY ALL), p AS (SELECT sum(a.n * b.n) FILTER (sign(a.x - b.x) * sign(a.y - b.y) > 0) AS up, sum(a.n * b.n) FILTER (sign(a.x - b.x) * sign(a.y - b.y) < 0) AS down, sum(a.n * b.n) FILTER (a.x <> b.x) AS ua, sum(a.n * b.n) FILTER (a.y <> b.y) AS ub FROM c a, c b) SELECT (SELECT count(*) * (count(*) - 1) // 2 FROM lineitem)::BIGINT AS pairs, (up // 2)::BIGINT AS concordant, (down // 2)::BIGINT AS discordant, round((up // 2 - down // 2) / sqrt((ua // 2)::DOUBLE * (ub // 2)::DOUBLE), 9) AS tau_b FROM p")
+def _(spark, d):
+    """All rows of the largest table, with many ties."""
+    out = statistics.kendall_tau_b(read(spark, d, "lineitem"), "l_orderkey", "l_quantity", "l_discount")
+    return out.withColumn("tau_b", F.round("tau_b", 9))
+
+
+@query("t09_kendall_prices", "WITH o AS (SELECT o_orderkey AS i, o_totalprice AS x, o_custkey AS y FROM orders), p AS (SELECT sign(a.x - b.x) AS sa, sign(a.y - b.y) AS sb FROM o a JOIN o b ON a.i < b.i) SELECT count(*) AS pairs, count(*) FILTER (sa * sb > 0) AS concordant, count(*) FILTER (sa * sb < 0) AS discordant, round((count(*) FILTER (sa * sb > 0) - count(*) FILTER (sa * sb < 0)) / sqrt((count(*) FILTER (sa <> 0))::DOUBLE * count(*) FILTER (sb <> 0)), 9) AS tau_b FROM p")
+def _(spark, d):
+    """Nearly all values differ."""
+    out = statistics.kendall_tau_b(read(spark, d, "orders"), "o_orderkey", "o_totalprice", "o_custkey")
+    return out.withColumn("tau_b", F.round("tau_b", 9))
+
+
 @query("t09_spearman", "WITH r AS (SELECT p_brand, rank() OVER (PARTITION BY p_brand ORDER BY p_size) + (count(*) OVER (PARTITION BY p_brand, p_size) - 1) / 2 AS a, rank() OVER (PARTITION BY p_brand ORDER BY p_retailprice) + (count(*) OVER (PARTITION BY p_brand, p_retailprice) - 1) / 2 AS b FROM part) SELECT p_brand, count(*) AS n, round(corr(a, b), 9) AS rho FROM r GROUP BY 1")
 def _(spark, d):
     return statistics.spearman(read(spark, d, "part").select("p_brand", F.col("p_size").cast("double").alias("s"), "p_retailprice"), "s", "p_retailprice", ["p_brand"]).withColumn("rho", F.round("rho", 9))
