@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ranks import dealt, hash_places, join_groups, left_groups, quantiles, running_sums, value_places
-from .selection import unit_interval
+from .resampling import DRAWS, REPLICATES, bucket_of, ratio_bootstrap, signed_sums
 
-EXACT_CLUSTERS, REPLICATES = 16, 2000
+EXACT_CLUSTERS = 16
 
 
 def set_scores(predicted: Column, gold: Column) -> Column:
@@ -115,7 +115,7 @@ def average_ranks(df: DataFrame, value: str, group: Sequence[str] = (), to: str
 
 def spearman(df: DataFrame, a: str, b: str, group: Sequence[str] = ()) -> DataFrame:
     ranked = average_ranks(average_ranks(df, a, group, "_ra"), b, group, "_rb")
-    return ranked.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.corr("_ra", "_rb").alias("rho"))
+    return ranked.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.try_divide(F.covar_pop("_ra", "_rb"), F.stddev_pop("_ra") * F.stddev_pop("_rb")).alias("rho"))
 
 
 def inversions(values: np.ndarray, weights: np.ndarray) -> int:
@@ -280,36 +280,22 @@ def cluster_sums(df: DataFrame, cluster: str, metric: str, group: Sequence[str]
 
 
 def cluster_bootstrap(df: DataFrame, cluster: str, metric: str, group: Sequence[str] = (), replicates: int = REPLICATES, level: float = 0.95, seed: str = "boot", strata: Sequence[str] = ()) -> DataFrame:
-    """mean, low, high of the metric's mean when clusters are resampled (Poisson weights from hashes of replicate and cluster).
+    """mean, clusters, low, high of the metric's mean when clusters are resampled; a cluster of one row each is the row bootstrap. See ``resampling.ratio_bootstrap``."""
+    return ratio_bootstrap(df, cluster, F.col(metric).cast("double"), F.col(metric).isNotNull().cast("int"), group, strata, replicates, level, seed)
 
-    Each cluster adds to all replicates in a map-side combined sum, so no task holds all clusters and the result doesn't
-    depend on partitioning. A cluster of one row each is the row bootstrap. With ``strata`` clusters are resampled inside each
-    stratum, whose share of the rows stays what it is; a stratum of which a replicate draws nothing has its own mean there.
-    """
-    sums = cluster_sums(df, cluster, metric, [*group, *strata])
-    u = unit_interval(F.col("rep"), F.col(cluster), seed=seed)
-    steps = [sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(8)]
-    weight = F.lit(0)
-    for s in steps:
-        weight = weight + (u >= s).cast("int")
-    drawn = sums.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("w", weight)
-    parts = drawn.groupBy(*group, *strata, "rep").agg(F.sum(F.col("w") * F.col("total")).alias("t"), F.sum(F.col("w") * F.col("rows")).alias("r"), F.sum("total").alias("all_t"), F.sum("rows").alias("all_r"))
-    if strata:
-        mean = F.when(F.col("r") > 0, F.col("t") / F.col("r")).otherwise(F.col("all_t") / F.col("all_r"))
-        means = parts.groupBy(*group, "rep").agg((F.sum(mean * F.col("all_r")) / F.sum("all_r")).alias("m"))
-    else:
-        means = parts.select(*group, "rep", (F.col("t") / F.col("r")).alias("m"))
-    tail = (1 - level) / 2
-    bounds = means.groupBy(*group).agg(F.percentile("m", tail).alias("low"), F.percentile("m", 1 - tail).alias("high"))
-    point = sums.groupBy(*group).agg((F.sum("total") / F.sum("rows")).alias("mean"), F.count(F.lit(1)).alias("clusters"))
-    return point.join(bounds, list(group)) if group else point.crossJoin(bounds)  # one row each
+
+def weighted_interval(df: DataFrame, id_col: str, outcome: str, weight: str, group: Sequence[str] = (), replicates: int = REPLICATES, level: float = 0.95, seed: str = "weighted") -> DataFrame:
+    """(group, rate, n, low, high): the weighted rate of an outcome with the interval of its row bootstrap, each row with its own weight. Rows without outcome don't count."""
+    rows = df.filter(F.col(outcome).isNotNull() & F.col(weight).isNotNull())
+    out = ratio_bootstrap(rows, id_col, F.col(weight) * F.col(outcome).cast("double"), F.col(weight), group, (), replicates, level, seed)
+    return out.withColumnRenamed("mean", "rate").withColumnRenamed("clusters", "n")
 
 
-def sign_flip(df: DataFrame, cluster: str, difference: str, draws: int = 10_000, seed: str = "flip") -> DataFrame:
+def sign_flip(df: DataFrame, cluster: str, difference: str, draws: int = DRAWS, seed: str = "flip") -> DataFrame:
     """One row (clusters, observed, p): the two-sided sign-flip test over cluster sums.
 
     Exact for at most 16 clusters with a sum that is not zero; above that Monte Carlo, (1 + extreme draws) / (1 + draws), with
-    signs from hashes of draw and cluster, added up in map-side combined sums.
+    signs of the random groups of clusters that ``resampling`` makes.
     """
     sums = df.groupBy(cluster).agg(F.sum(F.col(difference).cast("double")).alias("d"))
     point = sums.agg(F.count(F.lit(1)).alias("clusters"), F.sum("d").alias("observed"))
@@ -321,9 +307,8 @@ def sign_flip(df: DataFrame, cluster: str, difference: str, draws: int = 10_000,
         flips = flips.withColumn("value", F.expr("aggregate(ds, cast(0 as double), (s, x) -> s + if((shiftright(mask, x._i) & 1) = 1, x.d, -x.d))"))
         extra = 0
     else:
-        drawn = informative.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-        sign = F.when(unit_interval(F.col("draw"), F.col(cluster), seed=seed) < 0.5, -1.0).otherwise(1.0)
-        flips = drawn.groupBy("draw").agg(F.sum(sign * F.col("d")).alias("value")).crossJoin(point)  # one row
+        units = informative.withColumn("bucket", bucket_of(cluster, seed)).groupBy("bucket").agg(F.sum("d").alias("d"))
+        flips = signed_sums(units, draws, seed).crossJoin(point)  # one row
         extra = 1
     extreme = F.round(F.abs("value"), 9) >= F.round(F.abs("observed"), 9)
     return flips.groupBy("clusters", "observed").agg(((F.sum(extreme.cast("double")) + extra) / (F.count(extreme) + extra)).alias("p"))

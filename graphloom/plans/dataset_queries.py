@@ -621,12 +621,25 @@ def poisson_sql() -> str:
     return " + ".join(f"(u >= {sum(math.exp(-1) / math.factorial(i) for i in range(k + 1))!r}::DOUBLE)::INT" for k in range(8))
 
 
-def boot_sql(sums: str) -> str:
+def word_sql(digest: str, j: str) -> str:
+    """The j-th 32 bits of a sha256 in hex."""
+    return f"('0x' || substr({digest}, 8 * ({j}) + 1, 8))::BIGINT"
+
+
+def draws_sql(name: str, units: str, seed: str, cell: str = "") -> str:
+    """(units, rep, w) of the table ``units`` with a column bucket: Poisson weights; ``cell``: SQL of the text of its other keys with colons behind them."""
+    return f"""{name} AS (SELECT * EXCLUDE (d, u), {poisson_sql()} AS w FROM (SELECT *, {word_sql("d", "(rep - 1) % 8")} / 4294967296.0 AS u FROM (SELECT k.*, rep, sha256('{seed}:' || ((rep - 1) // 8)::VARCHAR || ':' || {cell} bucket::VARCHAR) AS d FROM {units} k, (SELECT unnest(range(1, 2001)) AS rep))))"""
+
+
+def bucket_sql(key: str, seed: str) -> str:
+    return f"('0x' || substr(sha256('{seed}:' || {key}::VARCHAR), 1, 3))::INT"
+
+
+def boot_sql(sums: str, cell: str = "", seed: str = "boot") -> str:
     """Common table expressions of the cluster bootstrap over ``sums`` (g, key, total, n): p has the means, b the bounds."""
-    steps = poisson_sql()
-    return f"""k AS MATERIALIZED ({sums}), r AS (SELECT unnest(range(1, 2001)) AS rep), u AS (SELECT k.*, rep, ('0x' || substr(sha256('boot:' || rep::VARCHAR || ':' || key::VARCHAR), 1, 13))::BIGINT / 4503599627370496.0 AS u FROM k, r),
-w AS (SELECT g, rep, total, n, {steps} AS w FROM u), m AS (SELECT g, rep, sum(w * total) / sum(w * n) AS m FROM w GROUP BY ALL),
-b AS (SELECT g, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM m GROUP BY 1), p AS (SELECT g, sum(total) / sum(n) AS mean, count(*) AS clusters FROM k GROUP BY 1)"""
+    return f"""s AS MATERIALIZED ({sums}), k AS MATERIALIZED (SELECT g, {bucket_sql("key", seed)} AS bucket, sum(total) AS total, sum(n) AS n FROM s GROUP BY ALL),
+{draws_sql("w", "k", seed, cell)}, m AS (SELECT g, rep, sum(w * total) / sum(w * n) AS m FROM w GROUP BY ALL),
+b AS (SELECT g, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM m GROUP BY 1), p AS (SELECT g, sum(total) / sum(n) AS mean, count(*) AS clusters FROM s GROUP BY 1)"""
 
 
 @query("t03_ordered_equal", "WITH o AS (SELECT row_number() OVER (ORDER BY o_orderkey) AS i, o_custkey AS c FROM orders WHERE o_orderstatus <> 'P'), s AS (SELECT row_number() OVER (ORDER BY o_orderkey) AS i, CASE WHEN o_orderkey % 997 = 996 THEN o_custkey + 1 ELSE o_custkey END AS c FROM orders WHERE o_orderstatus <> 'P'), t AS (SELECT * FROM o WHERE i <= (SELECT count(*) FROM o) - 3), x AS (SELECT 'same' AS answer, a.i, a.c IS NOT DISTINCT FROM b.c AND a.i = b.i AS eq FROM o a FULL JOIN o b USING (i) UNION ALL SELECT 'changed', coalesce(a.i, b.i), a.c IS NOT DISTINCT FROM b.c AND a.i IS NOT NULL AND b.i IS NOT NULL FROM o a FULL JOIN s b USING (i) UNION ALL SELECT 'truncated', coalesce(a.i, b.i), a.c IS NOT DISTINCT FROM b.c AND a.i IS NOT NULL AND b.i IS NOT NULL FROM o a FULL JOIN t b ON a.i = b.i) SELECT answer, bool_and(eq) AS ordered_equal, coalesce(min(i) FILTER (NOT eq) - 1, count(*))::BIGINT AS equal_prefix FROM x GROUP BY 1")
@@ -640,7 +653,7 @@ def _(spark, d):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@query("t05_row_bootstrap", f"WITH {EVALS}, {boot_sql('SELECT category AS g, id AS key, solved::INT::DOUBLE AS total, 1 AS n FROM ev')} SELECT g AS category, clusters, round(mean, 9) AS mean, round(low, 9) AS low, round(high, 9) AS high FROM p JOIN b USING (g)")
+@query("t05_row_bootstrap", f"WITH {EVALS}, {boot_sql('SELECT category AS g, id AS key, solved::INT::DOUBLE AS total, 1 AS n FROM ev', "g || ':' ||")} SELECT g AS category, clusters, round(mean, 9) AS mean, round(low, 9) AS low, round(high, 9) AS high FROM p JOIN b USING (g)")
 def _(spark, d):
     out = statistics.cluster_bootstrap(evaluations(spark, d), "id", "solved", ["category"])
     return out.select("category", "clusters", *[F.round(c, 9).alias(c) for c in ("mean", "low", "high")])
@@ -720,6 +733,12 @@ def _(spark, d):
     return statistics.weighted_rate(c, "y", "w", ["c_mktsegment"]).withColumn("rate", F.round("rate", 9))
 
 
+@query("t15_weighted_interval", f"WITH {boot_sql('SELECT c_mktsegment AS g, c_custkey AS key, ((c_nationkey + 1) * (c_acctbal > 0)::INT)::DOUBLE AS total, (c_nationkey + 1)::DOUBLE AS n FROM customer', "g || ':' ||", 'weighted')} SELECT g AS c_mktsegment, clusters AS n, round(mean, 9) AS rate, round(low, 9) AS low, round(high, 9) AS high FROM p JOIN b USING (g)")
+def _(spark, d):
+    c = read(spark, d, "customer").select("c_custkey", "c_mktsegment", (F.col("c_acctbal") > 0).alias("y"), (F.col("c_nationkey") + 1).alias("w"))
+    return statistics.weighted_interval(c, "c_custkey", "y", "w", ["c_mktsegment"]).select("c_mktsegment", "n", *[F.round(x, 9).alias(x) for x in ("rate", "low", "high")])
+
+
 @query("t15_stratified_rate", "WITH s AS (SELECT c_mktsegment AS k, count(*) AS n, avg((c_acctbal > 0)::INT) AS p FROM customer WHERE c_nationkey < 8 GROUP BY 1), z AS (SELECT c_mktsegment AS k, count(*) AS size FROM customer GROUP BY 1) SELECT round(sum(size * p) / sum(size), 9) AS rate, round(sqrt(sum(size * size * (1 - n / size) * p * (1 - p) / (n - 1))) / sum(size), 9) AS se FROM s JOIN z USING (k)")
 def _(spark, d):
     c = read(spark, d, "customer").select(F.col("c_mktsegment").alias("k"), "c_nationkey", (F.col("c_acctbal") > 0).alias("y"))

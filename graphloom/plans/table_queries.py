@@ -9,12 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import privacy, query_text, text, values
-from ..operators import joins, selection, statistics, summaries
+from ..operators import joins, resampling, selection, statistics, summaries
 from ..sources import files
 from ..steps import shared_dir
 from .catalog import table_graph
 from .compiler import cypher
-from .dataset_queries import CYPHERS, EVALS, GATES, ITEMS, PAIRS, boot_sql, cypher_texts, evaluations, gate_rows, items, pairs, poisson_sql, read
+from .dataset_queries import CYPHERS, EVALS, GATES, ITEMS, PAIRS, boot_sql, bucket_sql, cypher_texts, draws_sql, evaluations, gate_rows, items, pairs, read, word_sql
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -266,11 +266,11 @@ def _(spark, d):
     return rows.select("n_regionkey", F.round(F.get_json_object("j", "$[0]").cast("double"), 9).alias("f1"), (F.get_json_object("j", "$[1]") == "true").alias("exact"))
 
 
-@query("t07_sign_flip_many", f"WITH {EVALS}, c AS (SELECT id % 37 AS cluster, sum(value - 50) AS s FROM ev GROUP BY 1), o AS (SELECT count(*) AS clusters, sum(s) AS observed FROM c), f AS (SELECT draw, sum(CASE WHEN ('0x' || substr(sha256('flip:' || draw::VARCHAR || ':' || cluster::VARCHAR), 1, 13))::BIGINT / 4503599627370496.0 < 0.5 THEN -s ELSE s END) AS v FROM c, (SELECT unnest(range(1, 2001)) AS draw) WHERE abs(s) > 1e-12 GROUP BY 1) SELECT any_value(clusters) AS clusters, round(any_value(observed), 4) AS observed, (count(*) FILTER (round(abs(v), 6) >= round(abs(observed), 6)) + 1) / (count(*) + 1) AS p FROM f, o")
+@query("t07_sign_flip_many", f"WITH {EVALS}, c AS (SELECT id % 37 AS cluster, sum(value - 50) AS s FROM ev GROUP BY 1), o AS (SELECT count(*) AS clusters, sum(s) AS observed FROM c), k AS (SELECT {bucket_sql('cluster', 'flip')} AS bucket, sum(s) AS s FROM c WHERE abs(s) > 1e-12 GROUP BY 1), x AS (SELECT s, draw, (({word_sql('d', '(draw % 256) // 32')}) >> (draw % 32)) & 1 AS bit FROM (SELECT s, draw, sha256('flip:' || (draw // 256)::VARCHAR || ':' || bucket::VARCHAR) AS d FROM k, (SELECT unnest(range(10000)) AS draw))), f AS (SELECT draw, sum(CASE WHEN bit = 1 THEN -s ELSE s END) AS v FROM x GROUP BY 1) SELECT any_value(clusters) AS clusters, round(any_value(observed), 4) AS observed, (count(*) FILTER (round(abs(v), 6) >= round(abs(observed), 6)) + 1) / (count(*) + 1) AS p FROM f, o")
 def _(spark, d):
     """More than 16 clusters: Monte Carlo with signs from hashes."""
     e = evaluations(spark, d).withColumn("d", F.col("value") - 50).withColumn("cluster", F.col("id") % 37)
-    return statistics.sign_flip(e, "cluster", "d", draws=2000).select("clusters", F.round("observed", 4).alias("observed"), "p")
+    return statistics.sign_flip(e, "cluster", "d").select("clusters", F.round("observed", 4).alias("observed"), "p")
 
 
 @query("t10_rank_permutation", "WITH x AS (SELECT n_regionkey AS r, avg(c_acctbal) AS a, count(*) AS b FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY 1), k AS (SELECT r, rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2 AS ra, rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2 AS rb FROM x), p AS (SELECT a.ra * v.rb + b.ra * w.rb + c.ra * x.rb + d.ra * y.rb + e.ra * z.rb AS s FROM k a, k b, k c, k d, k e, k v, k w, k x, k y, k z WHERE a.r = 0 AND b.r = 1 AND c.r = 2 AND d.r = 3 AND e.r = 4 AND len(list_distinct([v.r, w.r, x.r, y.r, z.r])) = 5) SELECT round(avg((s >= (SELECT sum(ra * rb) FROM k) - 1e-9)::INT), 9) AS p FROM p")
@@ -299,13 +299,62 @@ def _(spark, d):
     return out.select("clusters", *[F.round(c, 9).alias(c) for c in ("mean", "low", "high")])
 
 
-@query("t06_stratified_bootstrap", f"WITH {EVALS}, k AS MATERIALIZED (SELECT category AS g, cluster AS key, sum(solved::INT)::DOUBLE AS total, count(*) AS n FROM ev GROUP BY ALL), r AS (SELECT unnest(range(1, 501)) AS rep), u AS (SELECT k.*, rep, ('0x' || substr(sha256('boot:' || rep::VARCHAR || ':' || key::VARCHAR), 1, 13))::BIGINT / 4503599627370496.0 AS u FROM k, r), w AS (SELECT g, rep, total, n, {poisson_sql()} AS w FROM u), s AS (SELECT g, rep, sum(w * total) AS t, sum(w * n) AS r, sum(total) AS all_t, sum(n) AS all_r FROM w GROUP BY ALL), m AS (SELECT rep, sum(CASE WHEN r > 0 THEN t / r ELSE all_t / all_r END * all_r) / sum(all_r) AS m FROM s GROUP BY 1) SELECT (SELECT count(*) FROM k) AS clusters, round((SELECT sum(total) / sum(n) FROM k), 9) AS mean, round(quantile_cont(m, 0.025), 9) AS low, round(quantile_cont(m, 0.975), 9) AS high FROM m")
+@query("t06_stratified_bootstrap", f"WITH {EVALS}, s AS MATERIALIZED (SELECT category AS g, cluster AS key, sum(solved::INT)::DOUBLE AS total, count(*) AS n FROM ev GROUP BY ALL), k AS MATERIALIZED (SELECT g, {bucket_sql('key', 'boot')} AS bucket, sum(total) AS total, sum(n) AS n FROM s GROUP BY ALL), {draws_sql('w', 'k', 'boot', "g || ':' ||")}, r AS (SELECT g, rep, sum(w * total) AS t, sum(w * n) AS r, sum(total) AS all_t, sum(n) AS all_r FROM w GROUP BY ALL), m AS (SELECT rep, sum(CASE WHEN r > 0 THEN t / r ELSE all_t / all_r END * all_r) / sum(all_r) AS m FROM r GROUP BY 1) SELECT (SELECT count(*) FROM s) AS clusters, round((SELECT sum(total) / sum(n) FROM s), 9) AS mean, round(quantile_cont(m, 0.025), 9) AS low, round(quantile_cont(m, 0.975), 9) AS high FROM m")
 def _(spark, d):
     """Clusters resampled inside each category."""
-    out = statistics.cluster_bootstrap(evaluations(spark, d), "cluster", "solved", strata=["category"], replicates=500)
+    out = statistics.cluster_bootstrap(evaluations(spark, d), "cluster", "solved", strata=["category"])
     return out.select("clusters", *[F.round(c, 9).alias(c) for c in ("mean", "low", "high")])
 
 
+def sides_sql(seed: str) -> str:
+    """Means of five models in each replicate (0: themselves) on items of even and odd number: c (model, rep, a, b)."""
+    side = lambda s, odd: f"""k{s} AS MATERIALIZED (SELECT model, {bucket_sql("cluster", f"{seed}-{s}")} AS bucket, sum(value) AS t, count(*) AS r FROM ev WHERE model < 5 AND item % 2 = {odd} GROUP BY ALL), {draws_sql(f"w{s}", f"k{s}", f"{seed}-{s}")},
+m{s} AS (SELECT model, rep, CASE WHEN sum(w * r) > 0 THEN sum(w * t) / sum(w * r) END AS v FROM w{s} GROUP BY ALL UNION ALL SELECT model, 0, sum(t) / sum(r) FROM k{s} GROUP BY model)"""
+    return f"{EVALS}, {side('a', 0)}, {side('b', 1)}, c AS MATERIALIZED (SELECT model, rep, ma.v AS a, mb.v AS b FROM ma JOIN mb USING (model, rep))"
+
+
+def sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    e = evaluations(spark, d).filter("model < 5")
+    return e.filter("item % 2 = 0"), e.filter("item % 2 = 1")
+
+
+@query("t11_rank_interval", f"""WITH {sides_sql("rank")}, q AS (SELECT model, rep, round(a, 12) AS a, round(b, 12) AS b FROM c),
+t AS (SELECT rep, sum(sign(x.a - y.a) * sign(x.b - y.b)) AS s, sum(abs(sign(x.a - y.a))) AS ua, sum(abs(sign(x.b - y.b))) AS ub FROM q x JOIN q y USING (rep) WHERE x.model < y.model GROUP BY 1),
+tau AS (SELECT rep, CASE WHEN ua * ub > 0 THEN s / sqrt(ua * ub) END AS tau FROM t),
+k AS MATERIALIZED (SELECT rep, model, a, b, rank() OVER (PARTITION BY rep ORDER BY a) + (count(*) OVER (PARTITION BY rep, a) - 1) / 2 AS ra, rank() OVER (PARTITION BY rep ORDER BY b) + (count(*) OVER (PARTITION BY rep, b) - 1) / 2 AS rb FROM q),
+rho AS (SELECT rep, CASE WHEN stddev_pop(ra) > 0 AND stddev_pop(rb) > 0 THEN corr(ra, rb) END AS rho FROM k GROUP BY 1),
+z AS (SELECT * FROM k WHERE rep = 0),
+orders AS (SELECT row_number() OVER () AS o, [v.model, w.model, x.model, y.model, z2.model] AS ms FROM z v, z w, z x, z y, z z2 WHERE len(list_distinct([v.model, w.model, x.model, y.model, z2.model])) = 5),
+flat AS (SELECT o, unnest([0, 1, 2, 3, 4]) AS pos, unnest(ms) AS m FROM orders),
+met AS (SELECT flat.o, pos, m, i.a, i.ra, j.b, j.rb FROM flat JOIN z i ON i.model = pos JOIN z j ON j.model = m),
+null_rho AS (SELECT o, sum((ra - 3) * (rb - 3)) AS s, bool_and(pos = m) AS own FROM met GROUP BY 1),
+null_tau AS (SELECT x.o, sum(sign(x.a - y.a) * sign(x.b - y.b)) AS s, bool_and(x.pos = x.m AND y.pos = y.m) AS own FROM met x JOIN met y ON x.o = y.o AND x.pos < y.pos GROUP BY 1)
+SELECT 5::INT AS models, round(max(tau) FILTER (rep = 0), 9) AS tau, round(quantile_cont(tau, 0.025) FILTER (rep > 0), 9) AS tau_low, round(quantile_cont(tau, 0.975) FILTER (rep > 0), 9) AS tau_high,
+  round(max(rho) FILTER (rep = 0), 9) AS rho, round(quantile_cont(rho, 0.025) FILTER (rep > 0), 9) AS rho_low, round(quantile_cont(rho, 0.975) FILTER (rep > 0), 9) AS rho_high, count(*) FILTER (rep > 0 AND tau IS NULL) AS undefined,
+  (SELECT avg((abs(s) >= (SELECT abs(s) FROM null_tau WHERE own) - 1e-9)::INT) FROM null_tau) AS tau_p, (SELECT avg((abs(s) >= (SELECT abs(s) FROM null_rho WHERE own) - 1e-9)::INT) FROM null_rho) AS rho_p
+FROM tau JOIN rho USING (rep)""")
+def _(spark, d):
+    """Five models on two halves of the items, ranked anew in each replicate."""
+    out = resampling.rank_agreement_interval(*sides(spark, d), "model", "value", "cluster")
+    return out.select("models", *[F.round(c, 9).alias(c) for c in ("tau", "tau_low", "tau_high", "rho", "rho_low", "rho_high")], "undefined", "tau_p", "rho_p")
+
+
+@query("t11_self_preference", f"""WITH {sides_sql("self")}, e AS (SELECT rep, max(a) FILTER (model = 2) - avg(a) FILTER (model <> 2) AS own_slice, max(b) FILTER (model = 2) - avg(b) FILTER (model <> 2) AS other_slice, max(a - b) FILTER (model = 2) - median(a - b) FILTER (model <> 2) AS against_median FROM c GROUP BY 1),
+l AS (UNPIVOT (SELECT rep, own_slice, other_slice, own_slice - other_slice AS difference, against_median FROM e) ON own_slice, other_slice, difference, against_median INTO NAME estimate VALUE v)
+SELECT estimate, round(max(v) FILTER (rep = 0), 9) AS point, round(quantile_cont(v, 0.025) FILTER (rep > 0), 9) AS low, round(quantile_cont(v, 0.975) FILTER (rep > 0), 9) AS high, round(avg((v > 0)::INT) FILTER (rep > 0), 9) AS above_zero FROM l GROUP BY 1""")
+def _(spark, d):
+    out = resampling.self_preference_interval(*sides(spark, d), "model", "value", "cluster", 2)
+    return out.select("estimate", *[F.round(c, 9).alias(c) for c in ("point", "low", "high", "above_zero")])
+
+
+@query("t11_placebo", f"""WITH {sides_sql("self")}, d AS (SELECT model, max(a - b) FILTER (rep = 0) AS delta, quantile_cont(a - b, 0.025) FILTER (rep > 0) AS low, quantile_cont(a - b, 0.975) FILTER (rep > 0) AS high FROM c GROUP BY 1),
+p AS (SELECT *, delta - (sum(delta) OVER () - delta) / (count(*) OVER () - 1) AS placebo FROM d), o AS (SELECT placebo AS o FROM p WHERE model = 2)
+SELECT model, round(delta, 9) AS delta, round(low, 9) AS low, round(high, 9) AS high, round(placebo, 9) AS placebo, avg((placebo >= o - 1e-12)::INT) OVER () AS one_sided, avg((abs(placebo) >= abs(o) - 1e-12)::INT) OVER () AS two_sided FROM p, o""")
+def _(spark, d):
+    out = resampling.placebo_contrasts(*sides(spark, d), "model", "value", "cluster", 2)
+    return out.select("model", *[F.round(c, 9).alias(c) for c in ("delta", "low", "high", "placebo")], "one_sided", "two_sided")
+
+
 @query("t18_tier_thresholds", "WITH s AS (SELECT (p_size % 12)::DOUBLE AS s FROM part), c AS (SELECT DISTINCT s FROM s UNION ALL SELECT max(s) + 1 FROM s), p AS (SELECT a.s AS low, b.s AS high, (SELECT avg((s < a.s)::INT) FROM s) AS e, (SELECT avg((s < b.s)::INT) FROM s) AS m FROM c a JOIN c b ON a.s < b.s) SELECT low, high FROM p ORDER BY round(abs(e - 0.35) + abs(m - e - 0.35) + abs(1 - m - 0.3), 12), low, high LIMIT 1")
 def _(spark, d):
     low, high = statistics.tier_thresholds(read(spark, d, "part").withColumn("s", F.col("p_size") % 12), "s")
