@@ -174,12 +174,18 @@ def planted(id_col: str = "doc_id", text_col: str = "text") -> Column:
     """The text, or for ids whose crc32 (h, of the id in decimal; a null id counts as the empty text) is divisible by 10, its words with a period:
     each word i >= a is word a + (i - a) % p, for g = h / 10, a = g % n, p = 1 + (n - a) / (3 + g % 8), all in whole numbers."""
     h = F.crc32(id_text(id_col).cast("binary"))
-    g, words = F.floor(h / 10), F.regexp_extract_all(text_or_empty(text_col), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
-    n = F.size(words)
-    a = g % n
-    p = F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8))
-    turned = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(words, F.when(i < a, i).otherwise(a + (i - a) % p).cast("int")))
-    return F.when((h % 10 == 0) & (n > 0), F.array_join(turned, " ")).otherwise(text_or_empty(text_col))
+    text = text_or_empty(text_col)
+
+    def turned(x: Column) -> Column:
+        n, g = F.size(x["words"]), x["g"]
+        a = g % n
+        p = F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8))
+        places = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(x["words"], F.when(i < a, i).otherwise(a + (i - a) % p).cast("int")))
+        return F.when(n > 0, F.array_join(places, " ")).otherwise("")
+
+    # An array of one, so that the words are cut once and not for each place.
+    once = F.array(F.struct(F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)).alias("words"), F.floor(h / 10).alias("g")))
+    return F.when(h % 10 == 0, F.get(F.transform(once, turned), F.lit(0))).otherwise(text)
 
 
 def op11_lyndon_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
