@@ -102,32 +102,30 @@ def test_pieces_equal_the_library(spark):
     assert pieces.piece_digests(docs.limit(0), MODEL).count() == 0
 
 
-def test_agendas_equal_the_library():
+@pytest.mark.parametrize("few", [2, 24])
+def test_agendas_equal_the_library(monkeypatch, few):
+    """Random texts, by rows of a matrix and by heaps."""
+    monkeypatch.setattr(pieces, "FEW", few)
     rng, library, mine = random.Random(3), SentencePieceProcessor(model_file=MODEL), pieces.Encoder(pieces.Pieces(MODEL))
     letters = "ab e\n\t ▁  tthéñ日<>sx0😀1=-_.,́​"
-    for _ in range(4000):
-        text = "".join(rng.choice(letters) for _ in range(rng.randint(0, 40)))
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 40))) for _ in range(4000)]
+    for found, text in zip(mine.encode(texts), texts, strict=True):
         ids = library.encode(text)
-        assert mine.text(text) == (len(ids), ",".join(map(str, ids)).encode(), library.decode(ids))
-    mine.check()
-    symbols = [rng.choice("abct he") for _ in range(400)]
-    assert pieces.merged_few(list(symbols), mine.pieces.scores) == pieces.merged_many(list(symbols), mine.pieces.scores)
+        assert found == (len(ids), ",".join(map(str, ids)).encode(), library.decode(ids))
 
 
 def test_the_library_check_sees_differences():
     encoder = pieces.Encoder(pieces.Pieces(MODEL))
-    encoder.pieces.scores = {k: -v for k, v in encoder.pieces.scores.items()}
-    encoder.text("internationally")
+    encoder.pieces.ranks = encoder.pieces.ranks[::-1].copy()
     with pytest.raises(ValueError, match="otherwise"):
-        encoder.check()
+        encoder.encode(["internationally spoken"])
 
 
 def test_pieces_forget(monkeypatch):
     monkeypatch.setattr(pieces, "MEMORY", 3)
     encoder = pieces.Encoder(pieces.Pieces(MODEL))
-    first = encoder.text("one two three four five")
-    encoder.check()
-    assert not encoder and encoder.text("one two three four five") == first
+    texts = ["one two three four five", "six seven " + "eight" * 50]
+    assert encoder.encode(texts) == encoder.encode(texts) == encoder.encode(texts[:1]) + encoder.encode(texts[1:])
 
 
 def brute_lloyd(rows, k, rounds, seed, dims, scale=1024):
