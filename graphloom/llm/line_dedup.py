@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import xxhash
@@ -65,7 +65,7 @@ def parse(texts: list[str], words: Words) -> list[tuple[list[int], list[int], li
     lines = [text.encode().split(b"\n") for text in texts]
     tokens = [line.split() for ls in lines for line in ls]
     counts = np.array([len(t) for t in tokens], dtype=np.int64)
-    h = np.array([words[w] for t in tokens for w in t], dtype=np.uint64)
+    h = np.fromiter(map(words.__getitem__, chain.from_iterable(tokens)), dtype=np.uint64, count=int(counts.sum()))
     size = np.array([len(x) for ls in lines for x in ls], dtype=np.int64)
     height = np.array([len(ls) for ls in lines], dtype=np.int64)
     ends = height.cumsum()
@@ -99,7 +99,7 @@ def parse(texts: list[str], words: Words) -> list[tuple[list[int], list[int], li
 def shingle_sets(texts: list[str], words: Words) -> list[np.ndarray]:
     """Of each text: the hashes of its distinct shingles (of fewer words: of all together; of none: nothing)."""
     tokens = [text.encode().split() for text in texts]
-    h = np.array([words[w] for t in tokens for w in t], dtype=np.uint64)
+    h = np.fromiter(map(words.__getitem__, chain.from_iterable(tokens)), dtype=np.uint64, count=sum(map(len, tokens)))
     ahead, found = [h], h
     with np.errstate(over="ignore"):
         for i in range(1, SHINGLE):
@@ -142,8 +142,9 @@ def independent_texts(rows: DataFrame, holders: DataFrame, min_texts: int, own_s
 
         return step
 
-    sets = map_rows(owned.select("th", "text"), make, "th long, shingles array<long>")
-    sets = materialise(sets.groupBy("th").agg(F.first("shingles").alias("shingles")), "shingles")  # rows alike in id and text count once
+    sets = materialise(map_rows(owned.select("th", "text"), make, "th long, shingles array<long>"), "shingles")
+    if sets.count() > holders.count():  # rows alike in id and text count once
+        sets = materialise(sets.groupBy("th").agg(F.first("shingles").alias("shingles")), "shingles")
     each = sets.select("th", F.explode("shingles").alias("h"))
     common = each.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_texts).select("h", F.lit(1).alias("common"))
     shared = each.join(broadcast_if_small(materialise(common, "common")), "h", "left_semi").groupBy("th").agg(F.count(F.lit(1)).alias("c"))
