@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+import math
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -15,6 +17,8 @@ from .ranks import dealt, hash_places, hash_top, join_groups, left_groups, runni
 SEED = "graphloom"
 #: Rows of ``ordered_quota`` that are settled one after the other in a round.
 AT_ONCE = 20_000
+#: Rows of a part in which a selection is greedy.
+PART_ROWS = 5_000
 
 
 def hash_key(id_: Column | str, seed: str = SEED) -> Column:
@@ -139,48 +143,102 @@ def block_splits(df: DataFrame, block: str, shares: Mapping[str, float]) -> Data
     return df.join(placed, df[block].cast("string") == placed["block"]).drop(placed["block"])
 
 
-def diverse_selection(df: DataFrame, group: str, id_col: str, features: Mapping[str, tuple[str, float]], k: int, quality: str | None = None, cap: tuple[str, float, float] | None = None) -> DataFrame:
-    """Greedy maximal-marginal selection of ``k`` rows in each group.
+#: Weights of the terms of example selection, and of the penalty of a soft cap: fixed values.
+TERM_WEIGHTS = {"signature": 0.24, "family": 0.18, "substructures": 0.22, "schema_atoms": 0.14, "values": 0.08, "tokens": 0.10, "quality": 0.04, "operators": 0.03}
+CAP_PENALTY, SIGNATURE_SHARE, FAMILY_SHARE = 0.35, 0.20, 0.25
 
-    ``features``: name -> (array<string> column, weight): a row gains the weight times the share of its values that
-    no chosen row has. ``quality``: (column) adds 0.04 of its value. ``cap``: (array column, share of k, penalty) takes the
-    penalty once a value has its share (2 at least). Ties go to the lesser id. Of candidates that are alike in all features only the ``k``
-    best can be chosen, so only they come into the group's task, which the greedy order needs: it holds k rows for each
-    combination of features.
+
+def picked(rows: pd.DataFrame, id_col: str, features: Mapping[str, tuple[str, float]], target: int, quality: tuple[str, float] | None, lexical: tuple[str, float] | None, caps: Sequence[tuple[str, float, float]]) -> list[int]:
+    """Places of the rows that a greedy selection takes, in order; ``rows`` are sorted by id.
+
+    No term ever grows while rows are chosen, so a gain that was computed before is a bound: a heap gives the row with the greatest one, and
+    only that is computed anew.
+    """
+    sets = {f: [frozenset(v) for v in rows[c]] for f, (c, _) in features.items()}
+    words = [frozenset(v) for v in rows[lexical[0]]] if lexical else []
+    limited = [[frozenset(v) for v in rows[c]] for c, _, _ in caps]
+    most = [max(2, math.ceil(target * share)) for _, share, _ in caps]
+    base = (rows[quality[0]].astype(float) * quality[1]).tolist() if quality else [0.0] * len(rows)
+    seen, used, chosen = {f: set() for f in features}, [{} for _ in caps], []
+    nearest, compared = [0.0] * len(rows), [0] * len(rows)
+
+    def gain(i: int) -> float:
+        out = base[i]
+        for f, (_, weight) in features.items():
+            own = sets[f][i]
+            out += weight * (len(own - seen[f]) / len(own) if own else 0.0)
+        if lexical:
+            for j in chosen[compared[i] :]:
+                union = len(words[i] | words[j])
+                nearest[i] = max(nearest[i], len(words[i] & words[j]) / union if union else 1.0)
+            compared[i] = len(chosen)
+            out += lexical[1] * (1.0 - nearest[i])
+        for n, (_, _, penalty) in enumerate(caps):
+            if any(used[n].get(v, 0) >= most[n] for v in limited[n][i]):
+                out -= penalty
+        return out
+
+    heap = [(-gain(i), i, 0) for i in range(len(rows))]
+    heapq.heapify(heap)
+    while heap and len(chosen) < target:
+        _, i, known = heapq.heappop(heap)
+        if known < len(chosen):
+            heapq.heappush(heap, (-gain(i), i, len(chosen)))
+            continue
+        chosen.append(i)
+        for f in features:
+            seen[f] |= sets[f][i]
+        for n in range(len(caps)):
+            for v in limited[n][i]:
+                used[n][v] = used[n].get(v, 0) + 1
+    return chosen
+
+
+def diverse_selection(df: DataFrame, group: str, id_col: str, features: Mapping[str, tuple[str, float]], k: int, quality: tuple[str, float] | None = None, lexical: tuple[str, float] | None = None, caps: Sequence[tuple[str, float, float]] = (), part_rows: int = PART_ROWS) -> DataFrame:
+    """(group, id, pick): greedy maximal-marginal selection of ``k`` rows in each group.
+
+    ``features``: name -> (array<string> column, weight): a row gains the weight times the share of its values that no chosen row has (none: 0).
+    ``lexical``: (array column, weight) times one less the greatest Jaccard similarity to a chosen row. ``quality``: (column, weight). ``caps``:
+    (array column, share of the rows to choose, penalty): the penalty is taken once a value has its share (2 at least). Ties go to the lesser id.
+
+    A group of more than ``part_rows`` rows is dealt into parts by a hash of the id; each part picks k, and these are dealt again until one
+    part holds them, so no task has more than ``part_rows`` rows (or 4 k) however large a group is. Groups that fit into a part get the exact greedy
+    order. Null groups are a group; null arrays are empty.
     """
-    columns = [id_col, *[c for c, _ in features.values()], *([quality] if quality else []), *([cap[0]] if cap else [])]
+    part_rows = max(part_rows, 4 * k)
+    columns = [*dict.fromkeys([*[c for c, _ in features.values()], *([lexical[0]] if lexical else []), *[c for c, _, _ in caps]])]
+    rows = df.select(F.col(group).alias("_g"), F.col(id_col).alias("_id"), *([F.coalesce(F.col(quality[0]).cast("double"), F.lit(0.0)).alias("_q")] if quality else []), *[F.coalesce(F.filter(c, lambda x: x.isNotNull()), F.array()).cast("array<string>").alias(c) for c in columns])
+    rows = join_groups(rows, rows.groupBy("_g").agg(F.least(F.count(F.lit(1)), F.lit(k)).cast("int").alias("_target")), ["_g"])
+    score = ("_q", quality[1]) if quality else None
+    kinds = dict(rows.dtypes)
+    schema = ", ".join(f"`{c}` {t}" for c, t in kinds.items())
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(id_col).reset_index(drop=True)
-        seen = {f: set() for f in features}
-        used: dict[str, int] = {}
-        left, chosen = list(range(len(rows))), []
-        most = max(2, int(cap[1] * k)) if cap else 0
-        while left and len(chosen) < k:
-            def gain(i: int) -> float:
-                out = float(rows[quality][i]) * 0.04 if quality else 0.0
-                for f, (c, weight) in features.items():
-                    values = set(rows[c][i])
-                    out += weight * (len(values - seen[f]) / len(values) if values else 0.0)
-                if cap and any(used.get(v, 0) >= most for v in rows[cap[0]][i]):
-                    out -= cap[2]
-                return out
-
-            best = max(left, key=lambda i: (gain(i), -i))
-            left.remove(best)
-            chosen.append(best)
-            for f, (c, _) in features.items():
-                seen[f] |= set(rows[c][best])
-            for v in rows[cap[0]][best] if cap else ():
-                used[v] = used.get(v, 0) + 1
-        out = rows.loc[chosen, [group, id_col]].copy()
-        out["pick"] = range(1, len(chosen) + 1)
-        return out
+        pdf = pdf.drop(columns="_part").sort_values("_id").reset_index(drop=True)
+        chosen = picked(pdf, "_id", features, int(pdf["_target"].iloc[0]), score, lexical, caps)
+        return pdf.loc[chosen].assign(_pick=range(1, len(chosen) + 1))
+
+    while True:
+        sizes = rows.groupBy("_g").agg(F.ceil(F.count(F.lit(1)) / part_rows).cast("long").alias("_parts"))
+        dealt_out = join_groups(rows, sizes, ["_g"]).withColumn("_part", F.pmod(F.xxhash64("_id"), F.col("_parts"))).drop("_parts")
+        found = dealt_out.groupBy("_g", "_part").applyInPandas(choose, f"{schema}, _pick int")
+        if sizes.filter("_parts > 1").isEmpty():
+            return found.select(F.col("_g").alias(group), F.col("_id").alias(id_col), F.col("_pick").alias("pick"))
+        rows = written(found.drop("_pick"), "picked")
+
 
-    alike = Window.partitionBy(group, *[F.array_sort(F.array_distinct(c)) for c, _ in features.values()], *([F.array_sort(F.array_distinct(cap[0]))] if cap else [])).orderBy(*([F.col(quality).desc()] if quality else []), id_col)
-    df = df.withColumn("_rn", F.row_number().over(alike)).filter(F.col("_rn") <= k).drop("_rn")
-    kinds = dict(df.dtypes)
-    return df.select(group, *dict.fromkeys(columns)).groupBy(group).applyInPandas(choose, f"`{group}` {kinds[group]}, `{id_col}` {kinds[id_col]}, pick int")
+def example_selection(df: DataFrame, group: str, id_col: str, k: int, terms: Mapping[str, str], weights: Mapping[str, float] = TERM_WEIGHTS, part_rows: int = PART_ROWS) -> DataFrame:
+    """(group, id, pick): ``diverse_selection`` with the eight terms of benchmark examples and soft caps on signatures and template families.
+
+    ``terms``: signature, family and operators (string columns), substructures, schema_atoms, values and tokens (array columns), quality -> column.
+    """
+    single = [t for t in ("signature", "family", "operators") if t in terms]
+    rows = df.withColumns({f"_{t}": F.array(F.col(terms[t]).cast("string")) for t in single})
+    column = {t: f"_{t}" if t in single else c for t, c in terms.items()}
+    features = {t: (column[t], weights[t]) for t in ("signature", "family", "substructures", "schema_atoms", "values", "operators") if t in terms}
+    caps = [(column[t], share, CAP_PENALTY) for t, share in (("signature", SIGNATURE_SHARE), ("family", FAMILY_SHARE)) if t in terms]
+    quality = (terms["quality"], weights["quality"]) if "quality" in terms else None
+    return diverse_selection(rows, group, id_col, features, k, quality, (column["tokens"], weights["tokens"]) if "tokens" in terms else None, caps, part_rows)
 
 
 def entity_cap(df: DataFrame, group: Sequence[str], value: str, order: Sequence[str], limit: int) -> DataFrame:

@@ -170,7 +170,15 @@ def _(spark, d):
 SELECT p_brand, id, pick FROM s WHERE pick > 0""")
 def _(spark, d):
     few = read(spark, d, "part").select("p_brand", F.col("p_partkey").alias("id"), F.array("p_type").alias("kinds"), F.array(F.col("p_size").cast("string")).alias("sizes"))
-    return selection.diverse_selection(few, "p_brand", "id", {"kinds": ("kinds", 0.5), "sizes": ("sizes", 0.3)}, 8, cap=("kinds", 0.25, 0.35))
+    return selection.diverse_selection(few, "p_brand", "id", {"kinds": ("kinds", 0.5), "sizes": ("sizes", 0.3)}, 8, caps=[("kinds", 0.25, 0.35)])
+
+
+@query("w08_eight_terms")
+def _(spark, d):
+    """All terms and both caps; a greedy choice of 12 parts of each brand (tests hold the operator against a plain loop)."""
+    part = read(spark, d, "part").select("p_brand", F.col("p_partkey").alias("id"), "p_type", F.concat("p_type", F.lit("/"), (F.col("p_size") % 7).cast("string")).alias("family"), F.split("p_name", " ").alias("words"), F.array("p_type", (F.col("p_size") % 5).cast("string")).alias("atoms"), F.array(F.col("p_size").cast("string")).alias("sizes"), (F.col("p_size") % 3).cast("string").alias("operators"), (F.col("p_retailprice") / 2000).alias("quality"))
+    terms = {"signature": "p_type", "family": "family", "substructures": "words", "schema_atoms": "atoms", "values": "sizes", "tokens": "words", "quality": "quality", "operators": "operators"}
+    return selection.example_selection(part, "p_brand", "id", 12, terms)
 
 
 @query("w09_entity_cap", f"WITH {ITEMS} SELECT id, row_number() OVER (PARTITION BY category, signature ORDER BY id) > 12 AS over_cap FROM items")
