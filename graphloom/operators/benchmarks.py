@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.query_text import read_only
+from .ranks import left_groups
 from .statistics import cluster_sums
 from .summaries import distribution
 
@@ -18,9 +19,14 @@ def convert_external(df: DataFrame, graph: str, question: str, query: str, alias
     key, q = text.question_key(F.coalesce(question, F.lit(""))), text.squeeze(F.coalesce(query, F.lit("")))
     rows = df.withColumn("_k", key).withColumn("_q", q)
     wrong = F.when(~F.col(graph).isin(*aliases), "other_graph").when((F.col("_k") == "") | (F.col("_q") == ""), "empty").when(~read_only(F.col("_q")), "not_read_only")
-    rows = rows.withColumn("_w", wrong).withColumn("_rn", F.row_number().over(Window.partitionBy("_w", graph, "_k", "_q").orderBy(*order)))
-    ways = F.size(F.collect_set(F.when(F.col("_w").isNull(), F.col("_q"))).over(Window.partitionBy(graph, "_k")))
-    return rows.withColumn("decision", F.coalesce("_w", F.when(F.col("_rn") > 1, "duplicate"), F.lit("keep"))).withColumn("ambiguous", ways > 1).drop("_k", "_q", "_w", "_rn")
+    rows = rows.withColumn("_w", wrong)
+    # Only rows without a reason are ranked, so that neither empty questions nor other graphs' rows are one large group.
+    fine = rows.filter(F.col("_w").isNull())
+    ranked = fine.withColumn("_rn", F.row_number().over(Window.partitionBy(graph, "_k", "_q").orderBy(*order)))
+    ranked = ranked.unionByName(rows.filter(F.col("_w").isNotNull()).withColumn("_rn", F.lit(1)))
+    ways = fine.groupBy(graph, "_k").agg(F.count_distinct("_q").alias("_ways"))
+    out = left_groups(ranked, ways, [graph, "_k"])
+    return out.withColumn("decision", F.coalesce("_w", F.when(F.col("_rn") > 1, "duplicate"), F.lit("keep"))).withColumn("ambiguous", F.coalesce("_ways", F.lit(0)) > 1).drop("_k", "_q", "_w", "_rn", "_ways")
 
 
 def diversity_report(df: DataFrame, dimensions: Sequence[str], question: str, group: Sequence[str] = ()) -> DataFrame:

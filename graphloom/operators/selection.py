@@ -49,9 +49,8 @@ def cap_per_group(df: DataFrame, group: Sequence[str], limit: int, id_col: str =
     """At most ``limit`` rows of each group, in hash order; 0 keeps all. Adds ``dropped``, the group's rows that went."""
     if limit <= 0:
         return df.withColumn("dropped", F.lit(0).cast("long"))
-    ranked = df.withColumn("_rn", F.row_number().over(Window.partitionBy(*group).orderBy(hash_key(id_col, seed), id_col)))
-    total = F.count(F.lit(1)).over(Window.partitionBy(*group))
-    return ranked.withColumn("dropped", F.greatest(total - limit, F.lit(0))).filter(F.col("_rn") <= limit).drop("_rn")
+    top = hash_top(df, group, hash_key(id_col, seed), limit, [id_col])  # a hot group is cut in its 256 parts first
+    return top.withColumn("dropped", F.greatest(F.col("_n") - limit, F.lit(0))).drop("_rn", "_n")
 
 
 def cap_round_robin(df: DataFrame, cell: Sequence[str], signature: str, limit: int, id_col: str = "id", seed: str = SEED) -> DataFrame:
