@@ -1,4 +1,4 @@
-"""Text measures as column expressions; Arrow UDFs only for those that need a dynamic programme or an alignment."""
+"""Text measures as column expressions, dynamic programmes and alignments among them."""
 
 from __future__ import annotations
 
@@ -7,7 +7,6 @@ from collections import Counter
 from collections.abc import Mapping
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -159,69 +158,78 @@ def clean_query(text: Column) -> Column:
     return squeeze(F.split(out, ";", 2)[0])
 
 
-def longest_common(a: list, b: list) -> int:
-    """Length of the longest common subsequence, one row of the table at a time."""
-    row = [0] * (len(b) + 1)
-    for x in a:
-        diagonal = 0
-        for j, y in enumerate(b, 1):
-            diagonal, row[j] = row[j], diagonal + 1 if x == y else max(row[j], row[j - 1])
-    return row[-1]
-
-
-def rouge_l_f1(a: list, b: list) -> float:
-    if not a or not b:
-        return float(not a and not b)
-    common = longest_common(a, b)
-    return 2 * common / (len(a) + len(b))
-
-
-def meteor(a: list, b: list) -> float:
-    """Greedy exact alignment, Fmean 10PR / (R + 9P), penalty 0.5 (chunks / matches)^3."""
-    if not a or not b:
-        return float(not a and not b)
-    places: dict = {}
-    for j, y in enumerate(b):
-        places.setdefault(y, []).append(j)
-    pairs = [(i, places[x].pop(0)) for i, x in enumerate(a) if places.get(x)]
-    if not pairs:
-        return 0.0
-    chunks = 1 + sum(1 for p, q in zip(pairs, pairs[1:], strict=False) if q[0] != p[0] + 1 or q[1] != p[1] + 1)
-    p, r = len(pairs) / len(a), len(pairs) / len(b)
-    return (1 - 0.5 * (chunks / len(pairs)) ** 3) * 10 * p * r / (r + 9 * p)
+#: Tokens to a word of bits: sums of two words and a carry fit into a long.
+BITS = 60
 
 
-def jaro_winkler(a: str, b: str, scale: float = 0.1) -> float:
-    """Jaro similarity and the prefix bonus at any similarity (no 0.7 threshold)."""
-    if a == b:
-        return 1.0
-    if not a or not b:
-        return 0.0
-    reach = max(len(a), len(b)) // 2 - 1
-    taken, matched = [False] * len(b), []
-    for i, x in enumerate(a):
-        for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
-            if not taken[j] and b[j] == x:
-                taken[j] = True
-                matched.append(x)
-                break
-    m = len(matched)
-    if not m:
-        return 0.0
-    other = [y for y, t in zip(b, taken, strict=True) if t]
-    swaps = sum(x != y for x, y in zip(matched, other, strict=True)) / 2
-    jaro = (m / len(a) + m / len(b) + (m - swaps) / m) / 3
-    prefix = next((i for i, (x, y) in enumerate(zip(a[:4], b[:4], strict=False)) if x != y), min(4, len(a), len(b)))
-    return jaro + prefix * scale * (1 - jaro)
+def longest_common(a: Column, b: Column) -> Column:
+    """Length of the longest common subsequence of two arrays, a row of the table at a time.
+
+    A row is a list of words of bits, one bit a place of ``b``: 0 where the row's value grows there. A token x turns row v into
+    (v + u) | (v & ~u), where u is v at the places of x; carries go from word to word. The zeros at the end are the length.
+    """
+    full = F.lit((1 << BITS) - 1)
+    chunks = F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size(b) - 1) / BITS).cast("int"), F.lit(0))), lambda k: F.slice(b, k * BITS + 1, BITS))
+
+    def places(chunk: Column, x: Column) -> Column:
+        return F.aggregate(F.sequence(F.lit(1), F.size(chunk)), F.lit(0).cast("long"), lambda bits, j: F.when(F.element_at(chunk, j) == x, bits.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), j - 1))).otherwise(bits))
+
+    def add(state: Column, e: Column) -> Column:
+        total = e["v"] + e["u"] + state["carry"]
+        return F.struct(F.call_function("shiftright", total, F.lit(BITS)).alias("carry"), F.concat(state["words"], F.array(total.bitwiseAND(full).bitwiseOR(e["v"].bitwiseAND(F.bitwise_not(e["u"]))))).alias("words"))
+
+    def row(v: Column, x: Column) -> Column:
+        used = F.zip_with(v, F.transform(chunks, lambda c: places(c, x)), lambda w, m: F.struct(w.alias("v"), w.bitwiseAND(m).alias("u")))
+        start = F.struct(F.lit(0).cast("long").alias("carry"), F.array().cast("array<bigint>").alias("words"))
+        return F.aggregate(used, start, add, lambda state: state["words"])
+
+    last = F.aggregate(a, F.transform(chunks, lambda _: full), row)
+    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0).otherwise(F.aggregate(last, F.lit(0), lambda n, w: n + (BITS - F.bit_count(w))))
 
 
-def arrow(function, kind: str = "double"):
-    """A two-column Arrow UDF of a plain function."""
+def rouge_l_f1(a: Column, b: Column) -> Column:
+    return edge_cases(a, b, 2 * longest_common(a, b) / (F.size(a) + F.size(b)))
+
+
+def meteor(a: Column, b: Column) -> Column:
+    """Greedy exact alignment (the k-th use of a word meets its k-th use), Fmean 10PR / (R + 9P), penalty 0.5 (chunks / matches)^3."""
+
+    def partner(x: Column, i: Column) -> Column:
+        """The place in ``b`` of the use that the i-th token (from 0) meets, or -1."""
+        places = F.filter(F.sequence(F.lit(1), F.size(b)), lambda j: F.element_at(b, j) == x)
+        return F.coalesce(F.get(places, F.size(F.filter(F.slice(a, F.lit(1), i), lambda y: y == x))), F.lit(-1))
+
+    start = F.struct(F.lit(-1).alias("last"), F.lit(0).alias("chunks"), F.lit(0).alias("m"))
+    step = lambda s, j: F.when(j < 0, F.struct(j.alias("last"), s["chunks"].alias("chunks"), s["m"].alias("m"))).otherwise(F.struct(j.alias("last"), (s["chunks"] + F.when((s["last"] > 0) & (j == s["last"] + 1), 0).otherwise(1)).alias("chunks"), (s["m"] + 1).alias("m")))
+
+    def score(s: Column) -> Column:
+        p, r = s["m"] / F.size(a), s["m"] / F.size(b)
+        return F.when(s["m"] == 0, 0.0).otherwise((1 - 0.5 * F.pow(s["chunks"] / s["m"], 3)) * 10 * p * r / (r + 9 * p))
+
+    return edge_cases(a, b, F.aggregate(F.transform(a, partner), start, step, score))
+
+
+def jaro_winkler(a: Column, b: Column, scale: float = 0.1) -> Column:
+    """Jaro similarity and the prefix bonus at any similarity (no 0.7 threshold)."""
+    la, lb = F.char_length(a), F.char_length(b)
+    reach = F.greatest(F.floor(F.greatest(la, lb) / 2).cast("int") - 1, F.lit(0))
+
+    def match(taken: Column, i: Column) -> Column:
+        """Adds (place in b, letter) of the first place in reach that has the letter and is free."""
+        low, high, x = F.greatest(i - reach, F.lit(1)), F.least(i + reach, lb), a.substr(i, F.lit(1))
+        places = F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+        free = F.filter(places, lambda j: (b.substr(j, F.lit(1)) == x) & ~F.exists(taken, lambda t: t["j"] == j))
+        return F.concat(taken, F.transform(F.slice(free, 1, 1), lambda j: F.struct(j.alias("j"), x.alias("x"))))
 
-    def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None or y is None else function(x if isinstance(x, str) else list(x), y if isinstance(y, str) else list(y)) for x, y in zip(a, b, strict=True)], dtype="float64")
+    def score(pairs: Column) -> Column:
+        m = F.size(pairs)
+        swaps = F.size(F.filter(F.zip_with(pairs, F.array_sort(pairs), lambda p, q: p["x"] != q["x"]), lambda differs: differs)) / 2
+        jaro = (m / la + m / lb + (m - swaps) / m) / 3
+        prefix = reduce(lambda n, k: n + F.when((la >= k) & (lb >= k) & (a.substr(1, k) == b.substr(1, k)), 1).otherwise(0), range(1, 5), F.lit(0))
+        return F.when(m == 0, 0.0).otherwise(jaro + prefix * scale * (1 - jaro))
 
-    return F.pandas_udf(run, kind)
+    found = F.aggregate(F.sequence(F.lit(1), la), F.array().cast("array<struct<j:int,x:string>>"), match, score)
+    return F.when(a == b, 1.0).when((la == 0) | (lb == 0), 0.0).when(a.isNotNull() & b.isNotNull(), found)
 
 
 def expected_distinct(distinct: Column, total: Column, vocabulary: Column) -> Column:
@@ -255,7 +263,7 @@ def self_bleu(texts: list[list[str]], order: int = 2, most: int = 200) -> float:
     return sum(scores) / len(scores)
 
 
-def diversity_index(components: list[float]) -> float:
-    """Geometric mean of components clamped to [0, 1] (1e-6 at least)."""
-    clean = [min(1.0, max(1e-6, c)) for c in components if not math.isnan(c)]
-    return math.exp(sum(map(math.log, clean)) / len(clean)) if clean else 0.0
+def diversity_index(components: Column) -> Column:
+    """Geometric mean of an array's components clamped to [0, 1] (1e-6 at least); NaN and null don't count, of none it is 0."""
+    clean = F.transform(F.filter(components, lambda c: c.isNotNull() & ~F.isnan(c)), lambda c: F.log(F.least(F.lit(1.0), F.greatest(F.lit(1e-6), c))))
+    return F.when(F.size(clean) == 0, 0.0).otherwise(F.exp(F.aggregate(clean, F.lit(0.0), lambda s, x: s + x) / F.size(clean)))

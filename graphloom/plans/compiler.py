@@ -4,7 +4,10 @@ Every variable becomes a few flat columns: a node its id and the properties that
 relationship its edge id and properties. A pattern is a chain of equi-joins of edge frames; node frames are
 joined only where a property is needed. EXISTS and pattern predicates become semi and anti joins, OPTIONAL
 MATCH a left join of the whole pattern with its WHERE as join condition, variable lengths unions of
-self-joins that keep edge ids and grow from the starts that the pattern leaves. All else is left to Catalyst.
+self-joins that keep edge ids and grow from the starts that the pattern leaves. Where only the ends of a
+variable length matter (DISTINCT, EXISTS) it is a search for what can be reached, one row a pair or a node; shortest
+paths keep nodes and distances, and are searched from both sides where both are restricted. Percentiles are counted
+values in range order, so that no group is one task. All else is left to Catalyst.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..functions.scalars import Typed
+from ..operators import ranks
 from ..steps import written
 from .catalog import GraphCatalog, Triple
 from .lexer import CypherError
@@ -49,10 +53,11 @@ class Bound:
     value_kind: str = "any"
     ends: tuple[str, str] | None = None
     length: Any = None  # of a path: (fixed hops, columns of edge id arrays)
+    hops: tuple[str, ...] = ()  # of a path: columns of distances
     node_ids: tuple[str, ...] = ()
 
     def all_columns(self) -> list[str]:
-        more = [*(self.length[1] if self.length else ()), *(self.ends or ()), *self.node_ids]
+        more = [*(self.length[1] if self.length else ()), *self.hops, *(self.ends or ()), *self.node_ids]
         return list(dict.fromkeys(c for c in (self.id, self.label_column, *self.columns.values(), *more) if c))
 
 
@@ -69,6 +74,17 @@ def aggregates_in(of) -> bool:
     return any(isinstance(x, Call) and x.name in AGGREGATES for x in walk(of))
 
 
+def repeats_vanish(clauses: tuple) -> bool:
+    """Whether it makes no difference to the clauses that follow a MATCH how often it gives a row."""
+    for clause in clauses:
+        if isinstance(clause, Projection):
+            calls = [x for i in clause.items or () for x in walk(i.of) if isinstance(x, Call) and x.name in AGGREGATES]
+            return all(x.distinct or x.name in ("min", "max") for x in calls) if calls else clause.distinct
+        if not isinstance(clause, (Match, Unwind)):
+            return False
+    return False
+
+
 def uses(tree) -> dict[str, set[str]]:
     """Properties used of each variable name; ``*`` for all. WITH x AS y passes y's uses on to x."""
     found: dict[str, set[str]] = {}
@@ -120,10 +136,12 @@ class Compiler:
         self.numbers = itertools.count()
         self.used: dict[str, set[str]] = {}
         self.hints: tuple = ()
+        self.settled: list = []  # conditions that a pattern has already applied
+        self.tree: Query | None = None
 
     def run(self, query: str | Query) -> DataFrame:
         tree = parse(query) if isinstance(query, str) else query
-        self.used = uses(tree)
+        self.tree, self.used = tree, uses(tree)
         parts = [self.single(p, None, {}) for p in tree.parts]
         out = parts[0]
         for part, keep in zip(parts[1:], tree.all, strict=True):
@@ -139,9 +157,9 @@ class Compiler:
     # -- clauses
 
     def single(self, part: Single, df: DataFrame | None, scope: Scope, carry: tuple[str, ...] = ()) -> DataFrame:
-        for clause in part.clauses:
+        for i, clause in enumerate(part.clauses):
             if isinstance(clause, Match):
-                df, scope = self.match(clause, df, scope)
+                df, scope = self.match(clause, df, scope, repeats_vanish(part.clauses[i + 1 :]))
             elif isinstance(clause, Unwind):
                 df, scope = self.unwind(clause, df, scope)
             elif isinstance(clause, Subquery):
@@ -186,38 +204,42 @@ class Compiler:
 
     # -- patterns
 
-    def match(self, clause: Match, df: DataFrame | None, scope: Scope) -> tuple[DataFrame, Scope]:
-        pattern, inner, shared = self.pattern(clause.paths, scope, joined=df is not None, hints=conjuncts(clause.where))
+    def match(self, clause: Match, df: DataFrame | None, scope: Scope, once: bool = False) -> tuple[DataFrame, Scope]:
+        pattern, inner, shared = self.pattern(clause.paths, scope, joined=df is not None, hints=conjuncts(clause.where), once=once)
+        where = [c for c in conjuncts(clause.where) if not any(c is x for x in self.settled)]
         if df is None:
             if clause.optional:
-                kept = self.where(pattern, inner, clause.where)
+                kept = self.where(pattern, inner, *where)
                 return self.unit().join(kept, F.lit(True), "left"), inner
-            return self.where(pattern, inner, clause.where), inner
+            return self.where(pattern, inner, *where), inner
         both = {**inner, **scope}
         on = self.equal(shared)
         if clause.optional:
-            plain = [c for c in conjuncts(clause.where) if not self.subpattern(c)]
-            pattern = self.where(pattern, inner, *[c for c in conjuncts(clause.where) if self.subpattern(c)])
+            plain = [c for c in where if not self.subpattern(c)]
+            pattern = self.where(pattern, inner, *[c for c in where if self.subpattern(c)])
             on = reduce(lambda a, b: a & b, [self.value(c, both).column for c in plain], F.lit(True) if on is None else on)
             return df.join(pattern, on, "left").drop(*[b for _, b in shared]), both
         joined = df.crossJoin(pattern) if on is None else df.join(pattern, on).drop(*[b for _, b in shared])
-        return self.where(joined, both, clause.where), both
+        return self.where(joined, both, *where), both
 
     @staticmethod
     def equal(shared: list[tuple[str, str]]) -> Column | None:
         return reduce(lambda a, b: a & b, [F.col(a) == F.col(b) for a, b in shared]) if shared else None
 
-    def pattern(self, paths: tuple, scope: Scope, joined: bool = True, hints: Iterable = ()) -> tuple[DataFrame, Scope, list[tuple[str, str]]]:
+    def pattern(self, paths: tuple, scope: Scope, joined: bool = True, hints: Iterable = (), once: bool = False) -> tuple[DataFrame, Scope, list[tuple[str, str]]]:
         """The paths of one MATCH as one frame: its bindings of new variables, and (outer, inner) columns of shared ones.
 
         A path that starts or ends at a bound variable grows from there, edge by edge; another is built alone and joined.
-        ``hints``: conditions of the MATCH, from which variable lengths take the starts they need.
+        ``hints``: conditions of the MATCH, from which variable lengths take the starts they need. ``once``: repeated rows
+        make no difference, so that variable lengths whose edges no other relationship could bind may be searches.
         """
         allowed = self.labels(paths, scope)
         edges: list[tuple[frozenset[Triple], str, bool]] = []  # what may repeat an edge: triples, column, whether an array
         mixed = len({t for p in paths for r in p.rels for t in self.triples(r)}) > 1
         rest = list(paths)
         self.hints = tuple(hints)
+        rels = [r for p in paths for r in p.rels]
+        self.searches = [r for r in rels if once and r.many and not any(o is not r and self.triples(o) & self.triples(r) for o in rels)]
         df, env = self.path(rest.pop(0), scope, allowed, edges, mixed)
         while rest:  # paths that share a variable first
             at = next((i for i, p in enumerate(rest) if any(n.name in env for n in p.nodes)), 0)
@@ -354,9 +376,13 @@ class Compiler:
         shown = self.used.get(name, set()) if name else set()
         return set(shown) | {k for k, _ in props} | ({"*"} if name and "*" in self.used.get("*", ()) else set())
 
+    def alone(self, node: Node) -> list:
+        """The hints that use this node's variable and no other."""
+        return [c for c in self.hints if node.name and {x.name for x in walk(c) if isinstance(x, Variable)} == {node.name} and not any(isinstance(x, Exists) for x in walk(c))]
+
     def starts(self, node: Node, labels: frozenset[str]) -> DataFrame | None:
         """(id, label) of the nodes that the node's properties and the hints on it alone leave; None if they say nothing."""
-        alone = [c for c in self.hints if node.name and {x.name for x in walk(c) if isinstance(x, Variable)} == {node.name} and not any(isinstance(x, Exists) for x in walk(c))]
+        alone = self.alone(node)
         if not labels or not (alone or node.props):
             return None
         found = [self.scan(node, frozenset({label}), {}) for label in sorted(labels)]
@@ -379,7 +405,9 @@ class Compiler:
             first = env[path.nodes[0].name]
             places = [(first.id, first.label_column)]
         arrays: list[str] = []
+        hops: list[str] = []
         fixed = 0
+        gone = False  # whether the first node is not bound
         for j, rel in enumerate(path.rels):
             left, right = own(j), own(j + 1)
             if rel.many or path.shortest:
@@ -388,9 +416,19 @@ class Compiler:
                 else:
                     tag = F.col(places[-1][1]) if places[-1][1] else F.lit(next(iter(left))) if len(left) == 1 else None
                     starts = df.select(F.col(places[-1][0]).alias("#id"), *([] if tag is None else [tag.alias("#label")])).distinct()
-                step, info = self.many(rel, left, right, mixed, path.shortest, starts)
-                arrays.append(info["cols"]["eids"])
-                edges.append((info["triples"], info["cols"]["eids"], True)) if not path.shortest else None
+                if path.shortest and not rel.name:
+                    ends = self.starts(path.nodes[-1], right) if rel is path.rels[-1] else None
+                    step, info = self.nearest(rel, left, right, starts, ends, scope)
+                    hops.append(info["cols"]["hops"])
+                elif self.is_search(path, rel):
+                    gone = df is None and self.forgotten(path.nodes[0], scope)
+                    step, info = self.reach(rel, left, right, starts, gone, scope)
+                else:
+                    step, info = self.many(rel, left, right, mixed, path.shortest, starts, scope)
+                    arrays.append(info["cols"]["eids"])
+                    edges.append((info["triples"], info["cols"]["eids"], True)) if not path.shortest else None
+                if not (left and right):
+                    step = step.filter(F.lit(False))
                 if rel.name:
                     env[rel.name] = Bound("rels", {"": info["cols"]["eids"]}, value_kind="list:int")
             else:
@@ -405,7 +443,7 @@ class Compiler:
             c = info["cols"]
             if df is None:
                 df = step
-                places = [(c["s"], c.get("sl")), (c["d"], c.get("dl"))]
+                places = [(c.get("s"), c.get("sl")), (c["d"], c.get("dl"))]
             else:
                 on = F.col(places[-1][0]) == F.col(c["s"])
                 if places[-1][1] and c.get("sl"):
@@ -413,9 +451,10 @@ class Compiler:
                 df = df.join(step, on)
                 places.append((c["d"], c.get("dl")))
         for j, node in enumerate(path.nodes):
-            df = self.attach(df, node, own(j), places[j], env, scope)
+            if j or not gone:
+                df = self.attach(df, node, own(j), places[j], env, scope)
         if path.name:
-            env[path.name] = Bound("path", length=(fixed, tuple(arrays)), node_ids=tuple(p[0] for p in places))
+            env[path.name] = Bound("path", length=(fixed, tuple(arrays)), hops=tuple(hops), node_ids=tuple(p[0] for p in places))
         return df, env
 
     def attach(self, df: DataFrame, node: Node, labels: frozenset[str], place: tuple[str, str | None], env: Scope, scope: Scope) -> DataFrame:
@@ -473,19 +512,30 @@ class Compiler:
             df = df.filter(self.is_equal(cols.get(k), bound.kinds.get(k), v, {}))
         return df, env | ({node.name: bound} if node.name else {})
 
-    def many(self, rel: Relationship, left: frozenset[str], right: frozenset[str], mixed: bool, shortest: bool, starts: DataFrame | None) -> tuple[DataFrame, dict]:
+    def steps_of(self, rel: Relationship, left: frozenset[str], right: frozenset[str], mixed: bool, scope: Scope) -> tuple[DataFrame, dict, bool]:
+        """The single hops of a variable length, and whether they carry labels."""
+        touched = frozenset(x for t in self.triples(rel) for x in (t[0], t[2]))
+        if rel.low == 0:  # nodes without any such edge reach themselves
+            touched |= left | right
+        step, info = self.edge_frame(replace(rel, low=None, high=None), touched, touched, None, mixed)
+        for key, value in rel.props:
+            step = step.filter(self.is_equal(info["props"].get(key), info["kinds"].get(key), value, scope))
+        return step, info, len(touched) > 1
+
+    def bounds(self, rel: Relationship) -> tuple[int, int | None]:
+        low, high = (1, None) if rel.low is None else (rel.low, rel.high)
+        return low, self.max_hops if high is None else high
+
+    def many(self, rel: Relationship, left: frozenset[str], right: frozenset[str], mixed: bool, shortest: bool, starts: DataFrame | None, scope: Scope) -> tuple[DataFrame, dict]:
         """Variable length: columns s, d, eids (trails: no edge repeats). ``shortest``: one row for each pair at its least length.
 
         Trails grow from ``starts`` (all nodes if None). Without an upper bound, or a ``max_hops`` of the compiler, they grow until none
         can, each round written to the shared folder; as no edge repeats, that comes to an end.
         """
-        low, high = (1, None) if rel.low is None else (rel.low, rel.high)
-        high = self.max_hops if high is None else high
-        touched = frozenset(x for t in self.triples(rel) for x in (t[0], t[2]))
-        step, info = self.edge_frame(replace(rel, low=None, high=None, props=()), touched, touched, None, mixed)
+        low, high = self.bounds(rel)
+        step, info, tagged = self.steps_of(rel, left, right, mixed, scope)
         c = info["cols"]
         s, d, eids, sl, dl = (self.fresh(x) for x in ("s", "d", "eids", "sl", "dl"))
-        tagged = len(touched) > 1
         one = [F.col(c["s"]).alias(s), F.col(c["d"]).alias(d), F.array(c["eid"]).alias(eids)] + ([F.col(c["sl"]).alias(sl), F.col(c["dl"]).alias(dl)] if tagged else [])
         frontier = step.select(*one)
         levels = []
@@ -530,6 +580,137 @@ class Compiler:
             df = df.filter(F.col(sl).isin(*left) & F.col(dl).isin(*right))
         return df, {"cols": {"s": s, "d": d, "eids": eids} | ({"sl": sl} if len(left) > 1 else {}) | ({"dl": dl} if len(right) > 1 else {}), "triples": info["triples"]}
 
+    # -- searches
+
+    def is_search(self, path: Path, rel: Relationship) -> bool:
+        """Whether only the ends of a variable length matter, and a walk of at least ``low`` hops means a trail of as many.
+
+        A shortest walk repeats no edge, so this holds from one hop on; but an undirected walk back to its start may be no trail.
+        """
+        low = 1 if rel.low is None else rel.low
+        return not (path.shortest or path.name or rel.name) and any(r is rel for r in self.searches) and (low == 0 or low == 1 and rel.direction != "both")
+
+    def forgotten(self, node: Node, scope: Scope) -> bool:
+        """Whether nothing but conditions on it alone uses the first node of a path; these are then settled by its starts."""
+        everything = list(walk(self.tree)) if self.tree is not None else []
+        if node.name is None:
+            return True
+        if not everything or node.name in scope or any(isinstance(x, Subquery) or isinstance(x, Projection) and x.items is None for x in everything):
+            return False
+        alone = self.alone(node)
+        if sum(isinstance(x, Variable) and x.name == node.name for x in everything) > sum(isinstance(x, Variable) for c in alone for x in walk(c)) or sum(isinstance(x, Node) and x.name == node.name for x in everything) > 1:
+            return False
+        self.settled += alone
+        return True
+
+    def selves(self, found: DataFrame | None, labels: frozenset[str], tagged: bool, names: Mapping[str, str]) -> DataFrame:
+        """Each node of ``found`` (all nodes of the labels if None) under all of ``names`` (of ids, and of labels if ``tagged``)."""
+        if found is None:
+            parts = [self.catalog.nodes[x].select(F.col("_id").alias("#id"), F.lit(x).alias("#label")) for x in sorted(labels)]
+            found = reduce(lambda a, b: a.unionByName(b), parts) if parts else self.spark.createDataFrame([], "`#id` bigint, `#label` string")
+        elif "#label" not in found.columns:
+            found = found.withColumn("#label", F.lit(next(iter(labels), None)))
+        kinds = {"id": "#id", "label": "#label"}
+        return found.select(*[F.col(kinds[k]).alias(n) for n, k in names.items() if tagged or k == "id"]).distinct()
+
+    def reach(self, rel: Relationship, left: frozenset[str], right: frozenset[str], starts: DataFrame | None, gone: bool, scope: Scope) -> tuple[DataFrame, dict]:
+        """What can be reached: columns s, d, one row a pair; with ``gone`` only d, one row a node.
+
+        Each round extends only what the one before found first and is written, so that the work grows with pairs or nodes and not with trails.
+        """
+        low, high = self.bounds(rel)
+        step, info, tagged = self.steps_of(rel, left, right, False, scope)
+        c = info["cols"]
+        s, d, sl, dl = (self.fresh(x) for x in ("s", "d", "sl", "dl"))
+        kept = [] if gone else [s] + ([sl] if tagged else [])
+        ends = [d] + ([dl] if tagged else [])
+        named = {s: "s", d: "d", sl: "sl", dl: "dl"}
+        if low == 0:
+            found = self.selves(starts, left, tagged, {d: "id", dl: "label"} | ({} if gone else {s: "id", sl: "label"})).select(*kept, *ends)
+        else:
+            first = step
+            if starts is not None:
+                on = F.col(c["s"]) == F.col("#id")
+                if tagged and "#label" in starts.columns:
+                    on &= F.col(c["sl"]) == F.col("#label")
+                first = first.join(starts, on, "left_semi")
+            if tagged:
+                first = first.filter(F.col(c["sl"]).isin(*left))
+            found = first.select(*[F.col(c[named[x]]).alias(x) for x in kept + ends]).distinct()
+        rounds = [written(found, "reached")]
+        for _ in range(max(low, 1), MAX_ROUNDS if high is None else high + 1 - (low == 1)):
+            if rounds[-1].isEmpty():
+                break
+            on = F.col(d) == F.col(c["s"])
+            if tagged:
+                on &= F.col(dl) == F.col(c["sl"])
+            grown = rounds[-1].join(step, on).select(*kept, *[F.col(c[named[x]]).alias(f"{x}#") for x in ends]).withColumnsRenamed({f"{x}#": x for x in ends}).distinct()
+            seen = reduce(lambda a, b: a.unionByName(b), rounds)
+            rounds.append(written(grown.join(seen, kept + ends, "left_anti"), "reached"))
+        else:
+            if high is None and not rounds[-1].isEmpty():
+                raise CypherError(f"paths of more than {MAX_ROUNDS} hops")
+        df = reduce(lambda a, b: a.unionByName(b), rounds)
+        if tagged:
+            df = df.filter(F.col(dl).isin(*right) & (F.lit(True) if gone else F.col(sl).isin(*left)))
+        cols = {"d": d} | ({"dl": dl} if tagged and len(right) > 1 else {})
+        return df, {"cols": cols if gone else cols | {"s": s} | ({"sl": sl} if tagged and len(left) > 1 else {}), "triples": info["triples"]}
+
+    def nearest(self, rel: Relationship, left: frozenset[str], right: frozenset[str], starts: DataFrame | None, ends: DataFrame | None, scope: Scope) -> tuple[DataFrame, dict]:
+        """Shortest paths: columns s, d, hops, one row for each pair of different nodes at its least distance.
+
+        A frontier has a node and the end it was reached from, nothing else, and is written. With ``ends`` (restricted, as ``starts``) the search goes on
+        from the side with the smaller frontier: frontiers i hops from the starts and j hops from the ends meet in the
+        pairs at distance i + j, as a shortest path has a node at every distance. It stops when all pairs are found.
+        """
+        high = self.bounds(rel)[1]
+        step, info, tagged = self.steps_of(replace(rel, low=1), left, right, False, scope)
+        c = info["cols"]
+        s, d, sl, dl, hops = (self.fresh(x) for x in ("s", "d", "sl", "dl", "hops"))
+        own, at = ["own"] + (["own_label"] if tagged else []), ["at"] + (["at_label"] if tagged else [])
+        sides = [self.selves(starts, left, tagged, {"own": "id", "at": "id", "own_label": "label", "at_label": "label"})]
+        ways = [(("s", "sl"), ("d", "dl")), (("d", "dl"), ("s", "sl"))]  # (from, to) of an edge, forwards and backwards
+        if ends is not None:
+            sides.append(self.selves(ends, right, tagged, {"own": "id", "at": "id", "own_label": "label", "at_label": "label"}))
+        seen = [[written(x.select(*own, *at), "frontier")] for x in sides]
+        sizes = [x[-1].count() for x in seen]
+        least = sizes[0] * sizes[1] - seen[0][0].join(seen[1][0], own, "left_semi").count() if ends is not None else None
+        found: list[DataFrame] = []
+        pairs = [s, d] + ([sl, dl] if tagged else [])
+        self.frontiers: list[tuple[int, int]] = []  # of each round: side and rows
+        for n in range(1, (high or MAX_ROUNDS) + 1):
+            side = 0 if ends is None or sizes[0] <= sizes[1] else 1
+            if not sizes[side] or least == 0:
+                break
+            (origin, target), before = ways[side], seen[side]
+            on = reduce(lambda a, b: a & b, [F.col(x) == F.col(c[y]) for x, y in zip(at, origin, strict=False)])
+            grown = before[-1].join(step, on).select(*own, *[F.col(c[y]).alias(f"{x}#") for x, y in zip(at, target, strict=False)]).withColumnsRenamed({f"{x}#": x for x in at}).distinct()
+            before.append(written(grown.join(reduce(lambda a, b: a.unionByName(b), before), own + at, "left_anti"), "frontier"))
+            sizes[side] = before[-1].count()
+            self.frontiers.append((side, sizes[side]))
+            if ends is None:
+                met = before[-1].select(*[F.col(x).alias(y) for x, y in zip(own + at, [s] + ([sl] if tagged else []) + [d] + ([dl] if tagged else []), strict=True)])
+                found.append(met.withColumn(hops, F.lit(n)))
+                continue
+            one, two = (f[-1].select(*at, *[F.col(x).alias(y) for x, y in zip(own, names, strict=False)]) for f, names in zip(seen, ((s, sl), (d, dl)), strict=True))
+            met = one.join(two, at).select(*pairs).distinct()
+            same = F.col(s) == F.col(d)
+            met = met.filter(~(same & (F.col(sl) == F.col(dl)) if tagged else same))
+            if found:
+                met = met.join(reduce(lambda a, b: a.unionByName(b), found), pairs, "left_anti")
+            found.append(written(met.withColumn(hops, F.lit(n)), "met"))
+            least -= found[-1].count()
+        else:
+            if high is None and sizes[0] and least != 0:
+                raise CypherError(f"paths of more than {MAX_ROUNDS} hops")
+        if not found:
+            kinds = {s: "bigint", d: "bigint", sl: "string", dl: "string"}
+            found = [self.spark.createDataFrame([], ", ".join(f"`{x}` {kinds[x]}" for x in pairs) + f", `{hops}` int")]
+        df = reduce(lambda a, b: a.unionByName(b), found)
+        if tagged:
+            df = df.filter(F.col(sl).isin(*left) & F.col(dl).isin(*right))
+        return df, {"cols": {"s": s, "d": d, "hops": hops} | ({"sl": sl} if tagged and len(left) > 1 else {}) | ({"dl": dl} if tagged and len(right) > 1 else {}), "triples": info["triples"]}
+
     # -- filters
 
     @staticmethod
@@ -549,7 +730,7 @@ class Compiler:
         return df
 
     def half_join(self, df: DataFrame, scope: Scope, exists: Exists, how: str) -> DataFrame:
-        pattern, inner, shared = self.pattern(exists.paths, scope)
+        pattern, inner, shared = self.pattern(exists.paths, scope, once=True)
         on = self.equal(shared)
         both = {**inner, **scope}
         plain = [x for x in conjuncts(exists.where) if not self.subpattern(x)]
@@ -563,7 +744,7 @@ class Compiler:
         """EXISTS inside an expression: a boolean column by a left join on the shared ids, in place of each."""
         extra: Scope = {}
         for exists in {id(x): x for x in walk(tree) if isinstance(x, Exists)}.values():
-            pattern, inner, shared = self.pattern(exists.paths, scope)
+            pattern, inner, shared = self.pattern(exists.paths, scope, once=True)
             free = {x.name for x in walk(exists.where)} & set(scope) if exists.where is not None else set()
             if any(isinstance(x, Variable) and x.name in free and x.name not in {n.name for p in exists.paths for n in p.nodes} for x in walk(exists.where) if isinstance(x, Variable)):
                 raise CypherError("EXISTS inside an expression may use only its own and shared variables")
@@ -590,23 +771,43 @@ class Compiler:
                 df, of, extra = self.marked(df, scope, item.of)
                 items[k], scope = Item(of, item.name), scope | extra
         grouped = any(aggregates_in(i.of) for i in items)
+        split = grouped and self.splits(items)
         out: Scope = {}
         keys: list[Column] = [F.col(c) for c in carry]
         computed: list[Column] = []
         self.before: list[tuple[str, Column]] = []
+        shares: list[tuple[str, Column, Call]] = []
+        last: list[Column] = []
         for item in items:
             whole = isinstance(item.of, Variable) and scope.get(item.of.name)
             if whole and whole.kind != "value":
                 out[item.name] = whole
                 keys += [F.col(c) for c in whole.all_columns()]
                 continue
+            if split and aggregates_in(item.of):  # its aggregates first, then the expression over them
+                of, held = item.of, {}
+                for call in {x: x for x in walk(of) if isinstance(x, Call) and x.name in AGGREGATES}:
+                    name, column = f"#aggregate{next(self.numbers)}", self.fresh("aggregate")
+                    percentile = self.share(call) is not None
+                    value = self.value(call.args[0] if percentile else call, scope)
+                    held[name] = Bound("value", {"": column}, value_kind="float" if call.name == "percentilecont" else value.kind)
+                    shares.append((column, value.column, call)) if percentile else computed.append(value.column.alias(column))
+                    of = substitute(of, call, Variable(name))
+                value, column = self.value(of, held), self.fresh(item.name)
+                out[item.name] = Bound("value", {"": column}, value_kind=value.kind)
+                last.append(value.column.alias(column))
+                continue
             value = self.value(item.of, scope)
             column = self.fresh(item.name)
             out[item.name] = Bound("value", {"": column}, value_kind=value.kind)
             (computed if aggregates_in(item.of) else keys).append(value.column.alias(column))
         keys = list({str(k): k for k in keys}.values())
         order = [(next((Variable(i.name) for i in items if i.of == e), e), down) for e, down in clause.order]
-        if grouped:
+        if split:
+            names = df.select(*keys).columns
+            df = self.with_percentiles(df, keys, computed, shares).select(*names, *last)
+            visible = out
+        elif grouped:
             for name, column in self.before:
                 df = df.withColumn(name, column)
             df = df.groupBy(*keys).agg(*computed)
@@ -630,6 +831,50 @@ class Compiler:
         df = df.select(*dict.fromkeys([c for b in out.values() for c in b.all_columns()] + list(carry)))
         return self.where(df, out, clause.where), out
 
+    def share(self, of) -> float | None:
+        """The share of a percentile, if it is a constant."""
+        if not isinstance(of, Call) or of.name not in ("percentilecont", "percentiledisc"):
+            return None
+        value = self.params.get(of.args[1].name) if isinstance(of.args[1], Parameter) else getattr(of.args[1], "value", None)
+        if isinstance(value, (int, float)) and not isinstance(value, bool):
+            if not 0 <= value <= 1:
+                raise CypherError("a percentile needs a share from 0 to 1")
+            return float(value)
+        return None
+
+    def splits(self, items: list[Item]) -> bool:
+        """Whether some aggregate is a percentile, and beside aggregates there is nothing but constants in the expressions that have any."""
+        trees = [i.of for i in items if aggregates_in(i.of)]
+        if not any(self.share(x) is not None for t in trees for x in walk(t)):
+            return False
+        inside = lambda t: [x for y in walk(t) if isinstance(y, Call) and y.name in AGGREGATES for x in walk(y) if isinstance(x, Variable)]
+        return all(sum(isinstance(x, Variable) for x in walk(t)) == len(inside(t)) for t in trees)
+
+    def with_percentiles(self, df: DataFrame, keys: list[Column], computed: list[Column], shares: list[tuple[str, Column, Call]]) -> DataFrame:
+        """The groups with their aggregates and percentiles: values are counted, then dealt by range over all groups, with the rows before each.
+
+        Neither a large group nor a value that most rows have is one task; a group's percentiles are joined to its other aggregates.
+        """
+        names = df.select(*keys).columns
+        out = df.groupBy(*keys).agg(*computed) if computed else df.select(*keys).distinct() if keys else self.unit()
+        for values in {(str(v), call.distinct): (v, call.distinct) for _, v, call in shares}.values():
+            rows = df.select(*keys, values[0].alias("_v")).filter("_v IS NOT NULL").groupBy(*names, "_v").agg((F.lit(1) if values[1] else F.count(F.lit(1))).cast("long").alias("n"))
+            placed = ranks.value_places(rows, names, "_v")
+            ends = F.col("before") + F.col("n")
+            found = []
+            for column, value, call in shares:
+                if (str(value), call.distinct) != (str(values[0]), values[1]):
+                    continue
+                share = self.share(call)
+                if call.name == "percentiledisc":
+                    found.append(F.min(F.when(ends >= F.col("rows") * F.lit(share), F.col("_v"))).alias(column))
+                    continue
+                at = (F.col("rows") - 1) * F.lit(share)
+                low, high = (F.max(F.when((F.col("before") <= x) & (x < ends), F.col("_v").cast("double"))) for x in (F.floor(at), F.ceil(at)))
+                found.append((low + (high - low) * F.max(at - F.floor(at))).alias(column))
+            out = ranks.join_groups(out, placed.groupBy(*names).agg(*found), names, "left")
+        return out
+
     def shown(self, bound: Bound, name: str) -> Column:
         if bound.kind == "value":
             return F.col(bound.columns[""]).alias(name)
@@ -767,7 +1012,7 @@ class Compiler:
         if of.name in ("startnode", "endnode") and bound is not None and bound.ends:
             return Typed(F.col(bound.ends[of.name == "endnode"]), "int")
         if of.name == "length" and bound is not None and bound.kind == "path":
-            return Typed(reduce(lambda a, c: a + F.size(c), bound.length[1], F.lit(bound.length[0])).cast("long"), "int")
+            return Typed(reduce(lambda a, c: a + c, [*map(F.size, bound.length[1]), *map(F.col, bound.hops)], F.lit(bound.length[0])).cast("long"), "int")
         if of.name == "nodes" and bound is not None and bound.kind == "path":
             return self.entity(bound)
         if of.name == "size" and bound is not None and bound.kind == "rels":

@@ -512,7 +512,7 @@ LCS = """list_reduce(list_prepend(list_transform(range(0, len(r) + 1), lambda i:
 
 @query("f12_rouge_l", f"WITH {PAIRS}, v AS (SELECT *, list_distinct(list_concat(p, r)) AS u FROM pr) SELECT id, round(CASE WHEN len(p) = 0 OR len(r) = 0 THEN (len(p) = len(r))::INT ELSE 2.0 * {LCS} / (len(p) + len(r)) END, 9)::DOUBLE AS rouge_l FROM v")
 def _(spark, d):
-    return pairs(spark, d).select("id", F.round(text.arrow(text.rouge_l_f1)("p", "r"), 9).alias("rouge_l"))
+    return pairs(spark, d).select("id", F.round(text.rouge_l_f1(F.col("p"), F.col("r")), 9).alias("rouge_l"))
 
 
 @query("f13_bleu", f"WITH {PAIRS}, g AS (SELECT id, p, r, " + ", ".join(f"{grams_sql('p', n)} AS a{n}, {grams_sql('r', n)} AS b{n}" for n in range(1, 5)) + " FROM pr) SELECT id, round(CASE WHEN len(list_intersect(p, r)) = 0 THEN 0 ELSE (CASE WHEN len(p) < len(r) THEN exp(1 - len(r) / len(p)) ELSE 1 END) * exp((" + " + ".join(f"CASE WHEN len(p) >= {n} THEN ln(({overlap_sql(f'a{n}', f'b{n}')} + 1) / (len(a{n}) + 1)) ELSE 0 END" for n in range(1, 5)) + ") / least(4, len(p))) END, 9)::DOUBLE AS bleu FROM g")
@@ -523,7 +523,7 @@ def _(spark, d):
 #: The k-th use of a word meets its k-th use in the other text; a chunk ends where either text's next place isn't the following.
 @query("f14_meteor", f"WITH {PAIRS}, a AS (SELECT id, i, w, row_number() OVER (PARTITION BY id, w ORDER BY i) AS k FROM (SELECT id, unnest(p) AS w, generate_subscripts(p, 1) AS i FROM pr)), b AS (SELECT id, i, w, row_number() OVER (PARTITION BY id, w ORDER BY i) AS k FROM (SELECT id, unnest(r) AS w, generate_subscripts(r, 1) AS i FROM pr)), m AS (SELECT a.id, a.i, b.i AS j FROM a JOIN b USING (id, w, k)), c AS (SELECT id, count(*) AS m, count(*) FILTER (pi IS NULL OR i <> pi + 1 OR j <> pj + 1) AS chunks FROM (SELECT *, lag(i) OVER w AS pi, lag(j) OVER w AS pj FROM m WINDOW w AS (PARTITION BY id ORDER BY i)) GROUP BY 1) SELECT id, round(CASE WHEN len(p) = 0 OR len(r) = 0 THEN (len(p) = len(r))::INT WHEN m IS NULL THEN 0 ELSE (1 - 0.5 * pow(chunks / m, 3)) * 10 * (m / len(p)) * (m / len(r)) / (m / len(r) + 9 * (m / len(p))) END, 9)::DOUBLE AS meteor FROM pr LEFT JOIN c USING (id)")
 def _(spark, d):
-    return pairs(spark, d).select("id", F.round(text.arrow(text.meteor)("p", "r"), 9).alias("meteor"))
+    return pairs(spark, d).select("id", F.round(text.meteor(F.col("p"), F.col("r")), 9).alias("meteor"))
 
 
 @query("f15_bag_cosine", f"WITH {PAIRS} SELECT id, round(list_sum(list_transform(list_distinct(p), lambda g: len(list_filter(p, lambda x: x = g)) * len(list_filter(r, lambda x: x = g)))) / (sqrt(list_sum(list_transform(list_distinct(p), lambda g: pow(len(list_filter(p, lambda x: x = g)), 2)))) * sqrt(list_sum(list_transform(list_distinct(r), lambda g: pow(len(list_filter(r, lambda x: x = g)), 2))))), 9)::DOUBLE AS cosine FROM pr")
@@ -534,7 +534,7 @@ def _(spark, d):
 @query("f16_jaro_winkler", "WITH n AS (SELECT n_nationkey, n_name, c_name FROM nation JOIN customer ON c_nationkey = n_nationkey), j AS (SELECT n_nationkey, n_name, c_name, jaro_similarity(n_name, c_name) AS j, CASE WHEN n_name[1] <> c_name[1] THEN 0 WHEN n_name[2] <> c_name[2] THEN 1 WHEN n_name[3] <> c_name[3] THEN 2 WHEN n_name[4] <> c_name[4] THEN 3 ELSE 4 END AS p FROM n) SELECT n_name, c_name, round(j + 0.1 * p * (1 - j), 9)::DOUBLE AS jw FROM j")
 def _(spark, d):
     rows = read(spark, d, "nation").join(read(spark, d, "customer"), F.col("c_nationkey") == F.col("n_nationkey"))
-    return rows.select("n_name", "c_name", F.round(text.arrow(text.jaro_winkler)("n_name", "c_name"), 9).alias("jw"))
+    return rows.select("n_name", "c_name", F.round(text.jaro_winkler(F.col("n_name"), F.col("c_name")), 9).alias("jw"))
 
 
 @query("f17_gleu", f"WITH {PAIRS}, g AS (SELECT id, " + ", ".join(f"{grams_sql('p', n)} AS a{n}, {grams_sql('r', n)} AS b{n}" for n in range(1, 5)) + " FROM pr) SELECT id, round(least((" + " + ".join(overlap_sql(f"a{n}", f"b{n}") for n in range(1, 5)) + ") / (len(a1) + len(a2) + len(a3) + len(a4)), (" + " + ".join(overlap_sql(f"a{n}", f"b{n}") for n in range(1, 5)) + ") / (len(b1) + len(b2) + len(b3) + len(b4))), 9)::DOUBLE AS gleu FROM g")

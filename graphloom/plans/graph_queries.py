@@ -23,8 +23,12 @@ GRAPH_QUERIES: dict[str, tuple] = {
     "g07_undirected": ("MATCH (a:Nation)-[:TRADES_WITH]-(b:Nation) RETURN a.name AS nation, COUNT(b) AS partners", f"SELECT n_name AS nation, count(*) AS partners FROM (SELECT a, b FROM {TRADES_SQL} UNION ALL SELECT b, a FROM {TRADES_SQL} WHERE a <> b) t JOIN nation ON n_nationkey = t.a GROUP BY n_nationkey, n_name"),
     "g08_alternation": ("MATCH (x)-[r:SUPPLIES|CONTAINS]->(p:Part {brand: 'Brand#11'}) RETURN type(r) AS kind, labels(x) AS labels, COUNT(*) AS n", "SELECT kind, labels, count(*) AS n FROM (SELECT 'SUPPLIES' AS kind, ['Supplier'] AS labels, l_partkey FROM lineitem UNION ALL SELECT 'CONTAINS', ['Order'], l_partkey FROM lineitem) JOIN part ON p_partkey = l_partkey WHERE p_brand = 'Brand#11' GROUP BY ALL"),
     "g09_variable_length": ("MATCH (a:Event)-[:NEXT*1..3]->(b:Event) WHERE a.type = 'purchase' RETURN a.eventId AS start, COUNT(b) AS reached", f"WITH RECURSIVE n AS MATERIALIZED {NEXT_SQL}, p(a, b, d) AS (SELECT a, b, 1 FROM n UNION ALL SELECT p.a, n.b, d + 1 FROM p JOIN n ON n.a = p.b WHERE d < 3) SELECT p.a AS start, count(*) AS reached FROM p JOIN events ON event_id = p.a WHERE event_type = 'purchase' GROUP BY p.a"),
+    "g09_distinct_ends": ("MATCH (a:Event)-[:NEXT*1..6]->(b:Event) WHERE a.type = 'purchase' RETURN DISTINCT b.eventId AS eventId", "SELECT event_id AS \"eventId\" FROM (SELECT event_id, max(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING) AS near FROM events) WHERE near = 1"),
+    "g10_reachable": ("MATCH (a:Nation)-[:TRADES_WITH*0..]-(b:Nation) RETURN a.name AS nation, COUNT(DISTINCT b) AS reached", f"WITH RECURSIVE t AS MATERIALIZED {TRADES_SQL}, e AS (SELECT a, b FROM t UNION ALL SELECT b, a FROM t), w(a, b) AS (SELECT n_nationkey, n_nationkey FROM nation UNION SELECT w.a, e.b FROM w JOIN e ON e.a = w.b) SELECT n_name AS nation, count(*) AS reached FROM w JOIN nation ON n_nationkey = w.a GROUP BY 1"),
+    "g10_exists_reach": ("MATCH (a:Event) WHERE a.type = 'click' AND EXISTS { (a)-[:NEXT*1..4]->(:Event {type: 'purchase'}) } RETURN a.eventId AS eventId", "SELECT event_id AS \"eventId\" FROM (SELECT event_id, event_type, max(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 1 FOLLOWING AND 4 FOLLOWING) AS near FROM events) WHERE near = 1 AND event_type = 'click'"),
     "g10_variable_undirected": ("MATCH (a:Nation {nationKey: 3})-[:TRADES_WITH*1..2]-(b:Nation) RETURN b.name AS nation, COUNT(*) AS trails", f"WITH t AS {TRADES_SQL}, e AS (SELECT a, b, a * 1000 + b AS i FROM t UNION ALL SELECT b, a, a * 1000 + b FROM t WHERE a <> b), p AS (SELECT b FROM e WHERE a = 3 UNION ALL SELECT y.b FROM e x JOIN e y ON x.b = y.a AND x.i <> y.i WHERE x.a = 3) SELECT n_name AS nation, count(*) AS trails FROM p JOIN nation ON n_nationkey = p.b GROUP BY n_nationkey, n_name"),
     "g11_shortest_path": ("MATCH p = shortestPath((a:Nation {nationKey: 3})-[:TRADES_WITH*..4]-(b:Nation)) RETURN b.name AS nation, length(p) AS hops", f"WITH RECURSIVE t AS MATERIALIZED {TRADES_SQL}, e AS (SELECT a, b FROM t UNION ALL SELECT b, a FROM t), w(b, d) AS (SELECT DISTINCT b, 1 FROM e WHERE a = 3 UNION SELECT e.b, d + 1 FROM w JOIN e ON e.a = w.b WHERE d < 4) SELECT n_name AS nation, min(d)::BIGINT AS hops FROM w JOIN nation ON n_nationkey = w.b WHERE w.b <> 3 GROUP BY n_nationkey, n_name"),
+    "g11_both_ends": ("MATCH p = shortestPath((a:Event)-[:NEXT*..8]->(b:Event)) WHERE a.type = 'purchase' AND b.value > 100 RETURN a.eventId AS a, b.eventId AS b, length(p) AS hops", "WITH r AS (SELECT event_id, user_id, event_type, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events) SELECT x.event_id AS a, y.event_id AS b, y.i - x.i AS hops FROM r x JOIN r y USING (user_id) WHERE x.event_type = 'purchase' AND y.value > 100 AND y.i BETWEEN x.i + 1 AND x.i + 8"),
     "g12_optional": ("MATCH (c:Customer) OPTIONAL MATCH (c)-[:PLACED]->(o:Order) WHERE o.priority = '1-URGENT' RETURN c.custKey AS custKey, COUNT(o) AS urgent", "SELECT c_custkey AS \"custKey\", count(o_orderkey) AS urgent FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderpriority = '1-URGENT' GROUP BY c_custkey"),
     "g13_anti_pattern": ("MATCH (c:Customer) WHERE NOT (c)-[:PLACED]->(:Order {priority: '1-URGENT'}) RETURN c.custKey AS custKey", "SELECT c_custkey AS \"custKey\" FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')"),
     "g14_not_exists": ("MATCH (o:Order) WHERE NOT EXISTS { MATCH (o)-[:CONTAINS]->(p:Part) WHERE p.size > 10 } RETURN o.orderKey AS orderKey", "SELECT o_orderkey AS \"orderKey\" FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_orderkey = o_orderkey AND p_size > 10)"),

@@ -198,11 +198,10 @@ def _(spark, d):
 # -- texts and values
 
 
-@query("f20_diversity_index", "SELECT n_nationkey, round(exp((ln(least(1, greatest(1e-6, n_nationkey / 20.0))) + ln(least(1, greatest(1e-6, n_regionkey / 4.0)))) / 2), 9)::DOUBLE AS diversity FROM nation")
+@query("f20_diversity_index", "SELECT l_orderkey, l_linenumber, round(exp((ln(least(1, greatest(1e-6, l_quantity / 50.0))) + ln(least(1, greatest(1e-6, l_discount * 10))) + ln(least(1, greatest(1e-6, l_tax * 10)))) / 3), 9)::DOUBLE AS diversity FROM lineitem")
 def _(spark, d):
-    index = text.arrow(lambda a, b: text.diversity_index([*a, *b]))
-    n = read(spark, d, "nation")
-    return n.select("n_nationkey", F.round(index(F.array((F.col("n_nationkey") / 20.0).cast("double")), F.array((F.col("n_regionkey") / 4.0).cast("double"))), 9).alias("diversity"))
+    parts = F.array(*[x.cast("double") for x in (F.col("l_quantity") / 50.0, F.col("l_discount") * 10, F.col("l_tax") * 10)])
+    return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(text.diversity_index(parts), 9).alias("diversity"))
 
 
 @query("f22_template_family", "SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'schema:count' WHEN 1 THEN 'template:orders of slot with number' ELSE 'query:match (<var>:a) where <var>.x = <num> return <var>.x' END AS family, CASE WHEN c_custkey % 5 = 0 THEN '0' WHEN c_custkey % 5 >= 3 THEN '3+' ELSE (c_custkey % 5)::VARCHAR END AS bucket FROM customer")

@@ -1,10 +1,13 @@
 """The compiler on a small graph: traps of Cypher semantics, with hand-computed results."""
 
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from graphloom.plans.catalog import GraphCatalog
-from graphloom.plans.compiler import cypher
+from graphloom.plans.compiler import Compiler, cypher
 from graphloom.plans.lexer import CypherError
 from graphloom.plans.parser import parse
 
@@ -145,3 +148,88 @@ def test_paths_grow_from_bound_variables(spark):
     assert told(g, "MATCH (a:A)-[:R]->(b:A), (b)-[:R]->(c:A), (a)-[:R]->(c) RETURN a.k AS a, b.k AS b, c.k AS c") == sorted((a, b, c) for a, b in edges for x, c in edges if b == x and (a, c) in edges)
     assert told(g, "MATCH (a:A)-[:R]->(b:A), (c:A)-[:R]->(a) RETURN a.k AS a, b.k AS b, c.k AS c") == sorted((a, b, c) for a, b in edges for c, y in edges if y == a and (c, y) != (a, b))
     assert told(g, "MATCH (a:A {k: 1})-[:R]->(b:A)-[:R*1..2]->(c:A) RETURN c.k AS c") == [(0,), (1,), (2,), (3,), (4,)]
+
+
+def test_only_ends_matter(spark, monkeypatch):
+    """DISTINCT ends and EXISTS on graphs with more trails than could be made: the same nodes as a search by hand."""
+    told = lambda g, q: rows(spark, g, q)
+    full = [(a, b) for a in range(12) for b in range(12) if a != b]  # 12 nodes, every edge: trails without number
+    g = chain(spark, 12, full)
+    monkeypatch.setattr(Compiler, "many", lambda *_: pytest.fail("trails"))
+    everything = [(i,) for i in range(13)]
+    assert told(g, "MATCH (a:A {k: 0})-[:R*]->(b:A) RETURN DISTINCT b.k AS k") == sorted(everything, key=repr)
+    assert told(g, "MATCH (a:A)-[:R*]->(b:A) WHERE a.k = 0 AND b.k > 9 RETURN DISTINCT b.k AS k") == [(10,), (11,), (12,)]
+    assert told(g, "MATCH (a:A)-[:R*]->(b:A) WHERE a.k < 2 RETURN a.k AS a, COUNT(DISTINCT b) AS n, MAX(b.k) AS most") == [(0, 13, 12), (1, 13, 12)]
+    assert told(g, "MATCH (a:A) WHERE EXISTS { (a)-[:R*]->(:A {k: 12}) } RETURN COUNT(a) AS n") == [(12,)]
+    assert told(g, "MATCH (a:A) WHERE NOT (a)-[:R*]->(:A {k: 12}) RETURN a.k AS k") == [(12,), (13,), (14,)]
+    assert told(g, "MATCH (a:A) RETURN a.k AS k, EXISTS { (a)-[:R*1..1]->(:A {k: 12}) } AS e ORDER BY k") == sorted([(k, k == 11) for k in range(15)], key=repr)
+    assert told(g, "MATCH (a:A {k: 12})-[:R*0..]-(b:A) RETURN COUNT(DISTINCT b) AS n") == [(13,)]
+    assert told(g, "MATCH (a:A {k: 14})-[:R*0..]->(b:A) RETURN DISTINCT b.k AS k") == [(14,)]
+    assert told(g, "MATCH (x:Nothing)-[:R*]->(b:A) RETURN DISTINCT b.k AS k") == []
+    line = chain(spark, 6)
+    assert told(line, "MATCH (a:A)-[:R*1..2]->(b:A) WHERE a.k IN [0, 3] RETURN DISTINCT b.k AS k") == [(1,), (2,), (4,), (5,)]
+    assert told(line, "MATCH (a:A)-[:R*0..1]->(b:A) WHERE a.k IN [0, 3] RETURN DISTINCT b.k AS k") == [(0,), (1,), (3,), (4,)]
+    assert told(line, "MATCH (a:A {k: 1}) OPTIONAL MATCH (a)-[:R*]->(b:A) WHERE b.k > 4 RETURN DISTINCT a.k AS a, b.k AS b") == [(1, 5), (1, 6)]
+    assert told(line, "MATCH (a:A {k: 1})-[:R]->(c:A) MATCH (c)-[:R*]->(b:A) RETURN DISTINCT b.k AS b") == [(3,), (4,), (5,), (6,)]
+
+
+def test_where_trails_matter_they_stay(spark):
+    told = lambda g, q: rows(spark, g, q)
+    g = chain(spark, 2)
+    assert told(g, "MATCH (a:A {k: 0})-[:R*]-(b:A) RETURN DISTINCT b.k AS k") == [(1,), (2,)]  # no way back over the same edge
+    assert told(g, "MATCH (a:A {k: 0})-[:R]->(b:A), (a)-[:R*]->(c:A) RETURN DISTINCT c.k AS k") == []  # the edge is bound already
+    assert told(g, "MATCH (a:A)-[:R*2..]->(b:A) RETURN DISTINCT a.k AS a, b.k AS b") == [(0, 2)]
+    ring = chain(spark, 2, [(1, 0)])
+    assert told(ring, "MATCH (a:A {k: 0})-[:R*]->(b:A) RETURN COUNT(b) AS n") == [(3,)]
+    assert told(ring, "MATCH (a:A {k: 0})-[r:R*]->(b:A) RETURN DISTINCT b.k AS k, size(r) AS n") == [(0, 2), (1, 1), (2, 2)]
+    weighted = GraphCatalog(nodes={"A": spark.range(4).select(F.col("id").alias("_id"), F.col("id").alias("k"))}, edges={("A", "R", "A"): spark.createDataFrame([(0, 1, 1, "x"), (1, 2, 2, "x"), (2, 3, 3, "y")], "_src long, _dst long, _eid long, t string")})
+    assert told(weighted, "MATCH (a:A {k: 0})-[:R* {t: 'x'}]->(b:A) RETURN b.k AS k") == [(1,), (2,)]
+    assert told(weighted, "MATCH (a:A {k: 0})-[:R* {t: 'x'}]->(b:A) RETURN DISTINCT b.k AS k") == [(1,), (2,)]
+
+
+def test_shortest_paths_from_both_sides(spark):
+    """A tree that branches from the start, and a chain to the end: distances by hand, and fewer rows than from one side."""
+    branch = [(0, 100 + i) for i in range(30)] + [(100 + i, 200 + 30 * i + j) for i in range(30) for j in range(30)]
+    chain_ = [(i, i + 1) for i in range(8)]
+    pairs = branch + chain_ + [(8, 0)]
+    nodes = spark.range(1200).select(F.col("id").alias("_id"), F.col("id").alias("k"))
+    g = GraphCatalog(nodes={"A": nodes}, edges={("A", "R", "A"): spark.createDataFrame([(a, b, i) for i, (a, b) in enumerate(pairs)], "_src long, _dst long, _eid long")})
+    both, one = Compiler(spark, g), Compiler(spark, g)
+    found = both.run("MATCH p = shortestPath((a:A {k: 0})-[:R*]->(b:A {k: 8})) RETURN a.k AS a, b.k AS b, length(p) AS n")
+    assert [tuple(r) for r in found.collect()] == [(0, 8, 8)]
+    assert "array" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
+    one.run("MATCH p = shortestPath((a:A {k: 0})-[:R*..8]->(b:A)) RETURN b.k AS b, length(p) AS n").collect()
+    assert max(n for _, n in both.frontiers) <= 31 and max(n for _, n in one.frontiers) == 901
+    told = lambda q: rows(spark, g, q)
+    assert told("MATCH p = shortestPath((a:A)-[:R*]->(b:A)) WHERE a.k IN [0, 3] AND b.k IN [0, 3, 7] RETURN a.k AS a, b.k AS b, length(p) AS n") == [(0, 3, 3), (0, 7, 7), (3, 0, 6), (3, 7, 4)]
+    assert told("MATCH p = shortestPath((a:A)-[:R*]-(b:A)) WHERE a.k IN [0, 3] AND b.k IN [0, 3, 7] RETURN a.k AS a, b.k AS b, length(p) AS n") == [(0, 3, 3), (0, 7, 2), (3, 0, 3), (3, 7, 4)]
+    assert told("MATCH p = shortestPath((a:A {k: 0})-[:R*..7]->(b:A {k: 8})) RETURN length(p) AS n") == []
+    assert told("MATCH p = shortestPath((a:A {k: 8})-[:R*]->(b:A {k: 1199})) RETURN length(p) AS n") == []
+
+
+def test_percentiles_of_large_groups(spark):
+    """Beside other aggregates, in expressions, over nulls and null groups, with values that most rows have."""
+    rng = random.Random(4)
+    people = [(i, ["a", "a", "a", "b", None][rng.randrange(5)], rng.choice([None, 7, 7, 7, rng.randrange(50)])) for i in range(800)] + [(900, "c", None)]
+    g = GraphCatalog({"P": spark.createDataFrame(people, "_id long, g string, v int")}, {})
+    q = "MATCH (p:P) RETURN p.g AS g, COUNT(*) AS n, SUM(p.v) AS s, round(percentileCont(p.v, 0.9) * 2, 6) AS c, percentileDisc(p.v, 0.25) AS d, percentileDisc(p.v, 0) AS low, percentileDisc(DISTINCT p.v, $q) AS mid"
+    df = cypher(spark, g, q, {"q": 0.5})
+    assert "percentile" not in df._jdf.queryExecution().optimizedPlan().toString()
+    got = {r["g"]: r for r in df.collect()}
+    assert set(got) == {"a", "b", "c", None}
+    for group, r in got.items():
+        mine = [v for _, x, v in people if x == group]
+        values = sorted(v for v in mine if v is not None)
+        assert (r["n"], r["s"]) == (len(mine), sum(values))
+        if not values:
+            assert r["c"] is None and r["d"] is None and r["mid"] is None
+            continue
+        at = 0.9 * (len(values) - 1)
+        low, high = values[int(at)], values[min(int(at) + 1, len(values) - 1)]
+        single = sorted(set(values))
+        assert r["c"] == pytest.approx(2 * (low + (high - low) * (at - int(at))), abs=1e-5)
+        assert (r["d"], r["low"], r["mid"]) == (values[max(math.ceil(0.25 * len(values)) - 1, 0)], values[0], single[math.ceil(0.5 * len(single)) - 1])
+    everyone = cypher(spark, g, "MATCH (p:P) WHERE p.v > 99 RETURN COUNT(p) AS n, percentileCont(p.v, 0.5) AS c").collect()
+    assert [tuple(r) for r in everyone] == [(0, None)]
+    with pytest.raises(CypherError):
+        cypher(spark, g, "MATCH (p:P) RETURN percentileCont(p.v, 1.5) AS c")

@@ -2,6 +2,7 @@
 
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,15 +13,68 @@ from graphloom.sources import files
 from graphloom.streaming import ledger
 
 
-def test_plain_measures():
-    assert text.jaro_winkler("martha", "marhta") == pytest.approx(0.9611, abs=1e-4)
-    assert text.jaro_winkler("", "x") == 0.0
-    assert text.rouge_l_f1("the cat sat".split(), "the cat ran".split()) == pytest.approx(2 / 3)
-    assert text.rouge_l_f1([], []) == 1.0 and text.rouge_l_f1([], ["a"]) == 0.0
-    assert text.meteor("a b c".split(), "a b c".split()) == pytest.approx(1 - 0.5 / 27)
-    assert text.meteor(["x"], ["y"]) == 0.0
+def longest_common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        diagonal = 0
+        for j, y in enumerate(b, 1):
+            diagonal, row[j] = row[j], diagonal + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
+def plain_meteor(a, b):
+    places = {}
+    for j, y in enumerate(b):
+        places.setdefault(y, []).append(j)
+    met = [(i, places[x].pop(0)) for i, x in enumerate(a) if places.get(x)]
+    if not a or not b or not met:
+        return float(not a and not b)
+    chunks = 1 + sum(q[0] != p[0] + 1 or q[1] != p[1] + 1 for p, q in zip(met, met[1:], strict=False))
+    p, r = len(met) / len(a), len(met) / len(b)
+    return (1 - 0.5 * (chunks / len(met)) ** 3) * 10 * p * r / (r + 9 * p)
+
+
+def plain_jaro_winkler(a, b):
+    if a == b or not a or not b:
+        return float(a == b)
+    reach, taken = max(max(len(a), len(b)) // 2 - 1, 0), []
+    for i, x in enumerate(a):
+        taken += [j for j in range(max(0, i - reach), min(len(b), i + reach + 1)) if b[j] == x and j not in taken][:1]
+    if not taken:
+        return 0.0
+    m, swaps = len(taken), sum(b[i] != b[j] for i, j in zip(taken, sorted(taken), strict=True)) / 2
+    jaro = (m / len(a) + m / len(b) + (m - swaps) / m) / 3
+    prefix = next((i for i in range(4) if a[i : i + 1] != b[i : i + 1] or not a[i:]), 4)
+    return jaro + 0.1 * prefix * (1 - jaro)
+
+
+def test_alignments_are_columns_and_agree_with_plain_loops(spark):
+    """Texts of 0 to 300 tokens (several words of bits), repeated tokens, nulls, letters beyond the plane."""
+    rng = np.random.default_rng(5)
+    tokens = [([str(x) for x in rng.integers(0, k, n)], [str(x) for x in rng.integers(0, k, m)]) for n, m, k in [(0, 0, 2), (0, 3, 2), (3, 0, 2), (1, 1, 1), (59, 60, 3), (60, 61, 3), (61, 60, 40), (120, 121, 4), (300, 250, 9), (40, 300, 30), (7, 7, 3)]]
+    tokens += [("the cat sat".split(), "the cat ran".split()), ("a b c".split(), "a b c".split()), (["x"], ["y"])]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(tokens)] + [(-1, None, ["a"])], "id int, a array<string>, b array<string>")
+    out = df.select("id", text.longest_common(F.col("a"), F.col("b")).alias("n"), text.rouge_l_f1(F.col("a"), F.col("b")).alias("f"), text.meteor(F.col("a"), F.col("b")).alias("m"))
+    assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {r["id"]: r for r in out.collect()}
+    assert got.pop(-1)["m"] is None
+    for i, (a, b) in enumerate(tokens):
+        assert got[i]["n"] == longest_common(a, b)
+        assert got[i]["m"] == pytest.approx(plain_meteor(a, b))
+        assert got[i]["f"] == pytest.approx(2 * longest_common(a, b) / (len(a) + len(b)) if a and b else float(not a and not b))
+    names = [("martha", "marhta"), ("", "x"), ("", ""), ("a", "b"), ("ab", "ba"), ("dixon", "dicksonx"), ("\U0001f600ab", "b\U0001f600a"), ("aaaa", "aaaaaa")]
+    names += [("".join(rng.choice(list("abcé"), n)), "".join(rng.choice(list("abcé"), m))) for n, m in rng.integers(0, 25, (60, 2))]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(names)] + [(-1, None, "a")], "id int, a string, b string")
+    got = {r["id"]: r["j"] for r in df.select("id", text.jaro_winkler(F.col("a"), F.col("b")).alias("j")).collect()}
+    assert got.pop(-1) is None
+    assert [got[i] for i in range(len(names))] == pytest.approx([plain_jaro_winkler(a, b) for a, b in names])
+    assert got[0] == pytest.approx(0.9611, abs=1e-4)
+
+
+def test_self_bleu_and_diversity(spark):
     assert text.self_bleu([["a", "b"], ["a", "b"]]) == pytest.approx(1.0)
-    assert text.diversity_index([1.0, 1.0]) == pytest.approx(1.0)
+    df = spark.createDataFrame([([1.0, 1.0],), ([4.0, 0.25],), ([float("nan"), None, 0.5],), ([],), ([0.0],)], "x array<double>")
+    assert [r[0] for r in df.select(text.diversity_index(F.col("x"))).collect()] == pytest.approx([1.0, 0.5, 0.5, 0.0, 1e-6])
 
 
 def test_empty_texts_in_column_measures(spark):
