@@ -8,6 +8,9 @@ the rows so marked, the suspects, have their texts grouped byte by byte.
 What travels before the verification is a few bytes a fingerprint. A fingerprint that a third of all rows
 share is one list entry (with a bit that says "repeated here") for each sender, so no owner is hot. In the
 verification equal texts collapse in each map task before they are shuffled.
+
+Texts that are no suspects do not move. Where the list of suspects is small it is broadcast; else a Bloom filter of their
+fingerprints is, a table of words of bits whose size is bounded, and only what it lets through meets the list by shuffle.
 """
 
 from __future__ import annotations
@@ -16,11 +19,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, materialise, table
 
+#: The filter of suspects: words of a block, bits a fingerprint, bits set of these, and the most words (64 MB).
+BLOCK_WORDS, FILTER_BITS, HASHES, MOST_WORDS = 256, 16, 4, 1 << 23
 #: Rows of an owner at most, about: what one task decodes at once. Fingerprints of a list at least, about, in large tables.
 OWNED, LISTED = 500_000, 64
 WHITE = "\x20\x09\x0a\x0b\x0c\x0d"
@@ -139,6 +144,49 @@ def exchange(fingerprints: DataFrame, owners: int, bits: int) -> DataFrame:
     return own.select("sender", "fp").groupBy("sender").cogroup(bitmaps.groupBy("sender")).applyInPandas(receive(ranges), "sender int, fp long")
 
 
+def filter_bits(fp: Column, blocks: int) -> tuple[Column, list[tuple[Column, Column]]]:
+    """The block of a fingerprint, and its (word, bit) places in it."""
+    block = F.pmod(F.xxhash64(fp, F.lit(1)), F.lit(blocks)).cast("int")
+    spread = F.xxhash64(fp, F.lit(2))
+    at = [F.shiftrightunsigned(spread, 14 * i) for i in range(HASHES)]
+    return block, [((F.shiftrightunsigned(x, 6).bitwiseAND(F.lit(BLOCK_WORDS - 1))).cast("int"), x.bitwiseAND(F.lit(63)).cast("int")) for x in at]
+
+
+def suspects_filter(suspects: DataFrame) -> tuple[DataFrame, int]:
+    """A Bloom filter of the suspects' ``fp``: (block, words), one row a block, and the number of blocks.
+
+    FILTER_BITS bits a row of ``suspects`` up to MOST_WORDS words (then about 34 million rows); beyond, the filter stays as large
+    and lets more through: with 4 bits a fingerprint a sixth of the others, with one nearly all. It never loses a suspect.
+    """
+    words = min(max(suspects.count() * FILTER_BITS // 64, 1), MOST_WORDS)
+    blocks = -(-words // BLOCK_WORDS)
+    block, places = filter_bits(F.col("fp"), blocks)
+    each = suspects.select(block.alias("block"), F.explode(F.array(*[F.struct(w.alias("word"), b.alias("bit")) for w, b in places])).alias("x"))
+    bits = each.select("block", "x.word", F.call_function("shiftleft", F.lit(1).cast("long"), F.col("x.bit")).alias("bits"))
+    none = suspects.sparkSession.range(blocks * BLOCK_WORDS).select((F.col("id") / BLOCK_WORDS).cast("int").alias("block"), (F.col("id") % BLOCK_WORDS).cast("int").alias("word"), F.lit(0).cast("long").alias("bits"))
+    full = bits.unionByName(none).groupBy("block", "word").agg(F.bit_or("bits").alias("bits"))
+    return full.groupBy("block").agg(F.transform(F.array_sort(F.collect_list(F.struct("word", "bits"))), lambda x: x["bits"]).alias("words")), blocks
+
+
+def only_suspects(rows: DataFrame, suspects: DataFrame) -> DataFrame:
+    """The ``rows`` whose (sender, fp) is in ``suspects`` (materialised). Rows that are not there do not move (see ``suspects_filter``)."""
+    listed = broadcast_if_small(suspects)
+    if listed is suspects:  # too many for a broadcast
+        rows = let_through(rows, suspects)
+    return rows.join(listed, ["sender", "fp"], "left_semi")
+
+
+def let_through(rows: DataFrame, suspects: DataFrame) -> DataFrame:
+    """The ``rows`` that the filter of ``suspects`` lets through; the filter is broadcast, so no row moves."""
+    found, blocks = suspects_filter(suspects)
+    found = materialise(found.withColumnRenamed("block", "__gl_block"), "filter")
+    block, places = filter_bits(F.col("fp"), blocks)
+    held = rows.join(F.broadcast(found), block == F.col("__gl_block"))  # bounded: MOST_WORDS
+    for word, bit in places:
+        held = held.filter(F.call_function("shiftrightunsigned", F.element_at("words", word + 1), bit).bitwiseAND(F.lit(1).cast("long")) == 1)
+    return held.drop("__gl_block", "words")
+
+
 def layout(rows: int, parts: int) -> tuple[int, int, int]:
     """(owners, senders, bits) for a number of rows.
 
@@ -157,7 +205,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Texts are equal when they are so after deleting every character of ``[\\x20\\x09-\\x0D]``; null counts as
     empty. Of a class the row with the most code points stays, then the smallest id (a null id counts as the
     largest). Returns doc_id, keep_id, group_size, kept, text_sha256. Repeated rows count as rows; of equal
-    rows with the same id every one says kept. An empty table gives an empty result; other columns are ignored.
+    rows with the same id every one says kept. An empty table gives an empty result; other columns are ignored; very long texts are read whole.
     ``parts``: the least number of owners and senders (default: the session's shuffle partitions); see ``layout``.
     """
     spark = docs.sparkSession
@@ -170,8 +218,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     short = F.shiftrightunsigned("fp", 64 - bits)
     rows, light = (d.withColumn("sender", sender).withColumn("fp", short) for d in (rows, light))
     suspects = materialise(exchange(light.select("sender", "fp"), owners, bits), "suspects")
-    # Few suspects are broadcast, so that only their texts move; else texts meet them by (sender, fp), which no text can make hot.
-    texts = rows.join(broadcast_if_small(suspects), ["sender", "fp"], "left_semi")
+    texts = only_suspects(rows, suspects)
     best = F.max(F.struct(F.col("n_chars").alias("n"), (-F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1))).alias("neg"), F.col("doc_id").alias("id"))).alias("best")
     classes = texts.groupBy("fp", "norm").agg(best, F.count(F.lit(1)).alias("size"))
     classes = classes.filter("size > 1").select("fp", F.sha2("norm", 256).alias("sha"), F.col("best.id").alias("keep"), "size")
