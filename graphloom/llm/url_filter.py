@@ -8,6 +8,7 @@ exceeds its trust.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -20,8 +21,16 @@ from .common import forget, materialise, path_of, table
 Rules = Sequence[tuple[str, str, str]]
 MAX_RULES = 1000
 RULES: Rules = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
-#: Rounds end when less than TOLERANCE of the seeds' sum is still to come; after ROUNDS, 0.06 % of it at most is.
-DAMPING, ROUNDS, TOLERANCE, THRESHOLD = 0.85, 45, 1e-6, 0.5
+#: Rounds end when less than TOLERANCE of the seeds' sum is still to come.
+DAMPING, TOLERANCE, THRESHOLD = 0.85, 1e-6, 0.5
+
+
+def most_rounds(damping: float, tolerance: float) -> int:
+    """After so many rounds less than ``tolerance`` is still to come on any graph."""
+    return math.ceil(math.log(tolerance * (1 - damping)) / math.log(damping))
+
+
+ROUNDS = most_rounds(DAMPING, TOLERANCE)
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?(?:https?:)?//([^/?#"'\s>]+)"""
 
@@ -55,19 +64,19 @@ def host_edges(pages: DataFrame, html_col: str = "html", url_col: str = "url") -
     return rows.filter((F.col("src") != "") & (F.col("dst") != "") & (F.col("src") != F.col("dst"))).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int | None = None, tolerance: float = TOLERANCE) -> DataFrame:
     """Scores (kind, host, score): score = (1 - d) seed + d * sum over in-links of score(src) * share.
 
     ``edges``: (kind, src, dst, share), the shares of a source sum to 1; ``seeds``: (kind, host, seed). Scores are PageRank with the
     seeds as they are in place of a distribution over them, that is times their sum. Each round passes on what came in the round before,
     so hosts that nothing reaches drop out, and the rest that is not passed on yet is known: rounds end when it is below ``tolerance``
-    of the seeds' sum, or when there are no more. Both kinds go in one plan. Sums combine map-side, so a host that everything
+    of the seeds' sum, which it is after 97 rounds on any graph (``most_rounds``), or after ``rounds``. Both kinds go in one plan. Sums combine map-side, so a host that everything
     links to is no hot task. What flows into hosts without out-links stays there. Each round is written, which cuts the lineage.
     """
     spark = seeds.sparkSession
     flow = seeds.select("kind", "host", (F.col("seed") * (1 - damping)).alias("score"))
     flows, total = [flow], flow.agg(F.coalesce(F.sum("score"), F.lit(0.0))).first()[0]
-    for _ in range(rounds):
+    for _ in range(most_rounds(damping, tolerance) if rounds is None else rounds):
         came = edges.join(flow.withColumnRenamed("host", "src"), ["kind", "src"])
         flow = materialise(came.groupBy("kind", F.col("dst").alias("host")).agg(F.sum(F.col("score") * F.col("share") * damping).alias("score")), "flow")
         # What is still to come is at most this times d / (1 - d).
@@ -80,7 +89,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, roun
     return scores
 
 
-def judge_urls(pages: DataFrame, rules: Rules = RULES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", threshold: float = THRESHOLD, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: Rules = RULES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", threshold: float = THRESHOLD, damping: float = DAMPING, rounds: int | None = None) -> DataFrame:
     """Every page's verdict: page_id, host, path, rule, verdict.
 
     A host's seed of trust is the share of its pages that rules allow, of distrust the share that they block. A

@@ -302,6 +302,29 @@ def test_exact_dedup(docs, none):
     assert exact_dedup.exact_dedup(none).count() == 0
 
 
+def test_exact_dedup_moves_suspects_only(spark, monkeypatch):
+    """Without any broadcast of the list: the same rows, and next to nothing but suspects passes the filter, whatever its load."""
+    rows = [(i, f"text {i}" if i % 10 else f"copy {i % 70} of a text") for i in range(6000)] + [(None, None), (1, "text 1"), (9000, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(map(str, exact_dedup.exact_dedup(df, parts=3).collect()))
+    seen = []
+    through = exact_dedup.let_through
+
+    def watched(held, suspects):
+        out = through(held, suspects)
+        seen.append((out.count(), held.join(suspects.select("fp").distinct(), "fp", "left_semi").count()))
+        return out
+
+    monkeypatch.setattr(exact_dedup, "let_through", watched)
+    monkeypatch.setattr("graphloom.llm.common.BROADCAST_BYTES", 0)
+    assert sorted(map(str, exact_dedup.exact_dedup(df, parts=3).collect())) == want
+    passed, suspects = seen[0]
+    assert suspects <= passed <= suspects + 0.02 * len(rows)
+    monkeypatch.setattr(exact_dedup, "MOST_WORDS", 1)  # a filter that is full
+    assert sorted(map(str, exact_dedup.exact_dedup(df, parts=3).collect())) == want
+    assert seen[1][0] >= suspects
+
+
 def test_exact_dedup_with_many_owners_and_repeats(spark):
     """5,000 owners with few fingerprints each, and 40,000 rows of one null id and text."""
     rows = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), (F.col("id") % 2500).cast("string")).alias("text"))
@@ -766,6 +789,16 @@ def test_propagation_equals_power_iteration(spark):
     assert len(links) == 50 and {r["n"] for r in links} == {2}
 
 
+def test_a_cycle_is_followed_to_the_tolerance(spark):
+    """Two hosts that link to each other: the sum of all rounds by the closed form."""
+    edges = spark.createDataFrame([("trust", "a", "b", 1.0), ("trust", "b", "a", 1.0)], "kind string, src string, dst string, share double")
+    seeds = spark.createDataFrame([("trust", "a", 1.0)], "kind string, host string, seed double")
+    d = 0.5
+    got = {r["host"]: r["score"] for r in url_filter.propagate(edges, seeds, damping=d).collect()}
+    assert got == pytest.approx({"a": (1 - d) / (1 - d * d), "b": (1 - d) * d / (1 - d * d)}, abs=1e-6)
+    assert url_filter.DAMPING ** url_filter.ROUNDS <= url_filter.TOLERANCE * (1 - url_filter.DAMPING) * 1.0001
+
+
 def test_steps_are_deleted_when_nothing_reads_them(spark):
     from graphloom.llm.common import forget, materialise, path_of, steps
 
