@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audit_queries, case_queries, dataset_queries, graph_queries, table_queries
+from . import audit_queries, dataset_queries, graph_queries, table_queries, text_queries
 
-MODULES = (graph_queries, dataset_queries, audit_queries, case_queries, table_queries)
+MODULES = (graph_queries, dataset_queries, audit_queries, text_queries, table_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

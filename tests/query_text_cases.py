@@ -1,7 +1,7 @@
 """Query-text operators on tables of cases: each decision at least once, expected values worked out by hand.
 
 The operators read one text at a time and no table, so their cases are rows of their own; the SQL lists the
-expected values. ``text_queries`` runs the same operators over texts made from the tables.
+expected values. ``graphloom.plans.text_queries`` runs the same operators over texts made from the tables.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import literals, query_text, values
+from graphloom.functions import literals, query_text, values
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -26,7 +26,7 @@ def sql_text(value) -> str:
 
 
 def cases(name: str, kind: str, function: Callable, rows: Sequence[tuple]) -> None:
-    """Register a query that applies ``function`` to the arguments of each row (all but the last, texts) in Arrow batches; the last is the expected value."""
+    """A query that applies ``function`` to the arguments of each row (all but the last, texts) in Arrow batches; the last is the expected value."""
 
     def query(spark: SparkSession, d: str) -> DataFrame:
         width = len(rows[0]) - 1
@@ -236,7 +236,7 @@ cases("q25_variant_cases", "string", lambda base, variants: json.dumps(values.ex
 
 
 def migration_case(rule: str, value: str) -> bool:
-    from ..operators.refresh import migration_check
+    from graphloom.operators.refresh import migration_check
 
     return migration_check(rule, float(value), {"before": 10, "removed": 4})
 
@@ -259,7 +259,7 @@ cases("t04_order_cases", "boolean", order_case, [
 
 
 def slice_case(text: str) -> list[str]:
-    from ..operators.refresh import schema_atoms
+    from graphloom.operators.refresh import schema_atoms
 
     wide = query_text.Schema(SCHEMA.nodes | {"C": {"name": "STRING", "z": "STRING"}}, SCHEMA.rels | {"S": {}}, dict(SCHEMA.patterns) | {("B", "S", "C"): 1}, SCHEMA.domains)
     return sorted(schema_atoms(query_text.schema_slice(wide, text)))
@@ -282,7 +282,7 @@ cases("q06_context_cases", "array<string>", lambda text: [f"{label}.{p}: {', '.j
 
 
 def expected_case(expected: str) -> list[str]:
-    from ..operators.refresh import expected_diff_problems
+    from graphloom.operators.refresh import expected_diff_problems
 
     changes = [("rel:R", "removed"), ("rel:T", "added"), ("prop:A.x", "removed")]
     return expected_diff_problems(changes, json.loads(expected), [("rel:R", "rel:T")], {"S": -4})
