@@ -360,9 +360,12 @@ def _(spark, d):
     return spark.createDataFrame([(low, high)], "low double, high double")
 
 
-@query("t18_integer_weights", "SELECT * FROM (VALUES ('hops', 2::BIGINT), ('arity', 4::BIGINT)) t(feature, weight)")
+@query("t18_integer_weights", "SELECT * FROM (SELECT l_linenumber::VARCHAR AS feature, round(20.0 * count(*) FILTER (l_returnflag = 'R' AND l_quantity < 25) / sum(count(*)) OVER ())::BIGINT AS weight FROM lineitem GROUP BY 1) WHERE weight > 0")
 def _(spark, d):
-    found = statistics.integer_weights({"hops": 0.5, "arity": 1.04, "order": 0.1, "labels": 0.0}, 4.0)
+    """Whole weights of the line numbers by their share of small returned lines."""
+    small = F.count(F.when((F.col("l_returnflag") == "R") & (F.col("l_quantity") < 25), 1))
+    lines = read(spark, d, "lineitem").groupBy(F.col("l_linenumber").cast("string").alias("feature")).agg(F.count(F.lit(1)).alias("n"), small.alias("k")).collect()  # a row a line number
+    found = statistics.integer_weights({r["feature"]: r["k"] / sum(m["n"] for m in lines) for r in lines}, 20.0)
     return spark.createDataFrame(list(found.items()), "feature string, weight long")
 
 

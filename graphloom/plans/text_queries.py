@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import query_text, values
-from ..operators.refresh import migration_check
+from ..operators import refresh
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -92,10 +92,36 @@ over_customers("f30_grounding", "array<string>", lambda t: [f"{m.entry.value}:{m
     lambda: [text("Number ", F.col(K), turn(" of science fiction", " of sci-fi", " in Berlin", " in Berlinn", " of nothing"))],
     turn_sql("['Science Fiction:exact']", "['Science Fiction:alias']", "['Berlin:exact']", "['Berlin:fuzzy']", NONE))
 
-over_customers("q23_migration_rules", "boolean", lambda rule, value: migration_check(rule, float(value.split(",")[0]), {"before": 10, "removed": int(value.split(",")[1])}),
+over_customers("q23_migration_rules", "boolean", lambda rule, value: refresh.migration_check(rule, float(value.split(",")[0]), {"before": 10, "removed": int(value.split(",")[1])}),
     lambda: [turn("positive", "zero", "nonnegative", "== before - removed"), text(turn(text(F.col("c_acctbal")), text(F.col("c_nationkey")), text(F.col("c_acctbal")), text(10 - F.col(K) % 7)), ",", F.col(K) % 5)],
     turn_sql("c_acctbal > 0", "c_nationkey = 0", "c_acctbal >= 0", f"{K} % 7 = {K} % 5"))
 
 over_customers("q25_variants", "string", lambda base, variants: json.dumps(values.expand_variants(json.loads(base), json.loads(variants)), sort_keys=True),
     lambda: [text('{"g": {"k": ', F.col(K), ', "j": 2}, "h": "', F.col(SEGMENT), '"}'), text('{"a": {"g": {"k": ', F.col("c_nationkey"), '}}, "b": {}}')],
     f"""'{{"a": {{"g": {{"j": 2, "k": ' || c_nationkey || '}}, "h": "' || c_mktsegment || '"}}, "b": {{"g": {{"j": 2, "k": ' || {K} || '}}, "h": "' || c_mktsegment || '"}}}}'""")
+
+
+def verdict(answer: str, name: str) -> list[str]:
+    """The verdict on a reply with one answer given, or left out."""
+    given = dict.fromkeys(query_text.CHECKLIST, True) | {"values": answer, "columns": {"verdict": "not_applicable", "evidence": name}}
+    passed, failing, missing = query_text.checklist_verdict({"checklist": {c: a for c, a in given.items() if a != "absent"}})
+    return [str(passed), *(f"failing {c}" for c in failing), *(f"missing {c}" for c in missing)]
+
+
+def order_kept(t: str, balances: str) -> bool | None:
+    """Whether an answer of two rows, in the order given, keeps the order that the query asks for; null if it asks for none."""
+    rows = [{"x": float(b), "y": i} for i, b in enumerate(balances.split(","))]
+    return values.order_consistent(t, sorted(rows, key=lambda r: r["x"], reverse="DESC" in t), rows, {"x": "x", "y": "y"})
+
+
+over_customers("x19_checklist_verdict", "array<string>", verdict,
+    lambda: [turn("yes", "no", "perhaps", "absent"), F.col(NAME)],
+    turn_sql("['True']", "['False', 'failing values']", "['False', 'failing values']", "['False', 'missing values']"))
+
+over_customers("t04_order_consistent", "boolean", order_kept,
+    lambda: [turn("MATCH (c:Customer) RETURN c.x AS x, c.y AS y ORDER BY c.x DESC", "MATCH (c:Customer) RETURN c.x AS x, c.y AS y ORDER BY x", "MATCH (c:Customer) RETURN c.x AS x, c.y AS y"), text(F.col("c_acctbal"), ",", F.col("c_nationkey") * 100)],
+    turn_sql("c_acctbal >= c_nationkey * 100", "c_acctbal <= c_nationkey * 100", "NULL::BOOLEAN"))
+
+over_customers("q18_expected_changes", "array<string>", lambda expected, delta: refresh.expected_diff_problems([("rel:R", "removed"), ("rel:T", "added")], json.loads(expected), [("rel:R", "rel:T")], {"S": int(delta)}),
+    lambda: [turn('{"counts": {"S": "increase"}, "removed": ["rel:R"]}', '{"removed": ["rel:R"], "added": ["rel:T"], "renames": [], "counts": {"S": "any"}}', '{"removed": ["rel:Q"]}'), text(F.col("c_nationkey") + 1 - 2 * (F.col(K) % 2) * (F.col("c_nationkey") + 1))],
+    turn_sql(f"CASE WHEN {K} % 2 = 0 THEN {NONE} ELSE ['increase of S was not seen'] END", NONE, "['removed rel:Q is missing']"))

@@ -71,6 +71,10 @@ def test_alignments_are_columns_and_agree_with_plain_loops(spark):
     assert got[0] == pytest.approx(0.9611, abs=1e-4)
 
 
+def test_integer_weights():
+    assert statistics.integer_weights({"hops": 0.5, "arity": 1.04, "order": 0.1, "labels": 0.0}, 4.0) == {"hops": 2, "arity": 4}
+
+
 def test_self_bleu_and_diversity(spark):
     assert text.self_bleu([["a", "b"], ["a", "b"]]) == pytest.approx(1.0)
     df = spark.createDataFrame([([1.0, 1.0],), ([4.0, 0.25],), ([float("nan"), None, 0.5],), ([],), ([0.0],)], "x array<double>")
