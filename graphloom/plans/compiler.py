@@ -421,8 +421,9 @@ class Compiler:
                     step, info = self.nearest(rel, left, right, starts, ends, scope)
                     hops.append(info["cols"]["hops"])
                 elif self.is_search(path, rel):
-                    gone = df is None and self.forgotten(path.nodes[0], scope)
-                    step, info = self.reach(rel, left, right, starts, gone, scope)
+                    first = df is None and self.forgotten(path.nodes[0], scope)
+                    gone |= first
+                    step, info = self.reach(rel, left, right, starts, first, scope)
                 else:
                     step, info = self.many(rel, left, right, mixed, path.shortest, starts, scope)
                     arrays.append(info["cols"]["eids"])

@@ -166,6 +166,9 @@ def test_only_ends_matter(spark, monkeypatch):
     assert told(g, "MATCH (a:A {k: 12})-[:R*0..]-(b:A) RETURN COUNT(DISTINCT b) AS n") == [(13,)]
     assert told(g, "MATCH (a:A {k: 14})-[:R*0..]->(b:A) RETURN DISTINCT b.k AS k") == [(14,)]
     assert told(g, "MATCH (x:Nothing)-[:R*]->(b:A) RETURN DISTINCT b.k AS k") == []
+    both = GraphCatalog(nodes=chain(spark, 5).nodes, edges={("A", t, "A"): spark.createDataFrame(e, "_src long, _dst long, _eid long") for t, e in (("R", [(0, 1, 1), (1, 2, 2), (2, 0, 3)]), ("S", [(2, 3, 1), (3, 4, 2), (5, 6, 3)]))})
+    assert told(both, "MATCH (a:A)-[:R*]->(b:A)-[:S*]->(c:A) WHERE a.k = 0 RETURN DISTINCT c.k AS c") == [(3,), (4,)]
+    assert told(both, "MATCH (a:A {k: 1})-[:R*]->(b:A)-[:S*]->(c:A) RETURN DISTINCT a.k AS a, b.k AS b, c.k AS c") == [(1, 2, 3), (1, 2, 4)]
     line = chain(spark, 6)
     assert told(line, "MATCH (a:A)-[:R*1..2]->(b:A) WHERE a.k IN [0, 3] RETURN DISTINCT b.k AS k") == [(1,), (2,), (4,), (5,)]
     assert told(line, "MATCH (a:A)-[:R*0..1]->(b:A) WHERE a.k IN [0, 3] RETURN DISTINCT b.k AS k") == [(0,), (1,), (3,), (4,)]
