@@ -20,11 +20,12 @@ from collections.abc import Iterator
 from itertools import chain, combinations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, map_rows, materialise, table
+from .common import broadcast_if_small, map_rows, materialise, small_batches, table, to_arrow
 from .simhash import mix
 
 #: Leading tokens of a path; token counts from which one stretch of THIRDS, or two of FIFTHS, are generalised.
@@ -38,8 +39,10 @@ MIN_TEXTS, MIN_SHARE = 4, 0.05
 OWN_SHARE, SHINGLE = 0.15, 5
 FIELD = b"<*>"
 DIGIT = re.compile(rb"[0-9]")
-#: Words whose hashes a task remembers.
-MEMORY = 150_000
+#: Words whose hashes a task remembers; shingles that it holds before it deals them out.
+MEMORY, HELD = 150_000, 1_000_000
+#: Shingles of a range of hashes, on average; the least number of ranges, as a power of two.
+RANGE, LEAST_BITS = 1 << 18, 10
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -60,8 +63,8 @@ def stretch_sums(total: np.ndarray, starts: np.ndarray, counts: np.ndarray, part
     return at[:, 1:] - at[:, :-1]
 
 
-def parse(texts: list[str], words: Words) -> list[tuple[list[int], list[int], list[np.ndarray]]]:
-    """Of each text: (line numbers, leaves, template keys of each line) of the lines that have templates."""
+def parse(texts: list[str], words: Words) -> list[tuple[list[int], list[int], list[np.ndarray], int]]:
+    """Of each text: (line numbers, leaves, template keys of each line) of the lines that have templates, and its number of words."""
     lines = [text.encode().split(b"\n") for text in texts]
     tokens = [line.split() for ls in lines for line in ls]
     counts = np.array([len(t) for t in tokens], dtype=np.int64)
@@ -72,7 +75,7 @@ def parse(texts: list[str], words: Words) -> list[tuple[list[int], list[int], li
     has = np.flatnonzero((counts >= MIN_TOKENS) | (size >= MIN_BYTES) & (counts > 0))
     first = counts.cumsum() - counts
     if not len(has):
-        return [([], [], [])] * len(texts)
+        return [([], [], [], 0)] * len(texts)
     place = np.arange(len(h)) - np.repeat(first, counts)
     with np.errstate(over="ignore"):
         weighed = h * (mix(place.astype(np.uint64), 1) | np.uint64(1))
@@ -93,7 +96,8 @@ def parse(texts: list[str], words: Words) -> list[tuple[list[int], list[int], li
     owner = np.searchsorted(ends, has, side="right")
     number, leaf = (has - (ends - height)[owner]).tolist(), path.view(np.int64).tolist()
     edges = np.searchsorted(owner, np.arange(len(texts) + 1)).tolist()
-    return [(number[i:j], leaf[i:j], keys[i:j]) for i, j in zip(edges, edges[1:], strict=False)]
+    so_far = np.concatenate([[0], counts.cumsum()])[np.concatenate([[0], ends])].tolist()
+    return [(number[i:j], leaf[i:j], keys[i:j], q - p) for i, j, p, q in zip(edges, edges[1:], so_far, so_far[1:], strict=False)]
 
 
 def shingle_sets(texts: list[str], words: Words) -> list[np.ndarray]:
@@ -126,29 +130,124 @@ def in_portions(texts: list[str], size: int = 200_000) -> Iterator[list[str]]:
         yield portion
 
 
-PARSED = "id long, th long, line array<int>, leaf array<long>, keys array<array<long>>"
+PARSED = "id long, th long, line array<int>, leaf array<long>, keys array<array<long>>, words int"
+#: Of a range of hashes, from one portion of a task: hashes and texts that have them; hashes that enough of its texts have;
+#: texts and how many of those they have; texts (by their own hash) and how many shingles they have.
+DEALT = "part int, h binary, th binary, often binary, had binary, had_n binary, all binary, all_n binary"
 
 
-def independent_texts(rows: DataFrame, holders: DataFrame, min_texts: int, own_share: float) -> DataFrame:
-    """(th) of the ``holders`` (th, owner: one id that has the text) of which at least ``own_share`` is their own. All their shingles are
-    counted, made anew from one row of each text, so that other texts' shingles never exist."""
-    owned = rows.join(broadcast_if_small(holders.select(F.col("th").alias("own_th"), "owner")), (F.col("th") == F.col("own_th")) & F.col("id").eqNullSafe(F.col("owner")), "left_semi")
+def deal(hashes: list[np.ndarray], ths: list[int], bits: int, min_texts: int) -> list[tuple]:
+    """The rows of DEALT of one portion of texts: distinct shingle hashes of each, and their text hashes.
 
-    def make():
-        words = Words()
+    What ``min_texts`` texts of the portion have is common for certain. It is sent as one hash, so a shingle of
+    many texts costs each portion less than ``min_texts`` pairs. All that concerns a range is in its row alone, so a
+    row is right by itself, however the texts were put into portions when a task ran again.
+    """
+    th, sizes = np.array(ths, dtype=np.int64), np.array([len(h) for h in hashes], dtype=np.int64)
+    h = np.concatenate(hashes).view(np.uint64)
+    order = np.argsort(h)
+    h, owner = h[order], np.repeat(th, sizes)[order]
+    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, dtype=np.int64)
+    often = np.diff(np.append(first, len(h))) >= min_texts
+    common = np.repeat(often, np.diff(np.append(first, len(h))))
+    of_text = th.view(np.uint64) >> np.uint64(64 - bits)
+    by_text = np.argsort(of_text, kind="stable")
+    parts = np.arange((1 << bits) + 1)
+    edges = np.searchsorted(h >> np.uint64(64 - bits), parts).tolist()
+    runs = np.searchsorted(h[first] >> np.uint64(64 - bits), parts).tolist()
+    texts = np.searchsorted(of_text[by_text], parts).tolist()
+    out = []
+    for part in range(1 << bits):
+        i, j, k, m = edges[part], edges[part + 1], texts[part], texts[part + 1]
+        if i == j and k == m:
+            continue
+        few, at = ~common[i:j], first[runs[part] : runs[part + 1]]
+        had, n = np.unique(owner[i:j][common[i:j]], return_counts=True)
+        mine = by_text[k:m]
+        columns = (h[i:j][few], owner[i:j][few], h[at[often[runs[part] : runs[part + 1]]]], had, n, th[mine], sizes[mine])
+        out.append((part, *(c.tobytes() for c in columns)))
+    return out
 
-        def step(columns):
-            return [columns[0], [x for texts in in_portions(columns[1]) for x in shingle_sets(texts, words)]]
 
-        return step
+def settle(rows: list[list[np.ndarray]], min_texts: int) -> tuple[np.ndarray, np.ndarray]:
+    """(texts, numbers of common shingles) of one range, from all rows of it; a text may come more than once."""
+    h, th, often, had, n = (np.concatenate(c) for c in list(zip(*rows, strict=True))[:5])
+    order = np.argsort(h.view(np.uint64))
+    h, th = h[order], th[order]
+    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, dtype=np.int64)
+    times = np.diff(np.append(first, len(h)))
+    common = np.repeat((times >= min_texts) | np.isin(h[first], often), times)
+    return np.concatenate([th[common], had]), np.concatenate([np.ones(int(common.sum()), dtype=np.int64), n])
+
 
-    sets = materialise(map_rows(owned.select("th", "text"), make, "th long, shingles array<long>"), "shingles")
-    if sets.count() > holders.count():  # rows alike in id and text count once
-        sets = materialise(sets.groupBy("th").agg(F.first("shingles").alias("shingles")), "shingles")
-    each = sets.select("th", F.explode("shingles").alias("h"))
-    common = each.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_texts).select("h", F.lit(1).alias("common"))
-    shared = each.join(broadcast_if_small(materialise(common, "common")), "h", "left_semi").groupBy("th").agg(F.count(F.lit(1)).alias("c"))
-    share = sets.select("th", F.size("shingles").alias("n")).join(shared, "th", "left").select("th", "n", F.coalesce("c", F.lit(0)).alias("c"))
+def shares(owned: DataFrame, words: int, min_texts: int) -> DataFrame:
+    """(th, n, c): each text's number of distinct shingles, and of those that ``min_texts`` texts have; ``owned`` (th, text)
+    has each text once and about ``words`` words.
+
+    Each task sorts portions of hashes and sends every range of hashes one packed row; an owner counts its ranges one
+    after the other. One exchange of 16 bytes a shingle; a hash that many texts have costs a portion a few pairs.
+    """
+    small_batches(owned.sparkSession)
+    bits = max(LEAST_BITS, (words // RANGE).bit_length())
+    dealt = to_arrow(owned.sparkSession.createDataFrame([], DEALT).schema)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory, hashes, ths, held = Words(), [], [], 0
+
+        def packed() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(v, type=f.type) for v, f in zip(zip(*deal(hashes, ths, bits, min_texts), strict=True), dealt, strict=True)], schema=dealt)
+
+        for batch in batches:
+            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for th, found in zip(ids, chain.from_iterable(shingle_sets(some, memory) for some in in_portions(texts)), strict=True):
+                hashes.append(found)
+                ths.append(th)
+                held += len(found)
+                if held >= HELD:
+                    yield packed()
+                    hashes, ths, held = [], [], 0
+        if ths:
+            yield packed()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def answer(th: np.ndarray, n: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(th), pa.array(n), pa.array(c)], names=["th", "n", "c"])
+
+        def counted(rows: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+            if rows:
+                texts, which = np.unique((found := settle(rows, min_texts))[0], return_inverse=True)
+                c = np.bincount(which, weights=found[1], minlength=len(texts)).astype(np.int64)
+                yield answer(texts, np.zeros(len(texts), dtype=np.int64), c)
+
+        now, rows = None, []
+        for batch in batches:
+            for part, *values in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+                if part != now:
+                    yield from counted(rows)
+                    now, rows = part, []
+                arrays = [np.frombuffer(v, dtype=np.int64) for v in values]
+                rows.append(arrays[:5])
+                yield answer(arrays[5], arrays[6], np.zeros(len(arrays[5]), dtype=np.int64))
+        yield from counted(rows)
+
+    by_range = owned.select("th", "text").mapInArrow(send, DEALT).repartition("part").sortWithinPartitions("part")
+    return by_range.mapInArrow(count, "th long, n long, c long").groupBy("th").agg(F.sum("n").alias("n"), F.sum("c").alias("c"))
+
+
+def independent_texts(rows: DataFrame, lines: DataFrame, holders: DataFrame, min_texts: int, own_share: float) -> DataFrame:
+    """(th) of the ``holders`` (th, owner: one id that has the text, words) of which at least ``own_share`` is their own. All their shingles are
+    counted, made anew from one row of each text, so that other texts' shingles never exist. ``lines`` has the rows' (id, th)."""
+    small = broadcast_if_small(holders.select(F.col("th").alias("own_th"), "owner"))
+
+    def owned(df: DataFrame) -> DataFrame:
+        return df.join(small, (F.col("th") == F.col("own_th")) & F.col("id").eqNullSafe(F.col("owner")), "left_semi")
+
+    texts = owned(rows).select("th", "text")
+    twice = materialise(owned(lines).groupBy("th").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("th"), "repeated")
+    if not twice.isEmpty():  # rows alike in id and text count once
+        twice = broadcast_if_small(twice)
+        texts = texts.join(twice, "th", "left_anti").unionByName(texts.join(twice, "th", "left_semi").dropDuplicates(["th"]))
+    share = shares(texts, holders.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0], min_texts)
     return share.filter(F.col("n") - F.col("c") >= own_share * F.col("n")).select("th")
 
 
@@ -165,7 +264,7 @@ def recurring_lines(docs: DataFrame, id_col: str, text_col: str, min_texts: int
 
         def step(columns):
             parsed = [p for texts in in_portions(columns[2]) for p in parse(texts, words)]
-            return [columns[0], columns[1], *([p[i] for p in parsed] for i in range(3))]
+            return [columns[0], columns[1], *([p[i] for p in parsed] for i in range(4))]
 
         return step
 
@@ -180,8 +279,8 @@ def recurring_lines(docs: DataFrame, id_col: str, text_col: str, min_texts: int
     each = kept.select("id", "th", "line", F.explode("keys").alias("key"))
     candidates = often(each, "key")
     held = materialise(each.join(broadcast_if_small(candidates.select("key")), "key", "left_semi").groupBy("key", "th").agg(F.lit(1)).select("key", "th"), "held")
-    holders = lines.join(broadcast_if_small(materialise(held.select("th").distinct(), "held-texts")), "th", "left_semi").groupBy("th").agg(F.min("id").alias("owner"))
-    alone = materialise(independent_texts(rows, materialise(holders, "holders"), min_texts, own_share), "independent")
+    holders = lines.join(broadcast_if_small(materialise(held.select("th").distinct(), "held-texts")), "th", "left_semi").groupBy("th").agg(F.min("id").alias("owner"), F.max("words").alias("words"))
+    alone = materialise(independent_texts(rows, lines, materialise(holders, "holders"), min_texts, own_share), "independent")
     counted = held.join(broadcast_if_small(alone), "th", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("alone"))
     counted = counted.join(candidates, "key").filter((F.col("alone") >= min_texts) & (F.col("alone") >= min_share * F.col("texts")))
     recurring = materialise(counted.select("key"), "templates")

@@ -1,6 +1,7 @@
 """Every operator on nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
 import hashlib
+import random
 import zlib
 from collections import Counter
 
@@ -526,6 +527,26 @@ def test_lines_of_mixed_lengths_equal_brute_force(spark, seed):
     assert {r["doc_id"]: list(r["gone"]) for r in out.collect()} == want
 
 
+@pytest.mark.parametrize("held", [1, 60, 10**6])
+def test_shares_equal_brute_force(spark, monkeypatch, held):
+    """Portions of one text, of a few, and of all; a phrase of every text, phrases of 2 to 5 texts, empty and repeated rows."""
+    rng, phrases = random.Random(held), [" ".join(f"p{i}w{j}" for j in range(8)) for i in range(12)]
+    texts = {t: " ".join([phrases[0], *rng.sample(phrases[1:], rng.randint(0, 4)), *(f"own{t}x{j}" for j in range(rng.randint(0, 30)))]) for t in range(-20, 20)}
+    texts |= {99: "", 98: "two words", 97: " ".join(f"long{j}" for j in range(5000))}
+    sets = {}
+    for t, text in texts.items():
+        w = text.split()
+        sets[t] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    n = Counter(s for found in sets.values() for s in found)
+    want = {t: (len(found), sum(n[s] >= 4 for s in found)) for t, found in sets.items()}
+    monkeypatch.setattr(line_dedup, "HELD", held)
+    far = {t: (t * 0x1E3779B97F4A7C15 + 2**63) % 2**64 - 2**63 for t in texts}  # text hashes lie in all ranges
+    # words without digits, as those with digits are one field
+    rows = [(far[t], text.translate(str.maketrans("0123456789", "abcdefghij"))) for t, text in texts.items()]
+    got = line_dedup.shares(spark.createDataFrame(rows, "th long, text string").repartition(3), 1000, 4)
+    assert {r.th: (r.n, r.c) for r in got.collect()} == {far[t]: v for t, v in want.items()}
+
+
 def test_near_copies_are_no_boilerplate(spark):
     """200 copies with a word in a hundred changed (similarity about 0.8) keep all lines, and a passage in other documents and one of the copies' originals goes from all."""
     random = np.random.default_rng(2)
