@@ -1,9 +1,11 @@
 """Static analysis of query text: decision tables."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from graphloom.functions import literals
 from graphloom.functions import query_text as q
+from graphloom.functions import values
 
 SCHEMA = q.Schema({"A": {"x": "INTEGER", "kind": "STRING"}, "B": {"y": "STRING"}}, {"R": {"w": "FLOAT"}}, {("A", "R", "B"): 3}, {"B.y": ("u", "v")})
 
@@ -119,3 +121,36 @@ def test_scope_and_checklist():
     assert q.checklist_passes(good)
     assert not q.checklist_passes(good | {"unambiguous": "na"})
     assert not q.checklist_passes({k: v for k, v in good.items() if k != "values"})
+
+
+def test_texts_are_dealt_over_the_cores_and_looked_at_once(spark, tmp_path):
+    """A small file is one partition; its texts are looked at in many tasks, equal ones of a task once, however many batches it has."""
+    from graphloom.plans import text_queries
+
+    spark.range(3000).select((F.col("id") + 1).alias("c_custkey"), F.lit("a").alias("c_name"), F.lit(1).alias("c_nationkey"), F.lit(1.0).alias("c_acctbal"), F.lit("B").alias("c_mktsegment")).coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    out = text_queries.QUERIES["q12_scope"](spark, str(tmp_path))
+    assert out.select(F.spark_partition_id().alias("p")).distinct().count() >= 8
+    calls = tmp_path / "calls"
+
+    def note(text):
+        with open(calls, "a") as f:
+            f.write("x")
+        return text.upper()
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        rows = spark.range(0, 1000, 1, 1).select((F.col("id") % 3).cast("string").alias("t")).select(q.frame(note, "string", "t").alias("u"))
+        assert rows.groupBy("u").count().count() == 3
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(calls.read_text()) == 3
+
+
+def test_ground_bound_loses_nothing():
+    """Fuzzy matches are those of the full ratio over all names."""
+    from difflib import SequenceMatcher
+
+    entries = [values.Entry("City", "name", n) for n in ("Berlin", "Bern", "Berlinn", "Bergen")]
+    for word in ("berlim", "berlln", "nilreb", "bernn", "bergenn"):
+        best = max(SequenceMatcher(None, word, a).ratio() for e in entries for a in values.aliases(e) if values.comparable(a, word))
+        assert [m.score for m in values.ground(word, entries)] == ([round(best, 3)] if best >= values.FUZZY else [])
