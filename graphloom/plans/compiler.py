@@ -527,6 +527,11 @@ class Compiler:
         low, high = (1, None) if rel.low is None else (rel.low, rel.high)
         return low, self.max_hops if high is None else high
 
+    @staticmethod
+    def kept_edges(step: DataFrame, columns: Mapping[str, str]) -> DataFrame:
+        """The edges written once with their ids, so that no round derives them anew."""
+        return written(step.select(*dict.fromkeys(columns.values())), "edges")
+
     def many(self, rel: Relationship, left: frozenset[str], right: frozenset[str], mixed: bool, shortest: bool, starts: DataFrame | None, scope: Scope) -> tuple[DataFrame, dict]:
         """Variable length: columns s, d, eids (trails: no edge repeats). ``shortest``: one row for each pair at its least length.
 
@@ -536,6 +541,8 @@ class Compiler:
         low, high = self.bounds(rel)
         step, info, tagged = self.steps_of(rel, left, right, mixed, scope)
         c = info["cols"]
+        if high is None:
+            step = self.kept_edges(step, c)
         s, d, eids, sl, dl = (self.fresh(x) for x in ("s", "d", "eids", "sl", "dl"))
         one = [F.col(c["s"]).alias(s), F.col(c["d"]).alias(d), F.array(c["eid"]).alias(eids)] + ([F.col(c["sl"]).alias(sl), F.col(c["dl"]).alias(dl)] if tagged else [])
         frontier = step.select(*one)
@@ -567,7 +574,7 @@ class Compiler:
                 frontier = written(frontier, "trails")
                 if frontier.isEmpty():
                     break
-            if n > 1:
+            if n > 1 and shortest:
                 visited = visited.unionByName(frontier)
             if n >= low and not shortest:
                 levels.append(frontier)
@@ -622,6 +629,8 @@ class Compiler:
         low, high = self.bounds(rel)
         step, info, tagged = self.steps_of(rel, left, right, False, scope)
         c = info["cols"]
+        if high is None:
+            step = self.kept_edges(step, c)
         s, d, sl, dl = (self.fresh(x) for x in ("s", "d", "sl", "dl"))
         kept = [] if gone else [s] + ([sl] if tagged else [])
         ends = [d] + ([dl] if tagged else [])

@@ -236,3 +236,20 @@ def test_percentiles_of_large_groups(spark):
     assert [tuple(r) for r in everyone] == [(0, None)]
     with pytest.raises(CypherError):
         cypher(spark, g, "MATCH (p:P) RETURN percentileCont(p.v, 1.5) AS c")
+
+
+def test_unbounded_rounds_read_written_edges(spark, tmp_path, monkeypatch):
+    """The edges of an unbounded variable length are derived (here by a window) once, not in every round."""
+    from datetime import datetime
+
+    from graphloom.plans import catalog, compiler
+
+    rows = [(i, datetime(2024, 1, 1 + i), i % 2, "purchase" if i == 1 else "view", 1.0, "{}") for i in range(12)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    derived, put = [], compiler.written
+    monkeypatch.setattr(compiler, "written", lambda df, name="step": derived.append("Window" in df._jdf.queryExecution().optimizedPlan().toString()) or put(df, name))
+    g = catalog.table_graph(spark, str(tmp_path))
+    for query in ("MATCH (a:Event {eventId: 1})-[:NEXT*]->(b:Event) RETURN COUNT(b) AS n", "MATCH (a:Event {eventId: 1})-[:NEXT*]->(b:Event) RETURN COUNT(DISTINCT b) AS n"):
+        derived.clear()
+        assert compiler.cypher(spark, g, query).first()[0] == 5
+        assert len(derived) > 5 and sum(derived) == 1
