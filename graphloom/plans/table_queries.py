@@ -14,7 +14,7 @@ from ..sources import files
 from ..steps import shared_dir
 from .catalog import table_graph
 from .compiler import cypher
-from .dataset_queries import CYPHERS, EVALS, GATES, ITEMS, PAIRS, boot_sql, bucket_sql, cypher_texts, draws_sql, evaluations, gate_rows, items, pairs, read, word_sql
+from .dataset_queries import CYPHERS, EVALS, GATES, ITEMS, PAIRS, bucket_sql, cypher_texts, draws_sql, evaluations, gate_rows, items, pairs, poisson_sql, read, unit_boot_sql, word_sql
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -291,14 +291,14 @@ def _(spark, d):
     return spark.createDataFrame(list(statistics.non_negative_ridge(p, ["size"], "y").items()), "feature string, weight double")
 
 
-@query("t19_delta_bootstrap", f"WITH {EVALS}, ab AS (SELECT a.cluster, b.solved::INT::DOUBLE - a.solved::INT::DOUBLE AS d FROM ev a JOIN ev b ON a.item = b.item WHERE a.model = 1 AND b.model = 2), {boot_sql('SELECT 0 AS g, cluster AS key, sum(d) AS total, count(*) AS n FROM ab GROUP BY ALL')} SELECT clusters, round(mean, 9) AS mean, round(low, 9) AS low, round(high, 9) AS high FROM p JOIN b USING (g)")
+@query("t19_delta_bootstrap", f"WITH {EVALS}, ab AS (SELECT a.cluster, b.solved::INT::DOUBLE - a.solved::INT::DOUBLE AS d FROM ev a JOIN ev b ON a.item = b.item WHERE a.model = 1 AND b.model = 2), {unit_boot_sql('SELECT 0 AS g, cluster AS key, sum(d) AS total, count(*) AS n FROM ab GROUP BY ALL')} SELECT clusters, round(mean, 9) AS mean, round(low, 9) AS low, round(high, 9) AS high FROM p JOIN b USING (g)")
 def _(spark, d):
     e = evaluations(spark, d)
     out = statistics.delta_bootstrap(e.filter("model = 1"), e.filter("model = 2"), "item", "cluster", "solved")
     return out.select("clusters", *[F.round(c, 9).alias(c) for c in ("mean", "low", "high")])
 
 
-@query("t06_stratified_bootstrap", f"WITH {EVALS}, s AS MATERIALIZED (SELECT category AS g, cluster AS key, sum(solved::INT)::DOUBLE AS total, count(*) AS n FROM ev GROUP BY ALL), k AS MATERIALIZED (SELECT g, {bucket_sql('key', 'boot')} AS bucket, sum(total) AS total, sum(n) AS n FROM s GROUP BY ALL), {draws_sql('w', 'k', 'boot', "g || ':' ||")}, r AS (SELECT g, rep, sum(w * total) AS t, sum(w * n) AS r, sum(total) AS all_t, sum(n) AS all_r FROM w GROUP BY ALL), m AS (SELECT rep, sum(CASE WHEN r > 0 THEN t / r ELSE all_t / all_r END * all_r) / sum(all_r) AS m FROM r GROUP BY 1) SELECT (SELECT count(*) FROM s) AS clusters, round((SELECT sum(total) / sum(n) FROM s), 9) AS mean, round(quantile_cont(m, 0.025), 9) AS low, round(quantile_cont(m, 0.975), 9) AS high FROM m")
+@query("t06_stratified_bootstrap", f"WITH {EVALS}, k AS MATERIALIZED (SELECT category AS g, cluster AS key, sum(solved::INT)::DOUBLE AS total, count(*) AS n FROM ev GROUP BY ALL), r AS (SELECT unnest(range(1, 2001)) AS rep), u AS (SELECT k.*, rep, ('0x' || substr(sha256('boot:' || rep::VARCHAR || ':' || key::VARCHAR), 1, 13))::BIGINT / 4503599627370496.0 AS u FROM k, r), w AS (SELECT g, rep, total, n, {poisson_sql()} AS w FROM u), s AS (SELECT g, rep, sum(w * total) AS t, sum(w * n) AS r, sum(total) AS all_t, sum(n) AS all_r FROM w GROUP BY ALL), m AS (SELECT rep, sum(CASE WHEN r > 0 THEN t / r ELSE all_t / all_r END * all_r) / sum(all_r) AS m FROM s GROUP BY 1) SELECT (SELECT count(*) FROM k) AS clusters, round((SELECT sum(total) / sum(n) FROM k), 9) AS mean, round(quantile_cont(m, 0.025), 9) AS low, round(quantile_cont(m, 0.975), 9) AS high FROM m")
 def _(spark, d):
     """Clusters resampled inside each category."""
     out = statistics.cluster_bootstrap(evaluations(spark, d), "cluster", "solved", strata=["category"])

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import query_text, values
 from ..operators import refresh
+from ..steps import spread
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -24,7 +25,7 @@ def over_customers(name: str, kind: str, function: Callable, arguments: Callable
 
     def query(spark: SparkSession, d: str) -> DataFrame:
         made = arguments()
-        rows = query_text.spread(spark.read.parquet(f"{d}/customer.parquet"), K).select(K, *[a.alias(f"a{i}") for i, a in enumerate(made)])
+        rows = spread(spark.read.parquet(f"{d}/customer.parquet"), K).select(K, *[a.alias(f"a{i}") for i, a in enumerate(made)])
         return rows.select(K, query_text.frame(function, kind, *[f"a{i}" for i in range(len(made))]).alias("found"))
 
     QUERIES[name] = query
