@@ -449,6 +449,10 @@ class Compiler:
                 on = F.col(places[-1][0]) == F.col(c["s"])
                 if places[-1][1] and c.get("sl"):
                     on &= F.col(places[-1][1]) == F.col(c["sl"])
+                if compared := self.compared(path, j, env, scope):
+                    df = self.attach(df, path.nodes[j - 1], own(j - 1), places[j - 1], env, scope)
+                    step = self.attach(step, path.nodes[j + 1], own(j + 1), (c["d"], c.get("dl")), env, scope)
+                    df, step = self.narrowed(df, step, places[-1][0], c["s"], compared, path.nodes[j - 1].name, env)
                 df = df.join(step, on)
                 places.append((c["d"], c.get("dl")))
         for j, node in enumerate(path.nodes):
@@ -458,6 +462,36 @@ class Compiler:
             env[path.name] = Bound("path", length=(fixed, tuple(arrays)), hops=tuple(hops), node_ids=tuple(p[0] for p in places))
         return df, env
 
+    def compared(self, path: Path, j: int, env: Scope, scope: Scope) -> list[Binary]:
+        """The hints that compare the two neighbours of node ``j`` by size, where edges of both point at it: it may have many of each, so their pairs are many more than rows."""
+        if path.shortest or path.rels[j].many or path.rels[j - 1].many or (path.rels[j - 1].direction, path.rels[j].direction) != ("out", "in"):
+            return []
+        a, b = path.nodes[j - 1].name, path.nodes[j + 1].name
+        names = [n.name for n in path.nodes]
+        if not a or not b or names.count(a) > 1 or names.count(b) > 1 or any(x in env or x in scope for x in (a, b)):
+            return []
+        inside = lambda of: {x.name for x in walk(of) if isinstance(x, Variable)}
+        sizes = [c for c in self.hints if isinstance(c, Binary) and c.op in ("<", "<=", ">", ">=") and not any(isinstance(x, Exists) for x in walk(c))]
+        return [c for c in sizes if (inside(c.left), inside(c.right)) in (({a}, {b}), ({b}, {a}))]
+
+    def narrowed(self, df: DataFrame, step: DataFrame, at: str, s: str, compared: list[Binary], left: str, env: Scope) -> tuple[DataFrame, DataFrame]:
+        """The rows of both sides of a join (``at`` = ``s``) for which some row of the other side fits a comparison, by its least or greatest value under the key.
+
+        ``left``: the variable of ``df``. Rows that go have no partner; the comparison itself is still made on the pairs.
+        """
+        for c in compared:
+            x, y = self.value(c.left, env), self.value(c.right, env)
+            if not {x.kind, y.kind} <= {"int", "float"}:
+                continue
+            ours, theirs = (x.column, y.column) if any(isinstance(v, Variable) and v.name == left for v in walk(c.left)) else (y.column, x.column)
+            below = (c.op in ("<", "<=")) == (ours is x.column)  # whether ours is the lesser
+            bound = lambda rows, key, value, of: rows.groupBy(F.col(key).alias(f"{key}#")).agg(of(value).alias(f"{key}#bound"))
+            of_df, of_step = bound(df, at, ours, F.min if below else F.max), bound(step, s, theirs, F.max if below else F.min)
+            edge = lambda key, value, less: value <= F.col(f"{key}#bound") if less else value >= F.col(f"{key}#bound")
+            df = df.join(of_step, F.col(at) == F.col(f"{s}#")).filter(edge(s, ours, below)).drop(f"{s}#", f"{s}#bound")
+            step = step.join(of_df, F.col(s) == F.col(f"{at}#")).filter(edge(at, theirs, not below)).drop(f"{at}#", f"{at}#bound")
+        return df, step
+
     def attach(self, df: DataFrame, node: Node, labels: frozenset[str], place: tuple[str, str | None], env: Scope, scope: Scope) -> DataFrame:
         """Bind a node to its place in a path, and join its frame if properties are needed."""
         id_column, label_column = place

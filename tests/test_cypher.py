@@ -253,3 +253,22 @@ def test_unbounded_rounds_read_written_edges(spark, tmp_path, monkeypatch):
         derived.clear()
         assert compiler.cypher(spark, g, query).first()[0] == 5
         assert len(derived) > 5 and sum(derived) == 1
+
+
+@pytest.mark.parametrize("condition", ["a.v < b.v - 7", "a.v - 7 >= b.v", "b.v - 7.5 > a.v AND a.v <= b.w", "a.v > b.v"])
+def test_comparison_across_a_hub_is_narrowed_first(spark, condition, monkeypatch):
+    """Neighbours of a node that are compared: the pairs of a plain loop, from the few rows of each side that can have a partner."""
+    from graphloom.plans import compiler
+    from graphloom.plans.catalog import GraphCatalog
+
+    rows = [(i, i % 3, i % 11 if i % 13 else None, float(i % 5), "xy"[i % 2]) for i in range(120)]
+    c = spark.createDataFrame(rows, "_id long, n long, v long, w double, k string")
+    g = GraphCatalog({"C": c.drop("n"), "N": spark.range(3).select(F.col("id").alias("_id"))}, {("C", "IN", "N"): c.select(F.col("_id").alias("_src"), F.col("n").alias("_dst"), F.col("_id").alias("_eid"))})
+    sides, put = [], compiler.Compiler.narrowed
+    monkeypatch.setattr(compiler.Compiler, "narrowed", lambda *a: sides.append(put(*a)) or sides[-1])
+    found = cypher(spark, g, f"MATCH (a:C {{k: 'x'}})-[:IN]->(n:N)<-[:IN]-(b:C {{k: 'y'}}) WHERE a <> b AND {condition} RETURN id(a) AS a, id(b) AS b")
+    holds = {"a.v < b.v - 7": lambda a, b: a[2] < b[2] - 7, "a.v - 7 >= b.v": lambda a, b: a[2] - 7 >= b[2], "b.v - 7.5 > a.v AND a.v <= b.w": lambda a, b: b[2] - 7.5 > a[2] and a[2] <= b[3], "a.v > b.v": lambda a, b: a[2] > b[2]}[condition]
+    want = [(a[0], b[0]) for a in rows for b in rows if a[4] == "x" and b[4] == "y" and a[1] == b[1] and a[2] is not None and b[2] is not None and holds(a, b)]
+    assert sorted(map(tuple, found.collect())) == sorted(want) and want
+    if "7" in condition:
+        assert all(side.count() < 40 for side in sides[0])
