@@ -76,3 +76,12 @@ def test_selection_of_nothing(spark):
     assert selection.example_selection(none, "g", "id", 4, TERMS).count() == 0
     one = spark.createDataFrame([(None, 1, None, None, None, None, None, None, None, None)], SCHEMA)
     assert [tuple(r) for r in selection.example_selection(one, "g", "id", 4, TERMS).collect()] == [(None, 1, 1)]
+
+
+def test_rows_of_few_kinds_are_chosen_exactly_from_any_number(spark):
+    """A group of many times ``part_rows`` rows, but few kinds of them, has the order of the plain loop."""
+    kinds = candidates(5, 40)
+    rows = [(r[0], i * 40 + r[1], *r[2:]) for i in range(6) for r in kinds]
+    found = selection.example_selection(spark.createDataFrame(rows, SCHEMA).repartition(5), "g", "id", 12, TERMS, part_rows=48).collect()
+    for g in "ab":
+        assert order_of(found, g) == greedy([r for r in rows if r[0] == g], 12)
