@@ -11,6 +11,9 @@ Only distinct fingerprints are joined, so exact copies cost nothing. Where more
 they are split into blocks and every pair of blocks is a group of its own, so that no task holds
 an unbounded group; under a key of more than ``HOT`` they meet again under longer keys instead. A group
 returns a spanning forest of its links, not all pairs.
+
+Texts alike by Jaccard similarity (``similar_components``) meet where samples of their shingles have fingerprints with
+equal rows in the pivot table; at the wide radius of their whole fingerprints the pivot tables are of blocks of bits.
 """
 
 from __future__ import annotations
@@ -36,6 +39,8 @@ NO_ID = (1 << 63) - 1
 #: Reference fingerprints of the pivot tables, by a rule: hashes of 0, 1, 2, ...
 PIVOTS = np.array([xxhash.xxh64_intdigest(i.to_bytes(8, "little"), SEED) for i in range(16)], dtype=np.uint64)
 BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
+#: Reference blocks of four bits: two blocks that differ in up to three bits have distances to one of them that differ as much.
+BLOCK_PIVOTS = np.array([0b0000, 0b0011, 0b0101, 0b0110], dtype=np.uint8)
 COLUMN = (np.arange(8) * 256).astype(np.int64)
 
 
@@ -87,11 +92,27 @@ def pivot_table(fps: np.ndarray, group: np.ndarray) -> np.ndarray:
     return np.stack([apart(fps, first), *(apart(fps, np.roll(PIVOTS, -p)[:width]) for p in range(len(PIVOTS)))], axis=1)
 
 
-def linked_pairs(fps: np.ndarray, group: np.ndarray, radius: int, may=None) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of pairs of one group that differ in at most ``radius`` bits (and that ``may(i, j)`` allows); rows (words) are sorted by group."""
+def block_table(fps: np.ndarray) -> np.ndarray:
+    """Each row's distances to each of the BLOCK_PIVOTS, in every block of four bits: rows x pivots x blocks."""
+    cells = np.ascontiguousarray(fps).view(np.uint8)
+    blocks = np.concatenate([cells >> 4, cells & 15], axis=1)
+    return np.bitwise_count(blocks[:, None, :] ^ BLOCK_PIVOTS[:, None]).astype(np.int8)
+
+
+def least_apart(table: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Bounds from below on the distances of rows i and j: in each block the triangle inequality by its best pivot, then the sum."""
+    return np.abs(table[i] - table[j]).max(axis=1).sum(axis=1, dtype=np.int16)
+
+
+def linked_pairs(fps: np.ndarray, group: np.ndarray, radius: int, may=None, by_block: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of pairs of one group that differ in at most ``radius`` bits (and that ``may(i, j)`` allows); rows (words) are sorted by group.
+
+    ``by_block``: the pivot table has distances in each block of bits, for a radius at which those of whole fingerprints tell nothing.
+    """
     near = pivot_table(fps, group)
     order = np.lexsort((near[:, 0], group))
     fps, group, near = fps[order], group[order], near[order]
+    blocks = block_table(fps) if by_block else None
     found_i, found_j = [], []
     # In a group sorted by the first distance, only rows within ``radius`` of it can link.
     sort_key = group.astype(np.int64) * 1024 + near[:, 0]
@@ -104,7 +125,10 @@ def linked_pairs(fps: np.ndarray, group: np.ndarray, radius: int, may=None) -> t
         if may is not None:
             keep = may(order[i], order[j])
             i, j = i[keep], j[keep]
-        for p in range(1, near.shape[1]):
+        if by_block and len(i):
+            keep = least_apart(blocks, i, j) <= radius
+            i, j = i[keep], j[keep]
+        for p in range(1, 1 if by_block else near.shape[1]):
             if not len(i):
                 break
             keep = np.abs(near[i, p] - near[j, p]) <= radius
@@ -247,11 +271,25 @@ def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = 3, id_co
 
 #: For similar texts of any kind: Jaccard similarity ALIKE[0] / ALIKE[1] of the shingle sets, exactly.
 ALIKE = (4, 5)
-#: Sets meet where all ROWS min-hashes of one of BANDS bands agree. The chance for sets of similarity j is 1 - (1 - j^ROWS)^BANDS
-#: (0.99998 at 0.8, 0.59 at 0.5, 3e-7 at 0.025), however large the corpus is. Those whose keys stay open meet again where one of
-#: SINGLES min-hashes agrees, 1 - (1 - j)^SINGLES (0.999997 at 0.8).
-BANDS, ROWS, SINGLES = 28, 5, 8
-FACTORS, OFFSETS = (np.array([xxhash.xxh32_intdigest(i.to_bytes(8, "little"), SEED + s) | 1 for i in range(BANDS * ROWS)], dtype=np.uint32) for s in (0, 1))
+#: Sets meet where the fingerprints of one of SAMPLES samples of their shingles have the same distances to all PIVOTS. A sample takes each
+#: shingle by its hash, with a chance that depends on the set's size only, so that similar sets often have exactly the same sample:
+#: with chance 0.25 or more at 0.8, so that 1 - (1 - 0.25)^SAMPLES (0.99999) meet, however large the corpus is.
+SAMPLES = 40
+FACTORS, OFFSETS = (np.array([xxhash.xxh32_intdigest(i.to_bytes(8, "little"), SEED + s) | 1 for i in range(SAMPLES)], dtype=np.uint32) for s in (0, 1))
+
+
+def size_classes(most: int = 1 << 31) -> np.ndarray:
+    """Least sizes of classes such that similar sets are in the same or in adjacent ones."""
+    edges = [1]
+    while edges[-1] < most:
+        edges.append(max(edges[-1] + 1, ALIKE[1] * (edges[-1] - 1) // ALIKE[0] + 1))
+    return np.array(edges, dtype=np.int64)
+
+
+CLASSES = size_classes()
+#: By class: below which hash a shingle is in the sample (for about 3.5 shingles and more), and how many make one (fewer are common to unlike sets).
+LIMITS = (np.minimum(0.35, 1 - np.exp(-3.5 / CLASSES)) * (1 << 32)).astype(np.uint32)
+ENOUGH = np.where(CLASSES < 16, 1, 3)
 #: 256 bits tell which sets of a group are worth comparing: sets of similarity j differ in arccos(2j / (1 + j)) / pi of
 #: the bits, 39 at 0.8 (deviation 6; 48 and 6 for sets of 4 and 5). Pairs over WIDE_RADIUS are let go (0.47 by the mean).
 WIDE_WORDS, WIDE_RADIUS = 4, 72
@@ -273,21 +311,52 @@ def wide_fingerprint(hashes: np.ndarray) -> list[int]:
     return [signed(majority(mix(hashes, w))) for w in range(WIDE_WORDS)] if len(hashes) else [0] * WIDE_WORDS
 
 
-def minimum_keys(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(a key for each band, one for each single min-hash) of a set of hashes; the empty set has them, too."""
-    least = np.full(BANDS * ROWS, 0xFFFFFFFF, dtype=np.uint32)
-    high = (hashes >> np.uint64(32)).astype(np.uint32)
-    with np.errstate(over="ignore"):
-        for at in range(0, len(high), 2048):  # so that long texts stay in the cache
-            np.minimum(least, (high[at : at + 2048, None] * FACTORS + OFFSETS).min(axis=0), out=least)
-        key = np.arange(BANDS, dtype=np.uint64)
-        for row in least.reshape(BANDS, ROWS).T:
-            key = mix(key ^ row.astype(np.uint64), 0)
-        return key, mix(mix(np.arange(SINGLES, dtype=np.uint64), 1) ^ least[: SINGLES * ROWS : ROWS].astype(np.uint64), 2)
+def samples(hashes: np.ndarray, levels: Sequence[int]) -> tuple[np.ndarray, np.ndarray]:
+    """(place, hash) of the shingles in each sample of the classes ``levels``, by place: a class has the first or the second half of the places, by turns."""
+    high, places, held = (hashes >> np.uint64(32)).astype(np.uint32), [], []
+    for at in range(0, len(hashes), 2048):  # so that long texts stay in the cache
+        with np.errstate(over="ignore"):
+            value = high[at : at + 2048, None] * FACTORS + OFFSETS
+        row, t = np.nonzero(value < LIMITS[levels[0]])
+        value = value[row, t]
+        for level in levels:
+            within = value < LIMITS[level]  # the limits fall from class to class
+            places.append(t[within] + level % 2 * SAMPLES)
+            held.append(hashes[at + row[within]])
+    place, held = np.concatenate(places), np.concatenate(held)
+    order = np.argsort(place, kind="stable")
+    return place[order], held[order]
+
+
+def pivot_keys(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, whether there is one) of a set of hashes: for each sample in the set's class of sizes and in the one below, its fingerprint's row of the pivot table.
+
+    Samples whose rows differ are different (the triangle inequality at radius 0). Sets of fewer than two shingles are like no other and have none.
+    """
+    keys, there = np.zeros(2 * SAMPLES, dtype=np.uint64), np.zeros(2 * SAMPLES, dtype=bool)
+    own = int(np.searchsorted(CLASSES, len(hashes), side="right")) - 1
+    if own < 1:
+        return keys, there
+    place, held = samples(hashes, (own - 1, own))
+    if len(place):
+        starts = np.flatnonzero(np.diff(place, prepend=-1))
+        sizes = np.diff(starts, append=len(place))
+        bits = np.unpackbits(held.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        counts = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
+        prints = np.packbits(2 * counts > sizes[:, None], axis=1).view(">u8").astype(np.uint64)
+        near = np.bitwise_count(prints ^ PIVOTS).view(np.uint64)
+        at = place[starts]
+        level = np.where(at // SAMPLES == own % 2, own, own - 1)
+        keys[at] = mix(mix(near[:, 0] ^ mix((level * SAMPLES + at % SAMPLES).astype(np.uint64), 0), 1) ^ near[:, 1], 2)
+        there[at] = sizes >= ENOUGH[level]
+    return keys, there
 
 
 def band_keys(hashes: np.ndarray) -> np.ndarray:
-    return minimum_keys(hashes)[0]
+    """Keys of a set, of which similar sets share one at the same place; those that it lacks are like no other set's."""
+    keys, there = pivot_keys(hashes)
+    lacking = mix(np.arange(len(keys), dtype=np.uint64), 3) ^ np.uint64(xxhash.xxh64_intdigest(hashes.tobytes(), SEED))
+    return np.where(there, keys, lacking)
 
 
 def fits_in(n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -316,9 +385,8 @@ def common_elements(sets: list[np.ndarray]) -> np.ndarray:
 def open_links(columns: list[str]):
     """Of partitions sorted by group: links (a, b) that connect what each group connects.
 
-    The wide fingerprints' distances leave the pairs of different components and fitting sizes within WIDE_RADIUS (the pivot tables
-    before them, which ``linked_pairs`` asks first, discard next to nothing at so wide a radius); the sets of their rows are compared exactly. A group (bi < 0, bj) has a block of the
-    key's largest component and one of the rest.
+    Of pairs of different components and fitting sizes, pivot tables of blocks of the wide fingerprints discard those over WIDE_RADIUS;
+    the sets of the others' rows are compared exactly. A group (bi < 0, bj) has a block of the key's largest component and one of the rest.
     """
 
     def links(part: pd.DataFrame) -> pd.DataFrame:
@@ -326,7 +394,7 @@ def open_links(columns: list[str]):
         fps = part[columns].to_numpy().astype(np.int64).view(np.uint64)
         size, component, bulk, mixed = (part[c].to_numpy() for c in ("elements", "component", "bulk", "bi"))
         may = lambda i, j: (component[i] != component[j]) & fits_in(size[i], size[j]) & ((mixed[i] >= 0) | (bulk[i] != bulk[j]))
-        i, j = linked_pairs(fps, group, WIDE_RADIUS, may)
+        i, j = linked_pairs(fps, group, WIDE_RADIUS, may, by_block=True)
         node, shingles = part["node"].to_numpy(), part["shingles"].to_numpy()
         order = np.argsort(group[i], kind="stable")
         i, j = i[order], j[order]
@@ -401,21 +469,20 @@ def stars(keyed: DataFrame) -> DataFrame:
     return keyed.join(heads, "key").filter("node <> b").select(F.col("node").alias("a"), "b").distinct()
 
 
-def open_nodes(keyed: DataFrame, named: DataFrame) -> DataFrame:
-    """(node, component) of the nodes under keys of more than two nodes that are not all of one component. ``named``: (node, component) of all nodes that share keys."""
+def open_rows(keyed: DataFrame, named: DataFrame) -> DataFrame:
+    """(node, key, component) of the keys of more than two nodes that are not all of one component. ``named``: (node, component) of all nodes that share keys."""
     here = keyed.join(named, "node")
     keys = here.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high AND n > 2")
-    return here.join(materialise(keys.select("key"), "open"), "key", "left_semi").select("node", "component").distinct()
+    return here.join(materialise(keys.select("key"), "open"), "key", "left_semi").select("node", "key", "component")
 
 
-def open_groups(nodes: DataFrame, distinct: DataFrame, sets: DataFrame, columns: list[str]) -> DataFrame:
-    """The open nodes with their sets, in partitions sorted by the groups in which they meet again.
+def open_groups(rows: DataFrame, distinct: DataFrame, sets: DataFrame, columns: list[str]) -> DataFrame:
+    """The nodes of open keys with their sets, in partitions sorted by the groups in which they meet again.
 
-    ``nodes``: (node, component). They meet under single min-hashes, few keys as sets travel along. A key's largest component meets the
-    rest only, never itself, so that a few rows beside one very large component cost rows in proportion; where the rest
-    has several blocks, every pair of its blocks is a group.
+    ``rows``: (node, key, component). A key's largest component meets the rest only, never itself, so that a few rows beside one
+    very large component cost rows in proportion; where the rest has several blocks, every pair of its blocks is a group.
     """
-    keyed = nodes.join(distinct.select("node", "elements", F.explode("singles").alias("key")), "node")
+    keyed = rows.join(distinct.select("node", "elements"), "node")
     sizes = keyed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("m"), F.sum("elements").alias("e"))
     keys = sizes.groupBy("key").agg(F.max(F.struct("m", "component", "e")).alias("top"), F.sum("m").alias("n"), F.sum("e").alias("e"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
     blocks = lambda n, e: F.ceil(F.greatest(n / F.lit(WIDE_BLOCK), e / F.lit(BLOCK_ELEMENTS))).cast("int")
@@ -440,15 +507,15 @@ def similar_rows(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> D
     def make():
         def step(columns):
             hashes = [np.unique(shingle_hashes(t, shingle)) for t in columns[2]]
-            prints, keys = [wide_fingerprint(h) for h in hashes], [minimum_keys(h) for h in hashes]
-            return [columns[0], columns[1], [set_node(h) for h in hashes], [len(h) for h in hashes], *([p[w] for p in prints] for w in range(WIDE_WORDS)), *([k[i].view(np.int64) for k in keys] for i in (0, 1))]
+            prints, keys = [wide_fingerprint(h) for h in hashes], [pivot_keys(h) for h in hashes]
+            return [columns[0], columns[1], [set_node(h) for h in hashes], [len(h) for h in hashes], *([p[w] for p in prints] for w in range(WIDE_WORDS)), [k[there].view(np.int64) for k, there in keys]]
 
         return step
 
-    light = materialise(map_rows(texts, make, "doc_id long, th long, node long, elements long, " + ", ".join(f"{w} long" for w in words) + ", keys array<long>, singles array<long>"), "wide")
+    light = materialise(map_rows(texts, make, "doc_id long, th long, node long, elements long, " + ", ".join(f"{w} long" for w in words) + ", keys array<long>"), "wide")
     columns = [*words, "elements"]
     row = F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "th")
-    distinct = materialise(light.groupBy("node").agg(F.min(row).alias("rep"), *[F.first(c).alias(c) for c in (*columns, "keys", "singles")]), "distinct")
+    distinct = materialise(light.groupBy("node").agg(F.min(row).alias("rep"), *[F.first(c).alias(c) for c in (*columns, "keys")]), "distinct")
     keyed = distinct.select("node", F.explode("keys").alias("key"))
     tried = materialise(stars(keyed), "stars")
     met = materialise(tried.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "met")
@@ -456,7 +523,7 @@ def similar_rows(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> D
     sets = shingle_sets(texts, owners, shingle)
     roots = materialise(connected_components(compared(tried, sets)), "roots")
     named = met.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("component"))
-    parts = open_groups(materialise(open_nodes(keyed, named), "open-nodes"), distinct, sets, columns)
+    parts = open_groups(materialise(open_rows(keyed, named), "open-rows"), distinct, sets, columns)
     more = materialise(parts.mapInPandas(open_links(words), "a long, b long").distinct(), "links")
     links = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
     return light.select("doc_id", "th", "node").join(components_of(distinct, links, ["node"]), "node").select("doc_id", "th", F.col("component").alias("least"))
@@ -465,10 +532,10 @@ def similar_rows(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> D
 def similar_components(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, component_id) for texts whose shingle sets have a Jaccard similarity of at least ALIKE.
 
-    Sets meet under the keys of min-hash bands (see BANDS), whose recall does not depend on the size of the corpus. First
-    each set is compared with the least of every key that it shares, which joins nearly all copies at a cost linear in the
-    keys. Then the sets under keys that are not all of one component meet again; in each group the fingerprints' own
-    distances discard, the rest are compared, and a spanning forest of links is returned, not all pairs. Only sets
+    Sets meet where fingerprints of samples of their shingles have the same row in the pivot table (see SAMPLES), whose recall does not
+    depend on the size of the corpus. First each set is compared with the least of every key that it shares, which joins nearly
+    all copies at a cost linear in the keys. Then the sets under keys that are not all of one component meet again; in each group pivot
+    tables of blocks of the whole sets' fingerprints discard, the rest are compared, and a spanning forest of links is returned, not all pairs. Only sets
     that are similar (by hashes of 40 bits) are linked. Nulls, empty texts and repeats are as in ``simhash_components``.
     """
     return similar_rows(docs, shingle, id_col, text_col).select("doc_id", F.nullif("least.id", F.lit(NO_ID)).alias("component_id"))

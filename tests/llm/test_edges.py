@@ -271,6 +271,36 @@ def test_pivots_discard_only_what_cannot_link():
     assert {tuple(sorted(p)) for p in zip(i.tolist(), j.tolist(), strict=True)} == expected
 
 
+def test_pivots_by_block_discard_what_those_of_whole_fingerprints_do_not():
+    """256 random bits at the radius of the near-copy stage: bounds hold and discard unlike texts (before: 0.03 %), and pairs within the radius stay."""
+    random = np.random.default_rng(10)
+    fps = random.integers(0, 1 << 63, (600, 4), dtype=np.uint64) << np.uint64(1)
+    flips = (random.random((300, 256)) < 0.15).astype(np.uint8)
+    fps[300:] = fps[:300] ^ np.packbits(flips, axis=1).view(np.uint64)
+    i, j = np.triu_indices(600, 1)
+    bound, distance = simhash.least_apart(simhash.block_table(fps), i, j), simhash.apart(fps[i], fps[j])
+    assert (bound <= distance).all() and (bound[distance > 90] > simhash.WIDE_RADIUS).mean() > 0.99
+    near = distance <= simhash.WIDE_RADIUS
+    found = simhash.linked_pairs(fps, np.zeros(600, dtype=np.int64), simhash.WIDE_RADIUS, by_block=True)
+    assert {tuple(sorted(p)) for p in zip(*(x.tolist() for x in found), strict=True)} == set(zip(i[near].tolist(), j[near].tolist(), strict=True))
+
+
+def test_candidates_are_samples_with_equal_rows_of_the_pivot_table():
+    """Equal samples have equal keys, samples whose fingerprints differ do not meet, and sizes too different have no class in common."""
+    random = np.random.default_rng(12)
+    a = random.integers(0, 1 << 63, 200, dtype=np.uint64)
+    b = np.concatenate([a[:180], random.integers(0, 1 << 63, 20, dtype=np.uint64)])
+    own = int(np.searchsorted(simhash.CLASSES, 200, side="right")) - 1
+    same = []
+    for at in range(2 * simhash.SAMPLES):
+        level = own if at // simhash.SAMPLES == own % 2 else own - 1
+        x, y = (set(held[place == at].tolist()) for place, held in (simhash.samples(s, (level,)) for s in (a, b)))
+        prints = [simhash.majority(np.array(sorted(s), dtype=np.uint64)) if s else None for s in (x, y)]
+        same.append(min(len(x), len(y)) >= simhash.ENOUGH[level] and prints[0] == prints[1])
+    assert ((simhash.band_keys(a) == simhash.band_keys(b)) == same).all() and 5 < sum(same) < 2 * simhash.SAMPLES
+    assert not (simhash.band_keys(a) == simhash.band_keys(a[:120])).any()
+
+
 def test_keep_one(docs, none, spark):
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
