@@ -8,36 +8,42 @@ from pyspark.sql import functions as F
 from .common import forget, materialise, path_of, steps
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One step over (a, b) pairs: every node's neighbours link to the least of them.
+def _large_star(edges: DataFrame) -> DataFrame | None:
+    """Every node's greater neighbours link to the least of its neighbours and itself; None if the edges are stars around least nodes already.
 
-    The large star moves the greater neighbours only, the small star the lesser ones and the node itself. The
-    least is a map-side combined minimum, and no neighbour list is ever gathered, so hubs are harmless.
+    The least is a map-side combined minimum, and no neighbour list is ever gathered, so hubs are harmless. There is a row for each edge at most.
     """
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    lesser, greater = F.count(F.when(F.col("b") < F.col("a"), 1)), F.count(F.when(F.col("b") > F.col("a"), 1))
     # Written first, so that the join shuffles both sides by itself (or broadcasts this one), and can split a hub's edges.
-    least = materialise(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")).withColumnRenamed("a", "u"), "least")
-    joined = both.join(least, both["a"] == least["u"])
-    moved = joined.filter("b > u").select(F.col("b").alias("a"), F.col("m").alias("b")) if large else joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
-    return moved.filter("a <> b").distinct()
+    least = materialise(both.groupBy(F.col("a").alias("u")).agg(F.least(F.min("b"), F.first("a")).alias("m"), ((lesser > 1) | (lesser > 0) & (greater > 0)).alias("open")), "least")
+    if least.filter("open").isEmpty():
+        return None
+    return both.join(least, both["a"] == least["u"]).filter("b > u").select(F.col("b").alias("a"), F.col("m").alias("b"))
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    """Every node (a) and its lesser neighbours (b) link to the least of these."""
+    least = materialise(edges.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")), "least")
+    joined = edges.join(least, edges["a"] == least["u"])
+    return joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).filter("a <> b").distinct()
 
 
 def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """(node, root) for every node of the undirected edges (a long, b long); the root is the component's least node.
 
     Nodes that only link to themselves do not appear. Each round is written to the shared folder, so a lost
-    executor repeats one round at most. Raises if ``rounds`` do not suffice, which no graph needs
+    executor repeats one round at most; edges that are stars need none. Raises if ``rounds`` do not suffice, which no graph needs
     (the steps take a number of rounds logarithmic in the nodes).
     """
     now = materialise(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    state = None
     for _ in range(rounds):
-        before = steps()
-        old = path_of(now)
-        now = materialise(_star(_star(now, large=True), large=False), "edges")
-        forget(edges.sparkSession, {old, *steps() - before} - {path_of(now)})
-        seen = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if seen == state:
+        old, before = path_of(now), steps()
+        moved = _large_star(now)
+        if moved is None:
+            forget(edges.sparkSession, steps() - before)
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select("b", "b").toDF("node", "root").distinct())
-        state = seen
+        # Written, as the small star reads it twice. All its links point down.
+        now = materialise(_small_star(materialise(moved, "moved")), "edges")
+        forget(edges.sparkSession, {old, *steps() - before} - {path_of(now)})
     raise RuntimeError("components did not settle")

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_text, map_rows, materialise, small_batches, table, text_or_empty
+from .common import forget, id_text, map_rows, materialise, path_of, small_batches, table, text_or_empty
 from .folds import fold, lot
 
 #: Hash buckets of the n-grams.
@@ -149,6 +149,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[Softmax, n
 
     drawn = sample.select(F.xxhash64(id_text(), "text").alias("o"), "lang", fold().alias("fold"), "text")
     vectors = materialise(map_rows(drawn.select("lang", "fold", "text", "o"), make, "lang string, fold int, at array<int>, val array<float>, o long"), "vectors")
+    written = path_of(vectors)
     # The driver orders the sample itself, so that equal texts or ids are no hot range of a sort.
     sizes = vectors.select("o", F.size("at").alias("n")).toArrow()
     order = np.argsort(sizes["o"].to_numpy(), kind="stable")
@@ -156,6 +157,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[Softmax, n
     if not fits.all():
         vectors = vectors.filter(F.col("o") < int(sizes["o"].to_numpy()[order][fits.argmin()]))
     rows = vectors.toArrow()
+    forget(docs.sparkSession, {written})
     rows = rows.take(np.lexsort((rows["lang"].to_numpy(zero_copy_only=False).astype(str), rows["o"].to_numpy())))
     at, val = (rows[c].combine_chunks() for c in ("at", "val"))
     starts, buckets, values = at.offsets.to_numpy(), at.values.to_numpy(), val.values.to_numpy()

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, map_rows, materialise, small_batches, table, to_arrow
+from .common import broadcast_if_small, forget, map_rows, materialise, path_of, small_batches, steps, table, to_arrow
 from .simhash import mix
 
 #: Leading tokens of a path; token counts from which one stretch of THIRDS, or two of FIFTHS, are generalised.
@@ -295,7 +295,9 @@ def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     is set to the new length where lines went. ``dropped_col`` adds the numbers (from 0) of the dropped lines. Repeated
     rows are treated alike. An empty table gives an empty result. Other columns pass through, whatever their names.
     """
+    before = steps()
     flags = materialise(recurring_lines(docs, id_col, text_col, **limits).select(F.col("id").alias("__gl_id"), F.col("th").alias("__gl_th"), F.col("dropped").alias("__gl_dropped")), "flags")
+    forget(docs.sparkSession, steps() - before - {path_of(flags)})  # the result reads only these
     numbers = flags.agg(F.coalesce(F.avg(F.size("__gl_dropped")), F.lit(0.0))).first()[0]
     flags = broadcast_if_small(flags, row_bytes=64 + 4 * numbers)
     text = F.col(text_col)

@@ -17,6 +17,8 @@ from .common import gapless_number, materialise, md5_salt, table, text_or_empty
 
 #: Longest sequence (longer documents become several), buckets, and padded tokens a batch.
 MAX_TOKENS, BUCKETS, BUDGET = 2048, 16, 65536
+#: Ends of buckets that the dynamic programme settles at a time, which bounds its memory.
+COLUMNS = 128
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -27,8 +29,8 @@ def word_count(text: Column) -> Column:
 def optimal_boundaries(histogram: Mapping[int, int], buckets: int) -> list[int]:
     """The upper bounds, at most ``buckets``, that minimise the sum over sequences of bound - length.
 
-    Exact: best[k][j] is the least cost of the first j distinct lengths in k buckets. Each level is one
-    vectorised minimum over the last bucket's start; of equal costs the earliest start is taken.
+    Exact: best[k][j] is the least cost of the first j distinct lengths in k buckets. Each level is a
+    vectorised minimum over the last bucket's start, for COLUMNS ends at a time; of equal costs the earliest start is taken.
     """
     lengths = np.array(sorted(histogram), dtype=np.int64)
     if not len(lengths):
@@ -37,14 +39,18 @@ def optimal_boundaries(histogram: Mapping[int, int], buckets: int) -> list[int]:
     rows, tokens = np.concatenate([[0], counts.cumsum()]), np.concatenate([[0], (counts * lengths).cumsum()])
     n, levels = len(lengths), min(buckets, len(lengths))
     # cost[i, j]: lengths i..j-1 in one bucket bounded by lengths[j-1]
-    cost = lengths[None, :] * (rows[None, 1:] - rows[:-1, None]) - (tokens[None, 1:] - tokens[:-1, None])
     huge = np.iinfo(np.int64).max // 4
-    cost = np.where(np.arange(n)[:, None] <= np.arange(n)[None, :], cost, huge)
+    cost, parts = np.empty((n, n), dtype=np.int64), [slice(c, c + COLUMNS) for c in range(0, n, COLUMNS)]
+    for c in parts:
+        of = lengths[None, c] * (rows[1:][None, c] - rows[:-1, None]) - (tokens[1:][None, c] - tokens[:-1, None])
+        cost[:, c] = np.where(np.arange(n)[:, None] <= np.arange(n)[None, c], of, huge)
     best, cut = cost[0].copy(), [np.zeros(n, dtype=np.int64)]
     for _ in range(levels - 1):
-        total = np.concatenate([[huge], best[:-1]])[:, None] + cost
-        start = total.argmin(axis=0)
-        better = total[start, np.arange(n)]
+        before = np.concatenate([[huge], best[:-1]])[:, None]
+        start, better = np.empty(n, dtype=np.int64), np.empty(n, dtype=np.int64)
+        for c in parts:
+            total = before + cost[:, c]
+            start[c], better[c] = total.argmin(axis=0), total.min(axis=0)
         cut.append(start)
         best = np.minimum(better, huge)
     bounds, j = [], n - 1

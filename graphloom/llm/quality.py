@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_text, map_rows, materialise, table, text_or_empty
+from .common import forget, id_text, map_rows, materialise, path_of, table, text_or_empty
 from .folds import fold, lot
 from .language_id import filter_texts
 
@@ -200,11 +200,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, positives: i
         hashes = Words()
         return lambda columns: [columns[0], columns[1], columns[2], [features(t, hashes) for t in columns[3]]]
 
-    found = map_rows(rows.select("id", "good", "drawn", "text"), make, "id string, good int, drawn int, x array<double>").toPandas()
-    x = np.array(found["x"].tolist()).reshape(-1, WIDTH)
-    order = np.lexsort((x[:, 0], found["id"].to_numpy().astype(str))) if len(found) else []
-    found, x = found.iloc[order], x[order]
-    positive, unlabelled = x[found["good"].notna().to_numpy()], x[found["drawn"].notna().to_numpy()]
+    # As Arrow, since lists of boxed numbers take the driver several times as much.
+    found = map_rows(rows.select("id", "good", "drawn", "text"), make, "id string, good int, drawn int, x array<double>").toArrow()
+    forget(docs.sparkSession, {path_of(trusted), path_of(drawn)})
+    x = found["x"].combine_chunks().flatten().to_numpy().reshape(-1, WIDTH)
+    order = np.lexsort((x[:, 0], found["id"].to_numpy(zero_copy_only=False).astype(str)))
+    good, drawn = (found[c].is_valid().to_numpy(zero_copy_only=False).astype(bool)[order] for c in ("good", "drawn"))
+    positive, unlabelled = x[order[good]], x[order[drawn]]
+    del found, x
     return fit(positive, unlabelled)[0] if len(positive) else None
 
 

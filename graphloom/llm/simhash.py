@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, map_rows, materialise, table, text_or_empty
+from .common import broadcast_if_small, forget, map_rows, materialise, path_of, steps, table, text_or_empty
 from .components import connected_components
 
 SEED, BITS = 42, 64
@@ -549,9 +549,10 @@ def keep_one(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col
     empty texts are alike. Very long texts are compared whole. An empty table gives an empty result; other columns pass
     through, whatever their names.
     """
-    here = F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "th")
+    here, before = F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "th"), steps()
     rows = similar_rows(docs, shingle, id_col, text_col)
     lose = materialise(rows.filter(here != F.col("least")).select(F.col("doc_id").alias("__gl_id"), F.col("th").alias("__gl_th")).distinct(), "copies")
+    forget(docs.sparkSession, steps() - before - {path_of(lose)})  # the result reads only these
     same = F.col(id_col).cast("long").eqNullSafe(F.col("__gl_id")) & (F.xxhash64(text_or_empty(text_col)) == F.col("__gl_th"))
     return docs.join(broadcast_if_small(lose), same, "left_anti")
 

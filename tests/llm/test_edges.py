@@ -860,3 +860,46 @@ def test_steps_are_deleted_when_nothing_reads_them(spark):
     forget(spark, steps() - before)
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     assert path not in steps() and not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def test_components_take_no_round_for_stars_and_equal_brute_force(spark, monkeypatch):
+    from graphloom.llm import components
+
+    written = []
+    monkeypatch.setattr(components, "materialise", lambda df, name, f=components.materialise: written.append(name) or f(df, name))
+    stars = [(i, i % 7) for i in range(200)]
+    got = components.connected_components(spark.createDataFrame(stars, "a long, b long"))
+    assert sorted(map(tuple, got.collect())) == sorted((i, i % 7) for i in range(200))
+    assert written == ["edges", "least"]  # none but what shows that they are stars
+    rng = np.random.default_rng(3)
+    random_edges = [(int(a), int(b)) for a, b in rng.integers(-300, 300, (330, 2))]
+    for edges in (random_edges, [(i, i + 1) for i in range(100)], [(i, 0) for i in range(1, 50)] + [(i, -1) for i in range(40, 90)], [], [(5, 5)]):
+        got = {r["node"]: r["root"] for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+        nodes = sorted({x for e in edges if e[0] != e[1] for x in e})
+        at = {x: k for k, x in enumerate(nodes)}
+        own = [(at[a], at[b]) for a, b in edges if a != b]
+        root = simhash.forest(len(nodes), np.array([e[0] for e in own], dtype=np.int64), np.array([e[1] for e in own], dtype=np.int64))
+        assert got == {x: nodes[root[k]] for k, x in enumerate(nodes)}
+
+
+def test_stages_keep_only_the_steps_that_their_results_read(spark, sf_dir):
+    from graphloom.llm.common import steps, table
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    for stage, most in ((language_id.keep_identified, 0), (lambda d: quality.keep_good(d, labels), 0), (line_dedup.drop_lines, 1), (simhash.keep_one, 1)):
+        before = steps()
+        kept = stage(docs)
+        assert len(steps() - before) <= most
+        assert kept.count() > 0
+
+
+def test_boundaries_of_all_lengths_take_little_memory():
+    import tracemalloc
+
+    histogram = {n: 1 + n * 7919 % 101 for n in range(packing.MAX_TOKENS + 1)}
+    tracemalloc.start()
+    bounds = packing.optimal_boundaries(histogram, packing.BUCKETS)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(bounds) == packing.BUCKETS and bounds[-1] == packing.MAX_TOKENS
+    assert peak < 60e6  # one matrix of costs has 34 MB
