@@ -17,8 +17,8 @@ from .ranks import dealt, hash_places, hash_top, join_groups, left_groups, runni
 SEED = "graphloom"
 #: Rows of ``ordered_quota`` that are settled one after the other in a round.
 AT_ONCE = 20_000
-#: Rows of a part in which a selection is greedy.
-PART_ROWS = 5_000
+#: Best rows of a group that one task chooses from in a round; up to 1,000 the planner cuts each task's rows before they are exchanged.
+POOL_ROWS = 1_000
 
 
 def hash_key(id_: Column | str, seed: str = SEED) -> Column:
@@ -147,11 +147,12 @@ TERM_WEIGHTS = {"signature": 0.24, "family": 0.18, "substructures": 0.22, "schem
 CAP_PENALTY, SIGNATURE_SHARE, FAMILY_SHARE = 0.35, 0.20, 0.25
 
 
-def picked(rows: pd.DataFrame, id_col: str, features: Mapping[str, tuple[str, float]], target: int, quality: tuple[str, float] | None, lexical: tuple[str, float] | None, caps: Sequence[tuple[str, float, float]]) -> list[int]:
-    """Places of the rows that a greedy selection takes, in order; ``rows`` are sorted by id.
+def picked(rows: pd.DataFrame, features: Mapping[str, tuple[str, float]], target: int, quality: tuple[str, float] | None, lexical: tuple[str, float] | None, caps: Sequence[tuple[str, float, float]], before: int = 0, last: int | None = None) -> list[int]:
+    """Places of the rows that a greedy selection takes, in order; ``rows`` are the ``before`` ones that were taken already, in their order, and others sorted by id.
 
     No term ever grows while rows are chosen, so a gain that was computed before is a bound: a heap gives the row with the greatest one, and
-    only that is computed anew.
+    only that is computed anew. ``last`` is the place of a row that all rows that are missing here come after as things are at the start: the selection ends
+    when the next row comes after it, too.
     """
     sets = {f: [frozenset(v) for v in rows[c]] for f, (c, _) in features.items()}
     words = [frozenset(v) for v in rows[lexical[0]]] if lexical else []
@@ -177,47 +178,119 @@ def picked(rows: pd.DataFrame, id_col: str, features: Mapping[str, tuple[str, fl
                 out -= penalty
         return out
 
-    heap = [(-gain(i), i, 0) for i in range(len(rows))]
-    heapq.heapify(heap)
-    while heap and len(chosen) < target:
-        _, i, known = heapq.heappop(heap)
-        if known < len(chosen):
-            heapq.heappush(heap, (-gain(i), i, len(chosen)))
-            continue
+    def take(i: int) -> None:
         chosen.append(i)
         for f in features:
             seen[f] |= sets[f][i]
         for n in range(len(caps)):
             for v in limited[n][i]:
                 used[n][v] = used[n].get(v, 0) + 1
-    return chosen
 
+    for i in range(before):
+        take(i)
+    heap = [(-gain(i), i, before) for i in range(before, len(rows))]
+    end = next((x[:2] for x in heap if x[1] == last), None)
+    heapq.heapify(heap)
+    while heap and len(chosen) < target:
+        value, i, known = heapq.heappop(heap)
+        if known < len(chosen):
+            heapq.heappush(heap, (-gain(i), i, len(chosen)))
+            continue
+        if end and len(chosen) > before and (value, i) > end:
+            break
+        take(i)
+    return chosen[before:]
+
+
+def kinds_of(df: DataFrame, group: str, id_col: str, columns: Sequence[str], k: int, quality: str | None) -> DataFrame:
+    """(_g, _id, _q with ``quality``, the array columns as sets, _target): the ``k`` least ids of each kind of row.
+
+    Rows alike in all columns that count always gain the same, so only these can be chosen; that the others go first changes nothing.
+    """
+    rows = df.select(F.col(group).alias("_g"), F.col(id_col).alias("_id"), *([F.coalesce(F.col(quality).cast("double"), F.lit(0.0)).alias("_q")] if quality else []), *[F.array_distinct(F.coalesce(F.filter(c, lambda x: x.isNotNull()), F.array()).cast("array<string>")).alias(c) for c in columns])
+    rows = join_groups(rows, rows.groupBy("_g").agg(F.least(F.count(F.lit(1)), F.lit(k)).cast("int").alias("_target")), ["_g"])
+    kind = [*(["_q"] if quality else []), *columns]
+    return rows.withColumn("_rn", F.row_number().over(Window.partitionBy("_g", *kind).orderBy("_id"))).filter(F.col("_rn") <= k).drop("_rn")
+
+
+def columns_of(features: Mapping[str, tuple[str, float]], lexical: tuple[str, float] | None, caps: Sequence[tuple[str, float, float]]) -> list[str]:
+    return [*dict.fromkeys([*[c for c, _ in features.values()], *([lexical[0]] if lexical else []), *[c for c, _, _ in caps]])]
 
-def diverse_selection(df: DataFrame, group: str, id_col: str, features: Mapping[str, tuple[str, float]], k: int, quality: tuple[str, float] | None = None, lexical: tuple[str, float] | None = None, caps: Sequence[tuple[str, float, float]] = (), part_rows: int = PART_ROWS) -> DataFrame:
+
+def diverse_selection(df: DataFrame, group: str, id_col: str, features: Mapping[str, tuple[str, float]], k: int, quality: tuple[str, float] | None = None, lexical: tuple[str, float] | None = None, caps: Sequence[tuple[str, float, float]] = (), pool_rows: int = POOL_ROWS) -> DataFrame:
     """(group, id, pick): greedy maximal-marginal selection of ``k`` rows in each group.
 
     ``features``: name -> (array<string> column, weight): a row gains the weight times the share of its values that no chosen row has (none: 0).
     ``lexical``: (array column, weight) times one less the greatest Jaccard similarity to a chosen row. ``quality``: (column, weight). ``caps``:
     (array column, share of the rows to choose, penalty): the penalty is taken once a value has its share (2 at least). Ties go to the lesser id.
 
-    Rows alike in all columns that count always gain the same, so only the k least ids of each kind of row can be chosen; the others go first,
-    which changes nothing. A group of more than ``part_rows`` (or 4 k) kinds of rows is dealt into parts by a hash of the id; each part picks k, and these
-    are dealt again until one part holds them, so no task has more than k rows of about so many kinds however large a group is. Groups that fit into
-    a part, of any number of rows, get the exact greedy order. Null groups are a group; null arrays are empty.
+    The order is the exact greedy one in groups of any size. All rows are scored, and one task takes the ``pool_rows`` best of a group. As gains
+    never grow, its choices are those of the whole group until a row comes after the last of the pool; then all rows are scored again, against what is chosen.
+    Each round chooses one row at least, so there are k at most, and no task has more of a group than its pool. Null groups are a group; null arrays are empty.
+    """
+    columns, none, by_id = columns_of(features, lexical, caps), F.array().cast("array<string>"), [F.col("_id").asc_nulls_last(), F.col("_row")]
+    rows = written(kinds_of(df, group, id_col, columns, k, quality[0] if quality else None).withColumn("_row", F.monotonically_increasing_id()), "kinds")
+    score = ("_q", quality[1]) if quality else None
+
+    def state(chosen: DataFrame) -> DataFrame:
+        """What the rows of a group that has not its target are scored against: values seen, word sets, values that have their share."""
+        every = chosen.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"), F.first("_target").alias("_most"), *[F.flatten(F.collect_list(c)).alias(f"_all_{c}") for c in columns], *([F.collect_list(lexical[0]).alias("_near")] if lexical else []))
+        every = every.filter("_n < _most").withColumns({f"_seen_{c}": F.array_distinct(f"_all_{c}") for c in columns})
+        full = lambda c, share: F.filter(f"_seen_{c}", lambda v: F.size(F.filter(f"_all_{c}", lambda x: x == v)) >= F.greatest(F.lit(2), F.ceil(F.col("_most") * F.lit(float(share)))))
+        return every.withColumns({f"_full{n}": full(c, share) for n, (c, share, _) in enumerate(caps)}).drop("_n", "_most", *[f"_all_{c}" for c in columns])
+
+    def gain(first: bool) -> Column:
+        """As in ``picked``: the same sums in the same order."""
+        out = F.col("_q") * F.lit(float(quality[1])) if quality else F.lit(0.0)
+        for c, weight in features.values():
+            new = F.size(c) if first else F.size(F.array_except(c, f"_seen_{c}"))
+            out = out + F.lit(float(weight)) * F.when(F.size(c) > 0, new / F.size(c)).otherwise(0.0)
+        if lexical:
+            union = lambda w: F.size(F.array_union(F.col(lexical[0]), w))
+            alike = lambda w: F.when(union(w) > 0, F.size(F.array_intersect(F.col(lexical[0]), w)) / union(w)).otherwise(1.0)
+            out = out + F.lit(float(lexical[1])) * (1.0 - (F.lit(0.0) if first else F.aggregate("_near", F.lit(0.0), lambda m, w: F.greatest(m, alike(w)))))
+        for n, (c, _, penalty) in enumerate(caps):
+            out = out if first else out - F.when(F.arrays_overlap(c, f"_full{n}"), F.lit(float(penalty))).otherwise(0.0)
+        return out
+
+    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_at").reset_index(drop=True)
+        before, last = int((pdf["_pick"] > 0).sum()), pdf.index[pdf["_place"] == pool_rows]
+        places = picked(pdf, features, int(pdf["_target"].iloc[0]), score, lexical, caps, before, int(last[0]) if len(last) else None)
+        return pd.DataFrame({"_row": pdf["_row"].loc[places].tolist(), "_pick": range(before + 1, before + 1 + len(places))})
+
+    best, order = Window.partitionBy("_g").orderBy(F.desc("_gain"), *by_id), Window.partitionBy("_g").orderBy(F.col("_pick").asc_nulls_last(), *by_id)
+    chosen, scored = None, rows.withColumn("_gain", gain(True))
+    while True:
+        pool = scored.withColumn("_place", F.row_number().over(best)).filter(F.col("_place") <= pool_rows).select(*rows.columns, "_place", F.lit(None).cast("int").alias("_pick"))
+        if chosen is not None:
+            pool = pool.unionByName(join_groups(chosen.withColumn("_place", F.lit(0)), held.select("_g"), ["_g"]))
+        found = pool.withColumn("_at", F.row_number().over(order)).groupBy("_g").applyInPandas(choose, "_row long, _pick int")
+        found = written(rows.join(found, "_row"), "picked")
+        chosen = found if chosen is None else chosen.unionByName(found)
+        held = written(state(chosen), "held")
+        if held.isEmpty():
+            return chosen.select(F.col("_g").alias(group), F.col("_id").alias(id_col), F.col("_pick").alias("pick"))
+        scored = join_groups(rows.join(chosen.select("_row"), "_row", "left_anti"), held, ["_g"]).withColumn("_gain", gain(False))
+
+
+def selection_in_parts(df: DataFrame, group: str, id_col: str, features: Mapping[str, tuple[str, float]], k: int, quality: tuple[str, float] | None, lexical: tuple[str, float] | None, caps: Sequence[tuple[str, float, float]], part_rows: int) -> DataFrame:
+    """(group, id, pick): an approximation of ``diverse_selection`` for those who ask for it; no query does.
+
+    A group of more than ``part_rows`` (or 4 k) kinds of rows is dealt into parts by a hash of the id; each part picks k, and these are dealt
+    again until one part holds them.
     """
     part_rows = max(part_rows, 4 * k)
-    columns = [*dict.fromkeys([*[c for c, _ in features.values()], *([lexical[0]] if lexical else []), *[c for c, _, _ in caps]])]
-    rows = df.select(F.col(group).alias("_g"), F.col(id_col).alias("_id"), *([F.coalesce(F.col(quality[0]).cast("double"), F.lit(0.0)).alias("_q")] if quality else []), *[F.coalesce(F.filter(c, lambda x: x.isNotNull()), F.array()).cast("array<string>").alias(c) for c in columns])
-    rows = join_groups(rows, rows.groupBy("_g").agg(F.least(F.count(F.lit(1)), F.lit(k)).cast("int").alias("_target")), ["_g"])
+    columns = columns_of(features, lexical, caps)
+    rows = kinds_of(df, group, id_col, columns, k, quality[0] if quality else None)
     kind = [*(["_q"] if quality else []), *columns]
-    rows = rows.withColumn("_rn", F.row_number().over(Window.partitionBy("_g", *kind).orderBy("_id"))).filter(F.col("_rn") <= k).drop("_rn")
     score = ("_q", quality[1]) if quality else None
     kinds = dict(rows.dtypes)
     schema = ", ".join(f"`{c}` {t}" for c, t in kinds.items())
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop(columns="_part").sort_values("_id").reset_index(drop=True)
-        chosen = picked(pdf, "_id", features, int(pdf["_target"].iloc[0]), score, lexical, caps)
+        chosen = picked(pdf, features, int(pdf["_target"].iloc[0]), score, lexical, caps)
         return pdf.loc[chosen].assign(_pick=range(1, len(chosen) + 1))
 
     while True:
@@ -229,10 +302,11 @@ def diverse_selection(df: DataFrame, group: str, id_col: str, features: Mapping[
         rows = written(found.drop("_pick"), "picked")
 
 
-def example_selection(df: DataFrame, group: str, id_col: str, k: int, terms: Mapping[str, str], weights: Mapping[str, float] = TERM_WEIGHTS, part_rows: int = PART_ROWS) -> DataFrame:
+def example_selection(df: DataFrame, group: str, id_col: str, k: int, terms: Mapping[str, str], weights: Mapping[str, float] = TERM_WEIGHTS, part_rows: int | None = None, pool_rows: int = POOL_ROWS) -> DataFrame:
     """(group, id, pick): ``diverse_selection`` with the eight terms of benchmark examples and soft caps on signatures and template families.
 
     ``terms``: signature, family and operators (string columns), substructures, schema_atoms, values and tokens (array columns), quality -> column.
+    Only a caller who gives ``part_rows`` gets the approximation of ``selection_in_parts``.
     """
     single = [t for t in ("signature", "family", "operators") if t in terms]
     rows = df.withColumns({f"_{t}": F.array(F.col(terms[t]).cast("string")) for t in single})
@@ -240,7 +314,10 @@ def example_selection(df: DataFrame, group: str, id_col: str, k: int, terms: Map
     features = {t: (column[t], weights[t]) for t in ("signature", "family", "substructures", "schema_atoms", "values", "operators") if t in terms}
     caps = [(column[t], share, CAP_PENALTY) for t, share in (("signature", SIGNATURE_SHARE), ("family", FAMILY_SHARE)) if t in terms]
     quality = (terms["quality"], weights["quality"]) if "quality" in terms else None
-    return diverse_selection(rows, group, id_col, features, k, quality, (column["tokens"], weights["tokens"]) if "tokens" in terms else None, caps, part_rows)
+    lexical = (column["tokens"], weights["tokens"]) if "tokens" in terms else None
+    if part_rows is not None:
+        return selection_in_parts(rows, group, id_col, features, k, quality, lexical, caps, part_rows)
+    return diverse_selection(rows, group, id_col, features, k, quality, lexical, caps, pool_rows)
 
 
 def entity_cap(df: DataFrame, group: Sequence[str], value: str, order: Sequence[str], limit: int) -> DataFrame:

@@ -85,3 +85,21 @@ def test_rows_of_few_kinds_are_chosen_exactly_from_any_number(spark):
     found = selection.example_selection(spark.createDataFrame(rows, SCHEMA).repartition(5), "g", "id", 12, TERMS, part_rows=48).collect()
     for g in "ab":
         assert order_of(found, g) == greedy([r for r in rows if r[0] == g], 12)
+
+
+@pytest.mark.parametrize("pool", [1, 7, 30])
+def test_large_groups_have_the_exact_order(spark, pool):
+    """A group of many more kinds than one task chooses from has the order of the plain loop, whatever the pool."""
+    rows = candidates(9, 160)
+    found = selection.example_selection(spark.createDataFrame(rows, SCHEMA).repartition(5), "g", "id", 6, TERMS, pool_rows=pool).collect()
+    for g in "ab":
+        assert order_of(found, g) == greedy([r for r in rows if r[0] == g], 6)
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_order_does_not_depend_on_the_size(spark, seed):
+    """6,400 kinds of rows in a group, more than were once dealt into parts that each chose for themselves."""
+    rows = candidates(seed, 8_000)
+    found = selection.example_selection(spark.createDataFrame(rows, SCHEMA).repartition(5), "g", "id", 12, TERMS).collect()
+    for g in "ab":
+        assert order_of(found, g) == greedy([r for r in rows if r[0] == g], 12)
